@@ -10,12 +10,14 @@ substring test so that texts without such amounts never reach a regex.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eligora import constants as K
 from eligora.functions.text import (
-    col, contains_any, extract, lookup, number, strip,
+    col, contains_any, lookup, number, reusable, strip,
 )
 
 MONEY_TYPE = "struct<amount:double,currency:string,confidence:double,method:string>"
@@ -30,17 +32,13 @@ def _money(amount: Column, currency: Column | str, confidence: Column | float,
                     as_col(confidence).alias("confidence"), as_col(method).alias("method"))
 
 
-def _empty() -> Column:
-    return F.array().cast(LIST_TYPE)
-
+def _gate(test: Column, candidates: Column) -> Column:
+    return F.when(test, candidates).otherwise(F.array().cast(LIST_TYPE))
 
-def _rule(amount: Column, currency, confidence, method) -> Column:
-    """One optional candidate; NULL when the amount is missing or zero."""
-    return F.when(amount > 0, _money(amount, currency, confidence, method))
 
-
-def _gate(test: Column, candidates: Column) -> Column:
-    return F.when(test, candidates).otherwise(_empty())
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
 # -- number shapes -----------------------------------------------------------
@@ -82,37 +80,35 @@ def currency_code(tag: Column | str) -> Column:
 
 def rupee_candidates(text: Column) -> Column:
     low = F.lower(text)
+    units = ((K.CRORE_WORD, K.CRORE, "cr"), (K.LAKH_WORD, K.LAKH, "lc"))
     rules = []
     for prefix, label in ((r"rs\.?", "inr_digit"), ("₹", "inr_sym"), ("inr", "inr_iso")):
-        for word, factor, unit in ((K.CRORE_WORD, K.CRORE, "cr"), (K.LAKH_WORD, K.LAKH, "lc")):
-            amount = number(extract(low, prefix + K.MARKED_NUMBER + word)) * factor
-            rules.append(_rule(amount, "INR", K.CONF_SCALED_INR, f"{label}_{unit}"))
-    for word, factor, conf, unit in ((K.CRORE_WORD, K.CRORE, K.CONF_BEFORE_CRORE, "cr"),
-                                     (K.LAKH_WORD, K.LAKH, K.CONF_BEFORE_LAKH, "lc")):
-        amount = number(extract(low, K.NUMBER_THEN_SCALE + word)) * factor
-        rules.append(_rule(amount, "INR", conf, f"inr_scale_before_{unit}"))
-    for word, factor in ((K.CRORE_WORD, K.CRORE), (K.LAKH_WORD, K.LAKH)):
-        spelt = extract(low, rf"\b({K.WORD_NUMBER})\s+{word}")
-        amount = lookup(spelt, {w: float(n) for w, n in K.NUMBER_WORDS.items()}) * factor
-        rules.append(_rule(amount, "INR", K.CONF_WORDS, "inr_word_scale"))
-    for word, factor, unit in ((K.CRORE_WORD, K.CRORE, "cr"), (K.LAKH_WORD, K.LAKH, "lc")):
-        amount = number(extract(low, K.BARE_NUMBER + word)) * factor
-        rules.append(_rule(amount, "INR", K.CONF_BARE, f"bare_{unit}"))
-    scaled = _gate(F.contains(low, F.lit("cr")) | F.contains(low, F.lit("la")),
-                   F.array_compact(F.array(*rules)))
+        for word, factor, unit in units:
+            amount = number(F.regexp_extract(low, K.U + prefix + K.MARKED_NUMBER + word, 1)) * factor
+            rules.append(_money(amount, "INR", K.CONF_SCALED_INR, f"{label}_{unit}"))
+    for (word, factor, unit), conf in zip(units, (K.CONF_BEFORE_CRORE, K.CONF_BEFORE_LAKH)):
+        amount = number(F.regexp_extract(low, K.U + K.NUMBER_THEN_SCALE + word, 1)) * factor
+        rules.append(_money(amount, "INR", conf, f"inr_scale_before_{unit}"))
+    values = {w: float(n) for w, n in K.NUMBER_WORDS.items()}
+    for word, factor, unit in units:
+        spelt = F.regexp_extract(low, rf"{K.U}\b({K.WORD_NUMBER})\s+{word}", 1)
+        rules.append(_money(lookup(spelt, values) * factor, "INR", K.CONF_WORDS, "inr_word_scale"))
+    for word, factor, unit in units:
+        amount = number(F.regexp_extract(low, K.U + K.BARE_NUMBER + word, 1)) * factor
+        rules.append(_money(amount, "INR", K.CONF_BARE, f"bare_{unit}"))
 
     def marked(pattern: str, label: str) -> Column:
-        raw = extract(low, pattern)
-        commas = F.contains(raw, F.lit(","))
-        return F.array_compact(F.array(_rule(
-            number(raw), "INR",
-            F.when(commas, F.lit(K.CONF_COMMA)).otherwise(F.lit(K.CONF_PLAIN)),
-            F.when(commas, F.lit(f"{label}_comma")).otherwise(F.lit(f"{label}_plain")))))
-
-    grouped = F.array_compact(F.array(_rule(
-        number(extract(text, K.GROUPED_AMOUNT)), "INR", K.CONF_GROUPED, "inr_grouped_ctx")))
+        def read(raw: Column) -> Column:
+            commas = F.contains(raw, F.lit(","))
+            return _money(number(raw), "INR",
+                          F.when(commas, F.lit(K.CONF_COMMA)).otherwise(F.lit(K.CONF_PLAIN)),
+                          F.when(commas, F.lit(f"{label}_comma")).otherwise(F.lit(f"{label}_plain")))
+        return F.transform(F.array(F.regexp_extract(low, K.U + pattern, 1)), read)
+
+    grouped = F.array(_money(number(F.regexp_extract(text, K.U + K.GROUPED_AMOUNT, 1)), "INR",
+                             K.CONF_GROUPED, "inr_grouped_ctx"))
     return F.concat(
-        scaled,
+        _gate(F.contains(low, F.lit("cr")) | F.contains(low, F.lit("la")), F.array(*rules)),
         _gate(F.contains(low, F.lit("rs")), marked(K.RS_AMOUNT, "inr_rs")),
         _gate(F.contains(low, F.lit("₹")), marked(K.RUPEE_SIGN_AMOUNT, "inr_sym")),
         _gate(contains_any(low, K.RUPEE_CUES) & F.contains(text, F.lit(",")), grouped),
@@ -120,16 +116,17 @@ def rupee_candidates(text: Column) -> Column:
 
 
 def euro_decimal_candidates(text: Column) -> Column:
-    def candidate(hit: Column) -> Column:
+    def read(hit: Column) -> Column:
         tag = F.upper(hit)
         code = (F.when(tag.contains("EUR") | tag.contains("€"), "EUR")
                 .when(tag.contains("US") | tag.contains("$"), "USD")
                 .when(tag.contains("GBP") | tag.contains("£"), "GBP")
                 .when(tag.contains("CHF"), "CHF").when(tag.contains("INR"), "INR").otherwise("EUR"))
-        amount = euro_number(F.regexp_extract(hit, r"^([0-9.,]+)", 1))
-        return _rule(amount, code, K.CONF_EURO_DECIMAL, "eu_decimal")
+        digits = F.regexp_extract(hit, r"^([0-9.,]+)", 1)
+        amount = F.translate(F.replace(digits, F.lit("."), F.lit("")), ",", ".").try_cast("double")
+        return _money(amount, code, K.CONF_EURO_DECIMAL, "eu_decimal")
     hits = F.regexp_extract_all(text, F.lit(K.U + K.EURO_DECIMAL), F.lit(0))
-    return _gate(F.contains(text, F.lit(",")), F.array_compact(F.transform(hits, candidate)))
+    return _gate(F.contains(text, F.lit(",")), F.transform(hits, read))
 
 
 def english_scale_candidates(text: Column) -> Column:
@@ -138,34 +135,30 @@ def english_scale_candidates(text: Column) -> Column:
         return number(F.regexp_extract(hit, K.U + pattern, amount_at)) * scale
 
     def leading(hit: Column) -> Column:
-        code = F.regexp_extract(hit, K.U + K.ISO_SCALED, 1)
-        return _rule(scaled(hit, K.ISO_SCALED, 2, 3), F.upper(code), K.CONF_ISO_SCALED,
-                     F.concat(F.lit("eng_scale_"), F.lower(code)))
+        code = F.upper(F.substring(hit, 1, 3))
+        return _money(scaled(hit, K.ISO_SCALED, 2, 3), code, K.CONF_ISO_SCALED,
+                      F.concat(F.lit("eng_scale_"), F.lower(code)))
 
     def dollars(hit: Column) -> Column:
-        amount = scaled(hit, K.DOLLAR_SCALED, 1, 2)
-        return F.when(amount.isNotNull(), _money(amount, "USD", K.CONF_DOLLAR_SCALED, "usd_scale"))
+        return _money(scaled(hit, K.DOLLAR_SCALED, 1, 2), "USD", K.CONF_DOLLAR_SCALED, "usd_scale")
 
     def trailing(hit: Column) -> Column:
-        code = F.regexp_extract(hit, K.U + K.SCALED_ISO, 3)
-        return _rule(scaled(hit, K.SCALED_ISO, 1, 2), F.upper(code), K.CONF_SCALED_ISO,
-                     F.concat(F.lit("eng_scale_trail_"), F.lower(code)))
+        code = F.upper(F.right(hit, F.lit(3)))
+        return _money(scaled(hit, K.SCALED_ISO, 1, 2), code, K.CONF_SCALED_ISO,
+                      F.concat(F.lit("eng_scale_trail_"), F.lower(code)))
 
-    found = [F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(K.U + p), F.lit(0)), f))
+    found = [F.transform(F.regexp_extract_all(text, F.lit(K.U + p), F.lit(0)), f)
              for p, f in ((K.ISO_SCALED, leading), (K.DOLLAR_SCALED, dollars), (K.SCALED_ISO, trailing))]
-    low = F.lower(text)
-    return _gate(F.contains(low, F.lit("illion")) | F.contains(low, F.lit("thousand")), F.concat(*found))
+    return _gate(text.rlike("(?i)illion|thousand"), F.concat(*found))
 
 
 def spaced_thousands_candidates(text: Column) -> Column:
-    def candidate(hit: Column) -> Column:
+    def read(hit: Column) -> Column:
         digits = F.regexp_extract(hit, K.U + K.SPACED_THOUSANDS, 2)
         amount = F.replace(digits, F.lit(" "), F.lit("")).try_cast("double")
-        return _rule(amount, F.upper(F.regexp_extract(hit, K.U + K.SPACED_THOUSANDS, 1)),
-                     K.CONF_SPACED, "space_thousands")
+        return _money(amount, F.upper(F.substring(hit, 1, 3)), K.CONF_SPACED, "space_thousands")
     hits = F.regexp_extract_all(text, F.lit(K.U + K.SPACED_THOUSANDS), F.lit(0))
-    return _gate(text.rlike("(?i)usd|eur|gbp|chf|inr|aud|cad"),
-                 F.array_compact(F.transform(hits, candidate)))
+    return _gate(text.rlike("(?i)usd|eur|gbp|chf|inr|aud|cad"), F.transform(hits, read))
 
 
 def inferred_currency(text: Column) -> Column:
@@ -177,30 +170,31 @@ def inferred_currency(text: Column) -> Column:
             .when(up.contains("CHF"), "CHF").when(contains_any(up, ["JPY", "¥"]), "JPY"))
 
 
-def retail_candidates(text: Column) -> Column:
-    """Everyday price strings: the first number not followed by a per cent sign.
+def retail_number(part: Column) -> Column:
+    """First number not followed by a per cent sign.
 
     The last separator is the decimal one unless exactly three digits follow it.
-    Looks at the whole text and at each of its lines / ';' / '|' segments.
     """
-    def price(part: Column, method: str) -> Column:
-        run = F.rtrim(F.regexp_extract(part, r"([0-9][0-9\s.,]*)(?:[^%0-9]|$)", 1), F.lit(" .,\t\r\n"))
-        run = F.regexp_replace(run, r"\s", "")
-        decimal_at = F.regexp_extract(run, r"([.,])(?:[0-9]{1,2}|[0-9]{4,})$", 1)
-        decimals = F.regexp_extract(run, r"[.,]([0-9]{1,2}|[0-9]{4,})$", 1)
-        whole = F.when(decimal_at != "", F.regexp_extract(run, r"^(.*)[.,][0-9]+$", 1)).otherwise(run)
-        amount = F.concat(F.regexp_replace(whole, "[.,]", ""),
-                          F.when(decimal_at != "", F.concat(F.lit("."), decimals)).otherwise(F.lit(""))
-                          ).try_cast("double")
-        code = inferred_currency(part)
-        return _rule(amount, F.coalesce(code, F.lit(K.UNKNOWN_CURRENCY)),
-                     F.when(code.isNotNull(), F.lit(K.CONF_RETAIL)).otherwise(F.lit(K.CONF_RETAIL_UNKNOWN)),
-                     method)
-    whole = F.array(price(strip(text), "price_parser"))
+    run = F.regexp_extract(part, r"([0-9][0-9\s.,]*)(?:[^%0-9]|$)", 1)
+    tidy = F.regexp_replace(run, r"\s+|[\s.,]+$", "")
+    point = F.regexp_replace(tidy, r"[.,]([0-9]{1,2}|[0-9]{4,})$", "p$1")
+    return F.translate(point, "p,.", ".").try_cast("double")
+
+
+def retail_candidates(text: Column) -> Column:
+    """Everyday price strings, in the whole text and in each of its lines and
+    ';' or '|' segments: one number each, its currency taken from the wording."""
+    def read(method: str):
+        def price(part: Column) -> Column:
+            raw = F.struct(retail_number(part).alias("amount"), inferred_currency(part).alias("code"))
+            return _bind(raw, lambda r: _money(
+                r["amount"], F.coalesce(r["code"], F.lit(K.UNKNOWN_CURRENCY)),
+                F.when(r["code"].isNull(), F.lit(K.CONF_RETAIL_UNKNOWN)).otherwise(F.lit(K.CONF_RETAIL)), method))
+        return price
     segments = F.filter(F.transform(F.split(text, "[\n;|]"), strip),
                         lambda s: (F.length(s) >= 3) & s.rlike("[0-9]"))
-    each = F.transform(segments, lambda s: price(s, "price_parser_seg"))
-    return _gate(text.rlike("[0-9]"), F.array_compact(F.concat(whole, each)))
+    return _gate(text.rlike("[0-9]"), F.concat(F.transform(F.array(strip(text)), read("price_parser")),
+                                               F.transform(segments, read("price_parser_seg"))))
 
 
 # -- noise, duplicates, ambiguity -------------------------------------------
@@ -211,22 +205,27 @@ def is_experience_only(text: Column) -> Column:
 
 
 def drop_noise(candidates: Column, text: Column) -> Column:
-    """Fiscal years, bare percentages, and retail hits in experience wording."""
+    """Amounts above zero that are not fiscal years, bare percentages, or retail
+    hits in experience wording.  The text is looked at once."""
     low = F.lower(text)
-    years = (low.rlike(K.U + K.FISCAL_YEAR) | low.contains("financial year")
-             | text.rlike(K.U + K.YEAR_RANGE))
-    percents = (text.rlike(K.U + K.PERCENTAGE) & ~contains_any(low, ["rs", "inr"]) & ~text.contains("$"))
-    experience = is_experience_only(text)
-
-    def keep(c: Column) -> Column:
+    seen = F.struct(
+        (low.rlike(K.U + K.FISCAL_YEAR) | low.contains("financial year")
+         | text.rlike(K.U + K.YEAR_RANGE)).alias("years"),
+        (text.contains("%") & text.rlike(K.U + K.PERCENTAGE) & ~contains_any(low, ["rs", "inr"])
+         & ~text.contains("$")).alias("percents"),
+        is_experience_only(text).alias("experience"))
+
+    def keep(c: Column, about: Column) -> Column:
         whole = c["amount"] == F.floor(c["amount"])
         retail = c["method"].startswith("price_parser")
         year_like = retail & whole & c["amount"].between(K.FIRST_YEAR, K.LAST_YEAR)
-        return ~((retail & experience) | (year_like & years)
-                 | (whole & (c["amount"] > 0) & (c["amount"] <= 100) & percents))
-    return F.filter(candidates, keep)
+        noise = ((retail & about["experience"]) | (year_like & about["years"])
+                 | (whole & (c["amount"] > 0) & (c["amount"] <= 100) & about["percents"]))
+        return ((c["amount"] > 0) | ((c["method"] == "usd_scale") & c["amount"].isNotNull())) & ~noise
+    return _bind(seen, lambda about: F.filter(candidates, lambda c: keep(c, about)))
 
 
+@reusable
 def money_candidates(text: Column | str) -> Column:
     """All candidates of a text in rule order, noise removed."""
     t = F.coalesce(col(text), F.lit(""))
@@ -241,26 +240,30 @@ def distinct_candidates(candidates: Column) -> Column:
     keyed = F.array_sort(F.transform(candidates, lambda c, i: F.struct(
         c["currency"].alias("currency"), F.round(c["amount"], 4).alias("key"),
         (-c["confidence"]).alias("worst"), i.alias("i"), c.alias("c"))))
-    firsts = F.filter(
-        F.zip_with(keyed, F.concat(F.array(F.lit(None)), F.slice(keyed, 1, F.greatest(F.size(keyed) - 1, F.lit(0)))),
-                   lambda a, b: F.struct(
-                       a["i"].alias("i"), a["c"].alias("c"),
-                       (b.isNull() | (a["currency"] != b["currency"]) | (a["key"] != b["key"])).alias("first"))),
-        lambda x: x["first"] & x["c"].isNotNull())
-    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))),
-                       lambda x: x["c"])
+
+    def firsts(sorted_list: Column) -> Column:
+        """Rows that differ from the one before them."""
+        def new(x: Column, i: Column) -> Column:
+            before = F.get(sorted_list, i - 1)
+            return (i == 0) | (x["currency"] != before["currency"]) | (x["key"] != before["key"])
+        return F.filter(sorted_list, new)
+    kept = F.transform(_bind(keyed, firsts), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))
+    return F.transform(F.array_sort(kept), lambda x: x["c"])
 
 
 def is_ambiguous(candidates: Column) -> Column:
     """Among the five surest: two currencies, or different amounts within 5x."""
     ranked = F.array_sort(F.transform(distinct_candidates(candidates), lambda c, i: F.struct(
         (-c["confidence"]).alias("worst"), i.alias("i"), c.alias("c"))))
-    top = F.transform(F.slice(ranked, 1, 5), lambda x: x["c"])
-    codes = F.array_distinct(F.filter(F.transform(top, lambda c: c["currency"]),
-                                      lambda c: c != K.UNKNOWN_CURRENCY))
-    amounts = F.array_distinct(F.transform(top, lambda c: F.round(c["amount"], 4)))
-    close = (F.array_max(amounts) / F.greatest(F.array_min(amounts), F.lit(1e-9))) < K.MONEY_AMBIGUITY_RATIO
-    return F.coalesce((F.size(codes) >= 2) | ((F.size(amounts) >= 2) & close), F.lit(False))
+
+    def unclear(top: Column) -> Column:
+        codes = F.array_distinct(F.filter(F.transform(top, lambda x: x["c"]["currency"]),
+                                          lambda c: c != K.UNKNOWN_CURRENCY))
+        amounts = F.array_distinct(F.transform(top, lambda x: F.round(x["c"]["amount"], 4)))
+        ratio = F.array_max(amounts) / F.greatest(F.array_min(amounts), F.lit(1e-9))
+        return F.coalesce((F.size(codes) >= 2)
+                          | ((F.size(amounts) >= 2) & (ratio < K.MONEY_AMBIGUITY_RATIO)), F.lit(False))
+    return _bind(F.slice(ranked, 1, 5), unclear)
 
 
 def needs_model(candidates: Column) -> Column:
@@ -285,15 +288,16 @@ def pick_best(candidates: Column, default: str = "INR", prefer: str | None = "IN
     return F.array_max(F.transform(candidates, ranked))["money"]
 
 
+@reusable
 def parse_money(text: Column | str, default: str = "INR", prefer: str | None = "INR") -> Column:
     """Best single amount of a text as a struct, NULL when it has none."""
     return pick_best(money_candidates(text), default, prefer)
 
 
+@reusable
 def rupees(text: Column | str) -> Column:
     """The amount when the best candidate is in rupees; no exchange rates."""
-    money = parse_money(text)
-    return F.when(money["currency"] == "INR", money["amount"])
+    return _bind(parse_money(text), as_rupees)
 
 
 def as_rupees(money: Column | str) -> Column:
@@ -301,6 +305,7 @@ def as_rupees(money: Column | str) -> Column:
     return F.when(m["currency"] == "INR", m["amount"])
 
 
+@reusable
 def evidence_rupees(extracted_value: Column | str, source_text: Column | str) -> Column:
     blank = F.lit("")
     return rupees(F.concat_ws(" ", F.coalesce(col(extracted_value), blank), F.coalesce(col(source_text), blank)))
@@ -312,4 +317,5 @@ def model_money(reply: Column) -> Column:
     raw = F.upper(F.coalesce(reply["currency"], F.lit("INR")))
     code = F.when(F.length(raw) == 3, raw).otherwise(F.coalesce(currency_code(raw), F.lit("INR")))
     conf = F.coalesce(F.nullif(reply["confidence"].try_cast("double"), F.lit(0.0)), F.lit(0.5))
-    return _rule(amount, code, F.least(F.lit(0.9), F.greatest(F.lit(0.4), conf)), "llm_disambiguate")
+    money = _money(amount, code, F.least(F.lit(0.9), F.greatest(F.lit(0.4), conf)), "llm_disambiguate")
+    return F.when(amount > 0, money)

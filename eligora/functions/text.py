@@ -5,14 +5,36 @@ Everything here is a JVM-side ``Column``; nothing calls Python per row.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eligora import constants as K
 
 
+def reusable(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression built for given column names.
+
+    Large expressions take a noticeable time to put together from Python; they
+    are immutable, so one per application and set of names will do.
+    """
+    made: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def call(*args):
+        if any(isinstance(a, Column) for a in args):
+            return build(*args)
+        key = (SparkContext._active_spark_context.applicationId, *args)
+        if key not in made:
+            made[key] = build(*args)
+        return made[key]
+    return call
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -41,13 +63,23 @@ def number(c: Column) -> Column:
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
+    return c.rlike("|".join(re.sub(r"([.$|()\[\]{}^?*+\\])", r"\\\1", n) for n in needles))
+
+
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
+def fixed_array(values: list) -> Column:
+    return F.expr(f"array({', '.join(map(_literal, values))})")
 
 
 def lookup(key: Column, table: dict) -> Column:
     """Value of a small fixed table, NULL for an unknown key."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 # -- keywords ----------------------------------------------------------------
@@ -56,7 +88,7 @@ def keywords(text: Column | str) -> Column:
     """Distinct meaningful tokens: no stopwords, three letters up or digits."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))),
                                   F.lit(K.KEYWORD_TOKEN), F.lit(0))
-    kept = F.array_except(tokens, F.array(*[F.lit(w) for w in K.STOPWORDS]))
+    kept = F.array_except(tokens, fixed_array(K.STOPWORDS))
     return F.filter(kept, lambda t: (F.length(t) >= 3) | t.rlike("^[0-9]+$"))
 
 

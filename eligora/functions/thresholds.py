@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from eligora import constants as K
 from eligora.functions.money import evidence_rupees, rupees
 from eligora.functions.text import (
-    col, contains_any, extract, lookup, non_empty, number, strip,
+    col, contains_any, extract, lookup, number, reusable, strip,
 )
 
 
+@reusable
 def count_requirement(text: Column | str, strict: bool = False) -> Column:
     """How many items are wanted ("at least three"), 1 when nothing says so.
 
@@ -50,9 +51,10 @@ def is_qualitative(description: Column | str) -> Column:
     return ~contains_any(low, K.MONEY_WORDING) & merit
 
 
+@reusable
 def parse_threshold(description: Column | str, threshold: Column | str,
-                    description_rupees: Column | None = None,
-                    threshold_rupees: Column | None = None) -> Column:
+                    description_rupees: Column | str | None = None,
+                    threshold_rupees: Column | str | None = None) -> Column:
     """struct<operator, value>, NULL when the criterion has no number.
 
     The two amounts can be passed in when the caller has them as columns.
@@ -61,8 +63,8 @@ def parse_threshold(description: Column | str, threshold: Column | str,
     low = F.lower(desc)
     written = extract(field, K.OPERATOR)
     operator = F.coalesce(written, F.lit(">="))
-    in_desc = rupees(desc) if description_rupees is None else description_rupees
-    in_field = rupees(field) if threshold_rupees is None else threshold_rupees
+    in_desc = rupees(description) if description_rupees is None else col(description_rupees)
+    in_field = rupees(threshold) if threshold_rupees is None else col(threshold_rupees)
 
     def made(value: Column, op: Column) -> Column:
         return F.when(value.isNotNull(), F.struct(op.alias("operator"), value.alias("value")))
@@ -80,9 +82,10 @@ def parse_threshold(description: Column | str, threshold: Column | str,
         last))
 
 
+@reusable
 def has_numeric_content(description: Column | str, threshold: Column | str,
-                        description_rupees: Column | None = None) -> Column:
-    in_desc = rupees(description) if description_rupees is None else description_rupees
+                        description_rupees: Column | str | None = None) -> Column:
+    in_desc = rupees(description) if description_rupees is None else col(description_rupees)
     return (F.coalesce(col(threshold), F.lit("")).rlike(K.U + r"\d")
             | F.coalesce(in_desc != 0, F.lit(False))
             | F.lower(F.coalesce(col(description), F.lit(""))).rlike(K.U + K.ANY_YEARS))
@@ -101,9 +104,8 @@ def is_borderline(value: Column, threshold: Column, percent: float = K.BORDERLIN
 def to_numeric(text: Column | str) -> Column:
     """Rupees when the text has them, else its first number."""
     s = strip(text)
-    amount = rupees(s)
-    first = non_empty(F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), K.U + K.SIGNED_NUMBER, 0))
-    return F.when(amount > 0, amount).otherwise(first.try_cast("double"))
+    first = F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), K.U + K.SIGNED_NUMBER, 0)
+    return F.coalesce(rupees(s), first.try_cast("double"))
 
 
 def uses_rupees(value: Column, description: Column) -> Column:
@@ -112,10 +114,11 @@ def uses_rupees(value: Column, description: Column) -> Column:
     return F.coalesce((value >= K.RUPEE_FLOOR) & ~about_years, F.lit(False))
 
 
+@reusable
 def evidence_value(extracted_value: Column | str, source_text: Column | str, normalized_value: Column | str,
-                   rupee_first: Column, rupee_only: Column) -> Column:
+                   rupee_first: Column | str, rupee_only: Column | str) -> Column:
     """Number an evidence row stands for, under its criterion's reading rules."""
-    amount = F.when(rupee_first, evidence_rupees(extracted_value, source_text))
-    plain = F.when(~rupee_only, F.coalesce(to_numeric(extracted_value), to_numeric(source_text),
+    amount = F.when(col(rupee_first), evidence_rupees(extracted_value, source_text))
+    plain = F.when(~col(rupee_only), F.coalesce(to_numeric(extracted_value), to_numeric(source_text),
                                            col(normalized_value)))
     return F.coalesce(amount, plain)

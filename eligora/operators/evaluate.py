@@ -27,14 +27,18 @@ MAX_SOURCES = 1000
 
 
 def prepare_criteria(criteria: DataFrame) -> DataFrame:
-    """Criteria with operator, threshold, required count, reading rules, route."""
+    """Criteria with operator, threshold, required count, reading rules, route.
+
+    Kept in memory (spilling to disk): a plan uses them several times, and they
+    must not be parsed again in each place a filter on them is pushed to.
+    """
     desc = F.coalesce("description", F.lit(""))
-    amounts = criteria.select("*", rupees(desc).alias("_desc_rupees"),
-                              rupees(F.coalesce("threshold", F.lit(""))).alias("_field_rupees"))
+    amounts = criteria.select("*", rupees("description").alias("_desc_rupees"),
+                              rupees("threshold").alias("_field_rupees"))
     parsed = amounts.select(
-        "*", T.parse_threshold(desc, "threshold", F.col("_desc_rupees"), F.col("_field_rupees")).alias("_t"),
-        T.count_requirement(desc).alias("required_count"),
-        T.has_numeric_content(desc, "threshold", F.col("_desc_rupees")).alias("_numeric"))
+        "*", T.parse_threshold("description", "threshold", "_desc_rupees", "_field_rupees").alias("_t"),
+        T.count_requirement("description").alias("required_count"),
+        T.has_numeric_content("description", "threshold", "_desc_rupees").alias("_numeric"))
     flat = parsed.select(
         *[c for c in criteria.columns if c != "id"], F.col("id").alias("criterion_id"),
         F.col("_t.operator").alias("operator"), F.col("_t.value").alias("threshold_value"), "required_count",
@@ -45,7 +49,7 @@ def prepare_criteria(criteria: DataFrame) -> DataFrame:
         *[c for c in flat.columns if c != "_numeric"],
         (F.col("rupee_first") & (F.col("required_count") > 1)
          & (F.col("threshold_value") >= K.RUPEE_ONLY_FLOOR)).alias("rupee_only"),
-        F.when(quantitative, "quantitative").otherwise("qualitative").alias("route"))
+        F.when(quantitative, "quantitative").otherwise("qualitative").alias("route")).persist()
 
 
 def evidence_numbers(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def evidence_numbers(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
         "criterion_id", "operator", "threshold_value", "required_count", "rupee_first", "rupee_only")
     joined = evidence.join(rules, "criterion_id")
     value = F.col("value") if "value" in evidence.columns else T.evidence_value(
-        "extracted_value", "source_text", "normalized_value", F.col("rupee_first"), F.col("rupee_only"))
+        "extracted_value", "source_text", "normalized_value", "rupee_first", "rupee_only")
     return joined.select(*PAIR, "ordinal", "source_document", "ocr_confidence", value.alias("value"),
                          "operator", "threshold_value", "required_count")
 
@@ -186,20 +190,21 @@ def quantitative_verdicts(pairs: DataFrame, prepared: DataFrame, numbers: DataFr
                           explain: bool = True) -> DataFrame:
     """Verdict, explanation and confidence for each pair on the rule route.
 
-    ``pairs`` has bidder_id, criterion_id.  With ``explain=False`` the source
+    ``pairs`` has bidder_id, criterion_id; other columns pass through.  With ``explain=False`` the source
     and value lists, which take further passes over the evidence of counting
     criteria, are left out of the plan.
     """
     rules = prepared.where(F.col("route") == "quantitative").select(*RULE_COLUMNS)
+    more = [c for c in pairs.columns if c not in PAIR + RULE_COLUMNS]
     facts = pair_facts(numbers)
-    out = pairs.select(*PAIR).join(rules, "criterion_id").join(facts, PAIR, "left")
+    out = pairs.select(*PAIR, *more).join(rules, "criterion_id").join(facts, PAIR, "left")
     if explain:
         out = (out.join(qualifying_sources(numbers), PAIR, "left")
                .join(listed_values(numbers, facts), PAIR, "left"))
     else:
         out = out.withColumns({"sources": F.lit(None).cast("string"), "values_text": F.lit(None).cast("string")})
     out = out.withColumn("_v", _verdict())
-    return out.select(*PAIR, "crit_code", F.col("description").alias("crit_desc"), "category", "mandatory",
+    return out.select(*PAIR, *more, "crit_code", F.col("description").alias("crit_desc"), "category", "mandatory",
                       F.col("_v.verdict").alias("verdict"), F.col("_v.explanation").alias("explanation"),
                       F.col("_v.confidence").alias("confidence"))
 
