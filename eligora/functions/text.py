@@ -199,7 +199,7 @@ def file_name(path: Column | str) -> Column:
 
 def file_type(path: Column | str) -> Column:
     """Kind of file by its (lower-cased) extension; dot-files have none."""
-    ext = F.lower(F.regexp_extract(file_name(path), r"^\.*[^.].*(\.[^.]*)$|^\.*[^.](\.[^.]*)$", 1))
+    ext = F.lower(F.regexp_extract(file_name(path), r"^\.*[^.].*(\.[^.]*)$", 1))
     return F.coalesce(lookup(ext, K.FILE_TYPES), F.lit("unknown"))
 
 

@@ -47,14 +47,20 @@ def sequence_batches(batches: DataFrame, group: list[str], prefix: int = 10) ->
                     [F.col("doc_rank"), F.col("batch")], "seq")
 
 
-def scan(batches: DataFrame, group: list[str], extract: Extractor, merge_all: str = "merge_all") -> DataFrame:
+def scan(batches: DataFrame, group: list[str], extract: Extractor, merge_all: str = "merge_all",
+         waves: bool = True) -> DataFrame:
     """Evidence of the first successful batch per group, or of all batches for
     groups that need several items.
 
-    Runs in waves of doubling width over the scan position; a group leaves
+    A cheap extractor (``waves=False``) sees all batches in one plan and the
+    first hit is a minimum.  Otherwise it runs in waves of doubling width over the scan position; a group leaves
     after the wave that found something, so an expensive extractor is called
     for few batches beyond the first hit, in a logarithmic number of jobs.
     """
+    if not waves:
+        found = extract(batches)
+        firsts = found.groupBy(*group).agg(F.min("seq").alias("_first"))
+        return found.join(firsts, group).where(F.col(merge_all) | (F.col("seq") == F.col("_first"))).drop("_first")
     everything = cut(extract(batches.where(F.col(merge_all))))
     pending = batches.where(~F.col(merge_all))
     last = pending.agg(F.max("seq")).first()[0] or 0
@@ -76,7 +82,7 @@ def scan(batches: DataFrame, group: list[str], extract: Extractor, merge_all: st
 
 
 def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[str], extract: Extractor,
-                   prefix: int = 10) -> DataFrame:
+                   prefix: int = 10, waves: bool = True) -> DataFrame:
     """The same with document reservation: a document that gave evidence for one
     criterion is skipped for the bidder's later ones.
 
@@ -88,7 +94,7 @@ def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[s
         free = batches.where(F.col(position) == step)
         if reserved is not None:
             free = free.join(reserved, [bidder, "source_document"], "left_anti")
-        found = cut(scan(sequence_batches(free, group, prefix), group, extract))
+        found = cut(scan(sequence_batches(free, group, prefix), group, extract, waves=waves))
         used = found.select(bidder, "source_document").distinct()
         reserved = used if reserved is None else reserved.unionByName(used).distinct()
         parts.append(found)

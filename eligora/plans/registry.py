@@ -1,5 +1,5 @@
 """All registered queries: name -> (plan, oracle SQL or None)."""
 
-from eligora.plans import verdict_queries
+from eligora.plans import table_queries, text_queries, vector_queries, verdict_queries
 
-ALL = {**verdict_queries.QUERIES}
+ALL = {**verdict_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES, **vector_queries.QUERIES}

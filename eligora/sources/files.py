@@ -137,6 +137,23 @@ def assemble(paged: DataFrame) -> DataFrame:
         "min_ocr_confidence": F.array_min(F.transform("pages", lambda p: p["ocr_confidence"]))})
 
 
+def assemble_pages(pages: DataFrame, keys: list[str], block: int = 1000) -> DataFrame:
+    """The same for page rows with page_num, text, ocr_confidence.
+
+    Pages are joined block by block first, so that a document of very many
+    pages is not gathered page by page in one place.
+    """
+    text = F.when(F.coalesce("text", F.lit("")) != "", F.struct("page_num", "text"))
+    first = pages.groupBy(*keys, F.floor(F.col("page_num") / block).alias("_b")).agg(
+        F.array_sort(F.collect_list(text)).alias("_p"), F.count("*").alias("_n"),
+        F.min("ocr_confidence").alias("_o"))
+    joined = first.select(*keys, "_n", "_o", F.when(F.size("_p") > 0, F.struct("_b", F.array_join(
+        F.transform("_p", lambda p: p["text"]), "\n\n").alias("t"))).alias("_t"))
+    return joined.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("_t")), lambda b: b["t"]), "\n\n").alias("full_text"),
+        F.sum("_n").alias("page_count"), F.min("_o").alias("min_ocr_confidence"))
+
+
 def ingest(spark: SparkSession, path: str) -> DataFrame:
     return assemble(with_pages(read_files(spark, path)))
 
