@@ -1,5 +1,6 @@
 """All registered queries: name -> (plan, oracle SQL or None)."""
 
-from eligora.plans import table_queries, text_queries, vector_queries, verdict_queries
+from eligora.plans import money_queries, table_queries, text_queries, vector_queries, verdict_queries
 
-ALL = {**verdict_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES, **vector_queries.QUERIES}
+ALL = {**verdict_queries.QUERIES, **table_queries.QUERIES, **text_queries.QUERIES, **money_queries.QUERIES,
+       **vector_queries.QUERIES}

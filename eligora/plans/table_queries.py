@@ -141,14 +141,14 @@ def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def stale_indexes(spark: SparkSession, sf: str) -> DataFrame:
     """Bidders whose index must be rebuilt: the stored fingerprints cover the
-    files as they were before those in German came in."""
+    files as they were before the longest ones came in."""
     def prints(docs: DataFrame) -> DataFrame:
         bidder = F.substring("source", 4, 9).cast("bigint")
         return V.corpus_fingerprint(docs.select(
             bidder.alias("bidder_id"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("filename"),
             F.col("text").alias("full_text"), F.sha2("text", 256).alias("file_hash")))
     docs = D.table(spark, sf, "documents")
-    stored = prints(docs.where(F.col("lang") != "de")).withColumn(
+    stored = prints(docs.where(F.col("n_chars") < 20000)).withColumn(
         "embed_model", F.when(F.col("bidder_id") % 7 == 0, "old").otherwise("current"))
     return V.stale_bidders(prints(docs), stored, "current").select("bidder_id")
 
@@ -213,6 +213,5 @@ QUERIES = {
       l_linenumber::BIGINT AS criterion_id, count(*) AS rows, round(sum(l_extendedprice), 2) AS total FROM lineitem
       WHERE l_suppkey IN (SELECT id FROM bidders WHERE tender_id = 2) GROUP BY ALL"""),
     "stale_indexes": (stale_indexes, """SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS bidder_id FROM documents d
-      WHERE lang = 'de' OR CAST(substr(source, 4) AS BIGINT) % 7 = 0 OR NOT EXISTS
-        (SELECT 1 FROM documents e WHERE e.source = d.source AND e.lang <> 'de')"""),
+      WHERE n_chars >= 20000 OR CAST(substr(source, 4) AS BIGINT) % 7 = 0"""),
 }

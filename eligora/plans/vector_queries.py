@@ -54,10 +54,11 @@ def _fused(spark: SparkSession, sf: str, pool: int, k: int) -> DataFrame:
     words = X.keywords(F.lit("Thinly blended section of inner heed and worthless motion"))
     scored = corpus.join(texts, "ordinal").select(
         "source_document", "chunk_index", "ordinal", X.keyword_score_low("_low", words).alias("score"))
-    labels = D.table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("criterion_id")).distinct()
-    # The same words are used for all criteria, so one top list serves them all.
-    best = R.keyword_top_k(scored.withColumn("_g", F.lit(0)), ["_g"], ["ordinal"], 2 * k).drop("_g")
-    keyword = labels.join(best, F.lit(True))
+    labels = D.table(spark, sf, "embeddings").select(
+        F.lit(0).alias("tender_id"), F.col("label").cast("bigint").alias("criterion_id")).distinct()
+    # The same words are used for all criteria of the tender, so one list serves them all.
+    best = R.keyword_top_k(scored.withColumn("tender_id", F.lit(0)), ["tender_id"], ["ordinal"], 2 * k)
+    keyword = labels.join(best, "tender_id")
     return V.fuse(_hits(spark, sf, "chunk", pool), _hits(spark, sf, "doc_summary", 4), corpus, keyword, GROUP, k)
 
 
