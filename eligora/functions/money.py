@@ -78,8 +78,7 @@ def currency_code(tag: Column | str) -> Column:
 
 # -- rule families -----------------------------------------------------------
 
-def rupee_candidates(text: Column) -> Column:
-    low = F.lower(text)
+def rupee_candidates(text: Column, low: Column) -> Column:
     units = ((K.CRORE_WORD, K.CRORE, "cr"), (K.LAKH_WORD, K.LAKH, "lc"))
     rules = []
     for prefix, label in ((r"rs\.?", "inr_digit"), ("₹", "inr_sym"), ("inr", "inr_iso")):
@@ -108,7 +107,7 @@ def rupee_candidates(text: Column) -> Column:
     grouped = F.array(_money(number(F.regexp_extract(text, K.U + K.GROUPED_AMOUNT, 1)), "INR",
                              K.CONF_GROUPED, "inr_grouped_ctx"))
     return F.concat(
-        _gate(F.contains(low, F.lit("cr")) | F.contains(low, F.lit("la")), F.array(*rules)),
+        _gate(low.rlike(f"{K.CRORE_WORD}|{K.LAKH_WORD}"), F.array(*rules)),
         _gate(F.contains(low, F.lit("rs")), marked(K.RS_AMOUNT, "inr_rs")),
         _gate(F.contains(low, F.lit("₹")), marked(K.RUPEE_SIGN_AMOUNT, "inr_sym")),
         _gate(contains_any(low, K.RUPEE_CUES) & F.contains(text, F.lit(",")), grouped),
@@ -193,27 +192,27 @@ def retail_candidates(text: Column) -> Column:
         return price
     segments = F.filter(F.transform(F.split(text, "[\n;|]"), strip),
                         lambda s: (F.length(s) >= 3) & s.rlike("[0-9]"))
-    return _gate(text.rlike("[0-9]"), F.concat(F.transform(F.array(strip(text)), read("price_parser")),
-                                               F.transform(segments, read("price_parser_seg"))))
+    whole = F.transform(F.array(strip(text)), read("price_parser"))
+    # A single segment would only repeat the whole text's number.
+    each = _gate(text.rlike("[\n;|]"), F.transform(segments, read("price_parser_seg")))
+    return _gate(text.rlike("[0-9]"), F.concat(whole, each))
 
 
 # -- noise, duplicates, ambiguity -------------------------------------------
 
-def is_experience_only(text: Column) -> Column:
-    low = F.lower(text)
+def is_experience_only(low: Column) -> Column:
     return contains_any(low, ["year", "yrs"]) & ~contains_any(low, K.EXPERIENCE_MONEY_CUES)
 
 
-def drop_noise(candidates: Column, text: Column) -> Column:
+def drop_noise(candidates: Column, text: Column, low: Column) -> Column:
     """Amounts above zero that are not fiscal years, bare percentages, or retail
     hits in experience wording.  The text is looked at once."""
-    low = F.lower(text)
     seen = F.struct(
-        (low.rlike(K.U + K.FISCAL_YEAR) | low.contains("financial year")
-         | text.rlike(K.U + K.YEAR_RANGE)).alias("years"),
+        (text.rlike(K.U + K.YEAR_RANGE) | low.rlike(K.U + K.FISCAL_YEAR)
+         | low.contains("financial year")).alias("years"),
         (text.contains("%") & text.rlike(K.U + K.PERCENTAGE) & ~contains_any(low, ["rs", "inr"])
          & ~text.contains("$")).alias("percents"),
-        is_experience_only(text).alias("experience"))
+        is_experience_only(low).alias("experience"))
 
     def keep(c: Column, about: Column) -> Column:
         whole = c["amount"] == F.floor(c["amount"])
@@ -229,10 +228,11 @@ def drop_noise(candidates: Column, text: Column) -> Column:
 def money_candidates(text: Column | str) -> Column:
     """All candidates of a text in rule order, noise removed."""
     t = F.coalesce(col(text), F.lit(""))
-    found = F.concat(rupee_candidates(t), euro_decimal_candidates(t), english_scale_candidates(t),
+    low = F.lower(t)
+    found = F.concat(rupee_candidates(t, low), euro_decimal_candidates(t), english_scale_candidates(t),
                      spaced_thousands_candidates(t), retail_candidates(t))
     # Each rule needs a digit or a crore/lakh word, so other texts stop here.
-    return _gate(t.rlike("[0-9]|(?i:crore|cr|lakh|lac)"), drop_noise(found, t))
+    return _gate(t.rlike("[0-9]|(?i:crore|cr|lakh|lac)"), drop_noise(found, t, low))
 
 
 def distinct_candidates(candidates: Column) -> Column:

@@ -29,8 +29,9 @@ MAX_SOURCES = 1000
 def prepare_criteria(criteria: DataFrame) -> DataFrame:
     """Criteria with operator, threshold, required count, reading rules, route.
 
-    Kept in memory (spilling to disk): a plan uses them several times, and they
-    must not be parsed again in each place a filter on them is pushed to.
+    Kept in memory (spilling to disk) and counted: they are parsed once however
+    often a plan uses them, and their exact size is known when Spark chooses
+    how to join them with the evidence (a broadcast below its threshold).
     """
     desc = F.coalesce("description", F.lit(""))
     amounts = criteria.select("*", rupees("description").alias("_desc_rupees"),
@@ -45,11 +46,13 @@ def prepare_criteria(criteria: DataFrame) -> DataFrame:
         T.uses_rupees(F.col("_t.value"), desc).alias("rupee_first"), "_numeric")
     quantitative = (F.col("_numeric") & F.col("category").isin(K.QUANTITATIVE_CATEGORIES)
                     & F.col("threshold_value").isNotNull())
-    return flat.select(
+    prepared = flat.select(
         *[c for c in flat.columns if c != "_numeric"],
         (F.col("rupee_first") & (F.col("required_count") > 1)
          & (F.col("threshold_value") >= K.RUPEE_ONLY_FLOOR)).alias("rupee_only"),
         F.when(quantitative, "quantitative").otherwise("qualitative").alias("route")).persist()
+    prepared.count()
+    return prepared
 
 
 def evidence_numbers(evidence: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -71,15 +74,21 @@ def _passes() -> Column:
     return T.compare(F.col("value"), F.col("operator"), F.col("threshold_value"))
 
 
-def pair_facts(numbers: DataFrame) -> DataFrame:
-    """Counts, worst OCR and best value per pair; every state is fixed-size."""
-    best = F.struct(F.col("value"), (-F.col("ordinal")).alias("earliest"), F.col("source_document"))
+def pair_facts(numbers: DataFrame, sources: bool = True) -> DataFrame:
+    """Counts, worst OCR and best value per pair.
+
+    Without ``sources`` all states are numbers and the aggregation hashes; the
+    document of the best value makes it sort.  Both reduce before the shuffle.
+    """
     low = F.col("ocr_confidence") < K.OCR_LOW
-    facts = numbers.groupBy(*PAIR).agg(
-        F.count("*").alias("n_evidence"), F.count("value").alias("n_values"),
-        F.coalesce(F.bool_or(low), F.lit(False)).alias("low_ocr"),
-        F.count_if(F.col("value").isNotNull() & _passes()).alias("n_qualifying"),
-        F.max(F.when(F.col("value").isNotNull(), best)).alias("_best"))
+    states = [F.count("*").alias("n_evidence"), F.count("value").alias("n_values"),
+              F.coalesce(F.bool_or(low), F.lit(False)).alias("low_ocr"),
+              F.count_if(F.col("value").isNotNull() & _passes()).alias("n_qualifying")]
+    if not sources:
+        return numbers.groupBy(*PAIR).agg(*states, F.max("value").alias("best_value")).withColumn(
+            "best_source", F.lit(None).cast("string"))
+    best = F.struct(F.col("value"), (-F.col("ordinal")).alias("earliest"), F.col("source_document"))
+    facts = numbers.groupBy(*PAIR).agg(*states, F.max(F.when(F.col("value").isNotNull(), best)).alias("_best"))
     return facts.select(*PAIR, "n_evidence", "n_values", "low_ocr", "n_qualifying",
                         F.col("_best.value").alias("best_value"),
                         F.coalesce(F.col("_best.source_document").cast("string"), F.lit("unknown"))
@@ -138,7 +147,7 @@ def no_evidence(mandatory: Column, description: Column) -> Column:
             F.lit(1.0).alias("confidence")))
 
 
-def _verdict() -> Column:
+def _verdict(explain: bool) -> Column:
     """CASE over the facts, the criterion and the two optional texts."""
     c = F.col
     bar = F.concat(c("operator"), F.lit(" "), whole_number(c("threshold_value")))
@@ -147,10 +156,11 @@ def _verdict() -> Column:
     desc = F.coalesce("description", F.lit(""))
 
     def made(verdict, confidence: float, *parts) -> Column:
-        text = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+        text = F.lit(None).cast("string")
+        if explain:
+            text = F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
         v = verdict if isinstance(verdict, Column) else F.lit(verdict)
-        return F.struct(v.alias("verdict"), F.concat(*text).alias("explanation"),
-                        F.lit(confidence).alias("confidence"))
+        return F.struct(v.alias("verdict"), text.alias("explanation"), F.lit(confidence).alias("confidence"))
 
     values = F.coalesce("values_text", F.concat(c("n_values").cast("string"), F.lit(" values, listed in parts")))
     enough = c("n_qualifying") >= c("required_count")
@@ -190,20 +200,21 @@ def quantitative_verdicts(pairs: DataFrame, prepared: DataFrame, numbers: DataFr
                           explain: bool = True) -> DataFrame:
     """Verdict, explanation and confidence for each pair on the rule route.
 
-    ``pairs`` has bidder_id, criterion_id; other columns pass through.  With ``explain=False`` the source
-    and value lists, which take further passes over the evidence of counting
-    criteria, are left out of the plan.
+    ``pairs`` has bidder_id, criterion_id; other columns pass through.  With
+    ``explain=False`` the explanation is NULL, and the source and value lists it
+    needs, which take further passes over the evidence of counting criteria,
+    are left out of the plan.
     """
     rules = prepared.where(F.col("route") == "quantitative").select(*RULE_COLUMNS)
     more = [c for c in pairs.columns if c not in PAIR + RULE_COLUMNS]
-    facts = pair_facts(numbers)
+    facts = pair_facts(numbers, sources=explain)
     out = pairs.select(*PAIR, *more).join(rules, "criterion_id").join(facts, PAIR, "left")
     if explain:
         out = (out.join(qualifying_sources(numbers), PAIR, "left")
                .join(listed_values(numbers, facts), PAIR, "left"))
     else:
         out = out.withColumns({"sources": F.lit(None).cast("string"), "values_text": F.lit(None).cast("string")})
-    out = out.withColumn("_v", _verdict())
+    out = out.withColumn("_v", _verdict(explain))
     return out.select(*PAIR, *more, "crit_code", F.col("description").alias("crit_desc"), "category", "mandatory",
                       F.col("_v.verdict").alias("verdict"), F.col("_v.explanation").alias("explanation"),
                       F.col("_v.confidence").alias("confidence"))

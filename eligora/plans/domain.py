@@ -7,6 +7,8 @@ The same readings are given as SQL text for the oracle.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,11 +90,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+RULE_SCHEMA = ("id bigint, crit_code string, description string, category string, mandatory boolean, "
+               "threshold string, expected_evidence string")
+
+
+def _rule_rows() -> list[tuple]:
+    return [(p, f"C-{p:03d}", d, c, m, t, e) for p, d, c, m, t, e in RULES]
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    """The criteria list every tender uses, as a small local relation."""
-    rows = [(p, f"C-{p:03d}", d, c, m, t, e) for p, d, c, m, t, e in RULES]
-    return spark.createDataFrame(rows, "id BIGINT, crit_code STRING, description STRING, category STRING, "
-                                       "mandatory BOOLEAN, threshold STRING, expected_evidence STRING")
+    """The criteria list every tender uses, as a plan of known (tiny) size."""
+    return spark.range(0, 1, 1, 1).select(_inline(_rule_rows(), RULE_SCHEMA))
 
 
 def tenders(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,25 +110,18 @@ def tenders(spark: SparkSession, folder: str) -> DataFrame:
 
 def per_tender(spark: SparkSession, folder: str, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed list of rows for every tender: a narrow explode of the regions."""
-    listed = F.from_json(F.lit(_json(rows, schema)), F.lit(f"array<struct<{_colon(schema)}>>"))
-    return tenders(spark, folder).select(F.col("id").alias("tender_id"), F.inline(listed))
-
-
-def _colon(schema: str) -> str:
-    return ",".join(":".join(f.strip().split(" ", 1)) for f in schema.split(","))
+    return tenders(spark, folder).select(F.col("id").alias("tender_id"), _inline(rows, schema))
 
 
-def _json(rows: list[tuple], schema: str) -> str:
-    import json
-    names = [f.strip().split(" ", 1)[0] for f in schema.split(",")]
-    return json.dumps([dict(zip(names, r)) for r in rows])
+def _inline(rows: list[tuple], schema: str) -> Column:
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    text = json.dumps([dict(zip((n for n, _ in fields), r)) for r in rows])
+    return F.inline(F.from_json(F.lit(text), F.lit(f"array<struct<{','.join(':'.join(f) for f in fields)}>>")))
 
 
 def criteria(spark: SparkSession, folder: str) -> DataFrame:
     """tender x rule with the rule's position as its id within the tender."""
-    rows = [(p, f"C-{p:03d}", d, c, m, t, e) for p, d, c, m, t, e in RULES]
-    return per_tender(spark, folder, rows, "id bigint, crit_code string, description string, category string, "
-                                           "mandatory boolean, threshold string, expected_evidence string")
+    return per_tender(spark, folder, _rule_rows(), RULE_SCHEMA)
 
 
 def bidders(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from eligora.functions import money as M
 from eligora.functions import text as X
 from eligora.functions import thresholds as T
 from eligora.plans import domain as D
+from eligora.session import spread
 
 WORDS = ["two", "thirteen", "twenty-five", "ninety", "hundred"]
 
@@ -42,7 +43,8 @@ def _amount_text() -> Column:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return D.table(spark, sf, "orders").select("o_orderkey", _amount_text().alias("t"))
+    orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return spread(orders, "o_orderkey").select("o_orderkey", _amount_text().alias("t"))
 
 
 def money_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +68,8 @@ def money_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def money_in_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Best amount of each whole document."""
-    best = D.table(spark, sf, "documents").select("doc_id", M.parse_money("text").alias("m"))
+    docs = spread(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    best = docs.select("doc_id", M.parse_money("text").alias("m"))
     return best.where(F.col("m").isNotNull()).select(
         "doc_id", F.col("m.amount").alias("amount"), F.col("m.currency").alias("currency"),
         F.col("m.method").alias("method"))
@@ -148,7 +151,8 @@ def numeric_reading(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.get(X.fixed_array(["", "Rs. ", "-", "ISO ", "about "]), F.pmod("o_orderkey", F.lit(5)).cast("int")),
                     F.format_number("o_totalprice", 2), F.get(X.fixed_array(["", " lakh", " years"]),
                                                               F.pmod("o_custkey", F.lit(3)).cast("int")))
-    return D.table(spark, sf, "orders").select("o_orderkey", text.alias("x")).select(
+    orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return spread(orders, "o_orderkey").select("o_orderkey", text.alias("x")).select(
         "o_orderkey", F.round(T.to_numeric("x"), 2).alias("value"))
 
 

@@ -12,6 +12,7 @@ from eligora.operators import extraction as EX
 from eligora.operators import retrieval as R
 from eligora.operators import vectors as V
 from eligora.plans import domain as D
+from eligora.session import spread
 from eligora.sources import files as S
 
 GROUP = ["bidder_id", "criterion_id"]
@@ -23,8 +24,9 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     criteria = R.keyword_criteria(D.text_criteria(spark, sf), ["tender_id", "criterion_id"])
-    return R.score_chunks(_chunks(spark, sf), criteria, ["tender_id"],
-                          ["bidder_id", "doc_id", "filename", "chunk_index"])
+    files = spread(D.files(spark, sf), "doc_id")
+    chunks = R.chunk_documents(files, ["doc_id", "bidder_id", "tender_id", "filename"])
+    return R.score_chunks(chunks, criteria, ["tender_id"], ["bidder_id", "doc_id", "filename", "chunk_index"])
 
 
 def doc_hash(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +140,8 @@ def _reply() -> Column:
 
 
 def json_tolerant(spark: SparkSession, sf: str) -> DataFrame:
-    items = D.table(spark, sf, "events").select("event_id", J.evidence_items(_reply()).alias("e"))
+    events = D.table(spark, sf, "events").select("event_id", "event_type", "props", "value")
+    items = spread(events, "event_id").select("event_id", J.evidence_items(_reply()).alias("e"))
     return items.select("event_id", F.size("e").alias("items"), F.get("e", F.lit(0))["extracted_value"].alias("first_value"),
                         F.get("e", F.lit(0))["normalized_value"].alias("first_number"))
 

@@ -49,3 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result outlives executors and has no lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Share out a scan that comes in far fewer pieces than there are cores.
+
+    For work that is heavy per row.  A table of ordinary size passes unchanged;
+    only a small or unsplittable file (one row group) is hashed by ``keys``.
+    ``scan`` must be a plain scan, so that counting its pieces runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() * 2 <= cores else scan
