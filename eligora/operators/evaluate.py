@@ -16,6 +16,7 @@ from eligora.functions import thresholds as T
 from eligora.functions.money import rupees
 from eligora.functions.text import left, whole_number
 from eligora.operators.ranking import top_k
+from eligora.session import sized
 
 PAIR = ["bidder_id", "criterion_id"]
 
@@ -29,9 +30,7 @@ MAX_SOURCES = 1000
 def prepare_criteria(criteria: DataFrame) -> DataFrame:
     """Criteria with operator, threshold, required count, reading rules, route.
 
-    Kept in memory (spilling to disk) and counted: they are parsed once however
-    often a plan uses them, and their exact size is known when Spark chooses
-    how to join them with the evidence (a broadcast below its threshold).
+    Parsed once, however often a plan uses them, and joined by exact size.
     """
     desc = F.coalesce("description", F.lit(""))
     amounts = criteria.select("*", rupees("description").alias("_desc_rupees"),
@@ -46,13 +45,11 @@ def prepare_criteria(criteria: DataFrame) -> DataFrame:
         T.uses_rupees(F.col("_t.value"), desc).alias("rupee_first"), "_numeric")
     quantitative = (F.col("_numeric") & F.col("category").isin(K.QUANTITATIVE_CATEGORIES)
                     & F.col("threshold_value").isNotNull())
-    prepared = flat.select(
+    return sized(flat.select(
         *[c for c in flat.columns if c != "_numeric"],
         (F.col("rupee_first") & (F.col("required_count") > 1)
          & (F.col("threshold_value") >= K.RUPEE_ONLY_FLOOR)).alias("rupee_only"),
-        F.when(quantitative, "quantitative").otherwise("qualitative").alias("route")).persist()
-    prepared.count()
-    return prepared
+        F.when(quantitative, "quantitative").otherwise("qualitative").alias("route")))
 
 
 def evidence_numbers(evidence: DataFrame, prepared: DataFrame) -> DataFrame:

@@ -38,11 +38,16 @@ def with_document_confidence(evidence: DataFrame, documents: DataFrame, keys: li
 
 
 def sequence_batches(batches: DataFrame, group: list[str], prefix: int = 10) -> DataFrame:
-    """Scan position of every batch: document order, then batch number."""
+    """Scan position of every batch: document order, then batch number.
+
+    Batches are narrow rows here (keys, score, criterion fields); an extractor
+    that needs their text joins it to the batches it is given.
+    """
+    batches = cut(batches)
     order = document_order(batches.groupBy(*group, "source_document", "doc_ordinal")
                            .agg(F.max("best_score").alias("best_score")), group, prefix=prefix)
-    placed = batches.drop("best_score").join(
-        order.select(*group, "source_document", "doc_rank"), group + ["source_document"])
+    placed = cut(batches.drop("best_score").join(
+        order.select(*group, "source_document", "doc_rank"), group + ["source_document"]))
     return rank_all(placed, group, [(F.floor(F.col("doc_rank") / 1000), False)],
                     [F.col("doc_rank"), F.col("batch")], "seq")
 
@@ -88,6 +93,7 @@ def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[s
 
     Sequential over criterion positions (a handful), parallel over bidders.
     """
+    batches = cut(batches)
     last = batches.agg(F.max(position)).first()[0] or 0
     reserved, parts = None, []
     for step in range(1, last + 1):

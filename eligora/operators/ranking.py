@@ -24,7 +24,7 @@ def rank_all(df: DataFrame, group: list[str], buckets: list[tuple[Column, bool]]
     ``buckets`` are coarse leading parts of the sort order, each with a flag for
     descending.  Rows are counted per bucket (partial aggregation), the counts
     are turned into offsets, and only the rows of one bucket are sorted
-    together.
+    together.  ``df`` is read twice, so it should be stored if it is costly.
     """
     names = [f"_b{i}" for i in range(len(buckets))]
     marked = df.select("*", *[c.alias(n) for (c, _), n in zip(buckets, names)])

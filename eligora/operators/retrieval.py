@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eligora import constants as K
 from eligora.functions import text as X
 from eligora.operators.ranking import rank_all, top_k
+from eligora.session import cut
 
 
 def chunk_documents(documents: DataFrame, keys: list[str], text: str = "full_text",
@@ -67,8 +68,11 @@ def document_order(scores: DataFrame, group: list[str], name: str = "source_docu
     """Scan order of the documents of each group: score, then name.
 
     Groups in which nothing scores keep corpus order.  ``prefix`` characters of
-    the name split equal scores into buckets that are sorted separately.
+    the name split equal scores into buckets that are sorted separately.  The
+    scores (one narrow row per document) are stored first, because the plan
+    reads them several times and the texts behind them must be read once.
     """
+    scores = cut(scores)
     tops = scores.groupBy(*group).agg(F.max("best_score").alias("_top"))
     key = F.when(F.col("_top") > 0, F.col(name)).otherwise(F.lpad(F.col(ordinal).cast("string"), 19, "0"))
     keyed = scores.join(tops, group).withColumn("_key", key).drop("_top")

@@ -12,7 +12,7 @@ from eligora.operators import extraction as EX
 from eligora.operators import retrieval as R
 from eligora.operators import vectors as V
 from eligora.plans import domain as D
-from eligora.session import spread
+from eligora.session import cut, spread
 from eligora.sources import files as S
 
 GROUP = ["bidder_id", "criterion_id"]
@@ -93,7 +93,7 @@ def _batches(spark: SparkSession, sf: str) -> DataFrame:
 
 def first_hit_batch(spark: SparkSession, sf: str) -> DataFrame:
     """First document and batch with a chunk that holds two keywords."""
-    batches = _batches(spark, sf)
+    batches = cut(_batches(spark, sf))
     order = R.document_order(batches.groupBy(*GROUP, "source_document", "doc_ordinal")
                              .agg(F.max("best_score").alias("best_score")), GROUP)
     hits = batches.where(F.col("best_score") >= 2).join(

@@ -13,6 +13,7 @@ from eligora.functions import text as X
 from eligora.operators import retrieval as R
 from eligora.operators import vectors as V
 from eligora.plans import domain as D
+from eligora.session import sized
 
 DIMS = 64
 GROUP = ["criterion_id"]
@@ -29,23 +30,27 @@ def _criteria(spark: SparkSession, sf: str) -> DataFrame:
     """Mean vector per label, one hash aggregate with a state per dimension."""
     means = D.table(spark, sf, "embeddings").groupBy("label").agg(
         *[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(DIMS)])
-    return means.select(F.lit(0).alias("tender_id"), F.col("label").cast("bigint").alias("criterion_id"),
-                        F.array(*[f"d{i}" for i in range(DIMS)]).alias("embedding"))
+    return sized(means.select(F.lit(0).alias("tender_id"), F.col("label").cast("bigint").alias("criterion_id"),
+                        F.array(*[f"d{i}" for i in range(DIMS)]).alias("embedding")))
 
 
-def _hits(spark: SparkSession, sf: str, kind: str, k: int) -> DataFrame:
-    rows = _vectors(spark, sf).where(F.col("kind") == kind)
-    scored = V.similarities(rows, _criteria(spark, sf), ["tender_id"], ["source_document", "chunk_index", "ordinal"],
-                            DIMS, digits=6)
-    return V.nearest(scored, GROUP, ["ordinal"], k)
+def _hits(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """Nearest vectors per criterion and kind; all kinds are scored together."""
+    scored = V.similarities(_vectors(spark, sf), _criteria(spark, sf), ["tender_id"],
+                            ["kind", "source_document", "chunk_index", "ordinal"], DIMS, digits=6)
+    return V.nearest(scored, GROUP + ["kind"], ["ordinal"], k)
+
+
+def _of_kind(hits: DataFrame, kind: str, k: int) -> DataFrame:
+    return hits.where((F.col("kind") == kind) & (F.col("rank") <= k))
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _hits(spark, sf, "chunk", 24).select("criterion_id", "rank", "ordinal", "cosine")
+    return _of_kind(_hits(spark, sf, 24), "chunk", 24).select("criterion_id", "rank", "ordinal", "cosine")
 
 
 def summary_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _hits(spark, sf, "doc_summary", 4).select("criterion_id", "rank", "source_document", "cosine")
+    return _of_kind(_hits(spark, sf, 4), "doc_summary", 4).select("criterion_id", "rank", "source_document", "cosine")
 
 
 def _fused(spark: SparkSession, sf: str, pool: int, k: int) -> DataFrame:
@@ -59,7 +64,8 @@ def _fused(spark: SparkSession, sf: str, pool: int, k: int) -> DataFrame:
     # The same words are used for all criteria of the tender, so one list serves them all.
     best = R.keyword_top_k(scored.withColumn("tender_id", F.lit(0)), ["tender_id"], ["ordinal"], 2 * k)
     keyword = labels.join(best, "tender_id")
-    return V.fuse(_hits(spark, sf, "chunk", pool), _hits(spark, sf, "doc_summary", 4), corpus, keyword, GROUP, k)
+    hits = _hits(spark, sf, max(pool, 4))
+    return V.fuse(_of_kind(hits, "chunk", pool), _of_kind(hits, "doc_summary", 4), corpus, keyword, GROUP, k)
 
 
 def fused_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,6 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Keep a derived table (spilling to disk) and measure it.
+
+    For the side of a join that is usually small, such as criteria: Spark then
+    plans with its exact size, a broadcast below its threshold and a shuffled,
+    skew-split join beyond it, instead of shuffling the big side on a guess.
+    Lost blocks are computed again from lineage.
+    """
+    kept = df.persist()
+    kept.count()
+    return kept
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Share out a scan that comes in far fewer pieces than there are cores.
 

@@ -114,15 +114,18 @@ an empty list when there is none. Amounts are in whole rupees (1 lakh = 100000,
 """
 
 
-def model_extractor(client: ClientFactory, documents: DataFrame, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+def model_extractor(client: ClientFactory, contexts: DataFrame, documents: DataFrame,
+                    keys: list[str]) -> Callable[[DataFrame], DataFrame]:
     """Extractor for ``operators.extraction.scan`` that asks a model.
 
-    Batches need context, source_document, description, threshold and
-    expected_evidence; ``documents`` gives the OCR confidence per ``keys``.
+    Batches need source_document, batch, description, threshold and
+    expected_evidence; ``contexts`` has their text per ``keys`` and batch, and
+    ``documents`` the OCR confidence per ``keys``.
     """
     from eligora.operators.extraction import with_document_confidence
 
     def extract(batches: DataFrame) -> DataFrame:
+        batches = batches.join(contexts.select(*keys, "batch", "context"), keys + ["batch"])
         fields = {n: F.coalesce(F.col(n), F.lit(d)) for n, d in
                   (("description", ""), ("threshold", "N/A"), ("expected_evidence", ""), ("context", ""))}
         prompts = batches.withColumn("_prompt", X.fill_template(EVIDENCE_PROMPT, **fields)).drop("context")
