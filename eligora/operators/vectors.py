@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligora import constants as K
@@ -133,3 +133,20 @@ def write_index(rows: DataFrame, path: str) -> None:
     """Replace the partitions of the bidders in ``rows``; others stay."""
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bidder_id").parquet(path))
+
+
+def delete_index(spark: SparkSession, path: str, bidder_ids: list[int]) -> None:
+    """Drop the partitions of the given bidders."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for bidder in bidder_ids:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"bidder_id={int(bidder)}"), True)
+
+
+def retrieve(fused: DataFrame, keyword: DataFrame, indexed: DataFrame, key: str = "bidder_id") -> DataFrame:
+    """Fused hits of bidders that have an index, keyword hits of the others."""
+    have = indexed.select(key).distinct()
+    columns = [c for c in fused.columns if c in keyword.columns]
+    return fused.join(have, key, "left_semi").select(*columns).unionByName(
+        keyword.join(have, key, "left_anti").select(*columns))

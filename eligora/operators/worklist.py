@@ -39,3 +39,9 @@ def progress(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     done = remaining_by_tender(pairs, verdicts)
     percent = F.floor(F.col("evaluated") * 100 / F.greatest(F.col("total_pairs"), F.lit(1)))
     return done.withColumn("percent", F.least(percent, F.lit(99)).cast("bigint"))
+
+
+def valid_bidders(bidders: DataFrame, documents: DataFrame) -> DataFrame:
+    """Bidders with a name and at least one document."""
+    named = bidders.where(F.trim(F.coalesce("name", F.lit(""))) != "")
+    return named.join(documents.select(F.col("bidder_id").alias("id")), "id", "left_semi")

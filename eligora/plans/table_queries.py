@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligora import constants as K
+from eligora.operators import extraction as EX
 from eligora.operators import tables as T
 from eligora.operators import vectors as V
+from eligora.operators import worklist as W
 from eligora.plans import domain as D
+from eligora.sources.models import evidence_summary as evidence_texts
 
 _VERDICT = {"click": K.ELIGIBLE, "view": K.NEEDS_REVIEW, "error": K.NEEDS_REVIEW, "signup": K.NOT_ELIGIBLE,
             "purchase": K.ELIGIBLE}
@@ -139,6 +142,39 @@ def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("rows"), F.round(F.sum("value"), 2).alias("total"))
 
 
+def bidder_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts with criterion texts, in criterion order per bidder."""
+    c = D.rules(spark).select(F.col("id").alias("criterion_id"), "crit_code", F.col("description").alias("crit_desc"),
+                              "category")
+    return T.current_verdicts(_log(spark, sf)).join(c, "criterion_id").select(
+        "id", "bidder_id", "criterion_id", "crit_code", "crit_desc", "category", "verdict")
+
+
+def valid_bidders(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with a document."""
+    return W.valid_bidders(D.bidders(spark, sf), D.files(spark, sf).select("bidder_id"))
+
+
+def evidence_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Lowest word confidence of the document each evidence row names."""
+    orders = D.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("source_document"), F.pmod("o_custkey", F.lit(100)).cast("double").alias("ocr_confidence")
+    ).where(F.col("ocr_confidence") > 10)
+    rows = EX.with_document_confidence(D.evidence(spark, sf).drop("value"), orders, ["source_document"])
+    return rows.groupBy("bidder_id", "criterion_id").agg(
+        F.count("*").alias("rows"), F.count("ocr_confidence").alias("known"), F.min("ocr_confidence").alias("lowest"))
+
+
+def evidence_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence texts of each order, as they are put before a judge."""
+    rows = D.table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_partkey").alias("ordinal"), F.lit("order").alias("source_document"),
+        F.col("l_partkey").cast("string").alias("extracted_value"), F.lit(None).cast("string").alias("source_text"),
+        F.lit("").alias("notes"))
+    told = evidence_texts(rows, ["l_orderkey"])
+    return told.select("l_orderkey", F.md5("evidence").alias("evidence_md5"), F.length("evidence").alias("chars"))
+
+
 def stale_indexes(spark: SparkSession, sf: str) -> DataFrame:
     """Bidders whose index must be rebuilt: the stored fingerprints cover the
     files as they were before the longest ones came in."""
@@ -212,6 +248,18 @@ QUERIES = {
     "evidence_lookup": (evidence_lookup, f"""WITH {D.BIDDERS_SQL} SELECT l_suppkey AS bidder_id,
       l_linenumber::BIGINT AS criterion_id, count(*) AS rows, round(sum(l_extendedprice), 2) AS total FROM lineitem
       WHERE l_suppkey IN (SELECT id FROM bidders WHERE tender_id = 2) GROUP BY ALL"""),
+    "bidder_verdicts": (bidder_verdicts, f"""WITH {_CURRENT} SELECT id, bidder_id, criterion_id, crit_code, crit_desc,
+      category, verdict FROM cur JOIN crit USING (criterion_id)"""),
+    "valid_bidders": (valid_bidders, f"""WITH {D.BIDDERS_SQL} SELECT * FROM bidders WHERE trim(name) <> '' AND id IN
+      (SELECT CAST(substr(source, 4) AS BIGINT) FROM documents)"""),
+    "evidence_confidence": (evidence_confidence, """SELECT l_suppkey AS bidder_id, l_linenumber::BIGINT AS criterion_id,
+      count(*) AS rows, count(c) AS known, min(c)::DOUBLE AS lowest FROM lineitem LEFT JOIN (SELECT o_orderkey,
+        o_custkey % 100 AS c FROM orders WHERE o_custkey % 100 > 10) ON o_orderkey = l_orderkey GROUP BY ALL"""),
+    "evidence_summary": (evidence_summary, """WITH r AS (SELECT l_orderkey, chr(10) || row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_partkey) || '. Document: order' || chr(10) || '   Extracted: ' || l_partkey || chr(10) || '   Detail: N/A'
+        || chr(10) || '   Notes: ' || chr(10) AS t, l_partkey FROM lineitem),
+      e AS (SELECT l_orderkey, string_agg(t, '' ORDER BY l_partkey) AS e FROM r GROUP BY l_orderkey)
+      SELECT l_orderkey, md5(e) AS evidence_md5, length(e)::INT AS chars FROM e"""),
     "stale_indexes": (stale_indexes, """SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS bidder_id FROM documents d
       WHERE n_chars >= 20000 OR CAST(substr(source, 4) AS BIGINT) % 7 = 0"""),
 }

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from eligora.operators import extraction as EX
 from eligora.operators import tables as T
 from eligora.operators import vectors as V
+from eligora.operators.assess import assess
 from eligora.plans.registry import ALL
 from eligora.sources import models as MO
+from eligora.sources.workspace import Workspace
 from eligora.streaming import incremental
 from tests.conftest import SMALL
 
@@ -179,6 +181,83 @@ def test_stream_assesses_new_files_once(spark, tmp_path):
     assert sorted(r.batch_id for r in verdicts().collect()) == [0, 1, 1]
 
 
+class PacketModel:
+    """Answers like a careful reader of the little packets below."""
+
+    def chat(self, messages, json_mode, max_tokens):
+        text = messages[-1]["content"]
+        if "Excerpts:" not in text:
+            return '{"verdict": "ELIGIBLE", "explanation": "shown", "confidence": 0.8}'
+        wanted, context = text.split("Excerpts:")
+        if "turnover" in wanted and "Turnover" in context:
+            value = "Rs. 6,00,00,000" if "six crore" in context else "Rs. 1,00,00,000"
+            return '{"evidence": [{"extracted_value": "%s", "source_text": "Turnover %s"}]}' % (value, value)
+        if "GST" in wanted and "GST" in context:
+            return '{"evidence": [{"extracted_value": "ACTIVE"}]}'
+        return '{"evidence": []}'
+
+
+@pytest.mark.parametrize("reserve", [False, True])
+def test_assessment_from_documents_to_verdicts(spark, tmp_path, reserve):
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    ws.create()
+    ws.add_tenders(spark.createDataFrame([("Works", "t.txt", "h", "text")], "name string, filename string, file_hash string, full_text string"), 1)
+    tender = ws.table("tenders").first().id
+    ws.add_bidders(spark.createDataFrame([(tender, n) for n in ("Rich", "Poor", "Blank")], "tender_id long, name string"), 2)
+    crit = spark.createDataFrame([
+        (tender, "C-001", 1, "average annual turnover of not less than Rs. 5,00,00,000", "financial", True, "", "CA certificate", ""),
+        (tender, "C-002", 2, "valid GST registration", "compliance", True, "", "GST certificate", ""),
+        (tender, "C-003", 3, "additional awards are desirable", "other", False, "", "", "")],
+        "tender_id long, crit_code string, ord long, description string, category string, mandatory boolean, "
+        "threshold string, expected_evidence string, source_section string")
+    ws.save_criteria(crit, 3)
+    ws.confirm_criteria(spark.createDataFrame([(tender,)], "tender_id long"), 4)
+    assert T.all_confirmed(ws.table("criteria")).first().all_confirmed
+    ids = {r.name: r.id for r in ws.table("bidders").collect()}
+    docs = spark.createDataFrame(
+        [(ids["Rich"], tender, 1, "a.txt", "Turnover six crore. GST active.", 90.0),
+         (ids["Poor"], tender, 1, "a.txt", "nothing here", None), (ids["Poor"], tender, 2, "b.txt", "Turnover small", None),
+         (ids["Blank"], tender, 1, "a.txt", "  ", None)],
+        "bidder_id long, tender_id long, doc_ordinal long, filename string, full_text string, min_ocr_confidence double")
+    evidence, verdicts = assess(ws.table("bidders"), ws.table("criteria"), docs, PacketModel, reserve=reserve)
+    ws.save_verdicts(verdicts, 5)
+    codes = {r.id: r.crit_code for r in ws.table("criteria").collect()}
+    names = {v: k for k, v in ids.items()}
+    got = {(names[r.bidder_id], codes[r.criterion_id]): r.verdict for r in ws.table("verdicts").collect()}
+    gst = "NEEDS_REVIEW" if reserve else "ELIGIBLE"  # reserved for the turnover criterion
+    assert got == {("Rich", "C-001"): "ELIGIBLE", ("Rich", "C-002"): gst, ("Rich", "C-003"): "ELIGIBLE",
+                   ("Poor", "C-001"): "NOT_ELIGIBLE", ("Poor", "C-002"): "NEEDS_REVIEW", ("Poor", "C-003"): "ELIGIBLE",
+                   **{("Blank", c): "NEEDS_REVIEW" for c in ("C-001", "C-002", "C-003")}}
+    assert {r.ocr_confidence for r in evidence.collect() if names[r.bidder_id] == "Rich"} == {90.0}
+    # Nothing is pending once all pairs have a verdict.
+    again = assess(ws.table("bidders"), ws.table("criteria"), docs, PacketModel, done=ws.table("verdicts"))[1]
+    assert again.count() == 0
+    # An officer settles one pair; the tender then goes with all that hangs on it.
+    case = next(r for r in ws.table("verdicts").collect() if names[r.bidder_id] == "Poor" and codes[r.criterion_id] == "C-002")
+    change = [(case.id, case.verdict, "ELIGIBLE", "seen original"), (case.id, case.verdict, "NOT_ELIGIBLE", " ")]
+    ws.save_overrides(spark.createDataFrame(change, "verdict_id long, original_verdict string, new_verdict string, reason string"), 6)
+    assert ws.table("verdicts").where(F.col("id") == case.id).first().verdict == "ELIGIBLE"
+    assert sorted(r.action for r in ws.table("audit_log").collect()) == [
+        "bidder_added"] * 3 + ["criteria_confirmed", "criteria_saved", "tender_uploaded"]
+    ws.wipe(7)
+    assert all(ws.table(n).count() == 0 for n in ("tenders", "bidders", "criteria", "verdicts", "officer_overrides", "audit_log"))
+
+
+def test_index_of_a_bidder_is_dropped(spark, tmp_path):
+    path = str(tmp_path / "index")
+    V.write_index(spark.createDataFrame([(1, "a"), (2, "b")], "bidder_id long, document string"), path)
+    V.delete_index(spark, path, [1])
+    assert [r.bidder_id for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_retrieval_follows_the_index(spark):
+    hits = "bidder_id long, source_document string, chunk_index int, rank int"
+    fused = spark.createDataFrame([(1, "v", 0, 1), (2, "v", 0, 1)], hits)
+    keyword = spark.createDataFrame([(1, "k", 0, 1), (2, "k", 0, 1)], hits)
+    got = V.retrieve(fused, keyword, spark.createDataFrame([(1,)], "bidder_id long")).collect()
+    assert {(r.bidder_id, r.source_document) for r in got} == {(1, "v"), (2, "k")}
+
+
 # A query of each kind over the smallest tables; tools/check_oracle.py compares all of them with DuckDB.
 @pytest.mark.parametrize("name", ["eligibility_summary", "verdict_detail", "keyword_topk", "money_best", "overrides_applied",
                                   "fused_topk_small_pool", "cascade_delete"])
