@@ -182,7 +182,7 @@ def merge_similar(criteria: DataFrame, scope: str = "tender_id") -> DataFrame:
     out = heads.join(best, [scope, "root"]).join(sections, [scope, "root"], "left")
     names = F.coalesce(F.transform("_others", lambda m: m["source_section"]), F.array().cast("array<string>"))
     out = out.withColumn("source_section", join_sections(F.col("_first"), names)).drop("_first", "_others")
-    ranked = rank_all(out, [scope], [(F.floor(F.col("root") / 10000), False)], [F.col("root")], "position")
+    ranked = rank_all(out, [scope], [F.col("root")], "position")
     return ranked.select(scope, F.format_string(K.CRITERION_CODE_FORMAT, F.col("position")).alias("crit_code"),
                          "description", "category", "mandatory", "threshold", "expected_evidence",
                          "source_section", F.col("root").alias("ord"), "merged")

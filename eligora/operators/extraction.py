@@ -37,7 +37,7 @@ def with_document_confidence(evidence: DataFrame, documents: DataFrame, keys: li
     return evidence.drop("ocr_confidence").join(known, keys, "left")
 
 
-def sequence_batches(batches: DataFrame, group: list[str], prefix: int = 10) -> DataFrame:
+def sequence_batches(batches: DataFrame, group: list[str]) -> DataFrame:
     """Scan position of every batch: document order, then batch number.
 
     Batches are narrow rows here (keys, score, criterion fields); an extractor
@@ -45,11 +45,10 @@ def sequence_batches(batches: DataFrame, group: list[str], prefix: int = 10) ->
     """
     batches = cut(batches)
     order = document_order(batches.groupBy(*group, "source_document", "doc_ordinal")
-                           .agg(F.max("best_score").alias("best_score")), group, prefix=prefix)
-    placed = cut(batches.drop("best_score").join(
+                           .agg(F.max("best_score").alias("best_score")), group)
+    placed = (batches.drop("best_score").join(
         order.select(*group, "source_document", "doc_rank"), group + ["source_document"]))
-    return rank_all(placed, group, [(F.floor(F.col("doc_rank") / 1000), False)],
-                    [F.col("doc_rank"), F.col("batch")], "seq")
+    return rank_all(placed, group, [F.col("doc_rank"), F.col("batch")], "seq")
 
 
 def scan(batches: DataFrame, group: list[str], extract: Extractor, merge_all: str = "merge_all",
@@ -87,7 +86,7 @@ def scan(batches: DataFrame, group: list[str], extract: Extractor, merge_all: st
 
 
 def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[str], extract: Extractor,
-                   prefix: int = 10, waves: bool = True) -> DataFrame:
+                   waves: bool = True) -> DataFrame:
     """The same with document reservation: a document that gave evidence for one
     criterion is skipped for the bidder's later ones.
 
@@ -100,7 +99,7 @@ def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[s
         free = batches.where(F.col(position) == step)
         if reserved is not None:
             free = free.join(reserved, [bidder, "source_document"], "left_anti")
-        found = cut(scan(sequence_batches(free, group, prefix), group, extract, waves=waves))
+        found = cut(scan(sequence_batches(free, group), group, extract, waves=waves))
         used = found.select(bidder, "source_document").distinct()
         reserved = used if reserved is None else reserved.unionByName(used).distinct()
         parts.append(found)

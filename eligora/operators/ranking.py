@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eligora.session import cut
+
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group.
@@ -17,24 +19,19 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: st
     return ranked.where(F.col(name) <= F.lit(k))
 
 
-def rank_all(df: DataFrame, group: list[str], buckets: list[tuple[Column, bool]], order: list[Column],
-             name: str = "rank") -> DataFrame:
+def rank_all(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Row number within each group without sorting a group in one task.
 
-    ``buckets`` are coarse leading parts of the sort order, each with a flag for
-    descending.  Rows are counted per bucket (partial aggregation), the counts
-    are turned into offsets, and only the rows of one bucket are sorted
-    together.  ``df`` is read twice, so it should be stored if it is costly.
+    The rows are range-partitioned by group and order, which splits a large
+    group over as many partitions as it needs, and stored with their partition
+    number.  A row's number is its place within (group, partition) plus the
+    size of the group in the partitions before.  ``order`` must be total.
     """
-    names = [f"_b{i}" for i in range(len(buckets))]
-    marked = df.select("*", *[c.alias(n) for (c, _), n in zip(buckets, names)])
-    direction = [F.col(n).desc() if down else F.col(n).asc() for (_, down), n in zip(buckets, names)]
-    before = (Window.partitionBy(*group).orderBy(*direction)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (marked.groupBy(*group, *names).agg(F.count("*").alias("_n"))
-               .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    inner = Window.partitionBy(*group, *names).orderBy(*order)
-    return (marked.withColumn("_r", F.row_number().over(inner))
-            .join(offsets, group + names)
-            .withColumn(name, F.col("_before") + F.col("_r"))
-            .drop("_before", "_r", *names))
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order)
+    placed = cut(ranged.withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n")).select(
+        *group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*group, "_part").orderBy(*order)
+    return (placed.withColumn("_row", F.row_number().over(inner)).join(offsets, group + ["_part"])
+            .withColumn(name, F.col("_before") + F.col("_row")).drop("_before", "_row", "_part"))

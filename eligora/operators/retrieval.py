@@ -64,20 +64,18 @@ def document_scores(scored: DataFrame, group: list[str], document: list[str]) ->
 
 
 def document_order(scores: DataFrame, group: list[str], name: str = "source_document",
-                   ordinal: str = "doc_ordinal", prefix: int = 10) -> DataFrame:
+                   ordinal: str = "doc_ordinal") -> DataFrame:
     """Scan order of the documents of each group: score, then name.
 
-    Groups in which nothing scores keep corpus order.  ``prefix`` characters of
-    the name split equal scores into buckets that are sorted separately.  The
-    scores (one narrow row per document) are stored first, because the plan
-    reads them several times and the texts behind them must be read once.
+    Groups in which nothing scores keep corpus order.  The scores (one narrow
+    row per document) are stored first, because the plan reads them several
+    times and the texts behind them must be read once.
     """
     scores = cut(scores)
     tops = scores.groupBy(*group).agg(F.max("best_score").alias("_top"))
     key = F.when(F.col("_top") > 0, F.col(name)).otherwise(F.lpad(F.col(ordinal).cast("string"), 19, "0"))
     keyed = scores.join(tops, group).withColumn("_key", key).drop("_top")
-    ranked = rank_all(keyed, group, [(F.col("best_score"), True), (F.substring("_key", 1, prefix), False)],
-                      [F.col("_key"), F.col(ordinal)], "doc_rank")
+    ranked = rank_all(keyed, group, [F.col("best_score").desc(), F.col("_key"), F.col(ordinal)], "doc_rank")
     return ranked.drop("_key")
 
 

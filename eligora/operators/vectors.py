@@ -51,19 +51,22 @@ def nearest(scored: DataFrame, group: list[str], tie: list[str], k: int) -> Data
 
 
 def fuse(vector_hits: DataFrame, summary_hits: DataFrame, corpus: DataFrame, keyword_hits: DataFrame,
-         group: list[str], k: int = K.TOP_K) -> DataFrame:
+         group: list[str], k: int = K.TOP_K, pool: int = K.VECTOR_POOL) -> DataFrame:
     """Ordered union of three lists per group, first appearance wins, ``k`` rows.
 
     Vector hits come by rank; then up to two more chunks of each document whose
     summary matched, by summary rank and corpus order; then keyword hits.  Hits
     carry source_document and chunk_index; corpus has the document keys of
-    ``group`` it shares, source_document, chunk_index and ordinal.
+    ``group`` it shares, source_document, chunk_index and ordinal.  ``pool`` is
+    the number of vector hits: of a document, no more than its first ``pool``
+    chunks plus two can be needed, so only these are joined per criterion.
     """
     key = group + ["source_document", "chunk_index"]
     first = vector_hits.select(*key, F.lit(1).alias("tier"), F.col("rank").cast("bigint").alias("pos"))
     shared = [c for c in group if c in corpus.columns]
     docs = summary_hits.groupBy(*group, "source_document").agg(F.min("rank").alias("doc_pos"))
-    more = (corpus.join(docs, shared + ["source_document"])
+    heads = top_k(corpus, shared + ["source_document"], [F.col("ordinal")], pool + K.CHUNKS_PER_BOOSTED_DOC, "_r")
+    more = (heads.drop("_r").join(docs, shared + ["source_document"])
             .join(first.select(*key), key, "left_anti"))
     more = top_k(more, group + ["source_document"], [F.col("ordinal")], K.CHUNKS_PER_BOOSTED_DOC, "_r")
     second = more.select(*key, F.lit(2).alias("tier"),

@@ -131,13 +131,14 @@ def audit_by_action(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit_trail(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit rows of one tender in time order."""
-    return _audit(spark, sf).where(F.col("tender_id") == 3).orderBy("created_at")
+    """Audit rows of every tender in time order."""
+    return _audit(spark, sf).orderBy("tender_id", "created_at")
 
 
 def evidence_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence of the bidders of one tender, a semi-join on their ids."""
-    wanted = D.bidders(spark, sf).where(F.col("tender_id") == 2).select(F.col("id").alias("bidder_id"))
+    tender = D.tenders(spark, sf).where(F.col("name") == "ASIA").select(F.col("id").alias("tender_id"))
+    wanted = D.bidders(spark, sf).join(tender, "tender_id").select(F.col("id").alias("bidder_id"))
     return D.evidence(spark, sf).join(wanted, "bidder_id", "left_semi").groupBy("bidder_id", "criterion_id").agg(
         F.count("*").alias("rows"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -244,10 +245,10 @@ QUERIES = {
     "audit_by_action": (audit_by_action, f"""SELECT user_id % 5 AS tender_id, {_ACT} AS action, count(*) AS entries,
       min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL"""),
     "audit_trail": (audit_trail, f"""SELECT user_id % 5 AS tender_id, {_ACT} AS action, 'User ' || user_id AS details,
-      ts AS created_at FROM events WHERE user_id % 5 = 3 ORDER BY ts"""),
+      ts AS created_at FROM events"""),
     "evidence_lookup": (evidence_lookup, f"""WITH {D.BIDDERS_SQL} SELECT l_suppkey AS bidder_id,
       l_linenumber::BIGINT AS criterion_id, count(*) AS rows, round(sum(l_extendedprice), 2) AS total FROM lineitem
-      WHERE l_suppkey IN (SELECT id FROM bidders WHERE tender_id = 2) GROUP BY ALL"""),
+      WHERE l_suppkey IN (SELECT id FROM bidders JOIN region ON r_regionkey = tender_id WHERE r_name = 'ASIA') GROUP BY ALL"""),
     "bidder_verdicts": (bidder_verdicts, f"""WITH {_CURRENT} SELECT id, bidder_id, criterion_id, crit_code, crit_desc,
       category, verdict FROM cur JOIN crit USING (criterion_id)"""),
     "valid_bidders": (valid_bidders, f"""WITH {D.BIDDERS_SQL} SELECT * FROM bidders WHERE trim(name) <> '' AND id IN

@@ -65,7 +65,7 @@ def _fused(spark: SparkSession, sf: str, pool: int, k: int) -> DataFrame:
     best = R.keyword_top_k(scored.withColumn("tender_id", F.lit(0)), ["tender_id"], ["ordinal"], 2 * k)
     keyword = labels.join(best, "tender_id")
     hits = _hits(spark, sf, max(pool, 4))
-    return V.fuse(_of_kind(hits, "chunk", pool), _of_kind(hits, "doc_summary", 4), corpus, keyword, GROUP, k)
+    return V.fuse(_of_kind(hits, "chunk", pool), _of_kind(hits, "doc_summary", 4), corpus, keyword, GROUP, k, pool)
 
 
 def fused_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +83,7 @@ def index_metadata(spark: SparkSession, sf: str) -> DataFrame:
     files = D.files(spark, sf).select("bidder_id", F.col("doc_id").alias("doc_pos"), "filename", "full_text",
                                       F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 1.0).alias("min_ocr_confidence"))
     chunks = R.chunk_documents(files, ["bidder_id", "doc_pos"])
-    told = files.select("bidder_id", "doc_pos", X.strip(X.left("full_text", 40)).alias("summary"))
+    told = files.select("bidder_id", "doc_pos", X.strip(X.left("full_text", X.K.SUMMARY_FALLBACK_CHARS)).alias("summary"))
     rows = V.index_rows(files, chunks, told)
     return rows.select("id", "bidder_id", "kind", "source_document", "chunk_index", F.md5("document").alias("document_md5"),
                        "ocr_confidence")
@@ -134,6 +134,6 @@ QUERIES = {
         filename AS source_document, chunk_index, md5(text) AS document_md5, ocr AS ocr_confidence
       FROM chunks JOIN m USING (doc_id)
       UNION ALL SELECT 'b' || bidder_id || '_d' || doc_id || '_summary', bidder_id, 'doc_summary', filename, -1,
-        md5(regexp_replace(left(text, 40), '^\\s+|\\s+$', '', 'g')), ocr FROM files JOIN m USING (doc_id)
-      WHERE regexp_matches(left(text, 40), '\\S')"""),
+        md5(regexp_replace(left(text, 1500), '^\\s+|\\s+$', '', 'g')), ocr FROM files JOIN m USING (doc_id)
+      WHERE regexp_matches(left(text, 1500), '\\S')"""),
 }
