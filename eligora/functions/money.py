@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligora import constants as K
@@ -294,6 +294,15 @@ def parse_money(text: Column | str, default: str = "INR", prefer: str | None = "
     return pick_best(money_candidates(text), default, prefer)
 
 
+def amounts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Rows of the texts that have an amount, with its four columns.
+
+    An explode, so that the amount is worked out once per row: a filter on it
+    or a use of several of its fields cannot repeat the parsing.
+    """
+    return df.select(*keys, F.inline(F.array_compact(F.array(parse_money(text)))))
+
+
 @reusable
 def rupees(text: Column | str) -> Column:
     """The amount when the best candidate is in rupees; no exchange rates."""

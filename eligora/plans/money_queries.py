@@ -69,23 +69,20 @@ def money_gate(spark: SparkSession, sf: str) -> DataFrame:
 def money_in_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Best amount of each whole document."""
     docs = spread(D.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    best = docs.select("doc_id", M.parse_money("text").alias("m"))
-    return best.where(F.col("m").isNotNull()).select(
-        "doc_id", F.col("m.amount").alias("amount"), F.col("m.currency").alias("currency"),
-        F.col("m.method").alias("method"))
+    return M.amounts(docs, ["doc_id"], "text").select("doc_id", "amount", "currency", "method")
 
 
 def money_by_currency(spark: SparkSession, sf: str) -> DataFrame:
-    best = _texts(spark, sf).select(M.parse_money("t").alias("m")).where(F.col("m").isNotNull())
-    return best.groupBy(F.col("m.currency").alias("currency"), F.col("m.method").alias("method")).agg(
-        F.count("*").alias("texts"), F.max(F.round("m.amount", 2)).alias("largest"))
+    return M.amounts(_texts(spark, sf), [], "t").groupBy("currency", "method").agg(
+        F.count("*").alias("texts"), F.max(F.round("amount", 2)).alias("largest"))
 
 
 def number_shapes(spark: SparkSession, sf: str) -> DataFrame:
     p = F.format_number("o_totalprice", 2)
     tag = F.get(X.fixed_array(["Rs.", "US$", "€", "abc", "yen", "no"]), F.pmod("o_custkey", F.lit(6)).cast("int"))
     signed = M.signed_token(F.concat(F.lit("(-"), p, F.lit(")")))
-    return D.table(spark, sf, "orders").select(
+    orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return spread(orders, "o_orderkey").select(
         "o_orderkey", M.grouped_number(F.concat(F.lit(" "), p)).alias("grouped"),
         M.euro_number(F.translate(p, ",.", ".,")).alias("euro"), signed["token"].alias("token"),
         signed["sign"].alias("sign"), M.currency_code(tag).alias("currency"),
