@@ -1,12 +1,13 @@
 """Vector search over the given embeddings.
 
-Vectors of label 0 are document summaries, all others chunks.  The criteria are
-the mean vectors of the labels.  Five consecutive vectors make a document.
+Vectors of label 0 are document summaries, all others chunks.  Five consecutive
+vectors make a document, documents belong to five tenders in turn, and the
+criteria of a tender are the mean vectors of its labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eligora.functions import text as X
@@ -16,21 +17,25 @@ from eligora.plans import domain as D
 from eligora.session import sized
 
 DIMS = 64
-GROUP = ["criterion_id"]
+GROUP = ["tender_id", "criterion_id"]
+
+
+def _tender() -> Column:
+    return F.pmod(F.floor(F.col("vec_id") / 5), F.lit(5)).alias("tender_id")
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return D.table(spark, sf, "embeddings").select(
-        F.lit(0).alias("tender_id"), F.when(F.col("label") == 0, "doc_summary").otherwise("chunk").alias("kind"),
+        _tender(), F.when(F.col("label") == 0, "doc_summary").otherwise("chunk").alias("kind"),
         F.floor(F.col("vec_id") / 5).alias("source_document"), F.pmod("vec_id", F.lit(5)).alias("chunk_index"),
         F.col("vec_id").alias("ordinal"), "embedding")
 
 
 def _criteria(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean vector per label, one hash aggregate with a state per dimension."""
-    means = D.table(spark, sf, "embeddings").groupBy("label").agg(
+    """Mean vector per tender and label, a hash aggregate with a state per dimension."""
+    means = D.table(spark, sf, "embeddings").groupBy(_tender(), "label").agg(
         *[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(DIMS)])
-    return sized(means.select(F.lit(0).alias("tender_id"), F.col("label").cast("bigint").alias("criterion_id"),
+    return sized(means.select("tender_id", F.col("label").cast("bigint").alias("criterion_id"),
                         F.array(*[f"d{i}" for i in range(DIMS)]).alias("embedding")))
 
 
@@ -46,23 +51,23 @@ def _of_kind(hits: DataFrame, kind: str, k: int) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _of_kind(_hits(spark, sf, 24), "chunk", 24).select("criterion_id", "rank", "ordinal", "cosine")
+    return _of_kind(_hits(spark, sf, 24), "chunk", 24).select(*GROUP, "rank", "ordinal", "cosine")
 
 
 def summary_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _of_kind(_hits(spark, sf, 4), "doc_summary", 4).select("criterion_id", "rank", "source_document", "cosine")
+    return _of_kind(_hits(spark, sf, 4), "doc_summary", 4).select(*GROUP, "rank", "source_document", "cosine")
 
 
 def _fused(spark: SparkSession, sf: str, pool: int, k: int) -> DataFrame:
-    corpus = _vectors(spark, sf).select("source_document", "chunk_index", "ordinal")
+    corpus = _vectors(spark, sf).select("tender_id", "source_document", "chunk_index", "ordinal")
     texts = D.table(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), F.lower("text").alias("_low"))
     words = X.keywords(F.lit("Thinly blended section of inner heed and worthless motion"))
     scored = corpus.join(texts, "ordinal").select(
-        "source_document", "chunk_index", "ordinal", X.keyword_score_low("_low", words).alias("score"))
+        "tender_id", "source_document", "chunk_index", "ordinal", X.keyword_score_low("_low", words).alias("score"))
     labels = D.table(spark, sf, "embeddings").select(
-        F.lit(0).alias("tender_id"), F.col("label").cast("bigint").alias("criterion_id")).distinct()
-    # The same words are used for all criteria of the tender, so one list serves them all.
-    best = R.keyword_top_k(scored.withColumn("tender_id", F.lit(0)), ["tender_id"], ["ordinal"], 2 * k)
+        _tender(), F.col("label").cast("bigint").alias("criterion_id")).distinct()
+    # The same words are used for all criteria of a tender, so one list serves them all.
+    best = R.keyword_top_k(scored, ["tender_id"], ["ordinal"], 2 * k)
     keyword = labels.join(best, "tender_id")
     hits = _hits(spark, sf, max(pool, 4))
     return V.fuse(_of_kind(hits, "chunk", pool), _of_kind(hits, "doc_summary", 4), corpus, keyword, GROUP, k, pool)
@@ -89,42 +94,44 @@ def index_metadata(spark: SparkSession, sf: str) -> DataFrame:
                        "ocr_confidence")
 
 
-_SCORED = """v AS (SELECT vec_id, label, vec_id // 5 AS source_document, vec_id % 5 AS chunk_index,
+_SCORED = """v AS (SELECT vec_id, label, (vec_id // 5) % 5 AS tender_id, vec_id // 5 AS source_document, vec_id % 5 AS chunk_index,
   list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-q AS (SELECT label::BIGINT AS criterion_id, list(a ORDER BY i) AS m FROM (SELECT label, i, avg(e[i]) AS a FROM v,
-  UNNEST(range(1, 65)) AS u(i) GROUP BY ALL) GROUP BY label),
-s AS (SELECT criterion_id, vec_id, source_document, chunk_index, label, round(list_cosine_similarity(e, m), 6) AS cosine
-  FROM v CROSS JOIN q),
-c AS (SELECT *, row_number() OVER (PARTITION BY criterion_id ORDER BY cosine DESC, vec_id) AS rank FROM s WHERE label <> 0),
-d AS (SELECT *, row_number() OVER (PARTITION BY criterion_id ORDER BY cosine DESC, vec_id) AS rank FROM s WHERE label = 0)"""
+q AS (SELECT tender_id, label::BIGINT AS criterion_id, list(a ORDER BY i) AS m FROM (SELECT tender_id, label, i, avg(e[i]) AS a
+  FROM v, UNNEST(range(1, 65)) AS u(i) GROUP BY ALL) GROUP BY tender_id, label),
+s AS (SELECT tender_id, criterion_id, vec_id, source_document, chunk_index, label, round(list_cosine_similarity(e, m), 6) AS cosine
+  FROM v JOIN q USING (tender_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY tender_id, criterion_id ORDER BY cosine DESC, vec_id) AS rank FROM s WHERE label <> 0),
+d AS (SELECT *, row_number() OVER (PARTITION BY tender_id, criterion_id ORDER BY cosine DESC, vec_id) AS rank FROM s WHERE label = 0)"""
 _WORDS = ["thinly", "blended", "section", "inner", "heed", "worthless", "motion"]
 
 
 def _fused_sql(pool: int, k: int) -> str:
     score = " + ".join(f"contains(lower(text), '{w}')::INT" for w in _WORDS)
-    return f"""WITH {_SCORED}, t1 AS (SELECT criterion_id, source_document, chunk_index, 1 AS tier, rank AS pos FROM c
+    return f"""WITH {_SCORED}, t1 AS (SELECT tender_id, criterion_id, source_document, chunk_index, 1 AS tier, rank AS pos FROM c
    WHERE rank <= {pool}),
-  boosted AS (SELECT criterion_id, source_document, min(rank) AS dp FROM d WHERE rank <= 4 GROUP BY ALL),
-  t2 AS (SELECT b.criterion_id, v.source_document, v.chunk_index, 2 AS tier, dp * 2 + row_number() OVER
+  boosted AS (SELECT tender_id, criterion_id, source_document, min(rank) AS dp FROM d WHERE rank <= 4 GROUP BY ALL),
+  t2 AS (SELECT b.tender_id, b.criterion_id, v.source_document, v.chunk_index, 2 AS tier, dp * 2 + row_number() OVER
       (PARTITION BY b.criterion_id, v.source_document ORDER BY v.vec_id) AS pos,
     row_number() OVER (PARTITION BY b.criterion_id, v.source_document ORDER BY v.vec_id) AS rn FROM boosted b
-    JOIN v USING (source_document) WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.criterion_id = b.criterion_id
+    JOIN v USING (tender_id, source_document) WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.criterion_id = b.criterion_id
       AND t1.source_document = v.source_document AND t1.chunk_index = v.chunk_index)),
-  k AS (SELECT vec_id, source_document, chunk_index, {score} AS score FROM v JOIN documents ON doc_id = vec_id),
-  t3 AS (SELECT criterion_id, source_document, chunk_index, 3 AS tier, row_number() OVER (PARTITION BY criterion_id
-    ORDER BY score DESC, vec_id) AS pos FROM k CROSS JOIN q WHERE score > 0 OR (SELECT max(score) FROM k) = 0),
-  u AS (SELECT criterion_id, source_document, chunk_index, min((tier, pos)) AS p FROM (
-    SELECT criterion_id, source_document, chunk_index, tier, pos FROM t1 UNION ALL
-    SELECT criterion_id, source_document, chunk_index, tier, pos FROM t2 WHERE rn <= 2 UNION ALL
-    SELECT criterion_id, source_document, chunk_index, tier, pos FROM t3 WHERE pos <= {2 * k}) GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY criterion_id ORDER BY p) AS rank FROM u)
- SELECT criterion_id, source_document, chunk_index, p[1]::INT AS tier, rank::INT AS rank FROM r WHERE rank <= {k}"""
+  k AS (SELECT tender_id, vec_id, source_document, chunk_index, {score} AS score FROM v JOIN documents ON doc_id = vec_id),
+  m AS (SELECT tender_id, max(score) AS top FROM k GROUP BY tender_id),
+  t3 AS (SELECT tender_id, criterion_id, source_document, chunk_index, 3 AS tier, row_number() OVER (PARTITION BY tender_id,
+    criterion_id ORDER BY score DESC, vec_id) AS pos FROM k JOIN q USING (tender_id) JOIN m USING (tender_id)
+    WHERE score > 0 OR top = 0),
+  u AS (SELECT tender_id, criterion_id, source_document, chunk_index, min((tier, pos)) AS p FROM (
+    SELECT tender_id, criterion_id, source_document, chunk_index, tier, pos FROM t1 UNION ALL
+    SELECT tender_id, criterion_id, source_document, chunk_index, tier, pos FROM t2 WHERE rn <= 2 UNION ALL
+    SELECT tender_id, criterion_id, source_document, chunk_index, tier, pos FROM t3 WHERE pos <= {2 * k}) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY tender_id, criterion_id ORDER BY p) AS rank FROM u)
+ SELECT tender_id, criterion_id, source_document, chunk_index, p[1]::INT AS tier, rank::INT AS rank FROM r WHERE rank <= {k}"""
 
 
 QUERIES = {
-    "cosine_topk": (cosine_topk, f"""WITH {_SCORED} SELECT criterion_id, rank::INT AS rank, vec_id AS ordinal, cosine
+    "cosine_topk": (cosine_topk, f"""WITH {_SCORED} SELECT tender_id, criterion_id, rank::INT AS rank, vec_id AS ordinal, cosine
       FROM c WHERE rank <= 24"""),
-    "summary_topk": (summary_topk, f"""WITH {_SCORED} SELECT criterion_id, rank::INT AS rank, source_document, cosine
+    "summary_topk": (summary_topk, f"""WITH {_SCORED} SELECT tender_id, criterion_id, rank::INT AS rank, source_document, cosine
       FROM d WHERE rank <= 4"""),
     "fused_topk": (fused_topk, _fused_sql(24, 8)),
     "fused_topk_small_pool": (fused_topk_small_pool, _fused_sql(3, 16)),
