@@ -23,8 +23,6 @@ PAIR = ["bidder_id", "criterion_id"]
 # Longest list of values printed inside an explanation.  Longer lists are
 # printed in full by ``explanation_parts``.
 INLINE_VALUES = 1000
-# Most sources looked at per pair before the exact required count is applied.
-MAX_SOURCES = 1000
 
 
 def prepare_criteria(criteria: DataFrame) -> DataFrame:
@@ -92,11 +90,11 @@ def pair_facts(numbers: DataFrame, sources: bool = True) -> DataFrame:
                         .alias("best_source"))
 
 
-def qualifying_sources(numbers: DataFrame, limit: int = MAX_SOURCES) -> DataFrame:
+def qualifying_sources(numbers: DataFrame, limit: int) -> DataFrame:
     """Documents of the first ``required_count`` qualifying rows, per pair.
 
-    ``limit`` must not be below the largest required count in use; it lets each
-    task keep only that many rows per pair before the shuffle.
+    ``limit`` is the largest required count in use; each task then keeps only
+    that many rows per pair before the shuffle.
     """
     rows = numbers.where((F.col("required_count") > 1) & F.col("value").isNotNull() & _passes())
     firsts = top_k(rows, PAIR, [F.col("ordinal")], limit).where(F.col("rank") <= F.col("required_count"))
@@ -207,7 +205,8 @@ def quantitative_verdicts(pairs: DataFrame, prepared: DataFrame, numbers: DataFr
     facts = pair_facts(numbers, sources=explain)
     out = pairs.select(*PAIR, *more).join(rules, "criterion_id").join(facts, PAIR, "left")
     if explain:
-        out = (out.join(qualifying_sources(numbers), PAIR, "left")
+        largest = rules.agg(F.max("required_count")).first()[0] or 1
+        out = (out.join(qualifying_sources(numbers, largest), PAIR, "left")
                .join(listed_values(numbers, facts), PAIR, "left"))
     else:
         out = out.withColumns({"sources": F.lit(None).cast("string"), "values_text": F.lit(None).cast("string")})

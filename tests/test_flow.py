@@ -258,6 +258,22 @@ def test_retrieval_follows_the_index(spark):
     assert {(r.bidder_id, r.source_document) for r in got} == {(1, "v"), (2, "k")}
 
 
+def plan_text(spark, name):
+    return ALL[name][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["eligibility_summary", "keyword_topk", "cosine_topk", "money_best", "kpi_header"])
+def test_plans_have_no_cross_join_and_no_python(spark, name):
+    plan = plan_text(spark, name)
+    assert not any(bad in plan for bad in ("NestedLoop", "Cartesian", "Python", "SinglePartition"))
+
+
+def test_rollup_reads_few_columns_and_hashes(spark):
+    plan = plan_text(spark, "eligibility_summary")
+    assert "SortAggregate" not in plan
+    assert "ReadSchema: struct<l_suppkey:bigint,l_linenumber:int,l_quantity:double,l_extendedprice:double>" in plan
+
+
 # A query of each kind over the smallest tables; tools/check_oracle.py compares all of them with DuckDB.
 @pytest.mark.parametrize("name", ["eligibility_summary", "verdict_detail", "keyword_topk", "money_best", "overrides_applied",
                                   "fused_topk_small_pool", "cascade_delete"])

@@ -95,6 +95,19 @@ def test_counting_rule_ignores_low_ocr_and_lists_values(spark):
     assert got[2, 1].explanation.startswith("Only 2 out of 3 required items meet threshold >= 20,000,000. Values found: 25,000,000, 30,000,000")
 
 
+def test_more_sources_than_the_planner_limit(spark):
+    need = 1200
+    crit = criteria(spark, (f"at least {need} similar works, value not less than Rs. 90,000", "experience", True, ""))
+    one = F.lit(1).cast("long")
+    rows = spark.range(need + 300).select(one.alias("bidder_id"), one.alias("criterion_id"), F.col("id").alias("ordinal"),
+                                          F.concat(F.lit("d"), F.col("id").cast("string")).alias("source_document"),
+                                          F.lit(None).cast("double").alias("ocr_confidence"), F.lit(1e5).alias("value"))
+    prepared = E.prepare_criteria(crit)
+    got = E.quantitative_verdicts(spark.createDataFrame([(1, 1)], "bidder_id long, criterion_id long"), prepared,
+                                  E.evidence_numbers(rows, prepared)).first()
+    assert got.explanation.endswith("Sources: " + ", ".join(f"d{i}" for i in range(need)) + ".")
+
+
 def test_long_value_lists_are_whole_in_parts(spark):
     crit = criteria(spark, ("at least 9 similar works, value not less than Rs. 90,000", "experience", True, ""))
     n = E.INLINE_VALUES + 500
