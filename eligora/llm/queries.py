@@ -26,6 +26,13 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.nearsets import near_components
+
+    return near_components(table(spark, folder, "documents"), width=3, threshold=85)
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_packing": (op3_packing, None),
+    "op9_near_duplicates": (op9_near_duplicates, None),
 }
