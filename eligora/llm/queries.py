@@ -20,6 +20,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.packing import packed_digests
 
@@ -33,6 +39,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_toxicity": (op1_toxicity, None),
     "op3_packing": (op3_packing, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
 }
