@@ -32,6 +32,12 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.rules import quality_rules
+
+    return quality_rules(table(spark, folder, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.nearsets import near_components
 
@@ -41,5 +47,6 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op3_packing": (op3_packing, None),
+    "op8_quality_rules": (op8_quality_rules, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
 }
