@@ -32,6 +32,13 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.lines import without_repeats
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.char_length("text").alias("chars_before"))
+    return without_repeats(docs).withColumn("n_chars", F.char_length("text"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.rules import quality_rules
 
@@ -47,6 +54,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op3_packing": (op3_packing, None),
+    "op6_line_dedup": (op6_line_dedup, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
 }
