@@ -26,6 +26,13 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.substrings import without_repeats
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.char_length("text").cast("long").alias("chars_before"))
+    return without_repeats(docs).withColumn("n_chars", F.char_length("text"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.packing import packed_digests
 
@@ -53,6 +60,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
+    "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_packing": (op3_packing, None),
     "op6_line_dedup": (op6_line_dedup, None),
     "op8_quality_rules": (op8_quality_rules, None),
