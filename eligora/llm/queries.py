@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(docs).withColumn("n_chars", F.char_length("text"))
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.urls import filter_urls
+
+    return filter_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.rules import quality_rules
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_packing": (op3_packing, None),
     "op6_line_dedup": (op6_line_dedup, None),
+    "op7_url_filter": (op7_url_filter, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
 }
