@@ -160,15 +160,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * common >= threshold * (F.size("ia") + F.size("ib") - common)).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, low: int, high: int, threshold: int) -> DataFrame:
-    """Pairs of different components in the same block of a bucket, by their place in each other's order of similarity.
+def _cross_pairs(groups: DataFrame, low: int, high: int, threshold: int) -> DataFrame:
+    """Pairs of different components in the same two blocks of a bucket, by their place in a node's order of equal registers.
 
-    ``members``: lists of at most about 2 * BLOCK_MEMBERS (node, root, n, registers, part) of a pair of blocks.
+    ``groups``: (band, m) with m a list of at most about 2 * BLOCK_MEMBERS (node, root, n, registers, part).
+    A pair belongs to the first band that it shares, so that no other bucket looks at it again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in batch.column(0).to_pylist():
+            for band, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 nodes = [m["node"] for m in group]
                 codes = {r: k for k, r in enumerate(dict.fromkeys(m["root"] for m in group))}
                 roots = np.array([codes[m["root"]] for m in group])
@@ -176,18 +177,21 @@ def _cross_pairs(members: DataFrame, low: int, high: int, threshold: int) -> Dat
                 n = np.array([m["n"] for m in group], float)
                 regs = np.frombuffer(b"".join(m["registers"] for m in group), np.uint8).reshape(len(group), REGISTERS)
                 a, b = [], []
-                for i in range(len(group)):
-                    if parts[i] != parts.min():
-                        continue
-                    like = likely_similarity((regs[i] > regs).sum(axis=1), (regs[i] < regs).sum(axis=1), np.full(len(group), n[i]), n)
-                    like[i] = -1
-                    order = np.argsort(-like, kind="stable")[low:high]
-                    order = order[(like[order] >= threshold / 100 - MARGIN) & (roots[order] != roots[i])]
-                    a += [min(nodes[i], nodes[j]) for j in order]
-                    b += [max(nodes[i], nodes[j]) for j in order]
+                for i in np.flatnonzero(parts == parts.min()).tolist():
+                    equal = regs == regs[i]
+                    first = equal.reshape(len(group), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                    near = np.flatnonzero((first == band) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+                    near = near[near != i]
+                    near = near[np.argsort(-equal[near].sum(axis=1), kind="stable")][low:high]
+                    near = near[roots[near] != roots[i]]
+                    if len(near):
+                        like = likely_similarity((regs[i] > regs[near]).sum(axis=1), (regs[i] < regs[near]).sum(axis=1), np.full(len(near), n[i]), n[near])
+                        near = near[like >= threshold / 100 - MARGIN]
+                    a += [min(nodes[i], nodes[j]) for j in near]
+                    b += [max(nodes[i], nodes[j]) for j in near]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return members.mapInArrow(run, "a binary, b binary")
+    return groups.mapInArrow(run, "a binary, b binary")
 
 
 def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
@@ -201,9 +205,9 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     classes = cut(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("low"), F.max(F.struct("n_shingles", "registers")).alias("s")).select("node", "low", F.col("s.n_shingles").alias("n"), F.col("s.registers").alias("registers")))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("registers", k * ROWS + 1, F.lit(ROWS))))
-    buckets = classes.select("node", band).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    buckets = classes.select("node", band).select("node", F.col("pos").alias("band"), F.xxhash64("pos", "col").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(buckets.join(leaders, "bucket").select("bucket", "node", "leader", "size"))
+    shared = cut(buckets.join(leaders, "bucket").select("bucket", "band", "node", "leader", "size"))
     wanted = shared.select("node").distinct().join(classes, "node").select(F.col("low").alias("doc_id")).distinct()
     sets = cut(docs.where("doc_id is null").unionByName(docs.join(wanted, "doc_id", "left_semi")).transform(lambda d: full_sets(d, width)).dropDuplicates(["node"]))
 
@@ -224,9 +228,9 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         part = F.pmod(F.xxhash64("node"), count).cast("long")
         other = F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
         group = (rest.withColumn("part", part).withColumn("other", other)
-                 .groupBy("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+                 .groupBy("bucket", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
                  .agg(F.collect_list(F.struct("node", "root", "n", "registers", "part")).alias("m")))
-        pairs = cut(_cross_pairs(group.select("m"), low, high, threshold).distinct().join(stars, ["a", "b"], "left_anti"))
+        pairs = cut(_cross_pairs(group.select("band", "m"), low, high, threshold).distinct().join(stars, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
         links = cut(links.unionByName(_confirmed(pairs, sets, threshold)))
