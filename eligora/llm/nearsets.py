@@ -11,12 +11,14 @@ larger, smaller and equal and from the two set sizes; pairs that stay below the
 threshold by ``MARGIN`` (over five standard errors) are left out, all others are
 confirmed on the sets themselves.
 
-Copies have one node, the digest of their set.  Within a bucket every node is
-first paired with the bucket's smallest node only.  Buckets that the links found
-so leave in several components are then compared block by block, the most
-similar first, so that neither a bucket nor the pairs of one bucket ever stand in
-one task.  A pair with similarity of 0.85 shares no band with probability under
-1e-8 (0.8: 3e-6).
+Copies have one node, the digest of their set.  In each bucket every node is
+paired with one leader only, the node that shares most buckets with others, which
+in a group of edited copies is the text nearest to all.  Families, the texts tied
+together by promising pairs, whose links leave them in several components are then
+compared on their sets: the nodes outside the largest component with all nodes, in
+blocks.  So neither a bucket nor a family ever stands in one task, and no list of
+all pairs is made.  Two texts with similarity 0.85 share no band with probability
+1e-8 (0.8: 1e-5).
 
 Texts without a word are linked with nothing.  Rows with a null doc_id are linked
 like others but never give a component its name; a component of such rows alone
@@ -36,7 +38,7 @@ from eligora.llm.batches import LOWER, Block, blocks, mix, random64, span_hashes
 from eligora.llm.components import components
 from eligora.session import cut
 
-REGISTERS = 252
+REGISTERS = 216
 ROWS = 6
 BANDS = REGISTERS // ROWS
 SCALE = 1.1
@@ -44,7 +46,7 @@ RATE = 20.0
 TOP = 255
 MARGIN = 0.13
 BLOCK_MEMBERS = 256
-FIRST_WAVE = 16
+SLICE = 1 << 13
 
 
 def shingle_sets(block: Block, width: int) -> Iterator[np.ndarray]:
@@ -160,40 +162,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * common >= threshold * (F.size("ia") + F.size("ib") - common)).select("a", "b")
 
 
-def _cross_pairs(groups: DataFrame, low: int, high: int, threshold: int) -> DataFrame:
-    """Pairs of different components in the same two blocks of a bucket, by their place in a node's order of equal registers.
+def _missing_links(groups: DataFrame, threshold: int) -> DataFrame:
+    """Links between the two blocks of a family that join what is still apart.
 
-    ``groups``: (band, m) with m a list of at most about 2 * BLOCK_MEMBERS (node, root, n, registers, part).
-    A pair belongs to the first band that it shares, so that no other bucket looks at it again.
+    ``groups``: lists m of (node, root, items, left); nodes with ``left`` are compared with all others of the list.
+    All intersections of a list come from products of 0/1 matrices, taken over slices of the shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for band, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                nodes = [m["node"] for m in group]
-                codes = {r: k for k, r in enumerate(dict.fromkeys(m["root"] for m in group))}
-                roots = np.array([codes[m["root"]] for m in group])
-                parts = np.array([m["part"] for m in group])
-                n = np.array([m["n"] for m in group], float)
-                regs = np.frombuffer(b"".join(m["registers"] for m in group), np.uint8).reshape(len(group), REGISTERS)
-                a, b = [], []
-                for i in np.flatnonzero(parts == parts.min()).tolist():
-                    equal = regs == regs[i]
-                    first = equal.reshape(len(group), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    near = np.flatnonzero((first == band) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
-                    near = near[near != i]
-                    near = near[np.argsort(-equal[near].sum(axis=1), kind="stable")][low:high]
-                    near = near[roots[near] != roots[i]]
-                    if len(near):
-                        like = likely_similarity((regs[i] > regs[near]).sum(axis=1), (regs[i] < regs[near]).sum(axis=1), np.full(len(near), n[i]), n[near])
-                        near = near[like >= threshold / 100 - MARGIN]
-                    a += [min(nodes[i], nodes[j]) for j in near]
-                    b += [max(nodes[i], nodes[j]) for j in near]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            for group in batch.column(0):
+                m = group.values
+                nodes, roots = m.field("node").to_pylist(), m.field("root").to_pylist()
+                left = np.flatnonzero(m.field("left").to_numpy(zero_copy_only=False))
+                items = m.field("items")
+                sizes = np.diff(items.offsets.to_numpy()).astype(float)
+                values = items.values.slice(items.offsets[0].as_py(), int(sizes.sum())).to_numpy()
+                _, column = np.unique(values, return_inverse=True)
+                row = np.repeat(np.arange(len(nodes)), sizes.astype(int))
+                order = np.argsort(column, kind="stable")
+                row, column = row[order], column[order]
+                common = np.zeros((len(left), len(nodes)))
+                for low in range(0, int(column[-1]) + 1, SLICE):
+                    a, b = np.searchsorted(column, [low, low + SLICE])
+                    part = np.zeros((len(nodes), min(SLICE, int(column[-1]) + 1 - low)), np.float32)
+                    part[row[a:b], column[a:b] - low] = 1
+                    common += part[left] @ part.T
+                linked = 100 * common >= threshold * (sizes[left][:, None] + sizes[None, :] - common)
+                known: dict = {}
+
+                def top(x):
+                    while known.get(x, x) != x:
+                        x = known[x]
+                    return x
+
+                out_a, out_b = [], []
+                for i, j in zip(*np.nonzero(linked)):
+                    x, y = top(roots[left[i]]), top(roots[j])
+                    if x != y:
+                        known[max(x, y)] = min(x, y)
+                        out_a.append(nodes[left[i]])
+                        out_b.append(nodes[j])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
     return groups.mapInArrow(run, "a binary, b binary")
 
 
+def _within_families(near: DataFrame, links: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """All links that join components of one family: texts tied together by promising pairs.
+
+    In each family the nodes outside its largest component are compared with all
+    nodes of the family, a block of the former and a block of the latter per list.
+    """
+    family = components(near).select("node", F.col("root").alias("family"))
+    placed = cut(family.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    rest = placed.join(split.select("family", F.col("main.root").alias("main"), "size"), "family").join(sets, "node")
+    block = lambda size: F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK_MEMBERS)).cast("long")
+    rest = rest.withColumn("part", block(F.col("size")))
+    every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK_MEMBERS) - 1)
+    member = lambda left: F.struct("node", "root", "items", F.lit(left).alias("left"))
+    outside = rest.where("root <> main").select("family", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
+    inside = rest.join(outside.select("family", "i").distinct(), "family").select("family", "i", F.col("part").alias("j"), member(False).alias("m"))
+    groups = outside.unionByName(inside).groupBy("family", "i", "j").agg(F.collect_list("m").alias("m"))
+    return _missing_links(groups.select("m"), threshold)
+
+
 def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept.
 
@@ -205,10 +240,14 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     classes = cut(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("low"), F.max(F.struct("n_shingles", "registers")).alias("s")).select("node", "low", F.col("s.n_shingles").alias("n"), F.col("s.registers").alias("registers")))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("registers", k * ROWS + 1, F.lit(ROWS))))
-    buckets = classes.select("node", band).select("node", F.col("pos").alias("band"), F.xxhash64("pos", "col").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(buckets.join(leaders, "bucket").select("bucket", "band", "node", "leader", "size"))
-    wanted = shared.select("node").distinct().join(classes, "node").select(F.col("low").alias("doc_id")).distinct()
+    buckets = classes.select("node", band).select("node", F.xxhash64("pos", "col").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    full = cut(buckets.join(sizes, "bucket"))
+    weight = full.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = full.join(weight, "node")
+    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
+    shared = full.join(leaders, "bucket").select("node", "leader")
+    wanted = full.select("node").distinct().join(classes, "node").select(F.col("low").alias("doc_id")).distinct()
     sets = cut(docs.where("doc_id is null").unionByName(docs.join(wanted, "doc_id", "left_semi")).transform(lambda d: full_sets(d, width)).dropDuplicates(["node"]))
 
     def sketched(pairs: DataFrame) -> DataFrame:
@@ -217,23 +256,9 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         return both.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
     stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_confirmed(_promising(sketched(stars), threshold), sets, threshold))
-    for low, high in ((0, FIRST_WAVE), (FIRST_WAVE, 1 << 30)):
-        roots = components(links)
-        placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y and x is not null").select("bucket")
-        rest = placed.join(split, "bucket").where("size > 2")
-        rest = rest.join(classes.select("node", "n", "registers"), "node")
-        count = F.ceil(F.col("size") / BLOCK_MEMBERS)
-        part = F.pmod(F.xxhash64("node"), count).cast("long")
-        other = F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-        group = (rest.withColumn("part", part).withColumn("other", other)
-                 .groupBy("bucket", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-                 .agg(F.collect_list(F.struct("node", "root", "n", "registers", "part")).alias("m")))
-        pairs = cut(_cross_pairs(group.select("band", "m"), low, high, threshold).distinct().join(stars, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        links = cut(links.unionByName(_confirmed(pairs, sets, threshold)))
+    near = cut(_promising(sketched(stars), threshold))
+    links = cut(_confirmed(near, sets, threshold))
+    links = cut(links.unionByName(_within_families(near, links, sets, threshold)))
     roots = components(links)
     named = (classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))

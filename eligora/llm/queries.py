@@ -65,6 +65,25 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(table(spark, folder, "documents"), width=3, threshold=85)
 
 
+def op10_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.mtree import inner_product_top_k
+
+    return inner_product_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+MTREE_SQL = """
+with v as (
+    select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+    from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 10
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -73,4 +92,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_url_filter": (op7_url_filter, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
+    "op10_mtree_topk": (op10_mtree_topk, MTREE_SQL),
 }
