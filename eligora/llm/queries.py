@@ -40,6 +40,12 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from eligora.llm.sites import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.lines import without_repeats
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_toxicity": (op1_toxicity, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_packing": (op3_packing, None),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_line_dedup": (op6_line_dedup, None),
     "op7_url_filter": (op7_url_filter, None),
     "op8_quality_rules": (op8_quality_rules, None),

@@ -78,16 +78,18 @@ def block_measures(block: Block) -> list[np.ndarray]:
             _per_text(_UPPER[data], block), _per_text(_LOWER[data], block), _per_text(_DIGIT[data], block), _per_text(_MARK[data], block), np.array(distinct)]
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the MEASURES of each whole text."""
+def measures(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` as strings, and the MEASURES of each whole text."""
+    names = ["doc_id", *keep, *MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(0)):
                 columns = [pa.array(c.astype(np.int64)) for c in block_measures(block)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[block.rows], *columns], ["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(c[block.rows] for c in batch.columns[1:]), *columns], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *MEASURES)))
+    schema = ", ".join(["doc_id long", *(f"{c} string" for c in keep), *(f"{c} long" for c in MEASURES)])
+    return docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in keep)).mapInArrow(run, schema)
 
 
 #: name -> (votes bad if, votes good if); it abstains otherwise, as it does on texts too short for its question.
