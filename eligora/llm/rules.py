@@ -137,7 +137,7 @@ def quality_posteriors(docs: DataFrame) -> DataFrame:
     """doc_id, the MEASURES, every rule's vote, and ``posterior``: the probability of being good."""
     spark, names = docs.sparkSession, [f"v_{r}" for r in RULES]
     voted = cut(measures(docs).select("*", *votes()))
-    table = voted.groupBy(*names).count().toPandas()  # at most 3 ** len(RULES) rows
+    table = voted.groupBy(*names).count().toArrow().to_pandas()  # at most 3 ** len(RULES) rows
     if not len(table):
         return voted.withColumn("posterior", F.lit(None).cast("double"))
     patterns = table[names].to_numpy().astype(int)

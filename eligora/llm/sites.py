@@ -63,7 +63,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     n = known.count()
     part = min(1.0, max_labelled / max(n, 1))
     names = [f"f{k}" for k in range(len(features()))]
-    sample = rows.where(F.col("_label").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * part))).select("_label", *names).toPandas()
+    sample = rows.where(F.col("_label").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * part))).select("_label", *names).toArrow().to_pandas()
     if sample["_label"].nunique() == 2:
         weights = fit_logistic(sample[names].to_numpy(), sample["_label"].to_numpy(), ridge=1.0)
         evidence = sum((F.col(c) * float(w) for c, w in zip(names, weights)), F.lit(0.0))
