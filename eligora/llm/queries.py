@@ -40,6 +40,17 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, and whether decoding gives the text back."""
+    from eligora.llm.pieces import decode, encode
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text"), F.crc32("text").alias("text_crc32"))
+    ids = encode(docs, model, ("doc_id", "text_crc32")).withColumns({"ids_crc32": F.crc32("ids"), "n_pieces": (F.octet_length("ids") / 4).cast("long")})
+    back = decode(ids, model, ("doc_id", "text_crc32", "ids_crc32", "n_pieces"))
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.crc32("decoded").eqNullSafe(F.col("text_crc32")).alias("round_trip"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from eligora.llm.sites import quality_scores
 
@@ -94,6 +105,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_toxicity": (op1_toxicity, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op3_packing": (op3_packing, None),
+    "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_line_dedup": (op6_line_dedup, None),
     "op7_url_filter": (op7_url_filter, None),

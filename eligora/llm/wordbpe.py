@@ -122,8 +122,8 @@ class WordEncoder:
             raw = block.data.tobytes()
             ids, counts = self._learn([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
             low, high = self.index.count, self.index.count + len(fresh)
-            self.begin, self.length = _grown(self.begin, high), _grown(self.length, high)
-            self.pool = _grown(self.pool, self.used + len(ids))
+            self.begin, self.length = grown(self.begin, high), grown(self.length, high)
+            self.pool = grown(self.pool, self.used + len(ids))
             self.begin[low:high] = self.used + np.cumsum(counts) - counts
             self.length[low:high] = counts
             self.pool[self.used:self.used + len(ids)] = ids
@@ -135,7 +135,7 @@ class WordEncoder:
         return ids, np.diff(np.append(0, np.cumsum(lengths))[first])
 
 
-def _grown(array: np.ndarray, size: int) -> np.ndarray:
+def grown(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
     return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
