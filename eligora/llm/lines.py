@@ -84,7 +84,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISO
     kept = F.filter(chunk_spans(lines, window, divisor), lambda s: ~F.array_contains("_gone", s["k"]))
     rest = F.array_join(F.transform(kept, lambda s: _text(lines, s)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    changed = {"text": text}
+    # the new text is made once; its length is taken from the column, not from the expression again
+    new = marked.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], text.alias("text"), F.col("_gone").isNotNull().alias("_changed"))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length(rest)).cast(docs.schema["n_chars"].dataType)
-    return marked.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+        new = new.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return new.select(*[F.col(f"`{c}`") for c in docs.columns])

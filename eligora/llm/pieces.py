@@ -176,7 +176,7 @@ def segment(units: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
 class Encoder:
     """Encodes texts, remembering units until there are ``limit`` of them."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         self.vocabulary, self.limit = Vocabulary(path), limit
         self._forget()
 

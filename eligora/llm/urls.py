@@ -29,10 +29,11 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hosts of the default labelled table; each is combined with every frame below.
 BLOCKED_HOSTS = ("spam-mill", "spamlinks", "casino-royal", "bestcasino", "adult-video", "adultchat", "ads-network", "popads", "cheap-pills", "cheapwatches", "free-coins",
                  "getfreegifts", "poker-bonus", "betting-odds", "viagra-shop", "porn-tube", "xxx-cams", "payday-loan", "click-bait", "win-prize", "malware-drop", "phishing-login",
-                 "ads-server", "track-pixel", "adtrack", "free-money", "freebets", "bets-today", "link-farm", "casino-online", "adult-dating", "adult-xx")
+                 "ads-server", "track-pixel", "adtrack", "free-money", "freebets", "bets-today", "link-farm", "casino-online", "adult-dating", "adult-xx",
+                 "online-casino", "my-casino", "adultpics", "adult-fun", "the-spam", "spamtown", "deals-cheap", "tube-porn", "track-ads", "big-bets")
 ALLOWED_HOSTS = ("library", "university", "museum", "history", "science", "weather", "gardening", "recipes", "physics", "mathematics", "newsroom", "citycouncil", "hospital", "orchestra",
                  "railway", "astronomy", "poetry", "school", "archive", "research", "wikipages", "journal", "theatre", "harbour", "mountain", "thornton", "tanning", "enthern", "attending",
-                 "nations", "other", "rethink", "hering", "shandon", "ingrid", "andes", "thistle", "strength", "southern", "eastern", "westhaven", "northend", "theron", "athens", "lathe", "methane", "honest", "harvest")
+                 "nations", "other", "rethink", "hering", "shandon", "ingrid", "andes", "thistle", "strength", "southern", "eastern", "westhaven", "northend", "theron", "athens", "lathe", "methane", "honest", "harvest", "village", "botanic", "sailing", "chess", "cookery", "language")
 FRAMES = ("http://{}.example.com/en/100", "https://www.{}.example.net/fr/7/", "https://blog.{}.example.org/de/2345.html", "http://m.{}.example.net/es/678")
 LABELLED = [(frame.format(host), label) for label, hosts in ((1.0, BLOCKED_HOSTS), (0.0, ALLOWED_HOSTS)) for host, frame in product(hosts, FRAMES)]
 

@@ -31,7 +31,7 @@ def byte_letters() -> list[str]:
 class WordEncoder:
     """Ids of words, remembered until there are ``limit`` distinct words and then begun anew."""
 
-    def __init__(self, path: str, limit: int = 1_500_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
