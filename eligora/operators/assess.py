@@ -10,8 +10,9 @@ from eligora.operators import evaluate as E
 from eligora.operators import extraction as EX
 from eligora.operators import retrieval as R
 from eligora.operators import worklist as W
+from eligora.operators.ranking import rank_all
 from eligora.session import cut
-from eligora.sources.models import ClientFactory, model_extractor, qualitative_verdicts
+from eligora.sources.models import ClientFactory, model_extractor, no_evidence_rows, qualitative_verdicts
 
 PAIR = E.PAIR
 
@@ -28,14 +29,15 @@ def _batches(chunks: DataFrame, prepared: DataFrame, pending: DataFrame, batch_s
     return best.join(pending.select(*PAIR), PAIR, "left_semi").join(asked, "criterion_id")
 
 
-def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client: ClientFactory,
+def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client: ClientFactory | None,
            done: DataFrame | None = None, reserve: bool = False,
            batch_size: int = K.CHUNKS_PER_CALL) -> tuple[DataFrame, DataFrame]:
     """Evidence and verdicts of all pairs that have no verdict in ``done``.
 
     bidders: id, tender_id, name.  criteria: the stored table.  documents:
     bidder_id, tender_id, doc_ordinal, filename, full_text, min_ocr_confidence.
-    With ``reserve`` a document serves one criterion per bidder.
+    With ``reserve`` a document serves one criterion per bidder.  Without a
+    ``client`` there is no evidence, and every pair gets the verdict for that.
     """
     prepared = E.prepare_criteria(criteria)
     pairs = W.work_list(bidders, criteria)
@@ -46,26 +48,35 @@ def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client
     empty = E.empty_corpus_verdicts(pending, usable)
     pending = pending.join(usable.distinct(), "bidder_id", "left_semi")
 
-    keys = ["bidder_id", "source_document"]
-    contexts = R.chunk_batches(chunks, keys, batch_size)
-    extract = model_extractor(client, contexts, named.withColumnRenamed("min_ocr_confidence", "ocr_confidence"), keys)
+    place = ["bidder_id", "doc_ordinal"]
+
+    def contexts(wanted: DataFrame) -> DataFrame:
+        """Batch texts of the documents of one wave; no other document is cut or moved."""
+        return R.document_batches(named.join(wanted, place, "left_semi"), [*place, "source_document"], batch_size)
+    extract = model_extractor(client, contexts, named.withColumnRenamed("min_ocr_confidence", "ocr_confidence"),
+                              ["bidder_id", "source_document"], place)
     batches = _batches(chunks, prepared, pending, batch_size)
+    if client is None:
+        extract = no_evidence_rows
     if reserve:
         order = prepared.select("tender_id", "criterion_id", "crit_code")
-        place = order.alias("a").join(order.alias("b"), "tender_id").where(F.col("b.crit_code") <= F.col("a.crit_code"))
-        position = place.groupBy(F.col("a.criterion_id").alias("criterion_id")).agg(F.count("*").alias("position"))
+        position = rank_all(order, ["tender_id"], [F.length("crit_code"), F.col("crit_code"), F.col("criterion_id")], "position").select("criterion_id", "position")
         found = EX.scan_reserving(batches.join(position, "criterion_id"), "bidder_id", "position", PAIR, extract)
     else:
         found = EX.scan(EX.sequence_batches(batches, PAIR), PAIR, extract)
-    rows = found.select(*PAIR, (F.col("seq") * 100000 + F.col("item")).alias("ordinal"), "source_document",
-                        "extracted_value", "normalized_value", "source_text", "ocr_confidence", "notes")
-    evidence = cut(EX.distinct_evidence(rows, PAIR))
+    rows = found.select(*PAIR, F.struct("seq", "item").alias("place"), "source_document", "extracted_value", "normalized_value",
+                        "source_text", "ocr_confidence", "notes", "merge_all")
+    kept = EX.distinct_evidence(rows, PAIR, "place", several="merge_all").drop("merge_all")
+    evidence = rank_all(kept, PAIR, [F.col("place"), F.col("source_document"), F.xxhash64("extracted_value", "source_text", "notes")],
+                        "ordinal").drop("place")
+    evidence = cut(evidence)
 
     numbers = E.evidence_numbers(evidence, prepared)
     ruled = E.quantitative_verdicts(pending.select(*PAIR), prepared, numbers)
     judged = prepared.where(F.col("route") == "qualitative")
     other = pending.join(judged.select("criterion_id"), "criterion_id", "left_semi")
     columns = [*PAIR, "verdict", "explanation", "confidence"]
-    verdicts = (ruled.select(*columns).unionByName(qualitative_verdicts(other, judged, evidence, client).select(*columns))
+    told = qualitative_verdicts(other, judged, evidence, client) if client else E.unjudged_verdicts(other, prepared, evidence)
+    verdicts = (ruled.select(*columns).unionByName(told.select(*columns))
                 .unionByName(empty.select(*columns)))
     return evidence, verdicts

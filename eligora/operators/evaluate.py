@@ -20,10 +20,6 @@ from eligora.session import sized
 
 PAIR = ["bidder_id", "criterion_id"]
 
-# Longest list of values printed inside an explanation.  Longer lists are
-# printed in full by ``explanation_parts``.
-INLINE_VALUES = 1000
-
 
 def prepare_criteria(criteria: DataFrame) -> DataFrame:
     """Criteria with operator, threshold, required count, reading rules, route.
@@ -103,30 +99,21 @@ def qualifying_sources(numbers: DataFrame, limit: int) -> DataFrame:
     return firsts.groupBy(*PAIR).agg(F.array_join(names, ", ").alias("sources"))
 
 
-def _value_list() -> Column:
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
-    return F.array_join(F.transform(rows, lambda r: whole_number(r["value"])), ", ")
-
+def missed_values(numbers: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every value of the pairs that miss their required count, a row each.
 
-def listed_values(numbers: DataFrame, facts: DataFrame) -> DataFrame:
-    """Printed values of the pairs that miss their count, short lists only."""
-    short = facts.where(F.col("n_values") <= INLINE_VALUES).select(*PAIR, "n_qualifying")
+    The child table to be stored with the verdicts: pair, ordinal, value and its
+    printed form.
+    """
     rows = numbers.where((F.col("required_count") > 1) & F.col("value").isNotNull())
-    wanted = rows.join(short, PAIR).where(F.col("n_qualifying") < F.col("required_count"))
-    return wanted.groupBy(*PAIR).agg(_value_list().alias("values_text"))
+    wanted = rows.join(facts.select(*PAIR, "n_qualifying"), PAIR).where(F.col("n_qualifying") < F.col("required_count"))
+    return wanted.select(*PAIR, "ordinal", "value", whole_number("value").alias("printed"))
 
 
-def explanation_parts(numbers: DataFrame, facts: DataFrame, width: int = INLINE_VALUES) -> DataFrame:
-    """The values of pairs whose list is too long for one explanation, as parts.
-
-    A part is a range of ``width`` ordinals, so it is small however many values
-    the pair has; joining the parts by part number gives the whole list.
-    """
-    long = facts.where(F.col("n_values") > INLINE_VALUES).select(*PAIR, "n_qualifying")
-    rows = numbers.where((F.col("required_count") > 1) & F.col("value").isNotNull())
-    wanted = rows.join(long, PAIR).where(F.col("n_qualifying") < F.col("required_count"))
-    parts = wanted.withColumn("part", F.floor(F.col("ordinal") / width))
-    return parts.groupBy(*PAIR, "part").agg(F.count("*").alias("values"), _value_list().alias("values_text"))
+def listed_values(values: DataFrame) -> DataFrame:
+    """The printed values of each pair in one text, for showing."""
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "value", "printed")))
+    return values.groupBy(*PAIR).agg(F.array_join(F.transform(rows, lambda r: r["printed"]), ", ").alias("values_text"))
 
 
 def no_evidence(mandatory: Column, description: Column) -> Column:
@@ -157,7 +144,7 @@ def _verdict(explain: bool) -> Column:
         v = verdict if isinstance(verdict, Column) else F.lit(verdict)
         return F.struct(v.alias("verdict"), text.alias("explanation"), F.lit(confidence).alias("confidence"))
 
-    values = F.coalesce("values_text", F.concat(c("n_values").cast("string"), F.lit(" values, listed in parts")))
+    values = F.coalesce("values_text", F.lit(""))
     enough = c("n_qualifying") >= c("required_count")
     wanted, met = c("required_count").cast("string"), c("n_qualifying").cast("string")
     edge = F.when(c("best_value") == c("threshold_value"), "at").otherwise("near")
@@ -207,7 +194,7 @@ def quantitative_verdicts(pairs: DataFrame, prepared: DataFrame, numbers: DataFr
     if explain:
         largest = rules.agg(F.max("required_count")).first()[0] or 1
         out = (out.join(qualifying_sources(numbers, largest), PAIR, "left")
-               .join(listed_values(numbers, facts), PAIR, "left"))
+               .join(listed_values(missed_values(numbers, facts)), PAIR, "left"))
     else:
         out = out.withColumns({"sources": F.lit(None).cast("string"), "values_text": F.lit(None).cast("string")})
     out = out.withColumn("_v", _verdict(explain))
@@ -216,6 +203,22 @@ def quantitative_verdicts(pairs: DataFrame, prepared: DataFrame, numbers: DataFr
                       F.col("_v.confidence").alias("confidence"))
 
 
+def unjudged_verdicts(pairs: DataFrame, prepared: DataFrame, evidence: DataFrame, reason: str = "no model available") -> DataFrame:
+    """Verdicts of the pairs on the model route where there is no model to ask.
+
+    Every pair has a row: without evidence the fixed rule, with evidence a review
+    that says why.
+    """
+    rules = prepared.where(F.col("route") == "qualitative").select(*RULE_COLUMNS)
+    more = [c for c in pairs.columns if c not in PAIR + RULE_COLUMNS]
+    held = evidence.select(*PAIR).distinct().withColumn("_has", F.lit(True))
+    rows = pairs.select(*PAIR, *more).join(rules, "criterion_id").join(held, PAIR, "left")
+    review = F.struct(F.lit(K.NEEDS_REVIEW).alias("verdict"), F.lit(f"Evaluation error: {reason}. Manual review required.").alias("explanation"),
+                      F.lit(0.0).alias("confidence"))
+    v = F.when(F.col("_has").isNull(), no_evidence(F.col("mandatory"), F.coalesce("description", F.lit("")))).otherwise(review)
+    return rows.withColumn("_v", v).select(*PAIR, *more, "crit_code", F.col("description").alias("crit_desc"), "category", "mandatory", "_v.*")
+
+
 def empty_corpus_verdicts(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Review verdicts for all pairs of bidders whose documents hold no text."""
     usable = chunks.select("bidder_id").distinct()

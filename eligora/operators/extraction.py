@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligora import constants as K
 from eligora.operators.ranking import rank_all
 from eligora.operators.retrieval import document_order
 from eligora.session import cut
@@ -20,11 +19,18 @@ from eligora.session import cut
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def distinct_evidence(evidence: DataFrame, group: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """First row per (document, value, start of the source text)."""
+def distinct_evidence(evidence: DataFrame, group: list[str], ordinal: str = "ordinal", several: str | None = None) -> DataFrame:
+    """First row per (document, value, source text), by a hash of the whole text.
+
+    With ``several``, a flag column, only rows of criteria that want several items
+    are folded; the others all stay.
+    """
+    if several:
+        rest = evidence.where(~F.coalesce(F.col(several), F.lit(False)))
+        return distinct_evidence(evidence.where(F.col(several)), group, ordinal).unionByName(rest)
     keyed = evidence.withColumns({
         "_value": F.trim(F.coalesce(F.col("extracted_value").cast("string"), F.lit(""))),
-        "_source": F.trim(F.substring(F.coalesce("source_text", F.lit("")), 1, K.DEDUPE_SOURCE_CHARS))})
+        "_source": F.sha2(F.trim(F.coalesce("source_text", F.lit(""))), 256)})
     columns = [c for c in evidence.columns if c not in (*group, "source_document", ordinal)]
     firsts = keyed.groupBy(*group, "source_document", "_value", "_source").agg(
         F.min(F.struct(ordinal, *columns)).alias("_e"))
@@ -46,8 +52,7 @@ def sequence_batches(batches: DataFrame, group: list[str]) -> DataFrame:
     batches = cut(batches)
     order = document_order(batches.groupBy(*group, "source_document", "doc_ordinal")
                            .agg(F.max("best_score").alias("best_score")), group)
-    placed = (batches.drop("best_score").join(
-        order.select(*group, "source_document", "doc_rank"), group + ["source_document"]))
+    placed = batches.drop("best_score").join(order.select(*group, "doc_ordinal", "doc_rank"), group + ["doc_ordinal"])
     return rank_all(placed, group, [F.col("doc_rank"), F.col("batch")], "seq")
 
 
@@ -88,10 +93,12 @@ def scan(batches: DataFrame, group: list[str], extract: Extractor, merge_all: st
 def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[str], extract: Extractor,
                    waves: bool = True) -> DataFrame:
     """The same with document reservation: a document that gave evidence for one
-    criterion is skipped for the bidder's later ones.
+    criterion is skipped for the bidder's later ones.  Reserved are the scanned
+    document and, where one item is wanted, also every document that is named.
 
     Sequential over criterion positions (a handful), parallel over bidders.
     """
+    batches = batches.withColumn("scanned_document", F.col("source_document"))
     batches = cut(batches)
     last = batches.agg(F.max(position)).first()[0] or 0
     reserved, parts = None, []
@@ -100,7 +107,8 @@ def scan_reserving(batches: DataFrame, bidder: str, position: str, group: list[s
         if reserved is not None:
             free = free.join(reserved, [bidder, "source_document"], "left_anti")
         found = cut(scan(sequence_batches(free, group), group, extract, waves=waves))
-        used = found.select(bidder, "source_document").distinct()
+        named = found.where(~F.col("merge_all")).select(bidder, "source_document")
+        used = found.select(bidder, F.col("scanned_document").alias("source_document")).unionByName(named).distinct()
         reserved = used if reserved is None else reserved.unionByName(used).distinct()
         parts.append(found)
     out = parts[0]

@@ -11,25 +11,47 @@ from eligora.operators.ranking import rank_all, top_k
 from eligora.session import cut
 
 
-def chunk_documents(documents: DataFrame, keys: list[str], text: str = "full_text",
-                    size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk: ``keys``, chunk_index, text.  Blank texts give none.
+def _chunk_arrays(documents: DataFrame, keys: list[str], text: str, size: int, overlap: int) -> DataFrame:
+    """``keys`` and ``_chunks``, the array of all chunks of each text that is not blank.
 
-    A narrow explode: no shuffle, and the full text is not carried along.  The
-    text is cut into stride-long blocks in one pass; a chunk is a block plus
+    The text is cut into stride-long blocks in one pass; a chunk is a block plus
     the first ``overlap`` characters of the next one.
     """
     stride = size - overlap
     stripped = documents.where(~X.is_blank(text)).select(*keys, X.strip(text).alias("_t"))
     starts = X.chunk_starts(F.col("_t"), size, overlap)
     if overlap > stride:
-        cut = F.transform(starts, lambda s: F.substr(F.col("_t"), s + 1, F.lit(size)))
-        return stripped.select(*keys, F.posexplode(cut).alias("chunk_index", "text"))
+        return stripped.select(*keys, F.transform(starts, lambda s: F.substr(F.col("_t"), s + 1, F.lit(size))).alias("_chunks"))
     blocks = F.regexp_extract_all("_t", F.lit("(?s).{1,%d}" % stride), F.lit(0))
     staged = stripped.select(*keys, F.size(starts).alias("_n"), blocks.alias("_b"))
     following = F.slice("_b", F.lit(2), F.greatest(F.size("_b"), F.lit(1)))
     joined = F.zip_with("_b", following, lambda b, n: F.concat(b, X.left(F.coalesce(n, F.lit("")), overlap)))
-    return staged.select(*keys, F.posexplode(F.slice(joined, F.lit(1), F.col("_n"))).alias("chunk_index", "text"))
+    return staged.select(*keys, F.slice(joined, F.lit(1), F.col("_n")).alias("_chunks"))
+
+
+def chunk_documents(documents: DataFrame, keys: list[str], text: str = "full_text",
+                    size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    """One row per chunk: ``keys``, chunk_index, text.  Blank texts give none.
+
+    A narrow explode: no shuffle, and the full text is not carried along.
+    """
+    return _chunk_arrays(documents, keys, text, size, overlap).select(*keys, F.posexplode("_chunks").alias("chunk_index", "text"))
+
+
+def document_batches(documents: DataFrame, keys: list[str], batch_size: int = K.CHUNKS_PER_CALL, text: str = "full_text",
+                     size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    """Model-call batches of consecutive chunks: ``keys``, batch, chunks (their number) and context.
+
+    Batches are slices of a document's own chunk array, so no text is shuffled;
+    ``keys`` must hold source_document, which the context names.
+    """
+    per = batch_size if batch_size >= 1 else K.TOP_K
+    whole = _chunk_arrays(documents, keys, text, size, overlap)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_chunks") - 1) / per).cast("int")),
+                        lambda b: F.slice("_chunks", b * per + 1, F.lit(per)))
+    part = whole.select(*keys, F.posexplode(parts).alias("batch", "_part"))
+    lines = F.transform("_part", lambda c, i: F.concat(F.lit("[CHUNK "), (i + 1).cast("string"), F.lit(" from "), F.col("source_document"), F.lit("]\n"), c))
+    return part.select(*keys, "batch", F.size("_part").cast("long").alias("chunks"), F.array_join(lines, "\n\n").alias("context"))
 
 
 def keyword_criteria(criteria: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,21 +101,6 @@ def document_order(scores: DataFrame, group: list[str], name: str = "source_docu
     return ranked.drop("_key")
 
 
-def chunk_batches(chunks: DataFrame, keys: list[str], batch_size: int = K.CHUNKS_PER_CALL) -> DataFrame:
-    """Model-call batches of consecutive chunks: context text and chunk count.
-
-    Chunk indexes of a document are dense, so its batches need no window; each
-    group holds ``batch_size`` chunks at most.
-    """
-    size = batch_size if batch_size >= 1 else K.TOP_K
-    batched = chunks.withColumn("batch", F.floor(F.col("chunk_index") / size).cast("int"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "source_document", "text"))),
-                        lambda c, i: F.concat(F.lit("[CHUNK "), (i + 1).cast("string"), F.lit(" from "),
-                                              c["source_document"], F.lit("]\n"), c["text"]))
-    return batched.groupBy(*keys, "batch").agg(F.count("*").alias("chunks"),
-                                               F.array_join(lines, "\n\n").alias("context"))
-
-
 def first_hit(hits: DataFrame, group: list[str]) -> DataFrame:
     """First (doc_rank, batch) with evidence per group: a plain minimum."""
     return (hits.groupBy(*group).agg(F.min(F.struct("doc_rank", "batch")).alias("_f"))
@@ -101,9 +108,15 @@ def first_hit(hits: DataFrame, group: list[str]) -> DataFrame:
 
 
 def attach_text(hits: DataFrame, chunks: DataFrame, key: list[str], index_copy: DataFrame | None = None) -> DataFrame:
-    """Look hits up in the corpus by key, else in the index's own copy."""
-    out = hits.join(chunks.select(*key, F.col("text").alias("_corpus")), key, "left")
+    """Look hits up in the corpus by key, else in the index's own copy.
+
+    The corpus is first cut to the distinct keys of the hits, a semi-join whose
+    small side Spark may broadcast, so that only the texts of hits move on.
+    """
+    wanted = hits.select(*key).distinct()
+    texts = lambda df, text, name: df.select(*key, F.col(text).alias(name)).join(wanted, key, "left_semi")
+    out = hits.join(texts(chunks, "text", "_corpus"), key, "left")
     if index_copy is None:
         return out.withColumnRenamed("_corpus", "text")
-    out = out.join(index_copy.select(*key, F.col("document").alias("_index")), key, "left")
+    out = out.join(texts(index_copy, "document", "_index"), key, "left")
     return out.withColumn("text", F.coalesce("_corpus", "_index")).drop("_corpus", "_index")

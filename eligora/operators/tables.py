@@ -46,6 +46,36 @@ def apply_overrides(verdicts: DataFrame, overrides: DataFrame, order: list[str])
                                "verdict": F.coalesce("_new", "verdict")}).drop("_new")
 
 
+def resolved_verdicts(log: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Verdict table from the logs of saves and overrides: whichever came last decides.
+
+    Both logs have ``seq``; an override counts only against saves before it, so a
+    later evaluation replaces it.  Only overrides with a reason are accepted.
+    """
+    current = log.groupBy(*PAIR).agg(
+        *[F.max_by(v, "seq").alias(v) for v in ("verdict", "explanation", "confidence")],
+        *[F.min_by(s, "seq").alias(s) for s in ("id", "created_at")], F.max("seq").alias("_at"))
+    valid = overrides.where(F.trim(F.coalesce("reason", F.lit(""))) != "")
+    last = valid.groupBy(F.col("verdict_id").alias("id")).agg(F.max(F.struct("seq", "created_at", "new_verdict")).alias("_o"))
+    wins = F.coalesce(F.col("_o.seq") > F.col("_at"), F.lit(False))
+    return current.join(last, "id", "left").withColumns({
+        "overridden": wins, "verdict": F.when(wins, F.col("_o.new_verdict")).otherwise(F.col("verdict"))}).drop("_at", "_o")
+
+
+def latest_rows(log: DataFrame, keys: list[str]) -> DataFrame:
+    """Newest row per key; the creation time is that of the first one."""
+    rest = [c for c in log.columns if c not in (*keys, "created_at")]
+    newest = log.groupBy(*keys).agg(F.max(F.struct("seq", *[c for c in rest if c != "seq"])).alias("_n"), F.min("created_at").alias("created_at"))
+    return newest.select(*keys, "_n.*", "created_at").select(*log.columns)
+
+
+def since_deletion(log: DataFrame, tender: str, deleted: DataFrame) -> DataFrame:
+    """Rows saved after their tender was last deleted (or whose tender never was)."""
+    last = deleted.groupBy(F.col("tender_id").alias("_gone")).agg(F.max("seq").alias("_gone_at"))
+    kept = log.join(last, F.col(tender) == F.col("_gone"), "left").where(F.col("_gone_at").isNull() | (F.col("seq") > F.col("_gone_at")))
+    return kept.drop("_gone", "_gone_at")
+
+
 def override_candidates(verdicts: DataFrame) -> DataFrame:
     """Only verdicts under review are offered for an override."""
     return verdicts.where(F.col("verdict") == K.NEEDS_REVIEW)

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from eligora import constants as K
 from eligora.operators.ranking import top_k
 
-# Documents hashed together when a bidder's corpus is fingerprinted.
-FINGERPRINT_BLOCK = 10000
-
-
 def _sum(terms: list[Column]) -> Column:
     """Balanced sum, so that long vectors do not make a deep expression."""
     while len(terms) > 1:
@@ -79,23 +75,18 @@ def fuse(vector_hits: DataFrame, summary_hits: DataFrame, corpus: DataFrame, key
 
 
 def corpus_fingerprint(documents: DataFrame, key: str = "bidder_id") -> DataFrame:
-    """SHA-256 over the sorted filename|hash|length lines of each bidder.
+    """Digest of each bidder's files, in no order and of one form for every size.
 
-    Up to ``FINGERPRINT_BLOCK`` documents are digested as one list.  A larger
-    corpus is split by hash into blocks of about that size, whose digests are
-    digested in turn, so no group is collected whole.
+    A file's filename|hash|length line has a SHA-256, whose first 60 hex digits
+    are four numbers; the fingerprint is the count of files and the four sums.
+    The sums are partial aggregates, so no list of files is ever gathered.
     """
-    lines = documents.select(
-        key, "filename", "id", F.concat_ws("|", F.coalesce("filename", F.lit("")), F.coalesce("file_hash", F.lit("")),
-                                           F.coalesce(F.length("full_text"), F.lit(0)).cast("string")).alias("line"))
-    sizes = lines.groupBy(key).agg(F.ceil(F.count("*") / FINGERPRINT_BLOCK).alias("_blocks"))
-    blocks = lines.join(sizes, key).withColumn("_block", F.pmod(F.xxhash64("line", "id"), F.col("_blocks")))
-    ordered = F.array_sort(F.collect_list(F.struct("filename", "id", "line")))
-    digests = blocks.groupBy(key, "_blocks", "_block").agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256).alias("_digest"))
-    joined = F.array_join(F.array_sort(F.collect_list("_digest")), "\n")
-    return digests.groupBy(key, "_blocks").agg(joined.alias("_all")).select(
-        key, F.when(F.col("_blocks") == 1, F.col("_all")).otherwise(F.sha2("_all", 256)).alias("fingerprint"))
+    line = F.concat_ws("|", F.coalesce("filename", F.lit("")), F.coalesce("file_hash", F.lit("")),
+                       F.coalesce(F.length("full_text"), F.lit(0)).cast("string"))
+    digest = documents.select(key, F.sha2(line, 256).alias("_d"))
+    words = [F.conv(F.substring("_d", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)").alias(f"_w{i}") for i in range(4)]
+    sums = digest.select(key, *words).groupBy(key).agg(F.count("*").alias("_n"), *[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(4)])
+    return sums.select(key, F.concat_ws("-", "_n", *[F.col(f"_s{i}").cast("string") for i in range(4)]).alias("fingerprint"))
 
 
 def stale_bidders(fingerprints: DataFrame, index_meta: DataFrame, embed_model: str,

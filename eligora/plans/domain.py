@@ -33,7 +33,8 @@ RULES = [
 # What the parser must make of RULES: pos, code, mandatory, operator, threshold, count.
 RULES_SQL = """rules(criterion_id, crit_code, mandatory, operator, threshold_value, required_count) AS (VALUES
  (1::BIGINT,'C-001',TRUE,'>=',60000.0::DOUBLE,1::BIGINT),(2,'C-002',TRUE,'>=',70000.0,3),(3,'C-003',TRUE,'<=',5000.0,1),
- (5,'C-005',FALSE,'>=',103000.0,1),(6,'C-006',TRUE,'>=',90000.0,1))"""
+ (4,'C-004',FALSE,NULL,NULL,1),
+ (5,'C-005',FALSE,'>=',103000.0,1),(6,'C-006',TRUE,'>=',90000.0,1),(7,'C-007',TRUE,NULL,NULL,1))"""
 BIDDERS_SQL = """bidders AS (SELECT s_suppkey AS id, s_name AS name, n_regionkey::BIGINT AS tender_id
  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 EVIDENCE_SQL = """evidence AS (SELECT l_suppkey AS bidder_id, l_linenumber::BIGINT AS criterion_id,
@@ -48,6 +49,7 @@ facts AS (SELECT bidder_id, criterion_id, count(*) AS n_evidence, count(value) A
 verdicts AS (SELECT p.bidder_id, r.criterion_id, r.crit_code, r.mandatory, p.tender_id, p.bidder_name,
    f.n_evidence, f.n_values, f.n_qualifying, f.best_value, f.low_ocr, r.operator, r.threshold_value, r.required_count,
    CASE WHEN f.n_evidence IS NULL THEN CASE WHEN r.mandatory THEN 'NEEDS_REVIEW' ELSE 'ELIGIBLE' END
+     WHEN r.operator IS NULL THEN 'NEEDS_REVIEW'
      WHEN r.required_count > 1 THEN CASE WHEN f.n_qualifying >= r.required_count THEN 'ELIGIBLE' ELSE 'NOT_ELIGIBLE' END
      WHEN f.low_ocr THEN 'NEEDS_REVIEW'
      WHEN abs(f.best_value - r.threshold_value) <= r.threshold_value * 0.1 THEN

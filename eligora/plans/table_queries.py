@@ -52,6 +52,38 @@ def overrides_applied(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "bidder_id", "criterion_id", "verdict", "overridden")
 
 
+def override_then_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Saves and officer overrides (sign-up events) in one order of time: the last one decides."""
+    log = _log(spark, sf)
+    saves = log.join(_signups(spark, sf).select("seq"), "seq", "left_anti")
+    ids = saves.groupBy(*T.PAIR).agg(F.min_by("id", "seq").alias("verdict_id"))
+    overrides = _signups(spark, sf).join(ids, T.PAIR)
+    return T.resolved_verdicts(saves, overrides).select("id", *T.PAIR, "verdict", "overridden")
+
+
+def _signups(spark: SparkSession, sf: str) -> DataFrame:
+    criterion = F.pmod(F.get_json_object("props", "$.k").cast("bigint"), F.lit(7)) + 1
+    return D.table(spark, sf, "events").where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("bidder_id"), criterion.alias("criterion_id"),
+        F.when(F.col("value") > 10, K.ELIGIBLE).otherwise(K.NOT_ELIGIBLE).alias("new_verdict"),
+        F.when(F.col("event_id") % 4 == 0, " ").otherwise("checked").alias("reason"), F.col("ts").alias("created_at"))
+
+
+def wipe_then_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts saved after the user's last error event, which stands for a deletion of the tender."""
+    log = _log(spark, sf).withColumn("tender_id", F.col("bidder_id"))
+    errors = D.table(spark, sf, "events").where(F.col("event_type") == "error").select(
+        F.col("user_id").alias("tender_id"), F.col("event_id").alias("seq"))
+    kept = T.latest_rows(T.since_deletion(log, "tender_id", errors).drop("id", "tender_id", "explanation"), T.PAIR)
+    return kept.select(*T.PAIR, "seq", "verdict", "created_at")
+
+
+def repeated_save(spark: SparkSession, sf: str) -> DataFrame:
+    """Every save done twice gives the same rows as once."""
+    log = _log(spark, sf).drop("id", "explanation")
+    return T.latest_rows(log.unionByName(log), T.PAIR).select(*T.PAIR, "seq", "verdict", "created_at")
+
+
 def override_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return T.override_candidates(T.current_verdicts(_log(spark, sf))).select("id", "bidder_id", "criterion_id")
 
@@ -88,8 +120,10 @@ def criteria_merge(spark: SparkSession, sf: str) -> DataFrame:
         "tender_id", "crit_code", F.col("id").alias("ord"), F.upper("description").alias("description"),
         F.lit(None).cast("string").alias("category"), "mandatory", "threshold", "expected_evidence", "source_section")
     lineitem = D.table(spark, sf, "lineitem")
-    evidence = lineitem.where(F.col("l_quantity") == 50).select(F.col("l_partkey").alias("criterion_id"))
-    verdicts = lineitem.where(F.col("l_quantity") == 49).select(F.col("l_partkey").alias("criterion_id"))
+    # line items of other quantities refer to criteria outside the list (negative ids)
+    refers = lambda quantity: F.when(F.col("l_quantity") == quantity, F.col("l_partkey")).otherwise(-F.col("l_partkey"))
+    evidence = lineitem.select(refers(50).alias("criterion_id"))
+    verdicts = lineitem.select(refers(49).alias("criterion_id"))
     merged = T.merge_criteria(existing, new, evidence, verdicts)
     return merged.select("tender_id", "crit_code", "description", "category", "mandatory", "threshold", "confirmed")
 
@@ -158,9 +192,9 @@ def valid_bidders(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Lowest word confidence of the document each evidence row names."""
+    words = F.pmod("o_custkey", F.lit(100)).cast("double")
     orders = D.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("source_document"), F.pmod("o_custkey", F.lit(100)).cast("double").alias("ocr_confidence")
-    ).where(F.col("ocr_confidence") > 10)
+        F.col("o_orderkey").alias("source_document"), F.when(words > 10, words).alias("ocr_confidence"))
     rows = EX.with_document_confidence(D.evidence(spark, sf).drop("value"), orders, ["source_document"])
     return rows.groupBy("bidder_id", "criterion_id").agg(
         F.count("*").alias("rows"), F.count("ocr_confidence").alias("known"), F.min("ocr_confidence").alias("lowest"))
@@ -213,6 +247,20 @@ QUERIES = {
       arg_max(new_verdict, (created_at, id)) AS v FROM ov WHERE trim(reason) <> '' GROUP BY verdict_id)
       SELECT cur.id, bidder_id, criterion_id, coalesce(v, verdict) AS verdict, v IS NOT NULL AS overridden
       FROM cur LEFT JOIN last ON verdict_id = cur.id"""),
+    "override_then_update": (override_then_update, f"""WITH {_CURRENT}, s AS (SELECT bidder_id, criterion_id,
+      arg_max(verdict, event_id) AS verdict, min(event_id) AS id, max(event_id) AS at FROM log WHERE event_type <> 'signup' GROUP BY ALL),
+      o AS (SELECT bidder_id, criterion_id, max(event_id) AS seq,
+        arg_max(CASE WHEN value > 10 THEN 'ELIGIBLE' ELSE 'NOT_ELIGIBLE' END, event_id) AS v
+        FROM log WHERE event_type = 'signup' AND event_id % 4 <> 0 GROUP BY ALL)
+      SELECT s.id, s.bidder_id, s.criterion_id, CASE WHEN o.seq > s.at THEN o.v ELSE s.verdict END AS verdict,
+        coalesce(o.seq > s.at, FALSE) AS overridden FROM s LEFT JOIN o USING (bidder_id, criterion_id)"""),
+    "wipe_then_reload": (wipe_then_reload, f"""WITH {_CURRENT}, e AS (SELECT user_id, max(event_id) AS deleted FROM events
+        WHERE event_type = 'error' GROUP BY user_id),
+      k AS (SELECT log.* FROM log LEFT JOIN e ON user_id = bidder_id WHERE deleted IS NULL OR event_id > deleted)
+      SELECT bidder_id, criterion_id, max(event_id) AS seq, arg_max(verdict, event_id) AS verdict, min(ts) AS created_at
+      FROM k GROUP BY ALL"""),
+    "repeated_save": (repeated_save, f"""WITH {_CURRENT} SELECT bidder_id, criterion_id, max(event_id) AS seq,
+      arg_max(verdict, event_id) AS verdict, min(ts) AS created_at FROM log GROUP BY ALL"""),
     "override_candidates": (override_candidates, f"""WITH {_CURRENT} SELECT id, bidder_id, criterion_id FROM cur
       WHERE verdict = 'NEEDS_REVIEW'"""),
     "verdicts_joined": (verdicts_joined, f"""WITH {_CURRENT}, {D.BIDDERS_SQL} SELECT cur.id, bidder_id, name AS bidder_name,

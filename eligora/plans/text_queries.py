@@ -79,8 +79,8 @@ def doc_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_batches(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf).withColumnRenamed("filename", "source_document")
-    return R.chunk_batches(chunks, ["doc_id"]).select("doc_id", "batch", "chunks",
+    files = D.files(spark, sf).withColumnRenamed("filename", "source_document")
+    return R.document_batches(files, ["doc_id", "source_document"]).select("doc_id", "batch", "chunks",
                                                       F.md5("context").alias("context_md5"))
 
 
@@ -97,7 +97,7 @@ def first_hit_batch(spark: SparkSession, sf: str) -> DataFrame:
     order = R.document_order(batches.groupBy(*GROUP, "source_document", "doc_ordinal")
                              .agg(F.max("best_score").alias("best_score")), GROUP)
     hits = batches.where(F.col("best_score") >= 2).join(
-        order.select(*GROUP, "source_document", "doc_rank"), GROUP + ["source_document"])
+        order.select(*GROUP, "doc_ordinal", "doc_rank"), GROUP + ["doc_ordinal"])
     return R.first_hit(hits, GROUP)
 
 
@@ -113,7 +113,7 @@ def reserve_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as evidence rows; same document, value and text start fold."""
+    """Line items as evidence rows; same document, value and whole text fold."""
     lineitem = D.table(spark, sf, "lineitem")
     rows = lineitem.select(
         F.col("l_suppkey").alias("bidder_id"), F.col("l_linenumber").cast("bigint").alias("criterion_id"),
@@ -263,8 +263,10 @@ def _reserve_sql() -> str:
 
 QUERIES = {
     "doc_hash": (doc_hash, "SELECT doc_id, sha256(text) AS file_hash FROM documents"),
-    "corpus_fingerprint": (corpus_fingerprint, f"""WITH {D.FILES_SQL} SELECT bidder_id, sha256(string_agg(filename || '|' ||
-      sha256(text) || '|' || length(text), chr(10) ORDER BY filename)) AS fingerprint FROM files GROUP BY bidder_id"""),
+    "corpus_fingerprint": (corpus_fingerprint, f"""WITH {D.FILES_SQL}, d AS (SELECT bidder_id,
+      sha256(filename || '|' || sha256(text) || '|' || length(text)) AS d FROM files)
+      SELECT bidder_id, concat_ws('-', count(*), {', '.join(
+        f"sum(CAST('0x' || substr(d, {15 * i + 1}, 15) AS BIGINT))" for i in range(4))}) AS fingerprint FROM d GROUP BY bidder_id"""),
     "chunk_documents": (chunk_documents, f"""WITH {D.CHUNKS_SQL} SELECT doc_id, chunk_index, length(text)::INT AS chars,
       md5(text) AS text_md5 FROM chunks"""),
     "chunk_stats": (chunk_stats, f"""WITH {D.CHUNKS_SQL} SELECT bidder_id, count(*) AS chunks,
@@ -289,7 +291,7 @@ QUERIES = {
     "reserve_fold": (reserve_fold, _reserve_sql()),
     "evidence_dedupe": (evidence_dedupe, """SELECT l_suppkey AS bidder_id, l_linenumber::BIGINT AS criterion_id,
       l_orderkey % 50 AS source_document, l_returnflag || l_linestatus AS value, min(l_orderkey * 10 + l_linenumber) AS ordinal
-      FROM lineitem GROUP BY ALL"""),
+      FROM lineitem GROUP BY l_suppkey, l_linenumber, l_orderkey % 50, l_returnflag, l_linestatus, l_partkey"""),
     "json_tolerant": (json_tolerant, """SELECT event_id, CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2
       WHEN 'purchase' THEN 1 ELSE 0 END AS items, CASE WHEN event_type = 'view' THEN 'v' WHEN event_type IN
         ('signup', 'purchase') THEN format('{:,.2f}', value) END AS first_value,

@@ -20,9 +20,10 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf: str, explain: bool = False) -> DataFrame:
-    prepared = E.prepare_criteria(D.rules(spark))
-    numbers = E.evidence_numbers(D.evidence(spark, sf), prepared)
-    return E.quantitative_verdicts(_pairs(spark, sf), prepared, numbers, explain)
+    """Verdicts of all pairs; criteria that need a model are put up for review."""
+    prepared, evidence = E.prepare_criteria(D.rules(spark)), D.evidence(spark, sf)
+    ruled = E.quantitative_verdicts(_pairs(spark, sf), prepared, E.evidence_numbers(evidence, prepared), explain)
+    return ruled.unionByName(E.unjudged_verdicts(_pairs(spark, sf), prepared, evidence).select(*ruled.columns))
 
 
 def eligibility_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +41,7 @@ def verdict_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 def verdict_matrix(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = _verdicts(spark, sf).withColumn("seq", F.col("criterion_id"))
-    return R.matrix(verdicts, BIDDER, ["C-001", "C-002", "C-003", "C-005", "C-006"])
+    return R.matrix(verdicts, BIDDER, [f"C-{k:03d}" for k in range(1, 8)])
 
 
 def outcome_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,11 +70,9 @@ def report_criteria(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs that have evidence from returned line items count as evaluated."""
-    lineitem = D.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
-    return lineitem.select(F.col("l_suppkey").alias("bidder_id"),
-                           F.col("l_linenumber").cast("bigint").alias("criterion_id"), "l_quantity").where(
-        F.col("l_quantity") > 49)
+    """Line items as a log of evaluations: a pair is done if its last entry was returned ("R")."""
+    log = D.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("bidder_id"), F.col("l_linenumber").cast("bigint").alias("criterion_id"))
+    return log.agg(F.max_by("l_returnflag", "l_orderkey").alias("last")).where("last = 'R'").select("bidder_id", "criterion_id")
 
 
 def pending_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +84,7 @@ def remaining_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def no_evidence_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule for pairs without evidence, over pairs not in the returned items."""
+    """Rule for pairs without evidence, over the pairs that are not done."""
     pairs = W.pending_pairs(_pairs(spark, sf), _evaluated(spark, sf))
     texts = D.rules(spark).select(F.col("id").alias("criterion_id"), "description")
     told = pairs.join(texts, "criterion_id").withColumn("_v", E.no_evidence(F.col("mandatory"), F.col("description")))
@@ -122,21 +121,19 @@ def criterion_route(spark: SparkSession, sf: str) -> DataFrame:
                            "rupee_first", "rupee_only")
 
 
-def verdict_values_in_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """All values behind missed counts, as bounded parts per pair."""
+def verdict_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value behind a missed count, a row each; the required count is put out of reach."""
     strict = D.rules(spark).withColumn("description", F.replace(
         "description", F.lit("at least three (3)"), F.lit("at least 10000000")))
     prepared = E.prepare_criteria(strict)
     numbers = E.evidence_numbers(D.evidence(spark, sf), prepared)
-    facts = E.pair_facts(numbers).withColumn("n_values", F.lit(E.INLINE_VALUES + 1))
-    return E.explanation_parts(numbers, facts, 100000)
+    return E.missed_values(numbers, E.pair_facts(numbers, sources=False))
 
 
 def empty_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers without a line item stand for bidders without usable text."""
-    chunks = D.table(spark, sf, "lineitem").where(F.col("l_quantity") >= 50).where(F.col("l_discount") >= 0.1).select(
-        F.col("l_suppkey").alias("bidder_id"))
-    return E.empty_corpus_verdicts(_pairs(spark, sf), chunks)
+    """Suppliers of whom no pair is done stand for bidders without usable text."""
+    usable = _evaluated(spark, sf).select("bidder_id")
+    return E.empty_corpus_verdicts(_pairs(spark, sf), usable)
 
 
 def rule_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,8 +153,8 @@ _PAIRS = f"""WITH {D.BIDDERS_SQL}, all_rules(criterion_id, crit_code, mandatory,
     f"({p}::BIGINT,'C-{p:03d}',{m},'{d}')" for p, d, c, m, t, e in D.RULES) + f"""),
 pairs AS (SELECT tender_id, b.id AS bidder_id, b.name AS bidder_name, criterion_id, crit_code, mandatory, description
   FROM bidders b CROSS JOIN all_rules),
-evaluated AS (SELECT DISTINCT l_suppkey AS bidder_id, l_linenumber::BIGINT AS criterion_id FROM lineitem
-  WHERE l_returnflag = 'R' AND l_quantity > 49)"""
+evaluated AS (SELECT l_suppkey AS bidder_id, l_linenumber::BIGINT AS criterion_id FROM lineitem GROUP BY ALL
+  HAVING arg_max(l_returnflag, l_orderkey) = 'R')"""
 _EXPLAINED = _V + """, best AS (SELECT bidder_id, criterion_id, arg_max(source_document, (value, -ordinal)) AS doc
   FROM joined GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY bidder_id, criterion_id ORDER BY ordinal) AS rn
@@ -175,6 +172,7 @@ named AS (SELECT v.*, b.doc, s.sources, l.vals, t.description,
 explained AS (SELECT *, CASE
   WHEN n_evidence IS NULL AND mandatory THEN 'No evidence found for: ' || description || '. The required documents may not have been submitted.'
   WHEN n_evidence IS NULL THEN 'Optional criterion not claimed: ' || left(description, 120) || '. Does not affect overall eligibility.'
+  WHEN operator IS NULL THEN 'Evaluation error: no model available. Manual review required.'
   WHEN required_count > 1 AND n_qualifying >= required_count THEN 'Found ' || n_qualifying || ' qualifying items meeting threshold '
     || bar || ' (required: ' || required_count || '). Sources: ' || sources || '.'
   WHEN required_count > 1 THEN 'Only ' || n_qualifying || ' out of ' || required_count || ' required items meet threshold '
@@ -186,7 +184,8 @@ explained AS (SELECT *, CASE
   WHEN ok THEN 'Extracted value: ' || best || ' meets threshold ' || bar || '. Source: ' || doc || '.'
   ELSE 'Extracted value: ' || best || ' does not meet threshold ' || bar || '. Shortfall: '
     || format('{:,.0f}', threshold_value - best_value) || '. Source: ' || doc || '.' END AS explanation,
-  CASE WHEN n_evidence IS NULL THEN CASE WHEN mandatory THEN 0.5 ELSE 1.0 END WHEN required_count > 1 THEN 0.95
+  CASE WHEN n_evidence IS NULL THEN CASE WHEN mandatory THEN 0.5 ELSE 1.0 END WHEN operator IS NULL THEN 0.0
+    WHEN required_count > 1 THEN 0.95
     WHEN low_ocr THEN 0.5 WHEN abs(best_value - threshold_value) <= threshold_value * 0.1 THEN 0.7 ELSE 0.95
   END::DOUBLE AS confidence FROM named)"""
 _BADGE = "replace({}, '_', ' ')"
@@ -208,7 +207,7 @@ QUERIES = {
       verdict, explanation, confidence FROM explained"""),
     "verdict_matrix": (verdict_matrix, f"""{_V}, o AS (SELECT tender_id, bidder_id, bidder_name, {', '.join(
         f"max(CASE WHEN crit_code = '{c}' THEN {_icon('verdict')} END) AS {c.replace('-', '_')}"
-        for c in ('C-001', 'C-002', 'C-003', 'C-005', 'C-006'))}, {D.OVERALL_SQL} AS o FROM verdicts
+        for c in [f'C-{k:03d}' for k in range(1, 8)])}, {D.OVERALL_SQL} AS o FROM verdicts
         GROUP BY tender_id, bidder_id, bidder_name)
       SELECT * EXCLUDE (o), {_icon('o')} || ' ' || {_label('o')} AS overall FROM o"""),
     "outcome_histogram": (outcome_histogram, f"""{_V}, s AS ({_SUMMARY})
@@ -243,9 +242,9 @@ QUERIES = {
     "low_ocr_review": (low_ocr_review, f"""{_V} SELECT bidder_id, criterion_id, n_evidence, n_qualifying,
       round(best_value, 2) AS best_value, doc::VARCHAR AS best_source FROM facts JOIN (SELECT bidder_id, criterion_id,
         arg_max(source_document, (value, -ordinal)) AS doc FROM joined GROUP BY ALL) USING (bidder_id, criterion_id)
-      WHERE low_ocr"""),
+      WHERE low_ocr AND criterion_id NOT IN (4, 7)"""),
     "evidence_numbers": (evidence_numbers, f"""{_V} SELECT bidder_id, criterion_id, ordinal, round(value, 2) AS value
-      FROM joined"""),
+      FROM joined WHERE operator IS NOT NULL"""),
     "criterion_route": (criterion_route, f"""WITH {D.RULES_SQL},
       routes(criterion_id, rupee_first, rupee_only) AS (VALUES (1::BIGINT,TRUE,FALSE),(2,TRUE,FALSE),(3,FALSE,FALSE),
         (4,FALSE,NULL),(5,TRUE,FALSE),(6,TRUE,FALSE),(7,FALSE,FALSE))
@@ -254,12 +253,11 @@ QUERIES = {
         CASE WHEN operator IS NULL THEN 'qualitative' ELSE 'quantitative' END AS route, rupee_first,
         coalesce(rupee_only, FALSE) AS rupee_only
       FROM region CROSS JOIN routes x LEFT JOIN rules USING (criterion_id)"""),
-    "verdict_values_in_parts": (verdict_values_in_parts, f"""{_V} SELECT bidder_id, criterion_id, ordinal // 100000 AS part,
-      count(*) AS values, string_agg(format('{{:,.0f}}', value), ', ' ORDER BY ordinal, value) AS values_text
-      FROM joined WHERE criterion_id = 2 GROUP BY ALL"""),
+    "verdict_values": (verdict_values, f"""{_V} SELECT bidder_id, criterion_id, ordinal, value,
+      format('{{:,.0f}}', value) AS printed FROM joined WHERE criterion_id = 2"""),
     "empty_corpus": (empty_corpus, f"""{_PAIRS} SELECT bidder_id, criterion_id, 'NEEDS_REVIEW' AS verdict,
       'No usable text could be extracted from this bidder''s documents.' AS explanation, 0.0::DOUBLE AS confidence
-      FROM pairs WHERE bidder_id NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)"""),
+      FROM pairs WHERE bidder_id NOT IN (SELECT bidder_id FROM evaluated)"""),
     "rule_labels": (rule_labels, f"""{_V} SELECT bidder_id, criterion_id, {_BADGE.format('verdict')} AS badge,
       {_label('verdict')} AS label, {_icon('verdict')} AS icon,
       CASE verdict WHEN 'ELIGIBLE' THEN '✓' WHEN 'NOT_ELIGIBLE' THEN '✗' ELSE '◆' END AS mark,

@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eligora import constants as K
 from eligora.functions import jsontext as J
 from eligora.functions import text as X
 from eligora.functions.money import model_money
+from eligora.session import cut
 
 
 class ModelNotFound(RuntimeError):
@@ -76,9 +77,19 @@ def ask(df: DataFrame, prompt: str, client: ClientFactory, system: str = "", jso
     return df.mapInPandas(run, schema)
 
 
+def _mean(vectors: list[list[float]], weights: list[int]) -> list[float]:
+    if len(vectors) < 2:
+        return vectors[0] if vectors else []
+    total = sum(weights)
+    return [sum(w * x for w, x in zip(weights, column)) / total for column in zip(*vectors)]
+
+
 def embed(df: DataFrame, text: str, client: ClientFactory, column: str = "embedding") -> DataFrame:
-    """Add an embedding of the first characters of ``text``; NULL on failure,
-    empty for blank text."""
+    """Add an embedding of ``text``; NULL on failure, empty for blank text.
+
+    A text longer than a call takes is embedded in consecutive pieces, and its
+    vector is their mean weighted by length, so that all of it counts.
+    """
     schema = (f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, "
               f"`{column}` array<float>")
 
@@ -87,10 +98,11 @@ def embed(df: DataFrame, text: str, client: ClientFactory, column: str = "embedd
         for rows in batches:
             out = []
             for value in rows[text]:
-                clean = (value or "").strip()[:K.EMBED_INPUT_CHARS]
+                clean = (value or "").strip()
+                pieces = [clean[i:i + K.EMBED_INPUT_CHARS] for i in range(0, len(clean), K.EMBED_INPUT_CHARS)]
                 try:
-                    vector = model.embed(clean) if clean else []
-                    out.append(vector if vector or not clean else None)
+                    vectors = [model.embed(p) for p in pieces]
+                    out.append(_mean(vectors, [len(p) for p in pieces]) if all(vectors) else None)
                 except Exception:
                     out.append(None)
             yield rows.assign(**{column: out})
@@ -114,18 +126,21 @@ an empty list when there is none. Amounts are in whole rupees (1 lakh = 100000,
 """
 
 
-def model_extractor(client: ClientFactory, contexts: DataFrame, documents: DataFrame,
-                    keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+def model_extractor(client: ClientFactory, contexts: DataFrame | Callable[[DataFrame], DataFrame], documents: DataFrame, keys: list[str],
+                    scan_keys: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
     """Extractor for ``operators.extraction.scan`` that asks a model.
 
     Batches need source_document, batch, description, threshold and
-    expected_evidence; ``contexts`` has their text per ``keys`` and batch, and
-    ``documents`` the OCR confidence per ``keys``.
+    expected_evidence; ``contexts`` has their text per ``scan_keys`` (``keys`` by
+    default) and batch, or makes it for the distinct keys of a wave; ``documents``
+    has the OCR confidence per ``keys``.
     """
+    scan_keys = scan_keys or keys
     from eligora.operators.extraction import with_document_confidence
 
     def extract(batches: DataFrame) -> DataFrame:
-        batches = batches.join(contexts.select(*keys, "batch", "context"), keys + ["batch"])
+        held = contexts(batches.select(*scan_keys).distinct()) if callable(contexts) else contexts
+        batches = batches.join(held.select(*scan_keys, "batch", "context"), scan_keys + ["batch"])
         fields = {n: F.coalesce(F.col(n), F.lit(d)) for n, d in
                   (("description", ""), ("threshold", "N/A"), ("expected_evidence", ""), ("context", ""))}
         prompts = batches.withColumn("_prompt", X.fill_template(EVIDENCE_PROMPT, **fields)).drop("context")
@@ -141,72 +156,94 @@ def model_extractor(client: ClientFactory, contexts: DataFrame, documents: DataF
     return extract
 
 
+def no_evidence_rows(batches: DataFrame) -> DataFrame:
+    """Extractor where there is no model to ask: finds nothing."""
+    columns = {"item": "int", "extracted_value": "string", "normalized_value": "double", "source_text": "string", "notes": "string", "ocr_confidence": "double"}
+    return batches.where(F.lit(False)).withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items()})
+
+
 # -- verdicts by judgement ---------------------------------------------------
 
-VERDICT_SYSTEM = ("Judge one bidder against one criterion. Decide where the evidence is clear; ask for review "
-                  "only where it is missing, contradictory or borderline. Answer with JSON only.")
-VERDICT_PROMPT = """Criterion: {description}
-Category: {category}
-Mandatory: {mandatory}
-Condition: {threshold}
+VERDICT_SYSTEM = "Fill one row of a verdicts table as JSON: verdict, explanation, confidence."
+VERDICT_PROMPT = """Rule of the tender ({category}; obligatory: {mandatory}): {description}
+Limit: {threshold}
 
-Evidence:
+What the bidder handed in:
 {evidence}
 
-Answer {"verdict": "ELIGIBLE" or "NOT_ELIGIBLE" or "NEEDS_REVIEW", "explanation": two or three sentences
-naming values and documents, "confidence": 0.0 to 1.0}.
+Return {"verdict": one of "ELIGIBLE", "NOT_ELIGIBLE", "NEEDS_REVIEW", "explanation": the reason with its figures and files,
+"confidence": number from 0 to 1}.
 """
-# Evidence that fits a model's window; longer lists go to an officer.
+# Characters of evidence in one call; longer lists are judged in parts.
 EVIDENCE_CHARS = 4 * 16384
 
 
-def evidence_summary(evidence: DataFrame, group: list[str]) -> DataFrame:
-    """Numbered evidence text per group, NULL when it exceeds a model's window.
+def evidence_parts(evidence: DataFrame, group: list[str], limit: int = EVIDENCE_CHARS) -> DataFrame:
+    """Numbered evidence text per group in parts of about ``limit`` characters: group, part, evidence.
 
-    Lengths are summed first, so only lists that fit are ever gathered.
+    Numbers run on through the parts.  A part is a range of the running length, so
+    no more than ``limit`` characters and one row are ever gathered together.
     """
     line = F.concat(F.lit(". Document: "), F.coalesce("source_document", F.lit("unknown")),
                     F.lit("\n   Extracted: "), F.coalesce("extracted_value", F.lit("N/A")),
                     F.lit("\n   Detail: "), F.coalesce("source_text", F.lit("N/A")),
                     F.lit("\n   Notes: "), F.coalesce("notes", F.lit("None")), F.lit("\n"))
     lines = evidence.select(*group, "ordinal", line.alias("_line"))
-    sizes = lines.groupBy(*group).agg(F.sum(F.length("_line") + 8).alias("_chars"))
-    fits = sizes.where(F.col("_chars") <= EVIDENCE_CHARS).select(*group)
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "_line")))
-    told = lines.join(fits, group).groupBy(*group).agg(F.array_join(F.transform(
-        ordered, lambda r, i: F.concat(F.lit("\n"), (i + 1).cast("string"), r["_line"])), "").alias("evidence"))
-    return sizes.select(*group).join(told, group, "left")
+    inorder = Window.partitionBy(*group).orderBy("ordinal")
+    before = F.coalesce(F.sum(F.length("_line") + 8).over(inorder.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.select(*group, "_line", F.row_number().over(inorder).alias("_n"), F.floor(before / limit).cast("int").alias("part"))
+    ordered = F.array_sort(F.collect_list(F.struct("_n", "_line")))
+    return placed.groupBy(*group, "part").agg(F.array_join(F.transform(
+        ordered, lambda r: F.concat(F.lit("\n"), r["_n"].cast("string"), r["_line"])), "").alias("evidence"))
 
 
-def qualitative_verdicts(pairs: DataFrame, criteria: DataFrame, evidence: DataFrame,
-                         client: ClientFactory) -> DataFrame:
-    """Model verdicts; without evidence the fixed rule, on failure a review."""
+def evidence_summary(evidence: DataFrame, group: list[str]) -> DataFrame:
+    """The whole numbered evidence text per group, for showing."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "evidence")))
+    return evidence_parts(evidence, group).groupBy(*group).agg(F.array_join(F.transform(parts, lambda p: p["evidence"]), "").alias("evidence"))
+
+
+def qualitative_verdicts(pairs: DataFrame, criteria: DataFrame, evidence: DataFrame, client: ClientFactory,
+                         system: str = VERDICT_SYSTEM, prompt: str = VERDICT_PROMPT, limit: int = EVIDENCE_CHARS) -> DataFrame:
+    """Model verdicts; without evidence the fixed rule, on failure a review.
+
+    Evidence of more than ``limit`` characters is judged part by part, and the
+    verdicts of the parts are then judged together; all of it is read.
+    """
     from eligora.operators.evaluate import PAIR, no_evidence
-    told = evidence_summary(evidence, PAIR).withColumn("_has", F.lit(True))
-    rows = pairs.select(*PAIR).join(criteria, "criterion_id").join(told, PAIR, "left")
+    parts = evidence_parts(evidence, PAIR, limit)
+    rows = pairs.select(*PAIR).join(criteria, "criterion_id").join(parts, PAIR, "left")
     desc = F.coalesce("description", F.lit(""))
-    bare = rows.where(F.col("_has").isNull()).select(*PAIR, no_evidence(F.col("mandatory"), desc).alias("_v"))
+    bare = rows.where(F.col("part").isNull()).select(*PAIR, no_evidence(F.col("mandatory"), desc).alias("_v"))
     fields = {"description": desc, "category": F.coalesce("category", F.lit("")),
               "mandatory": F.initcap(F.coalesce("mandatory", F.lit(True)).cast("string")),
               "threshold": F.coalesce("threshold", F.lit("N/A")), "evidence": F.col("evidence")}
-    asked = rows.where(F.col("evidence").isNotNull()).select(
-        *PAIR, X.fill_template(VERDICT_PROMPT, **fields).alias("_prompt"))
-    replies = ask(asked, "_prompt", client, VERDICT_SYSTEM)
+
+    def judged(asked: DataFrame, keys: list[str]) -> DataFrame:
+        prompts = asked.select(*keys, X.fill_template(prompt, **fields).alias("_prompt"))
+        return ask(prompts, "_prompt", client, system).select(*keys, _verdict_of_reply().alias("_v"))
+    single = cut(judged(rows.where(F.col("part").isNotNull()), [*PAIR, "part"]))
+    counts = single.groupBy(*PAIR).agg(F.count("*").alias("_parts"))
+    counted = single.join(counts, PAIR)
+    told = F.concat(F.lit("\nPart "), (F.col("part") + 1).cast("string"), F.lit(": "), F.col("_v.verdict"), F.lit(". "), F.col("_v.explanation"))
+    several = counted.where("_parts > 1").groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("part", told.alias("t")))).alias("_p"))
+    again = several.select(*PAIR, F.array_join(F.transform("_p", lambda p: p["t"]), "").alias("evidence")).join(criteria, "criterion_id")
+    return (bare.unionByName(counted.where("_parts = 1").select(*PAIR, "_v")).unionByName(judged(again, PAIR))
+            .select(*PAIR, "_v.*"))
+
+
+def _verdict_of_reply() -> Column:
+    """struct<verdict, explanation, confidence> of a reply; a review where it is missing or no JSON."""
     body = J.json_body("reply")
     verdict = F.try_variant_get(body, "$.verdict", "string")
     known = F.when(verdict.isin(K.ELIGIBLE, K.NOT_ELIGIBLE, K.NEEDS_REVIEW), verdict).otherwise(K.NEEDS_REVIEW)
-    failed = F.concat(F.lit("Evaluation error: "), F.coalesce("error", F.lit("invalid JSON")),
-                      F.lit(". Manual review required."))
+    failed = F.concat(F.lit("Evaluation error: "), F.coalesce("error", F.lit("invalid JSON")), F.lit(". Manual review required."))
 
     def made(v: Column, text: Column, conf: Column) -> Column:
         return F.struct(v.alias("verdict"), text.alias("explanation"), conf.alias("confidence"))
-    judged = replies.select(*PAIR, F.when(body.isNull(), made(F.lit(K.NEEDS_REVIEW), failed, F.lit(0.0))).otherwise(made(
+    return F.when(body.isNull(), made(F.lit(K.NEEDS_REVIEW), failed, F.lit(0.0))).otherwise(made(
         known, F.coalesce(F.try_variant_get(body, "$.explanation", "string"), F.lit("No explanation provided.")),
-        F.coalesce(F.try_variant_get(body, "$.confidence", "double"), F.lit(0.5)))).alias("_v"))
-    too_long = rows.where(F.col("_has") & F.col("evidence").isNull()).select(*PAIR, made(
-        F.lit(K.NEEDS_REVIEW), F.lit("Evaluation error: more evidence than fits one model call. "
-                                     "Manual review required."), F.lit(0.0)).alias("_v"))
-    return bare.unionByName(judged).unionByName(too_long).select(*PAIR, "_v.*")
+        F.coalesce(F.try_variant_get(body, "$.confidence", "double"), F.lit(0.5))))
 
 
 # -- criteria, summaries, amounts --------------------------------------------
@@ -241,25 +278,35 @@ def extract_criteria(tenders: DataFrame, client: ClientFactory) -> DataFrame:
     return merge_similar(listed)
 
 
-SUMMARY_SYSTEM = "Write a factual search summary. No markdown."
-SUMMARY_PROMPT = """File: {name}
+SUMMARY_SYSTEM = "Produce the document column of a search index: plain prose, facts only."
+SUMMARY_PROMPT = """Source file {name}:
 
 {text}
 
-Write one dense paragraph of at most 120 words for search: company identifiers, amounts, dates, certificates,
-registrations, similar works with values, staff and experience, suspensions or litigation.
+In one paragraph, tell what a reader could search this text for.
 """
 
 
-def summarise(documents: DataFrame, keys: list[str], client: ClientFactory) -> DataFrame:
-    """One search paragraph per document; the document's start on failure."""
-    excerpt = X.left(F.coalesce("full_text", F.lit("")), K.SUMMARY_INPUT_CHARS)
-    rows = documents.where(~X.is_blank("full_text")).select(*keys, "filename", excerpt.alias("_text"))
-    prompts = rows.withColumn("_prompt", X.fill_template(SUMMARY_PROMPT, name=F.col("filename"), text=F.col("_text")))
-    replies = ask(prompts, "_prompt", client, SUMMARY_SYSTEM, json_mode=False)
-    told = F.when(F.col("reply").isNull(), X.left("_text", K.SUMMARY_FALLBACK_CHARS)).otherwise(
-        X.left(X.strip("reply"), K.SUMMARY_OUTPUT_CHARS))
-    return replies.select(*keys, told.alias("summary"))
+def summarise(documents: DataFrame, keys: list[str], client: ClientFactory, system: str = SUMMARY_SYSTEM,
+              prompt: str = SUMMARY_PROMPT, block: int = K.SUMMARY_INPUT_CHARS) -> DataFrame:
+    """One search paragraph per document, from the whole text.
+
+    Each block of ``block`` characters is summarised; a document of several blocks
+    gets a summary of its blocks' summaries.  A block whose call fails stands for
+    itself by its start, so no block is left out.
+    """
+    text = F.coalesce("full_text", F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0))
+    blocks = documents.where(~X.is_blank("full_text")).select(*keys, "filename", F.posexplode(pieces).alias("_block", "_text"))
+
+    def told(rows: DataFrame, carried: list[str]) -> DataFrame:
+        prompts = rows.withColumn("_prompt", X.fill_template(prompt, name=F.col("filename"), text=F.col("_text")))
+        replies = ask(prompts, "_prompt", client, system, json_mode=False)
+        return replies.select(*carried, F.coalesce(X.strip("reply"), X.left("_text", K.SUMMARY_FALLBACK_CHARS)).alias("summary"))
+    first = cut(told(blocks, [*keys, "filename", "_block"]))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "summary"))), lambda p: p["summary"]), "\n")
+    whole = cut(first.groupBy(*keys, "filename").agg(F.count("*").alias("_n"), joined.alias("_text")))
+    return whole.where("_n = 1").select(*keys, F.col("_text").alias("summary")).unionByName(told(whole.where("_n > 1"), keys))
 
 
 MONEY_SYSTEM = "Answer with JSON only. Whole units, no cents or paise."
@@ -276,13 +323,18 @@ def money_with_model(df: DataFrame, key: str, text: str, client: ClientFactory)
     from eligora.functions import money as M
     ruled = df.select(key, text, M.money_candidates(text).alias("_c"))
     unsure = ruled.where(M.needs_model(F.col("_c")) & ~X.is_blank(text))
-    prompts = unsure.select(key, X.fill_template(MONEY_PROMPT, text=X.left(X.strip(text), K.MONEY_SNIPPET_CHARS))
-                            .alias("_prompt"))
+    # windows of the whole text that overlap by half, and of these the ones with a digit
+    step = K.MONEY_SNIPPET_CHARS // 2
+    stripped = unsure.select(key, X.strip(text).alias("_t"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("_t") - step - 1, F.lit(0)) / step).cast("int"))
+    windows = stripped.select(key, F.posexplode(F.transform(starts, lambda i: F.substr(F.col("_t"), i * step + 1, F.lit(2 * step)))).alias("_w", "_text"))
+    prompts = windows.where((F.col("_w") == 0) | F.col("_text").rlike("[0-9]")).select(key, "_w", X.fill_template(MONEY_PROMPT, text=F.col("_text")).alias("_prompt"))
     replies = ask(prompts, "_prompt", client, MONEY_SYSTEM, True, K.MONEY_TOKENS)
     body = J.json_body("reply")
     reply = F.struct(*[F.try_variant_get(body, f"$.{n}", "string").alias(n)
                        for n in ("amount", "currency", "confidence")])
-    extra = replies.select(key, model_money(reply).alias("_m"))
+    read = replies.select(key, "_w", model_money(reply).alias("_m")).where("_m is not null")
+    extra = read.groupBy(key).agg(F.max_by("_m", F.struct(F.col("_m.confidence"), -F.col("_w"))).alias("_m"))
     joined = ruled.join(extra, key, "left")
     candidates = F.when(F.col("_m").isNull(), F.col("_c")).otherwise(F.concat("_c", F.array("_m")))
     return joined.select(key, M.pick_best(candidates).alias("money"))

