@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from eligora import constants as K
 from eligora.operators.ranking import top_k
+from eligora.session import cut
+
 
 def _sum(terms: list[Column]) -> Column:
     """Balanced sum, so that long vectors do not make a deep expression."""
@@ -123,19 +125,50 @@ def complete_indexes(embedded: DataFrame) -> DataFrame:
     return embedded.join(failed, "bidder_id", "left_anti")
 
 
-def write_index(rows: DataFrame, path: str) -> None:
-    """Replace the partitions of the bidders in ``rows``; others stay."""
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bidder_id").parquet(path))
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("bidder_id"), F.lit(buckets)).cast("int"))
+
+
+def write_index(rows: DataFrame, path: str, old: DataFrame | None = None, buckets: int = 64, salt: int = 4) -> None:
+    """Write the rows of their bidders into the buckets these fall into.
+
+    A bucket holds the bidders of one hash value; ``salt`` files at most are
+    written for it by as many tasks.  ``old`` is the index so far
+    (``read_index``): the other bidders of the buckets touched are written again,
+    so that a bidder's rows are replaced whole.  The new state is stored before
+    buckets are overwritten.
+    """
+    new = _bucketed(rows, buckets)
+    if old is not None:
+        touched = new.select("bucket").distinct()
+        others = _bucketed(old, buckets).join(touched, "bucket", "left_semi").join(rows.select("bidder_id").distinct(), "bidder_id", "left_anti")
+        new = new.unionByName(others.select(*new.columns))
+    _overwrite(cut(new), path, buckets, salt)
+
 
+def _overwrite(stored: DataFrame, path: str, buckets: int, salt: int) -> None:
+    # a fixed number of tasks: buckets * salt folders' files whatever the number of bidders
+    dealt = stored.repartition(buckets * salt, F.col("bucket"), F.pmod(F.xxhash64(*[c for c in stored.columns if c != "embedding"]), F.lit(salt)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
-def delete_index(spark: SparkSession, path: str, bidder_ids: list[int]) -> None:
-    """Drop the partitions of the given bidders."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for bidder in bidder_ids:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"bidder_id={int(bidder)}"), True)
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the index; the blank rows of emptied buckets are left out."""
+    return spark.read.parquet(path).where(F.col("bidder_id").isNotNull()).drop("bucket")
+
+
+def delete_index(spark: SparkSession, path: str, bidders: DataFrame, buckets: int = 64, salt: int = 4) -> None:
+    """Take the bidders (bidder_id) out of the index: their buckets are written anew without them.
+
+    A bucket that keeps no other bidder gets a blank row, which ``read_index``
+    leaves out; no folder is deleted from the driver.
+    """
+    gone = _bucketed(bidders.select("bidder_id").distinct(), buckets)
+    held = spark.read.parquet(path).join(gone.select("bucket").distinct(), "bucket", "left_semi")
+    left = held.join(gone.select("bidder_id"), "bidder_id", "left_anti")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema if f.name != "bucket"]
+    empty = gone.select("bucket").distinct().join(left.select("bucket").distinct(), "bucket", "left_anti").select("bucket", *blank)
+    _overwrite(cut(left.select(*held.columns).unionByName(empty.select(*held.columns))), path, buckets, salt)
 
 
 def retrieve(fused: DataFrame, keyword: DataFrame, indexed: DataFrame, key: str = "bidder_id") -> DataFrame:

@@ -108,15 +108,26 @@ _READERS = {"text": _text_pages, "docx": _docx_pages, "pdf": _pdf_pages, "image"
 
 
 def with_pages(files: DataFrame) -> DataFrame:
-    """Replace ``content`` by ``pages``; unknown kinds give one empty page."""
+    """Replace ``content`` by ``pages`` and ``error``; unknown kinds give one empty page.
+
+    A file that its reader cannot read gives one empty page and the reason, and
+    does not fail the job; a missing reader library does.
+    """
     kept = [f for f in files.schema.fields if f.name != "content"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", pages array<struct<{_struct()}>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", pages array<struct<{_struct()}>>, error string"
+
+    def read(kind: str, content: bytes) -> tuple[list[dict], str | None]:
+        try:
+            return (_READERS[kind](bytes(content)) if kind in _READERS else [_page(1, "")]), None
+        except BackendMissing:
+            raise
+        except Exception as e:
+            return [_page(1, "")], f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            pages = [_READERS[k](bytes(c)) if k in _READERS else [_page(1, "")]
-                     for k, c in zip(rows["file_type"], rows["content"])]
-            yield rows.drop(columns="content").assign(pages=pages)
+            made = [read(k, c) for k, c in zip(rows["file_type"], rows["content"])]
+            yield rows.drop(columns="content").assign(pages=[p for p, _ in made], error=[e for _, e in made])
     return files.mapInPandas(run, schema)
 
 

@@ -164,12 +164,17 @@ def test_failed_embedding_drops_the_bidder(spark):
     assert sorted((r.bidder_id, r.embedding) for r in got) == [(2, []), (2, [3.0, 1.0])]
 
 
-def test_index_partitions_are_replaced_by_bidder(spark, tmp_path):
+def test_index_rows_are_replaced_by_bidder(spark, tmp_path):
     path = str(tmp_path / "index")
-    one = spark.createDataFrame([(1, "a"), (2, "b")], "bidder_id long, document string")
-    V.write_index(one, path)
-    V.write_index(spark.createDataFrame([(2, "c")], "bidder_id long, document string"), path)
-    assert sorted((r.bidder_id, r.document) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+    rows = lambda *x: spark.createDataFrame(list(x), "bidder_id long, document string")
+    V.write_index(rows((1, "a"), (2, "b"), (3, "c")), path, buckets=2)
+    V.write_index(rows((2, "new"), (4, "d")), path, old=V.read_index(spark, path), buckets=2)
+    found = lambda: sorted((r.bidder_id, r.document) for r in V.read_index(spark, path).collect())
+    assert found() == [(1, "a"), (2, "new"), (3, "c"), (4, "d")]
+    V.delete_index(spark, path, rows((1, ""), (3, "")), buckets=2)
+    assert found() == [(2, "new"), (4, "d")]
+    V.delete_index(spark, path, rows((2, ""), (4, "")), buckets=2)
+    assert found() == []
 
 
 def test_fingerprint_is_one_of_any_size_and_order(spark):
@@ -316,13 +321,6 @@ def test_assessment_from_documents_to_verdicts(spark, tmp_path, reserve):
     assert ws.table("audit_log").count() == 2 and ws.table("verdicts").count() == 0
 
 
-def test_index_of_a_bidder_is_dropped(spark, tmp_path):
-    path = str(tmp_path / "index")
-    V.write_index(spark.createDataFrame([(1, "a"), (2, "b")], "bidder_id long, document string"), path)
-    V.delete_index(spark, path, [1])
-    assert [r.bidder_id for r in spark.read.parquet(path).collect()] == [2]
-
-
 def test_retrieval_follows_the_index(spark):
     hits = "bidder_id long, source_document string, chunk_index int, rank int"
     fused = spark.createDataFrame([(1, "v", 0, 1), (2, "v", 0, 1)], hits)

@@ -122,10 +122,12 @@ def test_files_become_documents(spark, tmp_path):
     (folder / "a.txt").write_bytes(b"one\r\ntwo \xff\xfe three")
     (folder / "b.docx").write_bytes(docx())
     (folder / "c.bin").write_bytes(b"zz")
+    (folder / "d.docx").write_bytes(b"no archive")
     rows = {r.filename: r for r in S.ingest(spark, str(tmp_path)).collect()}
     assert rows["a.txt"].full_text == "one\ntwo  three"
     assert rows["b.docx"].full_text == "Turnover Rs. 5 crore\nlast\tline"
     assert rows["b.docx"].pages[0].tables == [[["a", "b"]]]
+    assert rows["d.docx"].full_text == "" and "BadZipFile" in rows["d.docx"].error and rows["a.txt"].error is None
     assert (rows["c.bin"].full_text, rows["c.bin"].page_count, rows["c.bin"].file_type) == ("", 1, "unknown")
     assert {(r.tender, r.bidder, r.min_ocr_confidence) for r in rows.values()} == {("T1", "B1", None)}
 
