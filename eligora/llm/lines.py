@@ -53,24 +53,25 @@ def _text(lines: Column, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["start"] + 1, span["size"]), "\n")
 
 
-def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, text_hash, k, chunk (the text) and n_lines (lines with a word) for each chunk of each text."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines")).where("lines is not null")
-    spans = lines.select("doc_id", "text_hash", "lines", F.explode(chunk_spans(F.col("lines"), window, divisor)).alias("s"))
+def chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_hash, k, chunk (the text), n_lines (lines with a word) and the ``keep`` columns for each chunk of each text."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"), *keep).where("lines is not null")
+    spans = lines.select("doc_id", "text_hash", "lines", *keep, F.explode(chunk_spans(F.col("lines"), window, divisor)).alias("s"))
     own = F.slice("lines", F.col("s.start") + 1, F.col("s.size"))
-    return spans.select("doc_id", "text_hash", F.col("s.k").alias("k"), F.array_join(own, "\n").alias("chunk"), F.size(F.filter(own, lambda x: x.rlike("[^ \\t-\\r]"))).alias("n_lines"))
+    return spans.select("doc_id", "text_hash", F.col("s.k").alias("k"), F.array_join(own, "\n").alias("chunk"), F.size(F.filter(own, lambda x: x.rlike("[^ \\t-\\r]"))).alias("n_lines"), *keep)
 
 
 def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, text_hash, k) of every chunk whose bytes have occurred before."""
     docs = docs.select("doc_id", "text")
-    whole = lambda d: chunks(d, window, divisor).where(F.col("n_lines") >= min_lines).withColumn("hash", F.xxhash64("chunk"))
+    whole = lambda d, keep=(): chunks(d, window, divisor, keep).where(F.col("n_lines") >= min_lines).withColumn("hash", F.xxhash64("chunk"))
     place = F.struct("doc_id", "text_hash", "k")
     firsts = whole(docs).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    suspects = whole(docs).select("doc_id", "text_hash", "hash").join(firsts, "hash", "left_semi").select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    same = (keyed["doc_id"].eqNullSafe(suspects["doc_id"])) & (keyed["text_hash"] == suspects["text_hash"])
-    held = whole(keyed.join(suspects, same, "left_semi")).select("hash", place.alias("place"), "chunk").join(firsts, "hash")
+    repeated = whole(docs).select("doc_id", "text_hash", "k", "hash").join(firsts, "hash", "left_semi")
+    suspects = repeated.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("k").alias("_ks"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    met = keyed.join(suspects, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")))
+    held = whole(met, ("_ks",)).where(F.array_contains("_ks", F.col("k"))).select("hash", place.alias("place"), "chunk").join(firsts, "hash")
     original = held.where(F.col("place") == F.col("first")).select("hash", F.col("chunk").alias("original")).dropDuplicates(["hash"])
     copies = held.where(F.col("place") != F.col("first")).join(original, "hash")
     return copies.where(F.col("chunk") == F.col("original")).select("place.*")
