@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from eligora.session import cut
 
+#: Links per task: a round over few links then leaves few shuffle files, and one over many has many tasks.
+TASK_ROWS = 200_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node that can be reached; nodes without a link have no row.
@@ -17,14 +20,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = cut(links.select(F.col(a).alias("node"), F.col(b).alias("other"))
                .unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node <> other").distinct())
-    state = cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")))
+    tasks = max(1, -(-both.count() // TASK_ROWS))
+    both = both.coalesce(tasks)
+    state = cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")).coalesce(tasks))
     while True:
-        near = both.join(state.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        moved = state.join(near, "node").select("node", "root", F.least("root", "near").alias("near"))
+        met = both.join(state.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").coalesce(tasks)
+        near = met.groupBy("node").agg(F.min("near").alias("near"))
+        moved = state.join(near, "node").select("node", "root", F.least("root", "near").alias("near")).coalesce(tasks)
         hooks = moved.where("near < root").groupBy("root").agg(F.min("near").alias("hook"))
-        hung = moved.join(hooks, "root", "left").select("node", F.col("root").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("root"))
+        hung = moved.join(hooks, "root", "left").select("node", F.col("root").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("root")).coalesce(tasks)
         jump = hung.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = cut(hung.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
+        new = cut(hung.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")).coalesce(tasks))
         if new.where("root <> old").isEmpty():
             return new.select("node", "root")
         state = new.select("node", "root")

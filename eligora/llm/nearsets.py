@@ -208,14 +208,14 @@ def _missing_links(groups: DataFrame, threshold: int) -> DataFrame:
     return groups.mapInArrow(run, "a binary, b binary")
 
 
-def _within_families(near: DataFrame, links: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _within_families(near: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """All links that join components of one family: texts tied together by promising pairs.
 
     In each family the nodes outside its largest component are compared with all
     nodes of the family, a block of the former and a block of the latter per list.
     """
     family = components(near).select("node", F.col("root").alias("family"))
-    placed = cut(family.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = cut(family.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
     rest = placed.join(split.select("family", F.col("main.root").alias("main"), "size"), "family").join(sets, "node")
@@ -258,8 +258,10 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = cut(_promising(sketched(stars), threshold))
     links = cut(_confirmed(near, sets, threshold))
-    links = cut(links.unionByName(_within_families(near, links, sets, threshold)))
     roots = components(links)
+    more = cut(_within_families(near, roots, sets, threshold))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     named = (classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_node = named.join(names, "root").select("node", "component_id")
