@@ -1,7 +1,6 @@
 """Chunks, keywords, order, batches, replies, files, similar criteria."""
 
 import io
-import re
 import zipfile
 from difflib import SequenceMatcher
 
