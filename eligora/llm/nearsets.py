@@ -12,12 +12,15 @@ threshold by ``MARGIN`` (over five standard errors) are left out, all others are
 confirmed on the sets themselves.
 
 Copies have one node, the digest of their set.  In each bucket every node is
-paired with one leader only, the node that shares most buckets with others, which
-in a group of edited copies is the text nearest to all.  Families, the texts tied
-together by promising pairs, whose links leave them in several components are then
-compared on their sets: the nodes outside the largest component with all nodes, in
-blocks.  So neither a bucket nor a family ever stands in one task, and no list of
-all pairs is made.  Two texts with similarity 0.85 share no band with probability
+first paired with one leader, the node that shares most buckets with others, which
+in a group of edited copies is the text nearest to all.  Promising pairs tie texts
+to families.  Where the other members of a bucket are of several families, those
+outside its largest family are compared with all of them by registers, in blocks,
+and promising pairs join the families.  Families whose links leave them in several
+components are then compared on their sets: the nodes outside the largest component
+with all nodes, in blocks.  So every pair of a bucket is compared or tied already,
+neither a bucket nor a family ever stands in one task, and no list of all pairs is
+made.  Two texts with similarity 0.85 share no band with probability
 1e-8 (0.8: 1e-5).
 
 Texts without a word are linked with nothing.  Rows with a null doc_id are linked
@@ -154,6 +157,68 @@ def _promising(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
+def _joining_pairs(groups: DataFrame, threshold: int) -> DataFrame:
+    """Promising pairs between the two blocks of a bucket that join what is still in different families.
+
+    ``groups``: lists m of (node, family, n, registers, left); nodes with ``left`` are compared with all others of the list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column(0):
+                m = group.values
+                nodes, families = m.field("node").to_pylist(), m.field("family").to_pylist()
+                n, regs = m.field("n").to_numpy().astype(float), _matrix(m.field("registers"))
+                _, kind = np.unique(np.array([f.hex() for f in families]), return_inverse=True)
+                left = np.flatnonzero(m.field("left").to_numpy(zero_copy_only=False))
+                same = np.zeros((len(left), len(nodes)), np.uint8)
+                for x in np.ascontiguousarray(regs.T):
+                    same += x[left][:, None] == x[None, :]
+                # fewer equal registers than this are six standard errors from a pair at the threshold
+                open_ = (same >= (threshold / 100 - 0.15) * REGISTERS) & (kind[left][:, None] != kind[None, :])
+                open_ &= 100 * np.minimum(n[left][:, None], n[None, :]) >= threshold * np.maximum(n[left][:, None], n[None, :])
+                a, b = np.nonzero(open_)
+                a = left[a]
+                known: dict = {}
+
+                def top(x):
+                    while known.get(x, x) != x:
+                        x = known[x]
+                    return x
+
+                out_a, out_b = [], []
+                for low in range(0, len(a), SLICE):
+                    i, j = a[low:low + SLICE], b[low:low + SLICE]
+                    x, y = regs[i], regs[j]
+                    close = likely_similarity((x > y).sum(axis=1), (x < y).sum(axis=1), n[i], n[j]) >= threshold / 100 - MARGIN
+                    for p, q in zip(i[close].tolist(), j[close].tolist()):
+                        u, v = top(kind[p]), top(kind[q])
+                        if u != v:
+                            known[max(u, v)] = min(u, v)
+                            out_a.append(nodes[p])
+                            out_b.append(nodes[q])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
+
+    return groups.mapInArrow(run, "a binary, b binary")
+
+
+def _across_families(shared: DataFrame, family: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Promising pairs that join families which meet in a bucket; ``shared``: (bucket, node) without the leaders."""
+    placed = shared.select("bucket", "node").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    several = placed.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("bucket")
+    mixed = cut(placed.join(several, "bucket"))
+    sizes = mixed.groupBy("bucket", "family").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "family")).alias("main")).select("bucket", "size", F.col("main.family").alias("main"))
+    rest = mixed.join(main, "bucket").join(classes.select("node", "n", "registers"), "node")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_MEMBERS)).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK_MEMBERS) - 1)
+    member = lambda left: F.struct("node", "family", "n", "registers", F.lit(left).alias("left"))
+    outside = rest.where("family <> main").select("bucket", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
+    inside = rest.join(outside.select("bucket", "i").distinct(), "bucket").select("bucket", "i", F.col("part").alias("j"), member(False).alias("m"))
+    groups = outside.unionByName(inside).groupBy("bucket", "i", "j").agg(F.collect_list("m").alias("m"))
+    return _joining_pairs(groups.select("m"), threshold).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links: pairs whose sets have 100 * |intersection| >= threshold * |union|."""
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
@@ -208,13 +273,17 @@ def _missing_links(groups: DataFrame, threshold: int) -> DataFrame:
     return groups.mapInArrow(run, "a binary, b binary")
 
 
-def _within_families(near: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _families(near: DataFrame) -> DataFrame:
+    """(node, family): the texts tied together by promising pairs."""
+    return components(near).select("node", F.col("root").alias("family"))
+
+
+def _within_families(family: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """All links that join components of one family: texts tied together by promising pairs.
 
     In each family the nodes outside its largest component are compared with all
     nodes of the family, a block of the former and a block of the latter per list.
     """
-    family = components(near).select("node", F.col("root").alias("family"))
     placed = cut(family.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
     split = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
@@ -246,7 +315,7 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     weight = full.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = full.join(weight, "node")
     leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
-    shared = full.join(leaders, "bucket").select("node", "leader")
+    shared = cut(full.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader", "size"))
     wanted = full.select("node").distinct().join(classes, "node").select(F.col("low").alias("doc_id")).distinct()
     sets = cut(docs.where("doc_id is null").unionByName(docs.join(wanted, "doc_id", "left_semi")).transform(lambda d: full_sets(d, width)).dropDuplicates(["node"]))
 
@@ -255,11 +324,16 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
-    stars = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = cut(_promising(sketched(stars), threshold))
+    family = _families(near)
+    across = cut(_across_families(shared.where("size > 2"), family, classes, threshold))
+    if not across.isEmpty():
+        near = near.unionByName(across)
+        family = _families(near)
     links = cut(_confirmed(near, sets, threshold))
     roots = components(links)
-    more = cut(_within_families(near, roots, sets, threshold))
+    more = cut(_within_families(family, roots, sets, threshold))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     named = (classes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))

@@ -199,6 +199,30 @@ def test_missing_links_with_several_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute_components(rows, 3, 85), key=key)
 
 
+def passage_mixtures():
+    """Texts mixed from one pool of passages (similarity about 0.5), with planted near copies."""
+    rng = random.Random(29)
+    pool = [sentence(rng, 10) for _ in range(90)]
+    texts = [" ".join(pool[k] for k in sorted(rng.sample(range(90), 66))) for _ in range(450)]
+    for text in texts[:40]:
+        words = text.split()
+        for _ in range(rng.randint(14, 16)):
+            words[rng.randrange(len(words))] = "edited" + str(rng.randrange(1000))
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_near_components_of_mixed_passages(spark, monkeypatch):
+    """With few and short bands nearly every bucket of two copies is led by a third text."""
+    monkeypatch.setattr(nearsets, "ROWS", 3)
+    monkeypatch.setattr(nearsets, "BANDS", 8)
+    monkeypatch.setattr(nearsets, "BLOCK_MEMBERS", 16)
+    rows = passage_mixtures()
+    got = nearsets.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 3, 85))
+
+
 def test_near_edges(edge_docs, no_docs):
     rows = nearsets.near_components(edge_docs, 3, 85).collect()
     assert len(rows) == edge_docs.count() and nearsets.near_components(no_docs, 3, 85).count() == 0
