@@ -1,13 +1,15 @@
 """Substring dedup: content-defined chunks of words by a gear rolling hash.
 
 The gear hash of the last 16 bytes decides at which word ends a chunk of text
-ends, so boundaries move with their content and return after an insertion.  A
-chunk's digest is looked up in all documents.  A chunk is a repeat when it stands
-in a document with a smaller doc_id, or earlier in the same document; runs of
-consecutive repeats with at least ``MIN_WORDS`` words are taken out.  Shorter runs
-are phrases and stay.
-
-Two narrow shuffles of (digest, doc_id), one row per document and distinct chunk,
+ends, so boundaries move with their content and return after an insertion.  What
+is looked up in all documents is the digest of a window: consecutive chunks that
+together have at least ``MIN_WORDS`` words, as few as do from their first chunk on
+or back from their last.  A window is a repeat when it stands as a whole in a
+document with a smaller doc_id, or earlier in the same document without touching
+it; the chunks of repeats are taken out.  Shorter passages are phrases and stay,
+also where several from different documents stand side by side.
+
+Two narrow shuffles of (digest, doc_id), one row per document and distinct window,
 find the repeats; texts move once, to meet their list of repeats, whose length
 their own chunks bound.  Digests of very common passages are pre-aggregated, and
 the join on them has one row per digest on one side, so AQE may split the other.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligora.llm.batches import BYTE_VALUE, Block, blocks, span_hashes, word_spans
+from eligora.llm.batches import _BASE, BYTE_VALUE, Block, _bases, _powers, _room, blocks, mix, span_hashes, word_spans
 
 GEAR_BYTES = 16
 DIVISOR = 5
@@ -60,40 +62,51 @@ def chunk_spans(block: Block, divisor: int = DIVISOR) -> tuple[np.ndarray, np.nd
     return starts[open_], ends[close], close - open_ + 1, np.searchsorted(open_, first)
 
 
-def digests(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """(digest, doc_id): the distinct chunks of each text."""
+def windows(values: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, last chunk and digest of every window of one text; ``values`` are the digests of its chunks."""
+    n = len(values)
+    sums = np.append(0, np.cumsum(words))
+    last = np.searchsorted(sums, sums[:-1] + min_words) - 1
+    low = np.flatnonzero(last < n)
+    first = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
+    high = np.flatnonzero(first >= 0)
+    pairs = np.unique(np.append(low * n + last[low], first[high] * n + high))
+    first, last = pairs // max(n, 1), pairs % max(n, 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values.view(np.uint64) * _powers(_room(n))[:n], out=total[1:])
+    raw = (total[last + 1] - total[first]) * _bases(_room(n))[first]
+    return first, last, mix(raw ^ (last - first + 1).astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
+
+
+def digests(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
+    """(digest, doc_id): the distinct windows of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                starts, ends, _, first = chunk_spans(block, divisor)
+                starts, ends, words, first = chunk_spans(block, divisor)
                 values = span_hashes(block.data, starts, ends).view(np.int64)
-                parts = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
+                parts = [np.unique(windows(values[a:b], words[a:b], min_words)[2]) for a, b in zip(first[:-1], first[1:])]
                 doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, values[:0]])), batch.column(0)[block.rows].take(pa.array(doc))], ["digest", "doc_id"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "digest long, doc_id long")
 
 
-def repeats(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """(doc_id, digests): the chunks of each document that stand in one with a smaller id."""
-    found = digests(docs, divisor)
+def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, digests): the windows of each document that stand in one with a smaller id."""
+    found = digests(docs, divisor, min_words)
     origin = found.groupBy("digest").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin <> last").select("digest", "origin")
     return found.join(origin, "digest").where("doc_id <> origin").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
 
 
 def removable(values: np.ndarray, words: np.ndarray, gone: np.ndarray, min_words: int) -> np.ndarray:
-    """Which chunks of one text go: those in runs of repeats that have enough words."""
-    _, first = np.unique(values, return_index=True)
-    again = np.ones(len(values), bool)
-    again[first] = False
-    repeat = again | np.isin(values, gone)
-    edge = np.diff(np.concatenate([[0], repeat.astype(np.int8), [0]]))
-    sums = np.append(0, np.cumsum(words))
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-        if sums[b] - sums[a] < min_words:
-            repeat[a:b] = False
-    return repeat
+    """Which chunks of one text go: those of windows that stand in ``gone`` or earlier in the text."""
+    first, last, digest = windows(values, words, min_words)
+    _, origin, at = np.unique(digest, return_index=True, return_inverse=True)
+    repeat = np.isin(digest, gone) | (last[origin[at]] < first)
+    edge = np.bincount(first[repeat], minlength=len(values) + 1) - np.bincount(last[repeat] + 1, minlength=len(values) + 1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def cleaned(block: Block, gone: list, divisor: int, min_words: int) -> Iterator[str]:
@@ -115,7 +128,7 @@ def cleaned(block: Block, gone: list, divisor: int, min_words: int) -> Iterator[
 
 def without_repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all its columns, in their order."""
-    gone = repeats(docs, divisor).select(F.col("doc_id").alias("__repeat_doc"), F.col("digests").alias(_GONE))
+    gone = repeats(docs, divisor, min_words).select(F.col("doc_id").alias("__repeat_doc"), F.col("digests").alias(_GONE))
     met = docs.join(gone, docs["doc_id"].cast("long") == F.col("__repeat_doc"), "left").select(*[docs[f"`{c}`"] for c in docs.columns], _GONE)
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     known, names = docs.columns.index("doc_id"), docs.columns

@@ -136,6 +136,17 @@ def test_substrings_like_brute_force(spark):
     assert sum(got[i] == t for i, t in rows) >= 30  # documents without a shared passage are as they were
 
 
+def test_substrings_of_a_small_vocabulary_stay(spark):
+    """Texts whose chunks have all occurred somewhere, but no passage of 16 words."""
+    rng = random.Random(13)
+    vocabulary = sentence(rng, 8).split()
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(400))) for i in range(60)]
+    seen = Counter(g for _, t in rows for g in zip(*[t.split()[k:] for k in range(16)]))
+    assert max(seen.values()) == 1
+    got = {r.doc_id: r.text for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(rows) and any(t != dict(rows)[i] for i, t in brute_substrings(rows))
+
+
 def test_substrings_edges(edge_docs, no_docs):
     out = substrings.without_repeats(edge_docs)
     assert out.columns == edge_docs.columns and substrings.without_repeats(no_docs).count() == 0
