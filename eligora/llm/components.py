@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligora.session import cut
+from eligora.llm.stored import stored
 
 #: Links per task: a round over few links then leaves few shuffle files, and one over many has many tasks.
 TASK_ROWS = 200_000
@@ -16,13 +16,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round hangs each node on the smallest root among its neighbours and
     then follows roots to their roots, so that long chains need few rounds.  Each
-    round is a few aggregations and joins, cut by a reliable checkpoint.
+    round is a few aggregations and joins, written into the shared folder: a
+    checkpoint keeps the estimated size of its plan, which joins multiply, and after
+    some rounds planning alone would take forever.
     """
-    both = cut(links.select(F.col(a).alias("node"), F.col(b).alias("other"))
-               .unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node <> other").distinct())
+    both = stored(links.select(F.col(a).alias("node"), F.col(b).alias("other"))
+               .unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node <> other").distinct(), "links")
     tasks = max(1, -(-both.count() // TASK_ROWS))
     both = both.coalesce(tasks)
-    state = cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")).coalesce(tasks))
+    state = stored(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")).coalesce(tasks), "roots")
     while True:
         met = both.join(state.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").coalesce(tasks)
         near = met.groupBy("node").agg(F.min("near").alias("near"))
@@ -30,7 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hooks = moved.where("near < root").groupBy("root").agg(F.min("near").alias("hook"))
         hung = moved.join(hooks, "root", "left").select("node", F.col("root").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("root")).coalesce(tasks)
         jump = hung.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = cut(hung.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")).coalesce(tasks))
+        new = stored(hung.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("above", "root")).alias("root")).coalesce(tasks), "roots")
         if new.where("root <> old").isEmpty():
             return new.select("node", "root")
         state = new.select("node", "root")

@@ -123,16 +123,16 @@ class Search:
                 can = np.flatnonzero(np.abs(to_pivot - page["parent"]) - reach <= limit + slack)
             else:
                 can = np.arange(len(matrix))
+            if page["leaf"]:
+                can = can[page["ids"][can] != own]
             self.computed, self.avoided = self.computed + len(can), self.avoided + len(matrix) - len(can)
             if not len(can):
                 continue
             scores = matrix[can] @ query
             if page["leaf"]:
                 ids = page["ids"][can]
-                for i in np.lexsort((ids, -scores))[:k + 1].tolist():
+                for i in np.lexsort((ids, -scores))[:k].tolist():
                     entry = (int(scores[i]), -int(ids[i]))
-                    if -entry[1] == own:
-                        continue
                     if len(found) < k:
                         heapq.heappush(found, entry)
                     elif entry > found[0]:

@@ -11,17 +11,19 @@ larger, smaller and equal and from the two set sizes; pairs that stay below the
 threshold by ``MARGIN`` (over five standard errors) are left out, all others are
 confirmed on the sets themselves.
 
-Copies have one node, the digest of their set.  In each bucket every node is
-first paired with one leader, the node that shares most buckets with others, which
-in a group of edited copies is the text nearest to all.  Promising pairs tie texts
-to families.  Where the other members of a bucket are of several families, those
-outside its largest family are compared with all of them by registers, in blocks,
-and promising pairs join the families.  Families whose links leave them in several
-components are then compared on their sets: the nodes outside the largest component
-with all nodes, in blocks.  So every pair of a bucket is compared or tied already,
-neither a bucket nor a family ever stands in one task, and no list of all pairs is
-made.  Two texts with similarity 0.85 share no band with probability
-1e-8 (0.8: 1e-5).
+Copies have one node, the digest of their set.  A bucket's leader is the node that
+shares most buckets with others, which in a group of edited copies is the text
+nearest to all.  Every node is compared with one leader, the one it shares most
+buckets with; promising pairs tie texts to families.  In buckets that still hold
+several families every node is compared once more with one leader of another family,
+so a node has two links at most however large its group is.  What is then still in
+different families in one bucket is compared by registers, those outside its largest
+family with all, in blocks, and promising pairs join the families.  Families whose
+links leave them in several components are compared on their sets: the nodes outside
+the largest component with all nodes, in blocks bounded by members and by the sizes
+of their sets.  So every pair of a bucket is compared or tied already, neither a
+bucket nor a family ever stands in one task, and no list of all pairs is made.  Two
+texts with similarity 0.85 share no band with probability 1e-8 (0.8: 1e-5).
 
 Texts without a word are linked with nothing.  Rows with a null doc_id are linked
 like others but never give a component its name; a component of such rows alone
@@ -49,6 +51,7 @@ RATE = 20.0
 TOP = 255
 MARGIN = 0.13
 BLOCK_MEMBERS = 256
+BLOCK_ITEMS = 400_000
 SLICE = 1 << 13
 
 
@@ -202,11 +205,36 @@ def _joining_pairs(groups: DataFrame, threshold: int) -> DataFrame:
     return groups.mapInArrow(run, "a binary, b binary")
 
 
-def _across_families(shared: DataFrame, family: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Promising pairs that join families which meet in a bucket; ``shared``: (bucket, node) without the leaders."""
-    placed = shared.select("bucket", "node").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+def _mixed(full: DataFrame, family: DataFrame | None) -> DataFrame:
+    """(bucket, node, family) of the buckets that hold several families; without ``family`` every node is its own."""
+    if family is None:
+        return full.select("bucket", "node", F.col("node").alias("family"))
+    placed = full.select("bucket", "node").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
     several = placed.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("bucket")
-    mixed = cut(placed.join(several, "bucket"))
+    return placed.join(several, "bucket")
+
+
+def _leader_links(mixed: DataFrame, weight: DataFrame) -> DataFrame:
+    """(a, b): for every node b the leader a of another family that it shares most buckets with; one row per node at most."""
+    weighed = mixed.join(weight, "node")
+    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "family")).alias("best")).select("bucket", F.col("best.node").alias("leader"), F.col("best.family").alias("led"))
+    shared = mixed.join(leaders, "bucket").where("family <> led").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    return shared.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
+
+
+def _tied(family: DataFrame | None, near: DataFrame) -> DataFrame:
+    """(node, family) after more promising pairs: the links between families are contracted before their components are sought."""
+    if family is None:
+        return components(near).select("node", F.col("root").alias("family"))
+    of = lambda x: family.select(F.col("node").alias(x), F.col("family").alias(f"f{x}"))
+    named = near.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("fa", "a").alias("fa"), F.coalesce("fb", "b").alias("fb"))
+    merged_ = components(named.select("fa", "fb").where("fa <> fb").distinct(), "fa", "fb").select(F.col("node").alias("family"), "root")
+    every = family.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(family, "node", "left_anti").withColumn("family", F.col("node")))
+    return cut(every.join(merged_, "family", "left").select("node", F.coalesce("root", "family").alias("family")))
+
+
+def _across_families(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Promising pairs that join families which meet in a bucket; ``mixed``: (bucket, node, family)."""
     sizes = mixed.groupBy("bucket", "family").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "family")).alias("main")).select("bucket", "size", F.col("main.family").alias("main"))
     rest = mixed.join(main, "bucket").join(classes.select("node", "n", "registers"), "node")
@@ -273,24 +301,19 @@ def _missing_links(groups: DataFrame, threshold: int) -> DataFrame:
     return groups.mapInArrow(run, "a binary, b binary")
 
 
-def _families(near: DataFrame) -> DataFrame:
-    """(node, family): the texts tied together by promising pairs."""
-    return components(near).select("node", F.col("root").alias("family"))
-
-
 def _within_families(family: DataFrame, roots: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """All links that join components of one family: texts tied together by promising pairs.
 
     In each family the nodes outside its largest component are compared with all
     nodes of the family, a block of the former and a block of the latter per list.
     """
-    placed = cut(family.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    rest = placed.join(split.select("family", F.col("main.root").alias("main"), "size"), "family").join(sets, "node")
-    block = lambda size: F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK_MEMBERS)).cast("long")
-    rest = rest.withColumn("part", block(F.col("size")))
-    every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK_MEMBERS) - 1)
+    placed = cut(family.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sets.select("node", F.size("items").alias("n_items")), "node"))
+    sizes = placed.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_items").alias("n_items"))
+    parts = F.greatest(F.ceil(F.sum("n") / BLOCK_MEMBERS), F.ceil(F.sum("n_items") / BLOCK_ITEMS))
+    split = sizes.groupBy("family").agg(parts.alias("parts"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    rest = placed.drop("n_items").join(split.select("family", F.col("main.root").alias("main"), "parts"), "family").join(sets, "node")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     member = lambda left: F.struct("node", "root", "items", F.lit(left).alias("left"))
     outside = rest.where("root <> main").select("family", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
     inside = rest.join(outside.select("family", "i").distinct(), "family").select("family", "i", F.col("part").alias("j"), member(False).alias("m"))
@@ -312,10 +335,7 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     buckets = classes.select("node", band).select("node", F.xxhash64("pos", "col").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     full = cut(buckets.join(sizes, "bucket"))
-    weight = full.groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = full.join(weight, "node")
-    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("best")).select("bucket", F.col("best.node").alias("leader"))
-    shared = cut(full.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader", "size"))
+    weight = cut(full.groupBy("node").agg(F.sum("size").alias("weight")))
     wanted = full.select("node").distinct().join(classes, "node").select(F.col("low").alias("doc_id")).distinct()
     sets = cut(docs.where("doc_id is null").unionByName(docs.join(wanted, "doc_id", "left_semi")).transform(lambda d: full_sets(d, width)).dropDuplicates(["node"]))
 
@@ -324,13 +344,14 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
-    stars = shared.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    near = cut(_promising(sketched(stars), threshold))
-    family = _families(near)
-    across = cut(_across_families(shared.where("size > 2"), family, classes, threshold))
+    first = cut(_promising(sketched(_leader_links(_mixed(full, None), weight)), threshold))
+    family = _tied(None, first)
+    second = cut(_promising(sketched(_leader_links(_mixed(full, family), weight)), threshold))
+    family = _tied(family, second)
+    across = cut(_across_families(cut(_mixed(full, family)), classes, threshold))
     if not across.isEmpty():
-        near = near.unionByName(across)
-        family = _families(near)
+        family = _tied(family, across)
+    near = first.unionByName(second).unionByName(across)
     links = cut(_confirmed(near, sets, threshold))
     roots = components(links)
     more = cut(_within_families(family, roots, sets, threshold))

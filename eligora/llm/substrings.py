@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligora.llm.batches import _BASE, BYTE_VALUE, Block, _bases, _powers, _room, blocks, mix, span_hashes, word_spans
+from eligora.llm.names import fresh
 
 GEAR_BYTES = 16
 DIVISOR = 5
 MIN_WORDS = 16
 _GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
-_GONE = "__repeated_digests"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -128,8 +128,9 @@ def cleaned(block: Block, gone: list, divisor: int, min_words: int) -> Iterator[
 
 def without_repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; all its columns, in their order."""
-    gone = repeats(docs, divisor, min_words).select(F.col("doc_id").alias("__repeat_doc"), F.col("digests").alias(_GONE))
-    met = docs.join(gone, docs["doc_id"].cast("long") == F.col("__repeat_doc"), "left").select(*[docs[f"`{c}`"] for c in docs.columns], _GONE)
+    repeat_doc, repeated = fresh(docs.columns, "repeat_doc", "repeated_digests")
+    gone = repeats(docs, divisor, min_words).select(F.col("doc_id").alias(repeat_doc), F.col("digests").alias(repeated))
+    met = docs.join(gone, F.col("doc_id").cast("long") == F.col(repeat_doc), "left").select(*[F.col(f"`{c}`") for c in docs.columns], repeated)
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     known, names = docs.columns.index("doc_id"), docs.columns
 

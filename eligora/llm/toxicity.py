@@ -1,7 +1,9 @@
-"""Toxicity by two class-conditional Kneser-Ney models over byte expressions.
+"""Toxicity by two class-conditional Kneser-Ney models over the bytes of words.
 
-An expression is a run of ``ORDER`` bytes of the text (A-Z lower-cased, digits as
-0, white space as one kind of blank).  For each class the model is
+A text is its words between ASCII white space (A-Z lower-cased, digits as 0), each with
+``ORDER`` - 1 blanks in front and one behind, so a word of any length, the first of a
+text included, gives one expression of ``ORDER`` bytes per byte.  For each class the
+model is
 
     P_c(w | h) = max(n_c(h w) - D_c, 0) / n_c(h) + D_c * types_c(h) / n_c(h) * P_c(w | h')
 
@@ -9,20 +11,25 @@ with h' one byte shorter than h and, below the longest expressions, n_c(h w) the
 number of distinct left neighbours of ``h w`` in the class.  From ``SHARED`` bytes
 down the backoff counts are those of both classes together.  Rare expressions are
 thus smoothed by counts that the classes share, and where neither class has seen
-an expression the shared factor cancels.  A text's evidence is
-the difference of the length-normalised log-likelihoods, over the whole text and
-over its most toxic window of ``WINDOW`` bytes, so that a few insults in a long
-text are not thinned out.  A logistic curve over this evidence, fitted on labelled
-rows by models that have not seen them, gives the score.
-
-Counts cover all labelled rows given, up to ``max_labelled`` documents (beyond it,
-those with the smallest hashes of their id); expressions seen less often than the
-least count that keeps the table within ``max_expressions`` rows are left to the
-backoff.  Both bounds are what makes the broadcast model's size certain.
-
-Null and empty texts score as evidence 0; without labels of both classes every
-score is the share of toxic labels (0 without any).  A document labelled more
-than once counts as toxic if one label says so; null labels are left out.
+an expression the shared factor cancels.  A text's evidence is the difference of the
+length-normalised log-likelihoods, over the whole text and over its most toxic windows
+of ``WINDOWS`` bytes, so that a few insults in a long text are not thinned out.  A
+logistic curve over this evidence, fitted on labelled rows by models that have not
+seen them, gives the score.
+
+Counts, levels, discounts and backoff weights are tables made by grouped aggregation;
+they cover all expressions of the labelled rows given and grow with them.  Labelled
+rows beyond ``max_labelled`` documents are left out (those with the largest hashes of
+their id).  Scoring needs one number per expression.  If the table has at most
+``broadcast_rows`` rows it is broadcast; a larger one stays partitioned: the texts are
+stored in blocks, each block's distinct expressions are joined with the table, and the
+numbers found meet the block's texts.  Both ways give the same scores.
+
+Null and empty texts and such of white space alone score as evidence 0; without labels
+of both classes every score is the share of toxic labels (0 without any).  A document
+labelled more than once counts as toxic if one label says so; null labels are left out.
+Repeated rows are scored each; an empty table gives no rows; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligora.llm.batches import LOWER, SPACE, Block, HashIndex, blocks
+from eligora.llm.stored import stored
+from eligora.session import cut
 
 ORDER = 6
 SHARED = 2
-WINDOW = 48
+WINDOWS = (12, 48)
 MAX_LABELLED = 500_000
-MAX_EXPRESSIONS = 500_000
+BROADCAST_ROWS = 4_000_000
+BLOCK_TEXT = 32 << 20
 FOLDS = 5
 _PLAIN = LOWER.copy()
 _PLAIN[48:58] = 48
@@ -54,16 +64,21 @@ def fold(column: str = "doc_id"):
 
 
 def expressions(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all expressions that lie within one text, the text of each, and the number of each text's first (one more at the end)."""
-    data = _PLAIN[block.data].astype(np.uint64)
-    n = max(0, len(data) - ORDER + 1)
-    keys = np.zeros(n, np.uint64)
+    """Keys of all expressions of the texts' words in order, the text of each, and the number of each text's first (one more at the end)."""
+    data = _PLAIN[block.data]
+    blank = data == 32
+    at = np.arange(len(data))
+    # how many bytes before each one belong to its word; the blank behind a word goes with it
+    word = np.maximum.accumulate(np.where(blank, at + 1, 0))
+    depth = at - np.append(0, word[:-1])
+    keys = np.zeros(len(data), np.uint64)
     for k in range(ORDER):
-        keys = keys << np.uint64(8) | data[k:k + n]
-    counts = np.maximum(block.ends - block.starts - ORDER + 1, 0)
-    first = np.append(0, np.cumsum(counts))
-    at = np.repeat(block.starts - first[:-1], counts) + np.arange(first[-1])
-    return keys[at], np.repeat(np.arange(len(counts)), counts), first
+        byte = np.full(len(data), 32, np.uint64)
+        byte[k:] = np.where(depth[k:] >= k, data[:len(data) - k], 32)
+        keys |= byte << np.uint64(8 * k)
+    kept = np.flatnonzero(~blank | (depth > 0))
+    first = np.searchsorted(kept, np.append(block.starts, len(data)))
+    return keys[kept], np.repeat(np.arange(len(block.starts)), np.diff(first)), first
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,73 +117,81 @@ def count_expressions(labelled: DataFrame) -> DataFrame:
     return partial.groupBy("expression").agg(*[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(name) for c, name in enumerate(COUNTS)])
 
 
-def _model(table: pa.Table, halves: str) -> Model:
-    """The model of the counts of the halves named."""
-    keys = table["expression"].to_numpy().view(np.uint64)
-    toxic, ordinary = (sum(table[f"{c}_{h}"].to_numpy() for h in halves) for c in ("toxic", "ordinary"))
-    order = np.argsort(keys)
-    order = order[(toxic + ordinary)[order] > 0]
-    return Model.of(keys[order], toxic[order], ordinary[order])
+#: The models: one of each half of the labelled rows, and that of both; each has a toxic and an ordinary count.
+MODELS = ("a", "b", "ab")
+_CLASSES = [f"{c}_{m}" for m in MODELS for c in ("toxic", "ordinary")]
 
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
-    return one / (one + 2 * two) if one and two else 0.75
+def _mask(bytes_: int):
+    return F.lit((1 << (8 * bytes_)) - 1)
+
+
+def _tag(level: int, context: bool = False) -> int:
+    """Set above the bytes of a key to tell levels, and contexts from expressions."""
+    return level + 8 * context << 56
 
 
-def _shared(keys: np.ndarray, bytes_: int) -> np.ndarray:
-    """P(w | h') for each distinct key of ``bytes_`` bytes that ends a longer known expression; ``keys`` are those longer ones, distinct."""
-    mask = np.uint64((1 << (8 * bytes_)) - 1)
-    short, at, left = np.unique(keys & mask, return_inverse=True, return_counts=True)
-    if bytes_ == 1:
-        return ((left + 0.5) / (left.sum() + 0.5 * 256))[at]
-    d = _discount(left)
-    _, context = np.unique(short >> np.uint64(8), return_inverse=True)
-    total = np.bincount(context, left)
-    types = np.bincount(context)
-    lower = _shared(short, bytes_ - 1)
-    own = np.maximum(left - d, 0) / total[context] + d * types[context] / total[context] * lower
-    return own[at]
+def shared_chances(left: dict[int, int]) -> dict[int, float]:
+    """P(w | h') of both classes together for two-byte keys, from the number of distinct left neighbours of each; at most 2^16 keys."""
+    total: dict[int, int] = {}
+    types: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for key, n in left.items():
+        total[key >> 8], types[key >> 8] = total.get(key >> 8, 0) + n, types.get(key >> 8, 0) + 1
+        ends[key & 255] = ends.get(key & 255, 0) + 1
+    one, two = (sum(n == k for n in left.values()) for k in (1, 2))
+    d, all_ = discount(one, two), sum(ends.values())
+    return {key: max(n - d, 0) / total[key >> 8] + d * types[key >> 8] / total[key >> 8] * (ends[key & 255] + 0.5) / (all_ + 128) for key, n in left.items()}
+
+
+def discount(one: int, two: int) -> float:
+    """The absolute discount from how many expressions were counted once and twice."""
+    return one / (one + 2 * two) if one and two else 0.75
 
 
-def _tagged(keys: np.ndarray, level: int, context: bool = False) -> np.ndarray:
-    """Keys of one level, told apart from those of the others and from contexts, and never 0."""
-    return keys | np.uint64(level + 8 * context) << np.uint64(56)
+def ratios(counts: DataFrame) -> DataFrame:
+    """(entry, a, b, ab): for each model the difference of the classes' log-probabilities by expression and level, and of their log backoff weights by context."""
+    spark = counts.sparkSession
+    both = {f"{c}_ab": F.col(f"{c}_a") + F.col(f"{c}_b") for c in ("toxic", "ordinary")}
+    levels = {ORDER: cut(counts.select(F.col("expression").alias("key"), *[both.get(c, F.col(c)).alias(c) for c in _CLASSES]))}
+    for level in range(ORDER - 1, SHARED, -1):
+        above = levels[level + 1]
+        levels[level] = cut(above.groupBy(F.col("key").bitwiseAND(_mask(level)).alias("key")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in _CLASSES]))
+    seen = {r["key"]: r["count"] for r in levels[SHARED + 1].groupBy(F.col("key").bitwiseAND(_mask(SHARED)).alias("key")).count().collect()}
+    chances = shared_chances(seen)
+    lower = spark.createDataFrame([(k, *[p] * len(_CLASSES)) for k, p in chances.items()], "suffix long, " + ", ".join(f"p_{c} double" for c in _CLASSES))
+    entries = []
+    for level in range(SHARED + 1, ORDER + 1):
+        own = levels[level]
+        few = own.agg(*[F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in _CLASSES for k in (1, 2)]).first()
+        d = {c: discount(few[f"{c}_1"], few[f"{c}_2"]) for c in _CLASSES}
+        context = F.shiftright("key", 8)
+        sums = [x for c in _CLASSES for x in (F.sum(c).alias(f"n_{c}"), F.sum((F.col(c) > 0).cast("long")).alias(f"k_{c}"))]
+        weight = lambda c: F.when(F.col(f"n_{c}") > 0, d[c] * F.col(f"k_{c}") / F.col(f"n_{c}")).otherwise(1.0)  # noqa: E731, B023
+        contexts = own.groupBy(context.alias("context")).agg(*sums).select("context", *[F.col(f"n_{c}") for c in _CLASSES], *[weight(c).alias(f"w_{c}") for c in _CLASSES])
+        met = own.select("key", context.alias("context"), F.col("key").bitwiseAND(_mask(level - 1)).alias("suffix"), *_CLASSES).join(contexts, "context").join(lower, "suffix")
+        chance = lambda c: F.greatest(F.col(c) - d[c], F.lit(0.0)) / F.greatest(f"n_{c}", F.lit(1)) + F.col(f"w_{c}") * F.col(f"p_{c}")  # noqa: E731, B023
+        made = cut(met.select("key", *[chance(c).alias(f"p_{c}") for c in _CLASSES]))
+        apart = lambda x: [(F.log(f"{x}_toxic_{m}") - F.log(f"{x}_ordinary_{m}")).cast("float").alias(m) for m in MODELS]
+        entries += [made.select(F.col("key").bitwiseOR(F.lit(_tag(level))).alias("entry"), *apart("p")),
+                    contexts.select(F.col("context").bitwiseOR(F.lit(_tag(level, True))).alias("entry"), *apart("w"))]
+        lower = made.withColumnRenamed("key", "suffix")
+    out = entries[0]
+    for more in entries[1:]:
+        out = out.unionByName(more)
+    return cut(out)
 
 
 @dataclass
 class Model:
-    """Differences of the classes' log-probabilities by expression and level, and of their log backoff weights by context."""
+    """Differences by entry of ``ratios``; the last is 0 and stands for entries that are not there."""
 
     index: HashIndex
     ratio: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-        """``keys``: distinct expressions with their counts in the two classes."""
-        levels = [(keys, np.stack([toxic, ordinary]).astype(np.int64))]
-        for level in range(ORDER - 1, SHARED, -1):
-            above, counts = levels[-1]
-            short, at = np.unique(above & np.uint64((1 << (8 * level)) - 1), return_inverse=True)
-            levels.append((short, np.stack([np.bincount(at, c > 0, len(short)).astype(np.int64) for c in counts])))
-        tagged, ratios, lower = [], [], None
-        for level, (own, counts) in zip(range(SHARED + 1, ORDER + 1), reversed(levels)):
-            if lower is None:
-                below = np.stack([_shared(own, SHARED)] * 2)
-            else:
-                below = lower[1][:, np.searchsorted(lower[0], own & np.uint64((1 << (8 * (level - 1))) - 1))]
-            _, first, context = np.unique(own >> np.uint64(8), return_index=True, return_inverse=True)
-            chance, weight = [], []
-            for n, p in zip(counts, below):
-                d = _discount(n)
-                total, types = np.bincount(context, n), np.bincount(context, n > 0)
-                weight.append(np.where(total > 0, d * types / np.maximum(total, 1), 1.0))
-                chance.append(np.maximum(n - d, 0) / np.maximum(total, 1)[context] + weight[-1][context] * p)
-            lower = (own, np.stack(chance))
-            tagged += [_tagged(own, level), _tagged((own >> np.uint64(8))[first], level, True)]
-            ratios += [np.log(chance[0]) - np.log(chance[1]), np.log(weight[0]) - np.log(weight[1])]
-        total = sum(map(len, tagged))
-        return cls(HashIndex.of(np.concatenate(tagged), np.arange(total, dtype=np.int32)), np.append(np.concatenate(ratios), 0).astype(np.float32))
+    def of(cls, entries: np.ndarray, ratio: np.ndarray) -> Model:
+        return cls(HashIndex.of(entries.astype(np.int64).view(np.uint64), np.arange(len(entries), dtype=np.int32)), np.append(ratio, 0).astype(np.float32))
 
     def differences(self, keys: np.ndarray) -> np.ndarray:
         """log P_toxic - log P_ordinary of the last byte of each expression, given the others."""
@@ -176,25 +199,36 @@ class Model:
         open_ = np.arange(len(keys))
         for level in range(ORDER, SHARED, -1):
             own = keys[open_] & np.uint64((1 << (8 * level)) - 1)
-            at = self.index.find(_tagged(own, level))
+            at = self.index.find(own | np.uint64(_tag(level)))
             out[open_] += self.ratio[at]
             open_, own = open_[at < 0], own[at < 0]
-            out[open_] += self.ratio[self.index.find(_tagged(own >> np.uint64(8), level, True))]
+            out[open_] += self.ratio[self.index.find(own >> np.uint64(8) | np.uint64(_tag(level, True)))]
         return out
 
     def evidence(self, block: Block) -> np.ndarray:
-        """For each text: mean difference, the same times the root of the length, mean over the most toxic window, 1."""
+        """For each text: mean difference, means over the most toxic window of each length, 1."""
         keys, _, first = expressions(block)
         sums = np.append(0, np.cumsum(self.differences(keys), dtype=np.float64))
         n = np.diff(first)
-        total = sums[first[1:]] - sums[first[:-1]]
-        peak = np.where(n, total / np.maximum(n, 1), 0)
-        long = np.flatnonzero(n > WINDOW)
-        if len(long):
-            windows = (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
-            bounds = np.column_stack([first[:-1][long], first[1:][long] - WINDOW + 1]).ravel()
-            peak[long] = np.maximum.reduceat(np.append(windows, -np.inf), bounds)[::2]
-        return np.column_stack([total / np.maximum(n, 1), total / np.sqrt(np.maximum(n, 1)), peak, np.ones(len(n))])
+        mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
+        columns = [mean]
+        for size in WINDOWS:
+            peak, long = mean.copy(), np.flatnonzero(n > size)
+            if len(long):
+                windows = (sums[size:] - sums[:-size]) / size
+                bounds = np.column_stack([first[:-1][long], first[1:][long] - size + 1]).ravel()
+                peak[long] = np.maximum.reduceat(np.append(windows, -np.inf), bounds)[::2]
+            columns.append(peak)
+        return np.column_stack([*columns, np.ones(len(n))])
+
+
+def wanted_entries(keys: np.ndarray) -> np.ndarray:
+    """All entries that ``Model.differences`` may look up for these expressions, distinct."""
+    out, own = [], np.unique(keys)
+    for level in range(ORDER, SHARED, -1):
+        own = np.unique(own & np.uint64((1 << (8 * level)) - 1))
+        out += [own | np.uint64(_tag(level)), np.unique(own >> np.uint64(8)) | np.uint64(_tag(level, True))]
+    return np.concatenate(out).view(np.int64)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -211,27 +245,73 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w / scale
 
 
-def _evidence(docs: DataFrame, model, kept: list[str]) -> DataFrame:
-    """The ``kept`` long columns and four columns of evidence e0 to e3 for each row of (text, ...)."""
-    names = [*kept, "e0", "e1", "e2", "e3"]
+EVIDENCE = tuple(f"e{k}" for k in range(len(WINDOWS) + 2))
+
+
+def _typed(kept: list[str]) -> str:
+    return ", ".join([f"{k} long" for k in kept] + [f"{e} double" for e in EVIDENCE])
+
+
+def _broadcast_evidence(docs: DataFrame, model, which: str, kept: list[str]) -> DataFrame:
+    """The ``kept`` long columns and EVIDENCE for each row of (text, ...), by a broadcast table of (index, ratios by model)."""
+    names = [*kept, *EVIDENCE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ratio = model.value
+        own = Model(index, ratio[which])
         for batch in batches:
             for block in blocks(batch.column(0)):
-                e = model.value.evidence(block)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i + 1)[block.rows] for i in range(len(kept))), *(pa.array(e[:, k]) for k in range(4))], names)
+                e = own.evidence(block)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i + 1)[block.rows] for i in range(len(kept))), *(pa.array(x) for x in e.T)], names)
+
+    return docs.select("text", *kept).mapInArrow(run, _typed(kept))
+
+
+def _partitioned_evidence(docs: DataFrame, table: DataFrame, which: str, kept: list[str], block_text: int = BLOCK_TEXT) -> DataFrame:
+    """The same by a table that stays partitioned; texts are stored in blocks of about ``block_text`` bytes, a block meets the entries it asks for."""
+    names, columns = [*kept, *EVIDENCE], ["block", "text", *kept]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            sizes = np.array([len(t or "") for t in batch.column(0).to_pylist()], np.int64)
+            number = (done + np.cumsum(sizes) - sizes) // block_text
+            done += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(base + number), *batch.columns], columns)
+
+    dealt = stored(docs.select("text", *kept).mapInArrow(deal, "block long, text string" + "".join(f", {k} long" for k in kept)), "toxicity-texts")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for number in np.unique(numbers):
+                rows = pa.array(np.flatnonzero(numbers == number))
+                entries = np.unique(np.concatenate([wanted_entries(expressions(b)[0]) for b in blocks(batch.column(1).take(rows))]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(entries), number)), pa.array(entries)], ["of", "entry"])
+
+    found = dealt.select("block", "text").mapInArrow(ask, "of long, entry long").distinct().join(table.select("entry", F.col(which).alias("ratio")), "entry")
+    schema = pa.schema([(k, pa.int64()) for k in kept] + [(e, pa.float64()) for e in EVIDENCE])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = Model.of(right["entry"].to_numpy(), right["ratio"].to_numpy())
+        out = []
+        for block in blocks(left["text"].combine_chunks()):
+            e = model.evidence(block)
+            out.append(pa.Table.from_arrays([*(left[k].combine_chunks()[block.rows] for k in kept), *(pa.array(x) for x in e.T)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    return docs.select("text", *kept).mapInArrow(run, ", ".join([f"{k} long" for k in kept] + [f"e{k} double" for k in range(4)]))
+    return dealt.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(meet, _typed(kept)).select(*names)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_expressions: int = MAX_EXPRESSIONS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
     Learns from labelled rows whose fold is not 0.  Two models of one half of them
     each (folds 1 and 2, folds 3 and 4) give the evidence of the other half for the
     curve; the model that scores has the counts of both.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).where(fold() != 0)
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -241,30 +321,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     labelled = docs.join(F.broadcast(known), "doc_id").withColumn("cell", cell)
     weights = None
     if 0 < toxic < n:
-        counts = sum((F.col(c) for c in COUNTS), F.lit(0))
-        grams = count_expressions(labelled).persist()
-        sizes = sorted(grams.groupBy(F.least(counts, F.lit(1000)).alias("n")).count().collect(), reverse=True)
-        least, room = 1001, max_expressions
-        for count, rows in sizes:
-            if rows > room:
-                break
-            least, room = count, room - rows
-        table = grams.where(counts >= least).select("expression", *[F.col(c).cast("int") for c in COUNTS]).toArrow()
-        grams.unpersist()
-        seen = []
-        for half, other in (("a", "cell >= 2"), ("b", "cell < 2")):
-            crossed = spark.sparkContext.broadcast(_model(table, half))
-            seen.append(_evidence(labelled.where(other), crossed, ["toxic"]).toArrow())
-            crossed.destroy()
-        fitted = pa.concat_tables(seen)
+        table = ratios(count_expressions(labelled))
+        if table.count() <= broadcast_rows:
+            rows = table.toArrow()
+            index = HashIndex.of(rows["entry"].to_numpy().view(np.uint64), np.arange(len(rows), dtype=np.int32))
+            shared = docs.sparkSession.sparkContext.broadcast((index, {m: np.append(rows[m].to_numpy(), 0).astype(np.float32) for m in MODELS}))
+            evidence = lambda d, which, kept: _broadcast_evidence(d, shared, which, kept)
+        else:
+            evidence = lambda d, which, kept: _partitioned_evidence(d, table, which, kept)
+        fitted = pa.concat_tables([evidence(labelled.where(other), m, ["toxic"]).toArrow() for m, other in (("a", "cell >= 2"), ("b", "cell < 2"))])
         y = fitted["toxic"].to_numpy().astype(float)
         if 0 < y.sum() < len(y):
-            weights = fit_logistic(np.column_stack([fitted[f"e{k}"].to_numpy() for k in range(4)]), y)
-            shared = spark.sparkContext.broadcast(_model(table, "ab"))
+            weights = fit_logistic(np.column_stack([fitted[e].to_numpy() for e in EVIDENCE]), y)
     held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
     if weights is None:
         prior = float(toxic) / n if n else 0.0
         return docs.select("doc_id", held_out, F.lit(prior).alias("score"), F.lit(int(prior >= 0.5)).alias("predicted"))
-    logit = sum((F.col(f"e{k}") * float(w) for k, w in enumerate(weights)), F.lit(0.0))
-    scored = _evidence(docs, shared, ["doc_id"]).select("doc_id", held_out, (1 / (1 + F.exp(-logit))).alias("score"))
+    logit = sum((F.col(e) * float(w) for e, w in zip(EVIDENCE, weights)), F.lit(0.0))
+    scored = evidence(docs, "ab", ["doc_id"]).select("doc_id", held_out, (1 / (1 + F.exp(-logit))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -5,7 +5,8 @@ import pytest
 
 TOXIC_WORDS = ["idiot", "moron", "scum", "loser"]
 #: Names that the operators use inside; extra columns of these names must do no harm.
-CLASHING = ["node", "root", "size", "rank", "hash", "k", "chunk", "digest", "class", "offset", "score", "n_words", "tree", "ids", "fold"]
+CLASHING = ["node", "root", "size", "rank", "hash", "chunk", "digest", "class", "offset", "score", "n_words", "tree", "ids", "fold",
+            "gone_doc", "gone_hash", "gone_ks", "own_hash", "changed", "repeat_doc", "repeated_digests", "rejected_id", "k", "block", "word", "n"]
 
 
 def sentence(rng, n):

@@ -43,14 +43,31 @@ def test_toxicity_edges(edge_docs, no_docs, toxic_corpus):
     assert {r.score for r in toxicity.toxicity_scores(edge_docs, labels.where("toxic = 1")).collect()} == {1.0}
 
 
-def test_kneser_ney_by_hand():
+def test_toxicity_reads_short_texts_and_rare_insults(spark):
+    """An insult in 5 labelled texts counts, as a whole text and in front of a longer one."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 30), int(i % 6 == 0)) for i in range(900)]
+    rows = [(i, t + (" moron" if x else ""), x) for i, t, x in rows] + [(1000 + k, "scum! " + sentence(rng, 30), 1) for k in range(8)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, "scum!"), (5001, "abcd"), (5002, "Scum! " + sentence(rng, 30))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert scores[5000] > 0.5 > scores[5001] and scores[5002] > 0.5
+
+
+def test_toxicity_with_a_partitioned_table_gives_the_same_scores(toxic_corpus, monkeypatch):
+    docs, labels = toxic_corpus
+    monkeypatch.setattr(toxicity, "BLOCK_TEXT", 20_000)
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.toxicity_scores(docs, labels, broadcast_rows=n).collect()) for n in (toxicity.BROADCAST_ROWS, 0))
+    assert a == b
+
+
+def test_kneser_ney_by_hand(spark):
     """Differences of a small model against the recursion written out over counts."""
     grams = {b"xaaaab": (3, 0), b"yaaaab": (1, 2), b"xaaaac": (0, 4), b"zbaaab": (2, 2), b"zbaaad": (0, 1)}
     number = lambda b: int.from_bytes(b, "big")
-    keys = np.array([number(g) for g in grams], np.uint64)
-    order = np.argsort(keys)
-    counts = np.array(list(grams.values()))
-    model = toxicity.Model.of(keys[order], counts[order, 0], counts[order, 1])
+    counts = spark.createDataFrame([(number(g), *n, 0, 0) for g, n in grams.items()], "expression long, " + ", ".join(f"{c} long" for c in toxicity.COUNTS))
+    table = toxicity.ratios(counts).toPandas()
+    model = toxicity.Model.of(table.entry.to_numpy(), table.ab.to_numpy())
 
     def tables(c):
         level = {6: {g: n[c] for g, n in grams.items()}}
@@ -168,13 +185,16 @@ def brute_lines(rows):
 
     def cut(t):
         part, h = t.split("\n"), [value(x.encode()) % lines._PRIME for x in t.split("\n")]
-        out, start = [], 0
+        out, start, worded = [], 0, 0
         for i in range(len(part)):
             roll = 0
             for back in range(lines.WINDOW - 1, -1, -1):
                 roll = (roll * lines._BASE + (h[i - back] if i >= back else 0)) % lines._PRIME
-            if (roll >> 7) % lines.DIVISOR == 0 or i == len(part) - 1:
+            worded += bool(re.search("[^ \t-\r]", part[i]))
+            possible = (roll >> 7) % lines.DIVISOR == 0
+            if possible and worded >= lines.MIN_LINES or i == len(part) - 1:
                 out, start = [*out, part[start:i + 1]], i + 1
+            worded *= not possible
         return out
 
     first = {}
@@ -196,6 +216,18 @@ def test_lines_like_brute_force(spark):
     assert got == dict(brute_lines(rows)) and sum(got[i] != t for i, t in rows) > 10
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n"])
+def test_a_long_repeated_block_of_lines_goes_but_for_its_ends(spark, between):
+    rng = random.Random(11)
+    block = [sentence(rng, 5) for _ in range(400)]
+    own = lambda n: [sentence(rng, 5) for _ in range(n)]
+    rows = [(1, between.join(own(7) + block + own(5))), (2, between.join(own(4) + block + own(9)))]
+    got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1]
+    left = got[2].split("\n")
+    assert sum(x in left for x in block) <= 40 and all(x in left for x in rows[1][1].split(between)[:4] + rows[1][1].split(between)[-9:])
+
+
 def test_lines_edges(spark, edge_docs, no_docs):
     out = lines.without_repeats(edge_docs)
     assert out.columns == edge_docs.columns and texts(out) == texts(edge_docs)  # no text has two lines

@@ -279,6 +279,13 @@ def test_top_k_like_brute_force(spark, monkeypatch):
     assert [(r.rank, r.query_id) for r in few.orderBy("rank").collect()] == [(1, 0), (2, 0)]
 
 
+def test_top_k_leaves_out_own_id_before_the_cut(spark):
+    """Six rows with the query's own id are nearest; ten others are due."""
+    rows = [(100, [50.0 + k, 0.0]) for k in range(6)] + [(i, [float(i), 1.0]) for i in range(1, 31)]
+    got = mtree.inner_product_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, 10).collect()
+    assert {r.vec_id for r in got} == set(range(21, 31)) and len({r["rank"] for r in got}) == 10
+
+
 def test_stored_bounds_avoid_distances():
     rows = [(i, v) for i, v in vectors(3000) if i is not None and v is not None and len(v) == 12 and None not in v and np.isfinite(v).all()]
     ids, matrix = np.array([i for i, _ in rows]), np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64)
