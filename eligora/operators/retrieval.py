@@ -35,7 +35,9 @@ def chunk_documents(documents: DataFrame, keys: list[str], text: str = "full_tex
 
     A narrow explode: no shuffle, and the full text is not carried along.
     """
-    return _chunk_arrays(documents, keys, text, size, overlap).select(*keys, F.posexplode("_chunks").alias("chunk_index", "text"))
+    # outer: an inner explode of a named array makes Spark compute the array again in a filter at the scan
+    exploded = _chunk_arrays(documents, keys, text, size, overlap).select(*keys, F.posexplode_outer("_chunks").alias("chunk_index", "text"))
+    return exploded.where("text is not null")
 
 
 def document_batches(documents: DataFrame, keys: list[str], batch_size: int = K.CHUNKS_PER_CALL, text: str = "full_text",
