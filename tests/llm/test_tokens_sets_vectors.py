@@ -283,7 +283,8 @@ def test_top_k_leaves_out_own_id_before_the_cut(spark):
     """Six rows with the query's own id are nearest; ten others are due."""
     rows = [(100, [50.0 + k, 0.0]) for k in range(6)] + [(i, [float(i), 1.0]) for i in range(1, 31)]
     got = mtree.inner_product_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 100, 10).collect()
-    assert {r.vec_id for r in got} == set(range(21, 31)) and len({r["rank"] for r in got}) == 10
+    pairs = [(1024 * int(q[0]) * 1024 * int(v[0]), i) for k, q in rows if k == 100 for i, v in rows if i != 100]
+    assert sorted((-r.score, r.vec_id) for r in got) == sorted((-s, i) for s, i in pairs)[:10]
 
 
 def test_stored_bounds_avoid_distances():
