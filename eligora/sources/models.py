@@ -293,20 +293,22 @@ def summarise(documents: DataFrame, keys: list[str], client: ClientFactory, syst
 
     Each block of ``block`` characters is summarised; a document of several blocks
     gets a summary of its blocks' summaries.  A block whose call fails stands for
-    itself by its start, so no block is left out.
+    itself by its start, so no block is left out; where the last call fails, all the
+    blocks' summaries are kept.
     """
     text = F.coalesce("full_text", F.lit(""))
     pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0))
     blocks = documents.where(~X.is_blank("full_text")).select(*keys, "filename", F.posexplode(pieces).alias("_block", "_text"))
 
-    def told(rows: DataFrame, carried: list[str]) -> DataFrame:
+    def told(rows: DataFrame, carried: list[str], otherwise: Column) -> DataFrame:
         prompts = rows.withColumn("_prompt", X.fill_template(prompt, name=F.col("filename"), text=F.col("_text")))
         replies = ask(prompts, "_prompt", client, system, json_mode=False)
-        return replies.select(*carried, F.coalesce(X.strip("reply"), X.left("_text", K.SUMMARY_FALLBACK_CHARS)).alias("summary"))
-    first = cut(told(blocks, [*keys, "filename", "_block"]))
+        return replies.select(*carried, F.coalesce(X.strip("reply"), otherwise).alias("summary"))
+
+    first = cut(told(blocks, [*keys, "filename", "_block"], X.left("_text", K.SUMMARY_FALLBACK_CHARS)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "summary"))), lambda p: p["summary"]), "\n")
     whole = cut(first.groupBy(*keys, "filename").agg(F.count("*").alias("_n"), joined.alias("_text")))
-    return whole.where("_n = 1").select(*keys, F.col("_text").alias("summary")).unionByName(told(whole.where("_n > 1"), keys))
+    return whole.where("_n = 1").select(*keys, F.col("_text").alias("summary")).unionByName(told(whole.where("_n > 1"), keys, F.col("_text")))
 
 
 MONEY_SYSTEM = "Answer with JSON only. Whole units, no cents or paise."

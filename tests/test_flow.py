@@ -364,3 +364,8 @@ def test_registered_query_matches_its_oracle(spark, name):
         return tuple(repr(round(v, 9) + 0.0) if isinstance(v, float) else repr(v) for v in values)
     got = sorted(plain(r[c] for c in cols) for r in df.collect())
     assert got == sorted(plain(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_chunks_are_made_once(spark):
+    """The array of chunks is not computed a second time in a filter at the scan."""
+    assert plan_text(spark, "chunk_documents").count("regexp_extract_all") == 1
