@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligora import constants as K
+from eligora.functions import text as X
 from eligora.operators import evaluate as E
 from eligora.operators import extraction as EX
+from eligora.operators import hits as H
 from eligora.operators import retrieval as R
 from eligora.operators import worklist as W
 from eligora.operators.ranking import rank_all
 from eligora.session import cut
-from eligora.sources.models import ClientFactory, model_extractor, no_evidence_rows, qualitative_verdicts
+from eligora.sources.models import ClientFactory, embed, model_extractor, no_evidence_rows, qualitative_verdicts
 
 PAIR = E.PAIR
 
@@ -24,21 +26,46 @@ def _batches(chunks: DataFrame, prepared: DataFrame, pending: DataFrame, batch_s
     best = scored.groupBy(*PAIR, "source_document", "doc_ordinal",
                           F.floor(F.col("chunk_index") / batch_size).cast("int").alias("batch")
                           ).agg(F.max("score").alias("best_score"))
-    asked = prepared.select("criterion_id", "description", "threshold", "expected_evidence", "crit_code",
-                            (F.col("required_count") > 1).alias("merge_all"))
-    return best.join(pending.select(*PAIR), PAIR, "left_semi").join(asked, "criterion_id")
+    return best.join(pending.select(*PAIR), PAIR, "left_semi").join(_asked(prepared), "criterion_id")
+
+
+def _asked(prepared: DataFrame) -> DataFrame:
+    """What a prompt says of each criterion."""
+    return prepared.select("criterion_id", "description", "threshold", "expected_evidence", "crit_code",
+                           (F.col("required_count") > 1).alias("merge_all"))
+
+
+def _hits(chunks: DataFrame, prepared: DataFrame, pending: DataFrame, client: ClientFactory | None,
+          index: DataFrame | None, k: int, pool: int) -> DataFrame:
+    """Ranked chunks of each pending pair, stored, since their texts are looked up by them."""
+    if index is None or client is None:
+        return cut(H.keyword_hits(chunks, prepared, pending, k))
+    told = prepared.select("tender_id", "criterion_id", X.criterion_query_text().alias("_query"))
+    queries = embed(told, "_query", client).drop("_query")
+    keyword = cut(H.keyword_hits(chunks, prepared, pending, 2 * k))
+    return cut(H.vector_hits(index, queries, chunks, keyword, pending, k, pool))
 
 
 def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client: ClientFactory | None,
            done: DataFrame | None = None, reserve: bool = False,
-           batch_size: int = K.CHUNKS_PER_CALL) -> tuple[DataFrame, DataFrame]:
+           batch_size: int = K.CHUNKS_PER_CALL, retrieval: str = "scan", index: DataFrame | None = None,
+           k: int = K.TOP_K, pool: int = K.VECTOR_POOL) -> tuple[DataFrame, DataFrame]:
     """Evidence and verdicts of all pairs that have no verdict in ``done``.
 
     bidders: id, tender_id, name.  criteria: the stored table.  documents:
     bidder_id, tender_id, doc_ordinal, filename, full_text, min_ocr_confidence.
     With ``reserve`` a document serves one criterion per bidder.  Without a
     ``client`` there is no evidence, and every pair gets the verdict for that.
+
+    ``retrieval`` tells where evidence is looked for: "scan" reads documents batch
+    by batch until something is found, "top_k" the ``k`` best chunks by keywords,
+    "vector" chunks near the criterion in ``index`` (``VectorIndex.rows``) too, and
+    keywords alone for a bidder without an index.  ``reserve`` belongs to scans.
     """
+    if retrieval not in ("scan", "top_k", "vector") or (retrieval == "vector") != (index is not None):
+        raise ValueError("retrieval is scan, top_k, or vector with an index")
+    if reserve and retrieval != "scan":
+        raise ValueError("documents are reserved in a scan only")
     prepared = E.prepare_criteria(criteria)
     pairs = W.work_list(bidders, criteria)
     pending = pairs if done is None else W.pending_pairs(pairs, done)
@@ -53,12 +80,19 @@ def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client
     def contexts(wanted: DataFrame) -> DataFrame:
         """Batch texts of the documents of one wave; no other document is cut or moved."""
         return R.document_batches(named.join(wanted, place, "left_semi"), [*place, "source_document"], batch_size)
-    extract = model_extractor(client, contexts, named.withColumnRenamed("min_ocr_confidence", "ocr_confidence"),
-                              ["bidder_id", "source_document"], place)
-    batches = _batches(chunks, prepared, pending, batch_size)
+    confidences = named.withColumnRenamed("min_ocr_confidence", "ocr_confidence")
+    if retrieval == "scan":
+        extract = model_extractor(client, contexts, confidences, ["bidder_id", "source_document"], place)
+        batches = _batches(chunks, prepared, pending, batch_size)
+    else:
+        batches = cut(H.hit_batches(_hits(chunks, prepared, pending, client, index, k, pool), chunks))
+        extract = model_extractor(client, batches, confidences, ["bidder_id", "source_document"], PAIR)
+        batches = batches.drop("context").join(_asked(prepared), "criterion_id").withColumn("seq", F.lit(1).cast("bigint"))
     if client is None:
         extract = no_evidence_rows
-    if reserve:
+    if retrieval != "scan":
+        found = extract(batches)
+    elif reserve:
         order = prepared.select("tender_id", "criterion_id", "crit_code")
         position = rank_all(order, ["tender_id"], [F.length("crit_code"), F.col("crit_code"), F.col("criterion_id")], "position").select("criterion_id", "position")
         found = EX.scan_reserving(batches.join(position, "criterion_id"), "bidder_id", "position", PAIR, extract)

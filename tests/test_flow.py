@@ -347,7 +347,7 @@ def test_rollup_reads_few_columns_and_hashes(spark):
 
 # A query of each kind over the smallest tables; tools/check_oracle.py compares all of them with DuckDB.
 @pytest.mark.parametrize("name", ["eligibility_summary", "verdict_detail", "keyword_topk", "money_best", "overrides_applied",
-                                  "fused_topk_small_pool", "cascade_delete"])
+                                  "fused_topk_small_pool", "cascade_delete", "index_refresh", "assess_topk", "assess_vector"])
 def test_registered_query_matches_its_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     plan, sql = ALL[name]
