@@ -49,6 +49,19 @@ def label_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return M.qualitative_verdicts(pairs, criteria, evidence, DigestModel).select(*E.PAIR, "verdict", "explanation", "confidence")
 
 
+PART_CHARS = 500
+
+
+def evidence_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered evidence texts of all pairs in parts, numbers and lengths running on."""
+    items = D.evidence(spark, sf).select(
+        *E.PAIR, "ordinal", F.col("source_document").cast("string").alias("source_document"),
+        F.round(F.col("value") * 100).cast("bigint").cast("string").alias("extracted_value"),
+        F.lit(None).cast("string").alias("source_text"), F.lit(None).cast("string").alias("notes"))
+    parts = M.evidence_parts(items, E.PAIR, PART_CHARS)
+    return parts.select(*E.PAIR, "part", F.length("evidence").cast("bigint").alias("chars"), F.md5("evidence").alias("evidence_md5"))
+
+
 def _filled(template: str, **slots: str) -> str:
     out = "'" + template.replace("'", "''") + "'"
     for name, value in slots.items():
@@ -77,4 +90,12 @@ QUERIES = {
         CASE WHEN evidence IS NULL THEN 'No evidence found for: ' || description || '. The required documents may not have been submitted.'
           WHEN m[1] = '0' THEN 'Evaluation error: invalid JSON. Manual review required.' ELSE m END AS explanation,
         CASE WHEN evidence IS NULL THEN 0.5 WHEN m[1] = '0' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence FROM q"""),
+    "evidence_parts": (evidence_parts, f"""WITH {D.EVIDENCE_SQL}, l AS (SELECT bidder_id, criterion_id, ordinal, '. Document: ' || source_document
+          || chr(10) || '   Extracted: ' || CAST(round(value * 100) AS BIGINT) || chr(10) || '   Detail: N/A' || chr(10) || '   Notes: None'
+          || chr(10) AS line FROM evidence),
+      w AS (SELECT *, row_number() OVER (PARTITION BY bidder_id, criterion_id ORDER BY ordinal, line) AS n, coalesce(sum(length(line) + 8) OVER
+          (PARTITION BY bidder_id, criterion_id ORDER BY ordinal, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+      p AS (SELECT bidder_id, criterion_id, CAST(floor(before / {PART_CHARS}) AS INT) AS part,
+          string_agg(chr(10) || n || line, '' ORDER BY n) AS evidence FROM w GROUP BY ALL)
+      SELECT bidder_id, criterion_id, part, length(evidence) AS chars, md5(evidence) AS evidence_md5 FROM p"""),
 }

@@ -14,7 +14,9 @@ from eligora.functions import text as X
 from eligora.operators import retrieval as R
 from eligora.operators import vectors as V
 from eligora.plans import domain as D
+from eligora.plans import model_queries as Q
 from eligora.session import sized
+from eligora.sources import models as M
 
 DIMS = 64
 GROUP = ["tender_id", "criterion_id"]
@@ -60,10 +62,11 @@ def summary_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf: str, pool: int, k: int) -> DataFrame:
     corpus = _vectors(spark, sf).select("tender_id", "source_document", "chunk_index", "ordinal")
-    texts = D.table(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), F.lower("text").alias("_low"))
     words = X.keywords(F.lit("Thinly blended section of inner heed and worthless motion"))
-    scored = corpus.join(texts, "ordinal").select(
-        "tender_id", "source_document", "chunk_index", "ordinal", X.keyword_score_low("_low", words).alias("score"))
+    # scored at the scan, so that no text is moved; a vector without a text scores nothing
+    scores = D.table(spark, sf, "documents").select(F.col("doc_id").alias("ordinal"), X.keyword_score("text", words).alias("_score"))
+    scored = corpus.join(scores, "ordinal", "left").select(
+        "tender_id", "source_document", "chunk_index", "ordinal", F.coalesce("_score", F.lit(0)).alias("score"))
     labels = D.table(spark, sf, "embeddings").select(
         _tender(), F.col("label").cast("bigint").alias("criterion_id")).distinct()
     # The same words are used for all criteria of a tender, so one list serves them all.
@@ -84,11 +87,11 @@ def fused_topk_small_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """Index rows of the chunks and summaries, without vectors."""
+    """Index rows of the chunks and of the stand-in model's summaries of whole texts, without vectors."""
     files = D.files(spark, sf).select("bidder_id", F.col("doc_id").alias("doc_pos"), "filename", "full_text",
                                       F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 1.0).alias("min_ocr_confidence"))
     chunks = R.chunk_documents(files, ["bidder_id", "doc_pos"])
-    told = files.select("bidder_id", "doc_pos", X.strip(X.left("full_text", X.K.SUMMARY_FALLBACK_CHARS)).alias("summary"))
+    told = M.summarise(files, ["bidder_id", "doc_pos"], Q.DigestModel)
     rows = V.index_rows(files, chunks, told)
     return rows.select("id", "bidder_id", "kind", "source_document", "chunk_index", F.md5("document").alias("document_md5"),
                        "ocr_confidence")
@@ -115,7 +118,7 @@ def _fused_sql(pool: int, k: int) -> str:
     row_number() OVER (PARTITION BY b.criterion_id, v.source_document ORDER BY v.vec_id) AS rn FROM boosted b
     JOIN v USING (tender_id, source_document) WHERE NOT EXISTS (SELECT 1 FROM t1 WHERE t1.criterion_id = b.criterion_id
       AND t1.source_document = v.source_document AND t1.chunk_index = v.chunk_index)),
-  k AS (SELECT tender_id, vec_id, source_document, chunk_index, {score} AS score FROM v JOIN documents ON doc_id = vec_id),
+  k AS (SELECT tender_id, vec_id, source_document, chunk_index, coalesce({score}, 0) AS score FROM v LEFT JOIN documents ON doc_id = vec_id),
   m AS (SELECT tender_id, max(score) AS top FROM k GROUP BY tender_id),
   t3 AS (SELECT tender_id, criterion_id, source_document, chunk_index, 3 AS tier, row_number() OVER (PARTITION BY tender_id,
     criterion_id ORDER BY score DESC, vec_id) AS pos FROM k JOIN q USING (tender_id) JOIN m USING (tender_id)
@@ -141,6 +144,5 @@ QUERIES = {
         filename AS source_document, chunk_index, md5(text) AS document_md5, ocr AS ocr_confidence
       FROM chunks JOIN m USING (doc_id)
       UNION ALL SELECT 'b' || bidder_id || '_d' || doc_id || '_summary', bidder_id, 'doc_summary', filename, -1,
-        md5(regexp_replace(left(text, 1500), '^\\s+|\\s+$', '', 'g')), ocr FROM files JOIN m USING (doc_id)
-      WHERE regexp_matches(left(text, 1500), '\\S')"""),
+        md5(summary), ocr FROM ({Q.QUERIES['document_summaries'][1]}) s JOIN files USING (doc_id) JOIN m USING (doc_id)"""),
 }

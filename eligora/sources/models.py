@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligora import constants as K
 from eligora.functions import jsontext as J
 from eligora.functions import text as X
 from eligora.functions.money import model_money
+from eligora.operators.ranking import running_sum
 from eligora.session import cut
 
 
@@ -182,16 +183,16 @@ def evidence_parts(evidence: DataFrame, group: list[str], limit: int = EVIDENCE_
     """Numbered evidence text per group in parts of about ``limit`` characters: group, part, evidence.
 
     Numbers run on through the parts.  A part is a range of the running length, so
-    no more than ``limit`` characters and one row are ever gathered together.
+    no more than ``limit`` characters and one row are ever gathered together; the
+    running length is added up over range partitions, so that no task sorts a group.
     """
     line = F.concat(F.lit(". Document: "), F.coalesce("source_document", F.lit("unknown")),
                     F.lit("\n   Extracted: "), F.coalesce("extracted_value", F.lit("N/A")),
                     F.lit("\n   Detail: "), F.coalesce("source_text", F.lit("N/A")),
                     F.lit("\n   Notes: "), F.coalesce("notes", F.lit("None")), F.lit("\n"))
     lines = evidence.select(*group, "ordinal", line.alias("_line"))
-    inorder = Window.partitionBy(*group).orderBy("ordinal")
-    before = F.coalesce(F.sum(F.length("_line") + 8).over(inorder.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.select(*group, "_line", F.row_number().over(inorder).alias("_n"), F.floor(before / limit).cast("int").alias("part"))
+    summed = running_sum(lines, group, [F.col("ordinal"), F.col("_line")], (F.length("_line") + 8).cast("bigint"), "_n", "_before")
+    placed = summed.select(*group, "_line", "_n", F.floor(F.col("_before") / limit).cast("int").alias("part"))
     ordered = F.array_sort(F.collect_list(F.struct("_n", "_line")))
     return placed.groupBy(*group, "part").agg(F.array_join(F.transform(
         ordered, lambda r: F.concat(F.lit("\n"), r["_n"].cast("string"), r["_line"])), "").alias("evidence"))
@@ -311,12 +312,12 @@ def summarise(documents: DataFrame, keys: list[str], client: ClientFactory, syst
     return whole.where("_n = 1").select(*keys, F.col("_text").alias("summary")).unionByName(told(whole.where("_n > 1"), keys, F.col("_text")))
 
 
-MONEY_SYSTEM = "Answer with JSON only. Whole units, no cents or paise."
-MONEY_PROMPT = """Find the main amount of money in this text.
+MONEY_SYSTEM = "You fill one record of an amounts table. Reply with that record as JSON."
+MONEY_PROMPT = """Excerpt:
 {text}
 
-Answer {"amount": number or null, "currency": ISO code or null, "confidence": 0.0 to 1.0}.
-"10,00,000" is 1000000 (Indian grouping), "1.234,56" is 1234.56, one crore is 10000000.
+Record: {"amount": the sum the excerpt is about in full units, or null, "currency": its ISO 4217 code or null,
+"confidence": 0.0 to 1.0}. Write amounts as plain digits: 7,50,000 as 750000; 45.678,90 as 45678.9; 3 lakh as 300000.
 """
 
 
