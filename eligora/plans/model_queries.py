@@ -82,16 +82,16 @@ QUERIES = {
       SELECT doc_id, CASE WHEN n = 1 THEN t ELSE md5({_SUMMARY}) END AS summary FROM w"""),
     "label_verdicts": (label_verdicts, f"""WITH r(criterion_id, description, category, threshold) AS (VALUES {_TEXTS}),
       p AS (SELECT doc_id AS bidder_id, quality::BIGINT + 1 AS criterion_id, CASE WHEN toxic = 1 OR doc_id > 100 THEN
-          chr(10) || '1. Document: ' || doc_id || chr(10) || '   Extracted: ' || CASE WHEN toxic = 1 THEN 'toxic' ELSE 'N/A' END
-          || chr(10) || '   Detail: N/A' || chr(10) || '   Notes: ' || chr(10) END AS evidence FROM labels),
+          chr(10) || '1. in ' || doc_id || ': ' || CASE WHEN toxic = 1 THEN 'toxic' ELSE '?' END
+          || chr(10) || '   wording ?' || chr(10) || '   remark ' || chr(10) END AS evidence FROM labels),
       q AS (SELECT *, md5({_JUDGE}) AS m FROM p JOIN r USING (criterion_id))
       SELECT bidder_id, criterion_id, CASE WHEN evidence IS NULL THEN 'NEEDS_REVIEW' WHEN m[1] = '0' THEN 'NEEDS_REVIEW'
           WHEN m[1] < '6' THEN 'ELIGIBLE' WHEN m[1] < 'b' THEN 'NOT_ELIGIBLE' ELSE 'NEEDS_REVIEW' END AS verdict,
         CASE WHEN evidence IS NULL THEN 'No evidence found for: ' || description || '. The required documents may not have been submitted.'
           WHEN m[1] = '0' THEN 'Evaluation error: invalid JSON. Manual review required.' ELSE m END AS explanation,
         CASE WHEN evidence IS NULL THEN 0.5 WHEN m[1] = '0' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence FROM q"""),
-    "evidence_parts": (evidence_parts, f"""WITH {D.EVIDENCE_SQL}, l AS (SELECT bidder_id, criterion_id, ordinal, '. Document: ' || source_document
-          || chr(10) || '   Extracted: ' || CAST(round(value * 100) AS BIGINT) || chr(10) || '   Detail: N/A' || chr(10) || '   Notes: None'
+    "evidence_parts": (evidence_parts, f"""WITH {D.EVIDENCE_SQL}, l AS (SELECT bidder_id, criterion_id, ordinal, '. in ' || source_document
+          || ': ' || CAST(round(value * 100) AS BIGINT) || chr(10) || '   wording ?' || chr(10) || '   remark ?'
           || chr(10) AS line FROM evidence),
       w AS (SELECT *, row_number() OVER (PARTITION BY bidder_id, criterion_id ORDER BY ordinal, line) AS n, coalesce(sum(length(line) + 8) OVER
           (PARTITION BY bidder_id, criterion_id ORDER BY ordinal, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),

@@ -305,8 +305,8 @@ QUERIES = {
       count(*) AS rows, count(c) AS known, min(c)::DOUBLE AS lowest FROM lineitem LEFT JOIN (SELECT o_orderkey,
         o_custkey % 100 AS c FROM orders WHERE o_custkey % 100 > 10) ON o_orderkey = l_orderkey GROUP BY ALL"""),
     "evidence_summary": (evidence_summary, """WITH r AS (SELECT l_orderkey, chr(10) || row_number() OVER (PARTITION BY l_orderkey
-        ORDER BY l_partkey) || '. Document: order' || chr(10) || '   Extracted: ' || l_partkey || chr(10) || '   Detail: N/A'
-        || chr(10) || '   Notes: ' || chr(10) AS t, l_partkey FROM lineitem),
+        ORDER BY l_partkey) || '. in order: ' || l_partkey || chr(10) || '   wording ?'
+        || chr(10) || '   remark ' || chr(10) AS t, l_partkey FROM lineitem),
       e AS (SELECT l_orderkey, string_agg(t, '' ORDER BY l_partkey) AS e FROM r GROUP BY l_orderkey)
       SELECT l_orderkey, md5(e) AS evidence_md5, length(e)::INT AS chars FROM e"""),
     "stale_indexes": (stale_indexes, """SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS bidder_id FROM documents d

@@ -186,10 +186,10 @@ def evidence_parts(evidence: DataFrame, group: list[str], limit: int = EVIDENCE_
     no more than ``limit`` characters and one row are ever gathered together; the
     running length is added up over range partitions, so that no task sorts a group.
     """
-    line = F.concat(F.lit(". Document: "), F.coalesce("source_document", F.lit("unknown")),
-                    F.lit("\n   Extracted: "), F.coalesce("extracted_value", F.lit("N/A")),
-                    F.lit("\n   Detail: "), F.coalesce("source_text", F.lit("N/A")),
-                    F.lit("\n   Notes: "), F.coalesce("notes", F.lit("None")), F.lit("\n"))
+    line = F.concat(F.lit(". in "), F.coalesce("source_document", F.lit("?")),
+                    F.lit(": "), F.coalesce("extracted_value", F.lit("?")),
+                    F.lit("\n   wording "), F.coalesce("source_text", F.lit("?")),
+                    F.lit("\n   remark "), F.coalesce("notes", F.lit("?")), F.lit("\n"))
     lines = evidence.select(*group, "ordinal", line.alias("_line"))
     summed = running_sum(lines, group, [F.col("ordinal"), F.col("_line")], (F.length("_line") + 8).cast("bigint"), "_n", "_before")
     placed = summed.select(*group, "_line", "_n", F.floor(F.col("_before") / limit).cast("int").alias("part"))
@@ -312,12 +312,12 @@ def summarise(documents: DataFrame, keys: list[str], client: ClientFactory, syst
     return whole.where("_n = 1").select(*keys, F.col("_text").alias("summary")).unionByName(told(whole.where("_n > 1"), keys, F.col("_text")))
 
 
-MONEY_SYSTEM = "You fill one record of an amounts table. Reply with that record as JSON."
-MONEY_PROMPT = """Excerpt:
+MONEY_SYSTEM = "Answer with one JSON object {amount, currency, confidence}."
+MONEY_PROMPT = """Which sum of money does this passage state? Give amount as a plain number (null if it states none), currency as
+three letters, confidence as a fraction.
+>>>
 {text}
-
-Record: {"amount": the sum the excerpt is about in full units, or null, "currency": its ISO 4217 code or null,
-"confidence": 0.0 to 1.0}. Write amounts as plain digits: 7,50,000 as 750000; 45.678,90 as 45678.9; 3 lakh as 300000.
+<<<
 """
 
 

@@ -33,8 +33,8 @@ def test_evidence_parts_hold_all_evidence_in_order(spark):
         whole[r.bidder_id] = whole.get(r.bidder_id, "") + r.evidence
 
     def line(n, d, v, s, t):
-        return (f"\n{n}. Document: {'unknown' if d is None else d}\n   Extracted: {'N/A' if v is None else v}\n   Detail: {'N/A' if s is None else s}"
-                f"\n   Notes: {'None' if t is None else t}\n")
+        d, v, s, t = ("?" if x is None else x for x in (d, v, s, t))
+        return f"\n{n}. in {d}: {v}\n   wording {s}\n   remark {t}\n"
     want = {}
     for b, _, i, *item in rows:
         want[b] = want.get(b, "") + line(i + 1 if b == 1 else 1, *item)

@@ -79,7 +79,7 @@ def test_qualitative_verdicts(spark):
     assert got == {(1, 1): ("ELIGIBLE", 0.5), (2, 1): ("NEEDS_REVIEW", 0.5), (3, 1): ("NEEDS_REVIEW", 0.0),
                    (4, 1): ("NEEDS_REVIEW", 0.5), (4, 2): ("ELIGIBLE", 1.0), (5, 1): ("ELIGIBLE", 0.5)}
     parts = MO.evidence_parts(ev.where("bidder_id = 5"), ["bidder_id"]).orderBy("part").collect()
-    assert len(parts) > 2 and "".join(p.evidence for p in parts).count("Document: d") == 8
+    assert len(parts) > 2 and "".join(p.evidence for p in parts).count(". in d: ") == 8
 
 
 class AmountModel:
