@@ -266,10 +266,10 @@ def is_ambiguous(candidates: Column) -> Column:
     return _bind(F.slice(ranked, 1, 5), unclear)
 
 
-def needs_model(candidates: Column) -> Column:
+def needs_model(candidates: Column, confidence: float = K.MONEY_MODEL_CONFIDENCE) -> Column:
     """Rows whose rules are unsure enough to ask a model, when one is in use."""
     best = F.array_max(F.transform(candidates, lambda c: c["confidence"]))
-    return (F.coalesce(best, F.lit(0.0)) < K.MONEY_MODEL_CONFIDENCE) | is_ambiguous(candidates)
+    return (F.coalesce(best, F.lit(0.0)) < confidence) | is_ambiguous(candidates)
 
 
 def pick_best(candidates: Column, default: str = "INR", prefer: str | None = "INR") -> Column:

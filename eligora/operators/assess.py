@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ from eligora.operators import hits as H
 from eligora.operators import retrieval as R
 from eligora.operators import worklist as W
 from eligora.operators.ranking import rank_all
+from eligora.options import Options
 from eligora.session import cut
-from eligora.sources.models import ClientFactory, embed, model_extractor, no_evidence_rows, qualitative_verdicts
+from eligora.sources.models import (Call, ClientFactory, ask, embed, model_extractor, money_with_model,
+                                    no_evidence_rows, qualitative_verdicts)
+from eligora.sources.replies import ReplyStore, ask_once, available
 
 PAIR = E.PAIR
 
@@ -49,7 +54,8 @@ def _hits(chunks: DataFrame, prepared: DataFrame, pending: DataFrame, client: Cl
 def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client: ClientFactory | None,
            done: DataFrame | None = None, reserve: bool = False,
            batch_size: int = K.CHUNKS_PER_CALL, retrieval: str = "scan", index: DataFrame | None = None,
-           k: int = K.TOP_K, pool: int = K.VECTOR_POOL) -> tuple[DataFrame, DataFrame]:
+           k: int = K.TOP_K, pool: int = K.VECTOR_POOL, fast: ClientFactory | None = None, call: Call = ask,
+           money_confidence: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Evidence and verdicts of all pairs that have no verdict in ``done``.
 
     bidders: id, tender_id, name.  criteria: the stored table.  documents:
@@ -61,12 +67,18 @@ def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client
     by batch until something is found, "top_k" the ``k`` best chunks by keywords,
     "vector" chunks near the criterion in ``index`` (``VectorIndex.rows``) too, and
     keywords alone for a bidder without an index.  ``reserve`` belongs to scans.
+
+    ``fast`` is a smaller model for evidence and amounts, if there is one; ``call``
+    makes the calls.  With ``money_confidence`` amounts of criteria that the rules are
+    less sure of are asked for; criteria ids must then be unique.
     """
     if retrieval not in ("scan", "top_k", "vector") or (retrieval == "vector") != (index is not None):
         raise ValueError("retrieval is scan, top_k, or vector with an index")
     if reserve and retrieval != "scan":
         raise ValueError("documents are reserved in a scan only")
-    prepared = E.prepare_criteria(criteria)
+    fast = fast or client
+    asking = client is not None and money_confidence is not None
+    prepared = E.prepare_criteria(criteria, partial(money_with_model, client=fast, call=call, confidence=money_confidence) if asking else None)
     pairs = W.work_list(bidders, criteria)
     pending = pairs if done is None else W.pending_pairs(pairs, done)
     named = documents.withColumnRenamed("filename", "source_document")
@@ -82,11 +94,11 @@ def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client
         return R.document_batches(named.join(wanted, place, "left_semi"), [*place, "source_document"], batch_size)
     confidences = named.withColumnRenamed("min_ocr_confidence", "ocr_confidence")
     if retrieval == "scan":
-        extract = model_extractor(client, contexts, confidences, ["bidder_id", "source_document"], place)
+        extract = model_extractor(fast, contexts, confidences, ["bidder_id", "source_document"], place, call)
         batches = _batches(chunks, prepared, pending, batch_size)
     else:
         batches = cut(H.hit_batches(_hits(chunks, prepared, pending, client, index, k, pool), chunks))
-        extract = model_extractor(client, batches, confidences, ["bidder_id", "source_document"], PAIR)
+        extract = model_extractor(fast, batches, confidences, ["bidder_id", "source_document"], PAIR, call)
         batches = batches.drop("context").join(_asked(prepared), "criterion_id").withColumn("seq", F.lit(1).cast("bigint"))
     if client is None:
         extract = no_evidence_rows
@@ -110,7 +122,29 @@ def assess(bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client
     judged = prepared.where(F.col("route") == "qualitative")
     other = pending.join(judged.select("criterion_id"), "criterion_id", "left_semi")
     columns = [*PAIR, "verdict", "explanation", "confidence"]
-    told = qualitative_verdicts(other, judged, evidence, client) if client else E.unjudged_verdicts(other, prepared, evidence)
+    told = qualitative_verdicts(other, judged, evidence, client, call=call) if client else E.unjudged_verdicts(other, prepared, evidence)
     verdicts = (ruled.select(*columns).unionByName(told.select(*columns))
                 .unionByName(empty.select(*columns)))
     return evidence, verdicts
+
+
+def assess_by(options: Options, bidders: DataFrame, criteria: DataFrame, documents: DataFrame, client: ClientFactory | None = None,
+              fast: ClientFactory | None = None, index: DataFrame | None = None, done: DataFrame | None = None,
+              store: ReplyStore | None = None) -> tuple[DataFrame, DataFrame]:
+    """``assess`` as the options say: equal requests once, a bounded number at a time, stored replies first.
+
+    A model that cannot be reached counts as none, a fast one that cannot be reached
+    leaves its work to the other.  Stored replies belong to the factory's ``name``; give
+    another model another name.  The index is used where options and ``index`` allow it.
+    """
+    spark = documents.sparkSession
+    client = client if client and available(spark, client) else None
+    fast = fast if client and fast and available(spark, fast) else None
+    indexed = options.index and options.evidence_from_index and index is not None and client is not None
+
+    def call(df: DataFrame, prompt: str, factory: ClientFactory, *more, **named) -> DataFrame:
+        name = getattr(factory, "name", "fast" if fast is not None and factory is fast else "main")
+        return ask_once(df, prompt, factory, *more, at_once=options.calls_at_once, store=store, model=name, **named)
+    return assess(bidders, criteria, documents, client, done, options.reserve_documents and not indexed, options.batch_chunks,
+                  "vector" if indexed else "scan", index if indexed else None, pool=options.vector_pool, fast=fast, call=call,
+                  money_confidence=options.money_confidence if options.money_model else None)

@@ -8,12 +8,14 @@ CASE over the facts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligora import constants as K
 from eligora.functions import thresholds as T
-from eligora.functions.money import rupees
+from eligora.functions.money import as_rupees, rupees
 from eligora.functions.text import left, whole_number
 from eligora.operators.ranking import top_k
 from eligora.session import sized
@@ -21,14 +23,28 @@ from eligora.session import sized
 PAIR = ["bidder_id", "criterion_id"]
 
 
-def prepare_criteria(criteria: DataFrame) -> DataFrame:
+# (rows, key columns, text column) -> key columns and ``money``, as ``sources.models.money_with_model``
+AmountReader = Callable[[DataFrame, list[str], str], DataFrame]
+
+
+def _amounts_read(criteria: DataFrame, read: AmountReader) -> DataFrame:
+    """Rupee amounts of description and threshold by a reader that may ask a model; ``id`` is unique."""
+    texts = criteria.select("id", F.posexplode(F.array("description", "threshold")).alias("_field", "_text"))
+    found = read(texts, ["id", "_field"], "_text").select("id", "_field", as_rupees("money").alias("_a"))
+    wide = found.groupBy("id").agg(*[F.max(F.when(F.col("_field") == i, F.col("_a"))).alias(name)
+                                     for i, name in enumerate(("_desc_rupees", "_field_rupees"))])
+    return criteria.join(wide, "id", "left")
+
+
+def prepare_criteria(criteria: DataFrame, read_amounts: AmountReader | None = None) -> DataFrame:
     """Criteria with operator, threshold, required count, reading rules, route.
 
-    Parsed once, however often a plan uses them, and joined by exact size.
+    Parsed once, however often a plan uses them, and joined by exact size.  Amounts
+    are read by rules, or by ``read_amounts``; evidence is always read by rules.
     """
     desc = F.coalesce("description", F.lit(""))
-    amounts = criteria.select("*", rupees("description").alias("_desc_rupees"),
-                              rupees("threshold").alias("_field_rupees"))
+    amounts = _amounts_read(criteria, read_amounts) if read_amounts else criteria.select(
+        "*", rupees("description").alias("_desc_rupees"), rupees("threshold").alias("_field_rupees"))
     parsed = amounts.select(
         "*", T.parse_threshold("description", "threshold", "_desc_rupees", "_field_rupees").alias("_t"),
         T.count_requirement("description").alias("required_count"),

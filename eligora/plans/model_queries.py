@@ -7,6 +7,7 @@ tables, without a model.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from eligora import constants as K
 from eligora.operators import evaluate as E
 from eligora.plans import domain as D
+from eligora.plans import money_queries as MQ
 from eligora.sources import models as M
+from eligora.sources.replies import ask_once
 
 
 class DigestModel:
@@ -62,6 +65,48 @@ def evidence_parts(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select(*E.PAIR, "part", F.length("evidence").cast("bigint").alias("chars"), F.md5("evidence").alias("evidence_md5"))
 
 
+class LengthModel:
+    """Reads an amount off the length of the prompt; every seventh length has no answer."""
+
+    def chat(self, messages: list[dict], json_mode: bool, max_tokens: int) -> str:
+        n = len(messages[-1]["content"])
+        if n % 7 == 0:
+            return "no amount"
+        return f'{{"amount": {n * 1000}, "currency": "{"inr" if n % 2 else "usd"}", "confidence": 0.{3 + n % 7}}}'
+
+
+def money_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Best amount of every order's text, with a model for unsure ones and each distinct request made once."""
+    best = M.money_with_model(MQ.order_texts(spark, sf), "o_orderkey", "t", LengthModel, partial(ask_once, at_once=4))
+    return best.select("o_orderkey", F.round("money.amount", 4).alias("amount"), F.col("money.currency").alias("currency"),
+                       F.round("money.confidence", 4).alias("confidence"), F.col("money.method").alias("method"))
+
+
+SHARED_RULE = "Registered office in the region of the works"
+BLOCK, OVERLAP = 2000, 200
+
+
+class ListModel:
+    """Two criteria a block: one that all blocks share, with a threshold of any length, and the digest of the prompt."""
+
+    def chat(self, messages: list[dict], json_mode: bool, max_tokens: int) -> str:
+        digest = hashlib.md5(messages[-1]["content"].encode()).hexdigest()
+        if digest[0] == "0":
+            return "no list"
+        shared = f'{{"description": "{SHARED_RULE}", "threshold": "{digest[:int(digest[1], 16)]}", "mandatory": {str(digest[2] < "8").lower()}}}'
+        return f'{{"criteria": [{shared}, {{"description": "{digest}", "category": "technical"}}]}}'
+
+
+def criteria_from_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Criteria of every document read as a tender, block by block, and a row for each block that failed."""
+    tenders = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("full_text"))
+    found, failed = M.read_criteria(tenders, ListModel, BLOCK, OVERLAP, partial(ask_once, at_once=4))
+    columns = ["tender_id", "crit_code", "description", "category", "mandatory", "threshold", "merged"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(columns[1:], ("string", "string", "string", "boolean", "string", "bigint"))]
+    return (found.select(*columns, F.lit(None).cast("int").alias("failed_block"), F.lit(None).cast("string").alias("error"))
+            .unionByName(failed.select("tender_id", *none, F.col("block").alias("failed_block"), "error")))
+
+
 def _filled(template: str, **slots: str) -> str:
     out = "'" + template.replace("'", "''") + "'"
     for name, value in slots.items():
@@ -71,6 +116,8 @@ def _filled(template: str, **slots: str) -> str:
 
 _SUMMARY = _filled(M.SUMMARY_PROMPT, name="filename", text="t")
 _JUDGE = _filled(M.VERDICT_PROMPT, description="description", category="category", mandatory="'True'", threshold="threshold", evidence="evidence")
+_ASKED = _filled(M.MONEY_PROMPT, text="regexp_replace(t, '^\\s+|\\s+$', '', 'g')")
+_LISTED = _filled(M.CRITERIA_PROMPT, text="b")
 _TEXTS = ",".join(f"({p}::BIGINT,'{d}','{c}','{t}')" for p, d, c, m, t, e in D.RULES if p <= 2)
 
 QUERIES = {
@@ -90,6 +137,26 @@ QUERIES = {
         CASE WHEN evidence IS NULL THEN 'No evidence found for: ' || description || '. The required documents may not have been submitted.'
           WHEN m[1] = '0' THEN 'Evaluation error: invalid JSON. Manual review required.' ELSE m END AS explanation,
         CASE WHEN evidence IS NULL THEN 0.5 WHEN m[1] = '0' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence FROM q"""),
+    "money_routed": (money_routed, f"""{MQ.MONEY_SQL}, {MQ.GATE_SQL}, n AS (SELECT t.id, length({_ASKED}) AS n FROM texts t LEFT JOIN a USING (id)
+        WHERE length(trim(t)) > 0 AND (coalesce(c, 0) < {K.MONEY_MODEL_CONFIDENCE} OR coalesce(x, FALSE))),
+      both_ways AS (SELECT * FROM named UNION ALL SELECT id, n * 1000.0, CASE n % 2 WHEN 1 THEN 'INR' ELSE 'USD' END,
+        greatest(0.4, least(0.9, (3 + n % 7) / 10.0)), 'llm_disambiguate', 999999999 FROM n WHERE n % 7 <> 0),
+      chosen AS ({MQ.BEST_SQL.format('both_ways')})
+      SELECT t.id AS o_orderkey, round(amount, 4) AS amount, currency, round(confidence, 4) AS confidence, method
+      FROM texts t LEFT JOIN chosen USING (id)"""),
+    "criteria_from_model": (criteria_from_model, f"""WITH d AS (SELECT doc_id AS tender_id, coalesce(text, '') AS t FROM documents),
+      s AS (SELECT tender_id, i::INT AS i, substr(t, i * {BLOCK - OVERLAP} + 1, {BLOCK}) AS b FROM d, UNNEST(range(0,
+        greatest(1, CAST(ceil((length(t) - {OVERLAP}) / {BLOCK - OVERLAP}.0) AS BIGINT)))) AS u(i)),
+      r AS (SELECT tender_id, i, md5({_LISTED}) AS m FROM s),
+      l AS (SELECT tender_id, i * 2 AS ord, '{SHARED_RULE}' AS description, 'other' AS category, m[3] < '8' AS mandatory,
+          left(m, CASE WHEN m[2] <= '9' THEN m[2]::INT ELSE ascii(m[2]) - 87 END) AS threshold FROM r WHERE m[1] <> '0'
+        UNION ALL SELECT tender_id, i * 2 + 1, m, 'technical', TRUE, '' FROM r WHERE m[1] <> '0'),
+      g AS (SELECT tender_id, description, min(ord) AS first, arg_min(category, ord) AS category, arg_min(mandatory, ord) AS mandatory,
+        arg_min(threshold, (-length(threshold), ord)) AS threshold, count(*) AS merged FROM l GROUP BY ALL)
+      SELECT tender_id, 'C-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS crit_code, description, category,
+        mandatory, threshold, merged, NULL::INT AS failed_block, NULL::VARCHAR AS error
+        FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY first) AS n FROM g)
+      UNION ALL SELECT tender_id, NULL, NULL, NULL, NULL, NULL, NULL, i, 'invalid JSON' FROM r WHERE m[1] = '0'"""),
     "evidence_parts": (evidence_parts, f"""WITH {D.EVIDENCE_SQL}, l AS (SELECT bidder_id, criterion_id, ordinal, '. in ' || source_document
           || ': ' || CAST(round(value * 100) AS BIGINT) || chr(10) || '   wording ?' || chr(10) || '   remark ?'
           || chr(10) AS line FROM evidence),

@@ -42,26 +42,26 @@ def _amount_text() -> Column:
     return out
 
 
-def _texts(spark: SparkSession, sf: str) -> DataFrame:
+def order_texts(spark: SparkSession, sf: str) -> DataFrame:
     orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return spread(orders, "o_orderkey").select("o_orderkey", _amount_text().alias("t"))
 
 
 def money_best(spark: SparkSession, sf: str) -> DataFrame:
-    best = _texts(spark, sf).select("o_orderkey", M.parse_money("t").alias("m"))
+    best = order_texts(spark, sf).select("o_orderkey", M.parse_money("t").alias("m"))
     return best.select("o_orderkey", F.round("m.amount", 4).alias("amount"), F.col("m.currency").alias("currency"),
                        F.round("m.confidence", 4).alias("confidence"), F.col("m.method").alias("method"),
                        F.round(M.as_rupees("m"), 4).alias("rupees"))
 
 
 def money_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    found = _texts(spark, sf).select("o_orderkey", F.inline(M.distinct_candidates(M.money_candidates("t"))))
+    found = order_texts(spark, sf).select("o_orderkey", F.inline(M.distinct_candidates(M.money_candidates("t"))))
     return found.select("o_orderkey", F.round("amount", 4).alias("amount"), "currency", "confidence", "method")
 
 
 def money_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Which texts are ambiguous, and which would be shown to a model."""
-    found = _texts(spark, sf).select("o_orderkey", M.money_candidates("t").alias("c"))
+    found = order_texts(spark, sf).select("o_orderkey", M.money_candidates("t").alias("c"))
     return found.select("o_orderkey", M.is_ambiguous(F.col("c")).alias("ambiguous"),
                         M.needs_model(F.col("c")).alias("ask_model"))
 
@@ -73,7 +73,7 @@ def money_in_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def money_by_currency(spark: SparkSession, sf: str) -> DataFrame:
-    return M.amounts(_texts(spark, sf), [], "t").groupBy("currency", "method").agg(
+    return M.amounts(order_texts(spark, sf), [], "t").groupBy("currency", "method").agg(
         F.count("*").alias("texts"), F.max(F.round("amount", 2)).alias("largest"))
 
 
@@ -174,6 +174,12 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# best amount of each id among the rows of a table like ``named``
+BEST_SQL = """SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+  round(confidence + CASE WHEN currency = 'INR' THEN 0.08 ELSE 0 END
+    + CASE WHEN currency = 'INR' AND amount >= 1000000 THEN 0.02 ELSE 0 END, 9) DESC, round(amount, 4) DESC, ord) = 1"""
+
+
 def money_sql(texts: str) -> str:
     """CTEs kept(id, amount, currency, confidence, method, ord) and best from
     texts(id, t), written rule by rule with rows instead of arrays."""
@@ -257,12 +263,15 @@ kept AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY id, currenc
   ORDER BY confidence DESC, ord) = 1),
 named AS (SELECT id, amount, CASE currency WHEN 'XXX' THEN 'INR' ELSE currency END AS currency,
   CASE currency WHEN 'XXX' THEN confidence * 0.9 ELSE confidence END::DOUBLE AS confidence, method, ord FROM kept),
-best AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY id ORDER BY
-  round(confidence + CASE WHEN currency = 'INR' THEN 0.08 ELSE 0 END
-    + CASE WHEN currency = 'INR' AND amount >= 1000000 THEN 0.02 ELSE 0 END, 9) DESC, round(amount, 4) DESC, ord) = 1)"""
+best AS ({BEST_SQL.format('named')})"""
 
 
-_MONEY = "WITH " + money_sql(_TEXTS)
+_MONEY = MONEY_SQL = "WITH " + money_sql(_TEXTS)
+# ids with ``c`` the surest confidence and ``x`` whether the surest five are ambiguous
+GATE_SQL = """top AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY id
+        ORDER BY confidence DESC, ord) <= 5), a AS (SELECT id, max(confidence) AS c,
+        count(DISTINCT CASE WHEN currency <> 'XXX' THEN currency END) >= 2 OR (count(DISTINCT round(amount, 4)) >= 2
+        AND max(round(amount, 4)) / min(round(amount, 4)) < 5) AS x FROM top GROUP BY id)"""
 _CRIT = """crit AS (SELECT p_partkey AS id, CASE p_partkey % 11
  WHEN 0 THEN 'At least ' || w || ' similar works, each of value not less than Rs. ' || n || '/-'
  WHEN 1 THEN 'An engineer with minimum ' || p_size || ' years of experience' WHEN 2 THEN 'ISO 9001 certificate, copy ' || p_size
@@ -296,10 +305,7 @@ QUERIES = {
       FROM texts t LEFT JOIN best USING (id)"""),
     "money_candidates": (money_candidates, f"""{_MONEY} SELECT id AS o_orderkey, round(amount, 4) AS amount, currency,
       confidence::DOUBLE AS confidence, method FROM kept"""),
-    "money_gate": (money_gate, f"""{_MONEY}, top AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY id
-        ORDER BY confidence DESC, ord) <= 5), a AS (SELECT id, max(confidence) AS c,
-        count(DISTINCT CASE WHEN currency <> 'XXX' THEN currency END) >= 2 OR (count(DISTINCT round(amount, 4)) >= 2
-        AND max(round(amount, 4)) / min(round(amount, 4)) < 5) AS x FROM top GROUP BY id)
+    "money_gate": (money_gate, f"""{_MONEY}, {GATE_SQL}
       SELECT t.id AS o_orderkey, coalesce(x, FALSE) AS ambiguous, coalesce(c, 0) < 0.62 OR coalesce(x, FALSE) AS ask_model
       FROM texts t LEFT JOIN a USING (id)"""),
     "money_in_documents": (money_in_documents, "WITH " + money_sql("texts AS (SELECT doc_id AS id, text AS t FROM documents)")

@@ -35,6 +35,8 @@ class ModelClient(Protocol):
 
 
 ClientFactory = Callable[[], ModelClient]
+# ``ask`` or a replacement with its leading parameters, such as a partial of ``replies.ask_once``.
+Call = Callable[..., DataFrame]
 
 
 def _with_retries(call: Callable[[], object], retries: int, wait: float):
@@ -49,18 +51,30 @@ def _with_retries(call: Callable[[], object], retries: int, wait: float):
             time.sleep(wait)
 
 
+def _warm_up(model: ModelClient) -> None:
+    """Let a client load its model; whether it could shows in the calls."""
+    warm_up = getattr(model, "warm_up", None)
+    if warm_up:
+        try:
+            warm_up()
+        except Exception:
+            pass
+
+
 def ask(df: DataFrame, prompt: str, client: ClientFactory, system: str = "", json_mode: bool = True,
         max_tokens: int = K.MODEL_TOKENS, retries: int = K.MODEL_RETRIES,
         wait: float = K.MODEL_RETRY_SECONDS) -> DataFrame:
     """Add ``reply`` and ``error`` columns by one chat call per row.
 
     A call that keeps failing leaves a NULL reply and its message, so one bad
-    row does not fail the job; an unknown model does.
+    row does not fail the job; an unknown model does.  A client that has
+    ``warm_up()`` is warmed up once per task before its first call.
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, reply string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
+        _warm_up(model)
         for rows in batches:
             replies, errors = [], []
             for text in rows[prompt]:
@@ -128,7 +142,7 @@ an empty list when there is none. Amounts are in whole rupees (1 lakh = 100000,
 
 
 def model_extractor(client: ClientFactory, contexts: DataFrame | Callable[[DataFrame], DataFrame], documents: DataFrame, keys: list[str],
-                    scan_keys: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+                    scan_keys: list[str] | None = None, call: Call = ask) -> Callable[[DataFrame], DataFrame]:
     """Extractor for ``operators.extraction.scan`` that asks a model.
 
     Batches need source_document, batch, description, threshold and
@@ -145,7 +159,7 @@ def model_extractor(client: ClientFactory, contexts: DataFrame | Callable[[DataF
         fields = {n: F.coalesce(F.col(n), F.lit(d)) for n, d in
                   (("description", ""), ("threshold", "N/A"), ("expected_evidence", ""), ("context", ""))}
         prompts = batches.withColumn("_prompt", X.fill_template(EVIDENCE_PROMPT, **fields)).drop("context")
-        replies = ask(prompts, "_prompt", client, EVIDENCE_SYSTEM, True, K.EVIDENCE_TOKENS)
+        replies = call(prompts, "_prompt", client, EVIDENCE_SYSTEM, True, K.EVIDENCE_TOKENS)
         items = replies.select(*[c for c in replies.columns if c not in ("_prompt", "reply", "error")],
                                F.posexplode(J.evidence_items("reply")).alias("item", "_e"))
         named = F.coalesce(X.non_empty("_e.source_document"), F.col("source_document"))
@@ -205,7 +219,8 @@ def evidence_summary(evidence: DataFrame, group: list[str]) -> DataFrame:
 
 
 def qualitative_verdicts(pairs: DataFrame, criteria: DataFrame, evidence: DataFrame, client: ClientFactory,
-                         system: str = VERDICT_SYSTEM, prompt: str = VERDICT_PROMPT, limit: int = EVIDENCE_CHARS) -> DataFrame:
+                         system: str = VERDICT_SYSTEM, prompt: str = VERDICT_PROMPT, limit: int = EVIDENCE_CHARS,
+                         call: Call = ask) -> DataFrame:
     """Model verdicts; without evidence the fixed rule, on failure a review.
 
     Evidence of more than ``limit`` characters is judged part by part, and the
@@ -222,7 +237,7 @@ def qualitative_verdicts(pairs: DataFrame, criteria: DataFrame, evidence: DataFr
 
     def judged(asked: DataFrame, keys: list[str]) -> DataFrame:
         prompts = asked.select(*keys, X.fill_template(prompt, **fields).alias("_prompt"))
-        return ask(prompts, "_prompt", client, system).select(*keys, _verdict_of_reply().alias("_v"))
+        return call(prompts, "_prompt", client, system).select(*keys, _verdict_of_reply().alias("_v"))
     single = cut(judged(rows.where(F.col("part").isNotNull()), [*PAIR, "part"]))
     counts = single.groupBy(*PAIR).agg(F.count("*").alias("_parts"))
     counted = single.join(counts, PAIR)
@@ -260,23 +275,72 @@ Answer {"criteria": [{"criterion_id": "C-001", "description": text, "category":
 """
 
 
-def extract_criteria(tenders: DataFrame, client: ClientFactory) -> DataFrame:
-    """Criteria of each tender, defaults filled in, near-duplicates merged."""
+def _overlapping(text: Column, block: int, overlap: int) -> Column:
+    """Blocks of ``block`` characters, each but the last sharing ``overlap`` with the next; one for an empty text.
+
+    Cut once into steps by one pattern, so that a long text is walked through once.
+    """
+    step = block - overlap
+    steps = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0))
+
+    def joined(s: Column) -> Column:
+        # a last step that the block before it holds already makes no block
+        inside = (F.size(s) > 1) & (F.length(F.element_at(s, -1)) <= overlap)
+        count = F.size(s) - inside.cast("int")
+        return F.transform(F.slice(s, 1, F.greatest(count, F.lit(0))), lambda x, i: F.concat(
+            x, F.substr(F.coalesce(F.get(s, i + 1), F.lit("")), F.lit(1), F.lit(overlap))))
+    cut_up = F.flatten(F.transform(F.array(steps), joined))
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut_up)
+
+
+CRITERION_ITEM = ("struct<description:string,category:string,mandatory:boolean,threshold:string,"
+                  "expected_evidence:string,source_section:string>")
+
+
+def criteria_replies(tenders: DataFrame, client: ClientFactory, block: int = K.CRITERIA_BLOCK_CHARS,
+                     overlap: int = K.CRITERIA_OVERLAP_CHARS, call: Call = ask) -> DataFrame:
+    """What a model lists for each block of each tender: tender_id, block, items, error.
+
+    ``tenders`` has id and full_text.  A failed call, or a reply that is no JSON or
+    has no list of criteria, is a row with its error and no items.
+    """
+    blocks = tenders.select(F.col("id").alias("tender_id"), F.posexplode(
+        _overlapping(F.coalesce("full_text", F.lit("")), block, overlap)).alias("block", "_text"))
+    prompts = blocks.select("tender_id", "block", X.fill_template(CRITERIA_PROMPT, text=F.col("_text")).alias("_prompt"))
+    replies = call(prompts, "_prompt", client, CRITERIA_SYSTEM).withColumn("_b", J.json_body("reply"))
+    listed = F.coalesce(F.try_variant_get("_b", "$.criteria", "array<variant>"), F.try_variant_get("_b", "$", "array<variant>"))
+
+    def item(v: Column) -> Column:
+        def field(name: str, default: str) -> Column:
+            return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(default)).alias(name)
+        return F.struct(field("description", ""), field("category", "other"),
+                        F.coalesce(F.try_variant_get(v, "$.mandatory", "boolean"), F.lit(True)).alias("mandatory"),
+                        field("threshold", ""), field("expected_evidence", ""), field("source_section", ""))
+    read = replies.select("tender_id", "block", "error", "_b", listed.alias("_l"))
+    problem = (F.when(F.col("_b").isNull(), F.coalesce("error", F.lit("invalid JSON")))
+               .when(F.col("_l").isNull(), F.lit("no list of criteria")))
+    return read.select("tender_id", "block", F.coalesce(F.transform("_l", item), F.array().cast(f"array<{CRITERION_ITEM}>")).alias("items"),
+                       problem.alias("error"))
+
+
+def read_criteria(tenders: DataFrame, client: ClientFactory, block: int = K.CRITERIA_BLOCK_CHARS,
+                  overlap: int = K.CRITERIA_OVERLAP_CHARS, call: Call = ask) -> tuple[DataFrame, DataFrame]:
+    """Criteria of whole tenders, near-duplicates merged over all blocks, and the blocks that gave none for an error.
+
+    Criteria keep the order of the text.  The second table has tender_id, block and
+    error, so that a tender with a failed block is known to be incomplete.
+    """
     from eligora.operators.dedupe import merge_similar
-    prompts = tenders.select(F.col("id").alias("tender_id"), X.fill_template(
-        CRITERIA_PROMPT, text=F.coalesce("full_text", F.lit(""))).alias("_prompt"))
-    replies = ask(prompts, "_prompt", client, CRITERIA_SYSTEM).withColumn("_b", J.json_body("reply"))
-    items = F.coalesce(F.try_variant_get("_b", "$.criteria", "array<variant>"),
-                       F.try_variant_get("_b", "$", "array<variant>"))
-    rows = replies.select("tender_id", F.posexplode(items).alias("ord", "_c"))
-
-    def field(name: str, default: str) -> Column:
-        return F.coalesce(F.try_variant_get("_c", f"$.{name}", "string"), F.lit(default)).alias(name)
-    listed = rows.select("tender_id", F.col("ord").cast("bigint").alias("ord"), field("description", ""),
-                         field("category", "other"),
-                         F.coalesce(F.try_variant_get("_c", "$.mandatory", "boolean"), F.lit(True)).alias("mandatory"),
-                         field("threshold", ""), field("expected_evidence", ""), field("source_section", ""))
-    return merge_similar(listed)
+    replies = cut(criteria_replies(tenders, client, block, overlap, call))
+    rows = replies.select("tender_id", "block", F.posexplode("items").alias("_i", "_c"))
+    ord_ = (F.col("block").cast("bigint") * (1 << 32) + F.col("_i")).alias("ord")
+    return (merge_similar(rows.select("tender_id", ord_, "_c.*")),
+            replies.where("error is not null").select("tender_id", "block", "error"))
+
+
+def extract_criteria(tenders: DataFrame, client: ClientFactory, call: Call = ask) -> DataFrame:
+    """Criteria of each tender, defaults filled in, near-duplicates merged."""
+    return read_criteria(tenders, client, call=call)[0]
 
 
 SUMMARY_SYSTEM = "Produce the document column of a search index: plain prose, facts only."
@@ -321,23 +385,30 @@ three letters, confidence as a fraction.
 """
 
 
-def money_with_model(df: DataFrame, key: str, text: str, client: ClientFactory) -> DataFrame:
-    """Best amount per row, asking a model only where the rules are unsure."""
+def money_with_model(df: DataFrame, key: str | list[str], text: str, client: ClientFactory, call: Call = ask,
+                     confidence: float = K.MONEY_MODEL_CONFIDENCE) -> DataFrame:
+    """Best amount per row, asking a model only where the rules are unsure.
+
+    ``key`` (columns) tells rows apart.  Unsure are ambiguous texts and those whose
+    surest candidate is below ``confidence``; the rules run once per text.
+    """
     from eligora.functions import money as M
-    ruled = df.select(key, text, M.money_candidates(text).alias("_c"))
-    unsure = ruled.where(M.needs_model(F.col("_c")) & ~X.is_blank(text))
+    keys = [key] if isinstance(key, str) else key
+    ruled = df.select(*keys, text, M.money_candidates(text).alias("_c"))
+    unsure = M.needs_model(F.col("_c"), confidence) & ~X.is_blank(text)
+    ruled = cut(ruled.select(*keys, "_c", F.when(unsure, X.strip(text)).alias("_t")))
     # windows of the whole text that overlap by half, and of these the ones with a digit
     step = K.MONEY_SNIPPET_CHARS // 2
-    stripped = unsure.select(key, X.strip(text).alias("_t"))
+    stripped = ruled.where("_t is not null").select(*keys, "_t")
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length("_t") - step - 1, F.lit(0)) / step).cast("int"))
-    windows = stripped.select(key, F.posexplode(F.transform(starts, lambda i: F.substr(F.col("_t"), i * step + 1, F.lit(2 * step)))).alias("_w", "_text"))
-    prompts = windows.where((F.col("_w") == 0) | F.col("_text").rlike("[0-9]")).select(key, "_w", X.fill_template(MONEY_PROMPT, text=F.col("_text")).alias("_prompt"))
-    replies = ask(prompts, "_prompt", client, MONEY_SYSTEM, True, K.MONEY_TOKENS)
+    windows = stripped.select(*keys, F.posexplode(F.transform(starts, lambda i: F.substr(F.col("_t"), i * step + 1, F.lit(2 * step)))).alias("_w", "_text"))
+    prompts = windows.where((F.col("_w") == 0) | F.col("_text").rlike("[0-9]")).select(*keys, "_w", X.fill_template(MONEY_PROMPT, text=F.col("_text")).alias("_prompt"))
+    replies = call(prompts, "_prompt", client, MONEY_SYSTEM, True, K.MONEY_TOKENS)
     body = J.json_body("reply")
     reply = F.struct(*[F.try_variant_get(body, f"$.{n}", "string").alias(n)
                        for n in ("amount", "currency", "confidence")])
-    read = replies.select(key, "_w", model_money(reply).alias("_m")).where("_m is not null")
-    extra = read.groupBy(key).agg(F.max_by("_m", F.struct(F.col("_m.confidence"), -F.col("_w"))).alias("_m"))
-    joined = ruled.join(extra, key, "left")
+    read = replies.select(*keys, "_w", model_money(reply).alias("_m")).where("_m is not null")
+    extra = read.groupBy(*keys).agg(F.max_by("_m", F.struct(F.col("_m.confidence"), -F.col("_w"))).alias("_m"))
+    joined = ruled.join(extra, keys, "left")
     candidates = F.when(F.col("_m").isNull(), F.col("_c")).otherwise(F.concat("_c", F.array("_m")))
-    return joined.select(key, M.pick_best(candidates).alias("money"))
+    return joined.select(*keys, M.pick_best(candidates).alias("money"))
