@@ -8,11 +8,13 @@ is not a prefix of the longer one even so, the template has rewritten history an
 turn is marked.  One more rendering with a probe in place of the text shows where the
 text stands inside the piece, and so the loss mask.
 
-A template may say how many turns before a turn its rendering depends on (``memory``).
-Prefixes then begin that many turns back, which keeps the work linear and a task's
-memory at a few turns however long a conversation is; each turn is also rendered
-with one turn more in front, and one whose piece changes by that is marked.  Without
-``memory`` prefixes are whole, and a conversation's turns are held while it is worked on.
+Prefixes are whole, so that every turn is compared with all of its conversation before
+it; its turns are held while it is worked on, and n turns take about n * n renderings of
+a turn (the output of the last prefix is kept, not made again).  A template may say how
+many turns before a turn its rendering depends on (``memory``).  Prefixes then begin that
+many turns back, which keeps the work linear and a task's memory at a few turns; each
+turn is also rendered with one turn more in front, and one whose piece changes by that
+is marked.  ``MARKED``, which op12 uses, does not say so.
 
 Turns are dealt by conversation and sorted within their task (a sort that spills), then
 read as a stream: a conversation is never a group in memory.  Digests over all of a
@@ -85,24 +87,28 @@ def read_marked(output: str) -> tuple[list[tuple[str, str]], str]:
     return found, output[end:]
 
 
-MARKED = Template(render_marked, read_marked, unescape, memory=0)
+MARKED = Template(render_marked, read_marked, unescape)
 
 
 @dataclass(frozen=True)
 class Placed:
-    """A turn's piece of the output, where the text stands in it (-1: nowhere, or not once), the output's ending, and whether history was rewritten."""
+    """A turn's piece of the output, where the text stands in it (-1: nowhere, or not once), the output's ending, whether history was
+    rewritten, and the whole output."""
 
     piece: str
     text_at: int
     text_chars: int
     closing: str
     rewritten: bool
+    output: str
 
 
-def place(render: Callable[[list[dict]], str], before: list[dict], turn: dict) -> Placed:
-    """Compares the outputs of a prefix with and without its last turn."""
-    short, long = render(before) if before else "", render([*before, turn])
-    shared = len(os.path.commonprefix([short, long]))
+def place(render: Callable[[list[dict]], str], before: list[dict], turn: dict, short: str | None = None) -> Placed:
+    """Compares the outputs of a prefix with and without its last turn; ``short`` is the one without where it is known."""
+    if short is None:
+        short = render(before) if before else ""
+    long = render([*before, turn])
+    shared = len(short) if long.startswith(short) else len(os.path.commonprefix([short, long]))
     closing = short[shared:]
     if not before:  # the turn put after itself shows how outputs end
         twice = render([turn, turn])
@@ -120,7 +126,7 @@ def place(render: Callable[[list[dict]], str], before: list[dict], turn: dict) -
         head, mark, tail = probed.partition(probe)
         if mark and probe not in tail and long.startswith(head) and long.endswith(tail) and len(head) >= shared and len(long) >= len(head) + len(tail):
             text_at, text_chars = len(head) - shared, len(long) - len(head) - len(tail)
-    return Placed(long[shared:body], text_at, text_chars, closing, rewritten)
+    return Placed(long[shared:body], text_at, text_chars, closing, rewritten, long)
 
 
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict]]:
@@ -159,13 +165,14 @@ def formatted_turns(rows: DataFrame, template: Template = MARKED, trained: str =
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         before: list[dict] = []
-        position = start = 0
+        position, start, output = 0, 0, None
         for new, row in _sorted_rows(batches):
             if new:
-                before, position, start = [], 0, 0
+                before, position, start, output = [], 0, 0, None
             turn = {"role": row["role"] or "", "text": row["text"] or ""}
             context = before if memory is None else before[len(before) - memory:] if memory else []
-            p = place(template.render, context, turn)
+            p = place(template.render, context, turn, output if memory is None else None)
+            output = p.output
             if memory is not None and position > memory:
                 wider = place(template.render, before[-memory - 1:], turn)
                 rewritten = p.rewritten or wider.rewritten or wider.piece != p.piece

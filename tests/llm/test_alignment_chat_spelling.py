@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment, chat formatting and spelling variants against brute force."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -128,6 +129,18 @@ def test_templates_that_rewrite_history_are_detected(spark):
     assert all(text[r.text_start:r.text_start + r.text_chars] == f"text {r.position}" for r in shown(numbered, None))
 
 
+def test_the_registered_template_is_compared_by_whole_prefixes(spark):
+    """With a rendering that depends on all turns before, what op12 does to its template gives the whole output back."""
+    rows = spark.createDataFrame([(1, t, "user", f"text {t}") for t in range(6)], "conv_id long, turn long, role string, text string")
+
+    def counted(turns):
+        return "".join(f"{i}[{t['text']}]" for i, t in enumerate(turns))
+
+    out = chat.formatted_turns(rows, dataclasses.replace(chat.MARKED, render=counted)).orderBy("position").collect()
+    assert not any(r.rewritten for r in out)
+    assert "".join(r.piece for r in out) == counted([{"text": f"text {t}"} for t in range(6)])
+
+
 def brute_variants(rows, least=6, often=5, ratio=5):
     counts = Counter()
     for i, t in rows:
