@@ -10,14 +10,12 @@ substring test so that texts without such amounts never reach a regex.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligora import constants as K
 from eligora.functions.text import (
-    col, contains_any, lookup, number, reusable, strip,
+    as_double, bind, col, contains_any, lookup, number, reusable, strip,
 )
 
 MONEY_TYPE = "struct<amount:double,currency:string,confidence:double,method:string>"
@@ -36,11 +34,6 @@ def _gate(test: Column, candidates: Column) -> Column:
     return F.when(test, candidates).otherwise(F.array().cast(LIST_TYPE))
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 # -- number shapes -----------------------------------------------------------
 
 def grouped_number(c: Column | str) -> Column:
@@ -161,12 +154,13 @@ def spaced_thousands_candidates(text: Column) -> Column:
 
 
 def inferred_currency(text: Column) -> Column:
-    up = F.upper(text)
-    dollars = up.rlike(r"\bUSD\b|\bUS\$\b") | (text.contains("$") & ~text.rlike(r"[0-9]+%"))
-    return (F.when(contains_any(up, ["INR", "RUPEE", "RS.", "₹"]) | F.contains(strip(up), F.lit(" RS ")), "INR")
-            .when(dollars, "USD")
-            .when(contains_any(up, ["EUR", "€"]), "EUR").when(contains_any(up, ["GBP", "£"]), "GBP")
-            .when(up.contains("CHF"), "CHF").when(contains_any(up, ["JPY", "¥"]), "JPY"))
+    def read(up: Column) -> Column:
+        dollars = up.rlike(r"\bUSD\b|\bUS\$\b") | (text.contains("$") & ~text.rlike(r"[0-9]+%"))
+        return (F.when(contains_any(up, ["INR", "RUPEE", "RS.", "₹"]) | F.contains(strip(up), F.lit(" RS ")), "INR")
+                .when(dollars, "USD")
+                .when(contains_any(up, ["EUR", "€"]), "EUR").when(contains_any(up, ["GBP", "£"]), "GBP")
+                .when(up.contains("CHF"), "CHF").when(contains_any(up, ["JPY", "¥"]), "JPY"))
+    return bind(F.upper(text), read)
 
 
 def retail_number(part: Column) -> Column:
@@ -177,7 +171,7 @@ def retail_number(part: Column) -> Column:
     run = F.regexp_extract(part, r"([0-9][0-9\s.,]*)(?:[^%0-9]|$)", 1)
     tidy = F.regexp_replace(run, r"\s+|[\s.,]+$", "")
     point = F.regexp_replace(tidy, r"[.,]([0-9]{1,2}|[0-9]{4,})$", "p$1")
-    return F.translate(point, "p,.", ".").try_cast("double")
+    return as_double(F.translate(point, "p,.", "."))
 
 
 def retail_candidates(text: Column) -> Column:
@@ -186,7 +180,7 @@ def retail_candidates(text: Column) -> Column:
     def read(method: str):
         def price(part: Column) -> Column:
             raw = F.struct(retail_number(part).alias("amount"), inferred_currency(part).alias("code"))
-            return _bind(raw, lambda r: _money(
+            return bind(raw, lambda r: _money(
                 r["amount"], F.coalesce(r["code"], F.lit(K.UNKNOWN_CURRENCY)),
                 F.when(r["code"].isNull(), F.lit(K.CONF_RETAIL_UNKNOWN)).otherwise(F.lit(K.CONF_RETAIL)), method))
         return price
@@ -221,18 +215,22 @@ def drop_noise(candidates: Column, text: Column, low: Column) -> Column:
         noise = ((retail & about["experience"]) | (year_like & about["years"])
                  | (whole & (c["amount"] > 0) & (c["amount"] <= 100) & about["percents"]))
         return ((c["amount"] > 0) | ((c["method"] == "usd_scale") & c["amount"].isNotNull())) & ~noise
-    return _bind(seen, lambda about: F.filter(candidates, lambda c: keep(c, about)))
+    return bind(seen, lambda about: F.filter(candidates, lambda c: keep(c, about)))
 
 
 @reusable
 def money_candidates(text: Column | str) -> Column:
-    """All candidates of a text in rule order, noise removed."""
-    t = F.coalesce(col(text), F.lit(""))
-    low = F.lower(t)
-    found = F.concat(rupee_candidates(t, low), euro_decimal_candidates(t), english_scale_candidates(t),
-                     spaced_thousands_candidates(t), retail_candidates(t))
+    """All candidates of a text in rule order, noise removed.
+
+    The text, which may be an expression, and its lower case are worked out once.
+    """
+    def found(t: Column, low: Column) -> Column:
+        return drop_noise(F.concat(rupee_candidates(t, low), euro_decimal_candidates(t), english_scale_candidates(t),
+                                   spaced_thousands_candidates(t), retail_candidates(t)), t, low)
+
     # Each rule needs a digit or a crore/lakh word, so other texts stop here.
-    return _gate(t.rlike("[0-9]|(?i:crore|cr|lakh|lac)"), drop_noise(found, t, low))
+    return bind(F.coalesce(col(text), F.lit("")), lambda t: _gate(
+        t.rlike("[0-9]|(?i:crore|cr|lakh|lac)"), bind(F.lower(t), lambda low: found(t, low))))
 
 
 def distinct_candidates(candidates: Column) -> Column:
@@ -247,7 +245,7 @@ def distinct_candidates(candidates: Column) -> Column:
             before = F.get(sorted_list, i - 1)
             return (i == 0) | (x["currency"] != before["currency"]) | (x["key"] != before["key"])
         return F.filter(sorted_list, new)
-    kept = F.transform(_bind(keyed, firsts), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))
+    kept = F.transform(bind(keyed, firsts), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))
     return F.transform(F.array_sort(kept), lambda x: x["c"])
 
 
@@ -263,7 +261,7 @@ def is_ambiguous(candidates: Column) -> Column:
         ratio = F.array_max(amounts) / F.greatest(F.array_min(amounts), F.lit(1e-9))
         return F.coalesce((F.size(codes) >= 2)
                           | ((F.size(amounts) >= 2) & (ratio < K.MONEY_AMBIGUITY_RATIO)), F.lit(False))
-    return _bind(F.slice(ranked, 1, 5), unclear)
+    return bind(F.slice(ranked, 1, 5), unclear)
 
 
 def needs_model(candidates: Column, confidence: float = K.MONEY_MODEL_CONFIDENCE) -> Column:
@@ -306,7 +304,7 @@ def amounts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 @reusable
 def rupees(text: Column | str) -> Column:
     """The amount when the best candidate is in rupees; no exchange rates."""
-    return _bind(parse_money(text), as_rupees)
+    return bind(parse_money(text), as_rupees)
 
 
 def as_rupees(money: Column | str) -> Column:

@@ -53,13 +53,29 @@ def non_empty(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _unless_empty(value: Column, body: Callable[[Column], Column] | None = None) -> Column:
+    """``body`` over a text that is worked out once, NULL for an empty one."""
+    held = F.filter(F.array(value), lambda v: v != "")
+    return F.get(F.transform(held, body) if body else held, F.lit(0))
+
+
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
-    return non_empty(F.regexp_extract(col(c), K.U + pattern, group))
+    return _unless_empty(F.regexp_extract(col(c), K.U + pattern, group))
+
+
+def as_double(c: Column) -> Column:
+    """To DOUBLE, NULL when it is no number.  An empty text is not cast: a failed cast costs an exception."""
+    return _unless_empty(c, lambda v: v.try_cast("double"))
 
 
 def number(c: Column) -> Column:
     """Digits with thousands commas to DOUBLE; NULL when it is no number."""
-    return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+    return as_double(F.replace(c, F.lit(","), F.lit("")))
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:

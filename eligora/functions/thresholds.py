@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from eligora import constants as K
 from eligora.functions.money import evidence_rupees, rupees
 from eligora.functions.text import (
-    col, contains_any, extract, lookup, number, reusable, strip,
+    as_double, bind, col, contains_any, extract, lookup, number, reusable, strip,
 )
 
 
@@ -103,9 +103,10 @@ def is_borderline(value: Column, threshold: Column, percent: float = K.BORDERLIN
 
 def to_numeric(text: Column | str) -> Column:
     """Rupees when the text has them, else its first number."""
-    s = strip(text)
-    first = F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), K.U + K.SIGNED_NUMBER, 0)
-    return F.coalesce(rupees(s), first.try_cast("double"))
+    def read(s: Column) -> Column:
+        first = F.regexp_extract(F.replace(s, F.lit(","), F.lit("")), K.U + K.SIGNED_NUMBER, 0)
+        return F.coalesce(rupees(s), as_double(first))
+    return bind(strip(text), read)
 
 
 def uses_rupees(value: Column, description: Column) -> Column:

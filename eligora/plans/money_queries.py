@@ -12,6 +12,8 @@ from eligora.functions import thresholds as T
 from eligora.plans import domain as D
 from eligora.session import spread
 
+# Tasks per piece of a scan of orders or parts: a piece of 128 MB holds some millions of rows.
+SHARES = 16
 WORDS = ["two", "thirteen", "twenty-five", "ninety", "hundred"]
 
 
@@ -44,7 +46,7 @@ def _amount_text() -> Column:
 
 def order_texts(spark: SparkSession, sf: str) -> DataFrame:
     orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return spread(orders, "o_orderkey").select("o_orderkey", _amount_text().alias("t"))
+    return spread(orders, "o_orderkey", shares=SHARES).select("o_orderkey", _amount_text().alias("t"))
 
 
 def money_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +84,7 @@ def number_shapes(spark: SparkSession, sf: str) -> DataFrame:
     tag = F.get(X.fixed_array(["Rs.", "US$", "€", "abc", "yen", "no"]), F.pmod("o_custkey", F.lit(6)).cast("int"))
     signed = M.signed_token(F.concat(F.lit("(-"), p, F.lit(")")))
     orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return spread(orders, "o_orderkey").select(
+    return spread(orders, "o_orderkey", shares=SHARES).select(
         "o_orderkey", M.grouped_number(F.concat(F.lit(" "), p)).alias("grouped"),
         M.euro_number(F.translate(p, ",.", ".,")).alias("euro"), signed["token"].alias("token"),
         signed["sign"].alias("sign"), M.currency_code(tag).alias("currency"),
@@ -149,7 +151,7 @@ def numeric_reading(spark: SparkSession, sf: str) -> DataFrame:
                     F.format_number("o_totalprice", 2), F.get(X.fixed_array(["", " lakh", " years"]),
                                                               F.pmod("o_custkey", F.lit(3)).cast("int")))
     orders = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return spread(orders, "o_orderkey").select("o_orderkey", text.alias("x")).select(
+    return spread(orders, "o_orderkey", shares=SHARES).select("o_orderkey", text.alias("x")).select(
         "o_orderkey", F.round(T.to_numeric("x"), 2).alias("value"))
 
 

@@ -65,12 +65,18 @@ def sized(df: DataFrame) -> DataFrame:
     return kept
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
+def spread(scan: DataFrame, *keys: str, shares: int | None = None) -> DataFrame:
     """Share out a scan that comes in far fewer pieces than there are cores.
 
     For work that is heavy per row.  A table of ordinary size passes unchanged;
     only a small or unsplittable file (one row group) is hashed by ``keys``.
     ``scan`` must be a plain scan, so that counting its pieces runs nothing.
+
+    A piece of narrow rows holds millions of them.  With ``shares`` each piece is cut
+    into that many, whatever the size of the table, so that a task stays the same
+    when the table grows.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() * 2 <= cores else scan
+    cores, pieces = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    if shares:
+        return scan.repartition(max(cores, pieces * shares), *keys)
+    return scan.repartition(cores, *keys) if pieces * 2 <= cores else scan
