@@ -117,7 +117,8 @@ def _criteria(spark: SparkSession, sf: str) -> DataFrame:
             out = F.when(at == i, o).otherwise(out)
         return out
     category = F.get(X.fixed_array(K.ALL_CATEGORIES), F.pmod("p_partkey", F.lit(5)).cast("int"))
-    return D.table(spark, sf, "part").select(
+    parts = D.table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return spread(parts, "p_partkey", shares=SHARES).select(
         "p_partkey", pick(descriptions, F.pmod("p_partkey", F.lit(11))).alias("description"),
         pick(thresholds, F.pmod(F.floor(F.col("p_partkey") / 11), F.lit(6))).alias("threshold"), category.alias("category"))
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eligora.functions import money as M
+from eligora.functions import text as X
+from eligora.plans import money_queries as MQ
 from eligora.sources.models import money_with_model
 
 # text, currency, amount
@@ -101,3 +103,17 @@ def test_model_is_asked_only_where_rules_are_unsure(spark):
     assert (got[1].amount, got[1].confidence, got[1].method) == (77.0, 0.9, "llm_disambiguate")
     assert got[2].amount == 50_000_000
     assert got[3] is None
+
+
+def test_scans_are_cut_by_their_pieces(spark):
+    """A piece of narrow rows holds millions, so a task gets a part of one, however many pieces there are."""
+    folder = "/root/testdata/sf0.001"
+    for name, scan in (("orders", MQ.order_texts(spark, folder)), ("part", MQ._criteria(spark, folder)),
+                       ("orders", MQ.numeric_reading(spark, folder))):
+        pieces = spark.read.parquet(f"{folder}/{name}.parquet").rdd.getNumPartitions()
+        assert scan.rdd.getNumPartitions() >= 16 * pieces
+
+
+def test_texts_that_are_no_number_are_not_cast(spark):
+    out = spark.createDataFrame([("",), ("1.5",), ("x",), (None,)], "t string").select(X.as_double(F.col("t")).alias("n"))
+    assert [r.n for r in out.collect()] == [None, 1.5, None, None]
