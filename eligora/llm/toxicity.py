@@ -18,9 +18,9 @@ logistic curve over this evidence, fitted on labelled rows by models that have n
 seen them, gives the score.
 
 Counts, levels, discounts and backoff weights are tables made by grouped aggregation;
-they cover all expressions of the labelled rows given and grow with them.  Labelled
-rows beyond ``max_labelled`` documents are left out (those with the largest hashes of
-their id).  Scoring needs one number per expression.  If the table has at most
+they cover all expressions of all labelled rows and grow with them.  The curve's sums are
+added up over the partitions of the rows' evidence, which never comes to the driver.
+Scoring needs one number per expression.  If the table has at most
 ``broadcast_rows`` rows it is broadcast; a larger one stays partitioned: the texts are
 stored in blocks, each block's distinct expressions are joined with the table, and the
 numbers found meet the block's texts.  Both ways give the same scores.
@@ -34,7 +34,7 @@ and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,12 +44,11 @@ from pyspark.sql import functions as F
 
 from eligora.llm.batches import LOWER, SPACE, Block, HashIndex, blocks
 from eligora.llm.stored import stored
-from eligora.session import cut
+from eligora.session import cut, sized
 
 ORDER = 6
 SHARED = 2
 WINDOWS = (12, 48)
-MAX_LABELLED = 500_000
 BROADCAST_ROWS = 4_000_000
 BLOCK_TEXT = 32 << 20
 FOLDS = 5
@@ -231,20 +230,67 @@ def wanted_entries(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Logistic regression by Newton steps; the last column is the constant and is not shrunk."""
-    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
-    z, w = x / scale, np.zeros(x.shape[1])
-    shrink = np.diag(np.append(np.full(x.shape[1] - 1, ridge), 1e-9))
+def _slope(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The log-likelihood's gradient, and below it its negative Hessian, summed over rows."""
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return np.vstack([z.T @ (y - p), (z * (p * (1 - p))[:, None]).T @ z])
+
+
+def _newton(slope: Callable[[np.ndarray], np.ndarray], scale: np.ndarray, ridge: float, rounds: int) -> np.ndarray:
+    """Newton steps; ``slope`` is that of all rows, divided by ``scale``."""
+    w = np.zeros(len(scale))
+    shrink = np.diag(np.append(np.full(len(scale) - 1, ridge), 1e-9))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + shrink + 1e-9 * np.eye(len(w)), z.T @ (y - p) - shrink @ w)
+        sums = slope(w)
+        step = np.linalg.solve(sums[1:] + shrink + 1e-9 * np.eye(len(w)), sums[0] - shrink @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     return w / scale
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Logistic regression by Newton steps; the last column is the constant and is not shrunk."""
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
+    z = x / scale
+    return _newton(lambda w: _slope(z, y, w), scale, ridge, rounds)
+
+
+def fit_rows(rows: DataFrame, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray | None:
+    """``fit_logistic`` over all rows of (toxic, EVIDENCE); None without rows of both classes.
+
+    Each partition sends its sums only.  Rows are dealt and sorted by value, so that sums
+    are added up in one order and equal rows give equal weights.
+    """
+    columns, width = ["toxic", *EVIDENCE], len(EVIDENCE)
+    dealt = rows.select(*columns).repartition(rows.sparkSession.sparkContext.defaultParallelism, *columns)
+    rows = cut(dealt.sortWithinPartitions(*columns))
+
+    def total(sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((width + 1, width))
+            for batch in batches:
+                y, *x = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+                out += sums(np.column_stack(x), y)
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        parts = [np.reshape(r.sums, (width + 1, width)) for r in rows.mapInArrow(run, "sums array<double>").collect()]
+        return sum(parts, np.zeros((width + 1, width)))
+
+    def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((width + 1, width))
+        out[0], out[1], out[2, 0] = x.sum(axis=0), (x * x).sum(axis=0), y.sum()
+        return out
+
+    first = total(moments)
+    n, toxic = first[0, -1], first[2, 0]
+    if not 0 < toxic < n:
+        return None
+    apart = np.sqrt(np.maximum(first[1] / n - (first[0] / n) ** 2, 0))
+    scale = np.where(apart > 1e-9, apart, 1)
+    return _newton(lambda w: total(lambda x, y: _slope(x / scale, y, w)), scale, ridge, rounds)
+
+
 EVIDENCE = tuple(f"e{k}" for k in range(len(WINDOWS) + 2))
 
 
@@ -305,22 +351,21 @@ def _partitioned_evidence(docs: DataFrame, table: DataFrame, which: str, kept: l
     return dealt.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(meet, _typed(kept)).select(*names)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
-    Learns from labelled rows whose fold is not 0.  Two models of one half of them
+    Learns from all labelled rows whose fold is not 0.  Two models of one half of them
     each (folds 1 and 2, folds 3 and 4) give the evidence of the other half for the
     curve; the model that scores has the counts of both.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).where(fold() != 0)
+    known = sized(labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).where(fold() != 0))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
     cell = 2 * (fold() > 2).cast("long") + 1 - F.col("toxic")
-    labelled = docs.join(F.broadcast(known), "doc_id").withColumn("cell", cell)
     weights = None
     if 0 < toxic < n:
+        # read three times; beyond Spark's threshold for a broadcast the join moves all texts
+        labelled = stored(docs.join(known, "doc_id").withColumn("cell", cell), "toxicity-labelled")
         table = ratios(count_expressions(labelled))
         if table.count() <= broadcast_rows:
             rows = table.toArrow()
@@ -329,10 +374,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
             evidence = lambda d, which, kept: _broadcast_evidence(d, shared, which, kept)
         else:
             evidence = lambda d, which, kept: _partitioned_evidence(d, table, which, kept)
-        fitted = pa.concat_tables([evidence(labelled.where(other), m, ["toxic"]).toArrow() for m, other in (("a", "cell >= 2"), ("b", "cell < 2"))])
-        y = fitted["toxic"].to_numpy().astype(float)
-        if 0 < y.sum() < len(y):
-            weights = fit_logistic(np.column_stack([fitted[e].to_numpy() for e in EVIDENCE]), y)
+        first, second = (evidence(labelled.where(other), m, ["toxic"]) for m, other in (("a", "cell >= 2"), ("b", "cell < 2")))
+        weights = fit_rows(first.unionByName(second))
     held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
     if weights is None:
         prior = float(toxic) / n if n else 0.0

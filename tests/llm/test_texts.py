@@ -1,5 +1,6 @@
 """Toxicity, substring dedup, line dedup, quality rules, quality classifier, URL filter."""
 
+import inspect
 import random
 import re
 from collections import Counter
@@ -54,6 +55,16 @@ def test_toxicity_reads_short_texts_and_rare_insults(spark):
     assert scores[5000] > 0.5 > scores[5001] and scores[5002] > 0.5
 
 
+def test_toxicity_curve_is_fitted_on_all_rows_where_they_are(spark):
+    assert not {"max_labelled", "limit", "sample"} & set(inspect.signature(toxicity.toxicity_scores).parameters)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=(400, len(toxicity.EVIDENCE) - 1)), np.ones(400)])
+    y = (x[:, 0] + rng.normal(size=400) > 0.3).astype(int)
+    rows = spark.createDataFrame([(int(t), *map(float, e)) for t, e in zip(y, x)], "toxic long, " + ", ".join(f"{e} double" for e in toxicity.EVIDENCE))
+    assert np.allclose(toxicity.fit_rows(rows.repartition(7)), toxicity.fit_logistic(x, y), rtol=1e-9, atol=1e-9)
+    assert toxicity.fit_rows(rows.where("toxic = 1")) is None and toxicity.fit_rows(rows.limit(0)) is None
+
+
 def test_toxicity_with_a_partitioned_table_gives_the_same_scores(toxic_corpus, monkeypatch):
     docs, labels = toxic_corpus
     monkeypatch.setattr(toxicity, "BLOCK_TEXT", 20_000)
