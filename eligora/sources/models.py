@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +61,22 @@ def _warm_up(model: ModelClient) -> None:
             pass
 
 
+# Rows of a batch that are Python objects at a time; a batch of long texts is large.
+SLICE = 128
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches in slices of few rows, and the values of ``column`` in each."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            rows = batch.slice(start, SLICE)
+            yield rows, rows.column(rows.schema.get_field_index(column)).to_pylist()
+
+
+def _with_columns(rows: pa.RecordBatch, **added: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, *added.values()], [*rows.schema.names, *added])
+
+
 def ask(df: DataFrame, prompt: str, client: ClientFactory, system: str = "", json_mode: bool = True,
         max_tokens: int = K.MODEL_TOKENS, retries: int = K.MODEL_RETRIES,
         wait: float = K.MODEL_RETRY_SECONDS) -> DataFrame:
@@ -72,12 +88,12 @@ def ask(df: DataFrame, prompt: str, client: ClientFactory, system: str = "", jso
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, reply string, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = client()
         _warm_up(model)
-        for rows in batches:
+        for rows, texts in _slices(batches, prompt):
             replies, errors = [], []
-            for text in rows[prompt]:
+            for text in texts:
                 messages = [{"role": "system", "content": system}] if system else []
                 messages.append({"role": "user", "content": text})
                 try:
@@ -88,8 +104,8 @@ def ask(df: DataFrame, prompt: str, client: ClientFactory, system: str = "", jso
                 except Exception as e:
                     replies.append(None)
                     errors.append(str(e))
-            yield rows.assign(reply=replies, error=errors)
-    return df.mapInPandas(run, schema)
+            yield _with_columns(rows, reply=pa.array(replies, pa.string()), error=pa.array(errors, pa.string()))
+    return df.mapInArrow(run, schema)
 
 
 def _mean(vectors: list[list[float]], weights: list[int]) -> list[float]:
@@ -108,11 +124,11 @@ def embed(df: DataFrame, text: str, client: ClientFactory, column: str = "embedd
     schema = (f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, "
               f"`{column}` array<float>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = client()
-        for rows in batches:
+        for rows, values in _slices(batches, text):
             out = []
-            for value in rows[text]:
+            for value in values:
                 clean = (value or "").strip()
                 pieces = [clean[i:i + K.EMBED_INPUT_CHARS] for i in range(0, len(clean), K.EMBED_INPUT_CHARS)]
                 try:
@@ -120,8 +136,8 @@ def embed(df: DataFrame, text: str, client: ClientFactory, column: str = "embedd
                     out.append(_mean(vectors, [len(p) for p in pieces]) if all(vectors) else None)
                 except Exception:
                     out.append(None)
-            yield rows.assign(**{column: out})
-    return df.mapInPandas(run, schema)
+            yield _with_columns(rows, **{column: pa.array(out, pa.list_(pa.float32()))})
+    return df.mapInArrow(run, schema)
 
 
 # -- evidence ----------------------------------------------------------------
@@ -366,9 +382,10 @@ def summarise(documents: DataFrame, keys: list[str], client: ClientFactory, syst
     blocks = documents.where(~X.is_blank("full_text")).select(*keys, "filename", F.posexplode(pieces).alias("_block", "_text"))
 
     def told(rows: DataFrame, carried: list[str], otherwise: Column) -> DataFrame:
-        prompts = rows.withColumn("_prompt", X.fill_template(prompt, name=F.col("filename"), text=F.col("_text")))
+        # only what stands in for a failed call goes with the prompt, not the text once more
+        prompts = rows.select(*carried, otherwise.alias("_otherwise"), X.fill_template(prompt, name=F.col("filename"), text=F.col("_text")).alias("_prompt"))
         replies = ask(prompts, "_prompt", client, system, json_mode=False)
-        return replies.select(*carried, F.coalesce(X.strip("reply"), otherwise).alias("summary"))
+        return replies.select(*carried, F.coalesce(X.strip("reply"), "_otherwise").alias("summary"))
 
     first = cut(told(blocks, [*keys, "filename", "_block"], X.left("_text", K.SUMMARY_FALLBACK_CHARS)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "summary"))), lambda p: p["summary"]), "\n")
