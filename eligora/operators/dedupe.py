@@ -2,9 +2,10 @@
 
 The rule is order dependent: a criterion joins the first kept one that it
 resembles, else it is kept.  Here equal texts are folded by aggregation first,
-likely pairs come from an equi-join on rare trigrams (an exact filter, see
-``candidate_pairs``), only those are compared, and the kept ones follow from
-rounds over the resulting edges.
+likely pairs come from shared trigrams (an exact filter): within a scope of few
+texts pair by pair (``pairs_in_scope``), beyond that by an equi-join on rare ones
+(``candidate_pairs``).  Only those are compared, and the kept ones follow from rounds
+over the resulting edges.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
 from eligora import constants as K
-from eligora.functions.text import left, strip
+from eligora.functions.text import bind, left, strip
 from eligora.operators.ranking import rank_all
 from eligora.session import cut
 
 GRAM = 3
 # Two texts, one of which is this short, differ by two characters at most.
 SHORT_TEXT = 10
+# A scope of at most so many texts and characters is one row, whose pairs are listed.
+SCOPE_TEXTS, SCOPE_CHARS = 64, 1 << 16
 
 
 @F.pandas_udf(T.StringType())
@@ -108,7 +111,45 @@ def candidate_pairs(texts: DataFrame, scope: str) -> DataFrame:
     return reduce(DataFrame.unionByName, pairs, inside).distinct()
 
 
-def alike_edges(texts: DataFrame, scope: str) -> DataFrame:
+def pairs_in_scope(scopes: DataFrame, scope: str) -> DataFrame:
+    """Pairs (later, earlier) with their texts ``_a``, ``_b`` that may be alike, from a row of texts per scope; none is missed.
+
+    The trigrams of ``candidate_pairs`` without their repeats, which add no more than
+    the repeats of the text that has fewer.
+    """
+    def prepared(t: Column) -> Column:
+        grams = _grams(t["norm"], GRAM)
+        return F.struct(t["ord"].alias("ord"), t["norm"].alias("norm"), F.length(t["norm"]).alias("len"),
+                        F.array_distinct(grams).alias("grams"), (F.size(grams) - F.size(F.array_distinct(grams))).alias("repeats"))
+
+    def maybe(x: Column, y: Column) -> Column:
+        r, total = K.SIMILARITY, x["len"] + y["len"]
+        near = (F.least(x["len"], y["len"]) + 1e-9) * (2 - r) >= F.greatest(x["len"], y["len"]) * r
+        shared = F.size(F.array_intersect(x["grams"], y["grams"])) + F.least(x["repeats"], y["repeats"])
+        return F.contains(x["norm"], y["norm"]) | F.contains(y["norm"], x["norm"]) | (near & (shared >= total * (2.5 * r - 2) - 2 - 1e-9))
+
+    def pairs(texts: Column) -> Column:
+        return F.flatten(F.transform(texts, lambda x, i: F.transform(
+            F.filter(F.slice(texts, F.lit(1), i), lambda y: maybe(x, y)),
+            lambda y: F.struct(x["ord"].alias("later"), y["ord"].alias("earlier"), x["norm"].alias("_a"), y["norm"].alias("_b")))))
+    return scopes.select(scope, F.inline(bind(F.transform(F.array_sort("_t"), prepared), pairs)))
+
+
+def alike_edges(texts: DataFrame, scope: str, most_texts: int = SCOPE_TEXTS, most_chars: int = SCOPE_CHARS) -> DataFrame:
+    """Pairs of texts of one scope that are alike; a large scope never stands in one row."""
+    held = texts.groupBy(scope).agg(F.count("*").alias("_n"), F.sum(F.length("norm")).alias("_c"))
+    few = (F.col("_n") <= most_texts) & (F.col("_c") <= most_chars)
+    large = cut(held.where(~few).select(scope))
+    only_small = large.isEmpty()
+    rest = texts if only_small else texts.join(large, scope, "left_anti")
+    rows = rest.groupBy(scope).agg(F.collect_list(F.struct("ord", "norm")).alias("_t")).where(F.size("_t") > 1)
+    edges = pairs_in_scope(rows, scope).where(_alike("_a", "_b")).select(scope, "later", "earlier")
+    if only_small:
+        return edges
+    return edges.unionByName(_joined_edges(texts.join(large, scope, "left_semi"), scope))
+
+
+def _joined_edges(texts: DataFrame, scope: str) -> DataFrame:
     later = texts.select(scope, F.col("ord").alias("later"), F.col("norm").alias("_a"))
     earlier = texts.select(scope, F.col("ord").alias("earlier"), F.col("norm").alias("_b"))
     pairs = candidate_pairs(texts, scope).join(later, [scope, "later"]).join(earlier, [scope, "earlier"])
@@ -161,7 +202,7 @@ def merge_similar(criteria: DataFrame, scope: str = "tender_id") -> DataFrame:
     source_section.  The longest evidence and threshold texts win, sections are
     joined, everything else comes from the first of the similar ones.
     """
-    normal = criteria.select("*", normal_description("description").alias("norm"))
+    normal = cut(criteria.select("*", normal_description("description").alias("norm")))
     blank = normal.where(F.col("norm") == "").withColumn("root", F.col("ord"))
     texts = cut(normal.where(F.col("norm") != "").groupBy(scope, "norm").agg(F.min("ord").alias("ord")))
     roots = kept_first(texts, alike_edges(texts, scope), scope)
