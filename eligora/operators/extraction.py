@@ -19,18 +19,25 @@ from eligora.session import cut
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def distinct_evidence(evidence: DataFrame, group: list[str], ordinal: str = "ordinal", several: str | None = None) -> DataFrame:
+def distinct_evidence(evidence: DataFrame, group: list[str], ordinal: str = "ordinal", several: str | None = None,
+                      whole: bool = True) -> DataFrame:
     """First row per (document, value, source text), by a hash of the whole text.
 
     With ``several``, a flag column, only rows of criteria that want several items
-    are folded; the others all stay.
+    are folded; the others all stay.  Not ``whole``: only group, document, the
+    trimmed value and the first ordinal, a number; then no text but the value is
+    moved, and the states are numbers, so that the aggregation hashes.
     """
     if several:
         rest = evidence.where(~F.coalesce(F.col(several), F.lit(False)))
         return distinct_evidence(evidence.where(F.col(several)), group, ordinal).unionByName(rest)
+    text = F.trim(F.coalesce("source_text", F.lit("")))
     keyed = evidence.withColumns({
         "_value": F.trim(F.coalesce(F.col("extracted_value").cast("string"), F.lit(""))),
-        "_source": F.sha2(F.trim(F.coalesce("source_text", F.lit(""))), 256)})
+        "_source": F.unhex(F.sha2(text, 256))})
+    if not whole:
+        firsts = keyed.groupBy(*group, "source_document", "_value", "_source").agg(F.min(ordinal).alias(ordinal))
+        return firsts.select(*group, "source_document", F.col("_value").alias("extracted_value"), ordinal)
     columns = [c for c in evidence.columns if c not in (*group, "source_document", ordinal)]
     firsts = keyed.groupBy(*group, "source_document", "_value", "_source").agg(
         F.min(F.struct(ordinal, *columns)).alias("_e"))

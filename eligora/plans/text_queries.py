@@ -122,8 +122,8 @@ def evidence_dedupe(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.repeat(F.lit("x"), F.lit(239)), F.col("l_returnflag"), F.col("l_partkey").cast("string")
                  ).alias("source_text"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
-    kept = EX.distinct_evidence(rows, GROUP)
-    return kept.select(*GROUP, "source_document", F.trim("extracted_value").alias("value"), "ordinal")
+    kept = EX.distinct_evidence(rows, GROUP, whole=False)
+    return kept.select(*GROUP, "source_document", F.col("extracted_value").alias("value"), "ordinal")
 
 
 def _reply() -> Column:
