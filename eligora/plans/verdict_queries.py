@@ -12,6 +12,8 @@ from eligora.operators import worklist as W
 from eligora.plans import domain as D
 from eligora.session import spread
 
+# Tasks per piece of the scan of line items; each costs some tenths of a second before its first row.
+SHARES = 4
 BIDDER = ["tender_id", "bidder_id", "bidder_name"]
 
 
@@ -104,7 +106,7 @@ def evidence_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Values read back from evidence texts ("Rs. 45,983.16 as per order")."""
     prepared = E.prepare_criteria(D.rules(spark))
     price = F.format_number("value", 2)
-    told = spread(D.evidence(spark, sf), "ordinal").select(
+    told = spread(D.evidence(spark, sf), "ordinal", shares=SHARES).select(
         "bidder_id", "criterion_id", "ordinal", "source_document", "ocr_confidence",
         F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("Rs. "), price)).when(F.col("ordinal") % 3 == 1, price)
         .otherwise(F.lit("")).alias("extracted_value"),
