@@ -73,20 +73,27 @@ def currency_code(tag: Column | str) -> Column:
 
 def rupee_candidates(text: Column, low: Column) -> Column:
     units = ((K.CRORE_WORD, K.CRORE, "cr"), (K.LAKH_WORD, K.LAKH, "lc"))
+    # a rule whose letters are not there is not tried; its candidate is NULL as without a match
+    has = {"cr": F.contains(low, F.lit("cr")), "lc": contains_any(low, ["lakh", "lac"])}
+
+    def within(unit: str, pattern: str) -> Column:
+        return F.when(has[unit], F.regexp_extract(low, pattern, 1))
+
     rules = []
-    for prefix, label in ((r"rs\.?", "inr_digit"), ("₹", "inr_sym"), ("inr", "inr_iso")):
+    for prefix, sign, label in ((r"rs\.?", "rs", "inr_digit"), ("₹", "₹", "inr_sym"), ("inr", "inr", "inr_iso")):
         for word, factor, unit in units:
-            amount = number(F.regexp_extract(low, K.U + prefix + K.MARKED_NUMBER + word, 1)) * factor
+            text_of = F.when(F.contains(low, F.lit(sign)), within(unit, K.U + prefix + K.MARKED_NUMBER + word))
+            amount = number(text_of) * factor
             rules.append(_money(amount, "INR", K.CONF_SCALED_INR, f"{label}_{unit}"))
     for (word, factor, unit), conf in zip(units, (K.CONF_BEFORE_CRORE, K.CONF_BEFORE_LAKH)):
-        amount = number(F.regexp_extract(low, K.U + K.NUMBER_THEN_SCALE + word, 1)) * factor
+        amount = number(within(unit, K.U + K.NUMBER_THEN_SCALE + word)) * factor
         rules.append(_money(amount, "INR", conf, f"inr_scale_before_{unit}"))
     values = {w: float(n) for w, n in K.NUMBER_WORDS.items()}
     for word, factor, unit in units:
-        spelt = F.regexp_extract(low, rf"{K.U}\b({K.WORD_NUMBER})\s+{word}", 1)
+        spelt = within(unit, rf"{K.U}\b({K.WORD_NUMBER})\s+{word}")
         rules.append(_money(lookup(spelt, values) * factor, "INR", K.CONF_WORDS, "inr_word_scale"))
     for word, factor, unit in units:
-        amount = number(F.regexp_extract(low, K.U + K.BARE_NUMBER + word, 1)) * factor
+        amount = number(within(unit, K.U + K.BARE_NUMBER + word)) * factor
         rules.append(_money(amount, "INR", K.CONF_BARE, f"bare_{unit}"))
 
     def marked(pattern: str, label: str) -> Column:
@@ -100,10 +107,10 @@ def rupee_candidates(text: Column, low: Column) -> Column:
     grouped = F.array(_money(number(F.regexp_extract(text, K.U + K.GROUPED_AMOUNT, 1)), "INR",
                              K.CONF_GROUPED, "inr_grouped_ctx"))
     return F.concat(
-        _gate(low.rlike(f"{K.CRORE_WORD}|{K.LAKH_WORD}"), F.array(*rules)),
+        _gate(has["cr"] | has["lc"], F.array(*rules)),
         _gate(F.contains(low, F.lit("rs")), marked(K.RS_AMOUNT, "inr_rs")),
         _gate(F.contains(low, F.lit("₹")), marked(K.RUPEE_SIGN_AMOUNT, "inr_sym")),
-        _gate(contains_any(low, K.RUPEE_CUES) & F.contains(text, F.lit(",")), grouped),
+        _gate(F.contains(text, F.lit(",")) & contains_any(low, K.RUPEE_CUES), grouped),
     )
 
 
@@ -121,7 +128,7 @@ def euro_decimal_candidates(text: Column) -> Column:
     return _gate(F.contains(text, F.lit(",")), F.transform(hits, read))
 
 
-def english_scale_candidates(text: Column) -> Column:
+def english_scale_candidates(text: Column, low: Column) -> Column:
     def scaled(hit: Column, pattern: str, amount_at: int, scale_at: int) -> Column:
         scale = lookup(F.lower(F.regexp_extract(hit, K.U + pattern, scale_at)), K.ENGLISH_SCALES)
         return number(F.regexp_extract(hit, K.U + pattern, amount_at)) * scale
@@ -141,22 +148,22 @@ def english_scale_candidates(text: Column) -> Column:
 
     found = [F.transform(F.regexp_extract_all(text, F.lit(K.U + p), F.lit(0)), f)
              for p, f in ((K.ISO_SCALED, leading), (K.DOLLAR_SCALED, dollars), (K.SCALED_ISO, trailing))]
-    return _gate(text.rlike("(?i)illion|thousand"), F.concat(*found))
+    return _gate(contains_any(low, ["illion", "thousand"]), F.concat(*found))
 
 
-def spaced_thousands_candidates(text: Column) -> Column:
+def spaced_thousands_candidates(text: Column, low: Column) -> Column:
     def read(hit: Column) -> Column:
         digits = F.regexp_extract(hit, K.U + K.SPACED_THOUSANDS, 2)
         amount = F.replace(digits, F.lit(" "), F.lit("")).try_cast("double")
         return _money(amount, F.upper(F.substring(hit, 1, 3)), K.CONF_SPACED, "space_thousands")
     hits = F.regexp_extract_all(text, F.lit(K.U + K.SPACED_THOUSANDS), F.lit(0))
-    return _gate(text.rlike("(?i)usd|eur|gbp|chf|inr|aud|cad"), F.transform(hits, read))
+    return _gate(contains_any(low, ["usd", "eur", "gbp", "chf", "inr", "aud", "cad"]), F.transform(hits, read))
 
 
 def inferred_currency(text: Column) -> Column:
     def read(up: Column) -> Column:
-        dollars = up.rlike(r"\bUSD\b|\bUS\$\b") | (text.contains("$") & ~text.rlike(r"[0-9]+%"))
-        return (F.when(contains_any(up, ["INR", "RUPEE", "RS.", "₹"]) | F.contains(strip(up), F.lit(" RS ")), "INR")
+        dollars = (F.contains(up, F.lit("US")) & up.rlike(r"\bUSD\b|\bUS\$\b")) | (text.contains("$") & ~text.rlike(r"[0-9]+%"))
+        return (F.when(contains_any(up, ["INR", "RUPEE", "RS.", "₹"]) | (F.contains(up, F.lit(" RS ")) & F.contains(strip(up), F.lit(" RS "))), "INR")
                 .when(dollars, "USD")
                 .when(contains_any(up, ["EUR", "€"]), "EUR").when(contains_any(up, ["GBP", "£"]), "GBP")
                 .when(up.contains("CHF"), "CHF").when(contains_any(up, ["JPY", "¥"]), "JPY"))
@@ -188,7 +195,7 @@ def retail_candidates(text: Column) -> Column:
                         lambda s: (F.length(s) >= 3) & s.rlike("[0-9]"))
     whole = F.transform(F.array(strip(text)), read("price_parser"))
     # A single segment would only repeat the whole text's number.
-    each = _gate(text.rlike("[\n;|]"), F.transform(segments, read("price_parser_seg")))
+    each = _gate(contains_any(text, ["\n", ";", "|"]), F.transform(segments, read("price_parser_seg")))
     return _gate(text.rlike("[0-9]"), F.concat(whole, each))
 
 
@@ -202,7 +209,7 @@ def drop_noise(candidates: Column, text: Column, low: Column) -> Column:
     """Amounts above zero that are not fiscal years, bare percentages, or retail
     hits in experience wording.  The text is looked at once."""
     seen = F.struct(
-        (text.rlike(K.U + K.YEAR_RANGE) | low.rlike(K.U + K.FISCAL_YEAR)
+        (contains_any(text, ["-", "–"]) & text.rlike(K.U + K.YEAR_RANGE) | contains_any(low, ["fy", "f.y"]) & low.rlike(K.U + K.FISCAL_YEAR)
          | low.contains("financial year")).alias("years"),
         (text.contains("%") & text.rlike(K.U + K.PERCENTAGE) & ~contains_any(low, ["rs", "inr"])
          & ~text.contains("$")).alias("percents"),
@@ -225,8 +232,8 @@ def money_candidates(text: Column | str) -> Column:
     The text, which may be an expression, and its lower case are worked out once.
     """
     def found(t: Column, low: Column) -> Column:
-        return drop_noise(F.concat(rupee_candidates(t, low), euro_decimal_candidates(t), english_scale_candidates(t),
-                                   spaced_thousands_candidates(t), retail_candidates(t)), t, low)
+        return drop_noise(F.concat(rupee_candidates(t, low), euro_decimal_candidates(t), english_scale_candidates(t, low),
+                                   spaced_thousands_candidates(t, low), retail_candidates(t)), t, low)
 
     # Each rule needs a digit or a crore/lakh word, so other texts stop here.
     return bind(F.coalesce(col(text), F.lit("")), lambda t: _gate(
@@ -251,8 +258,9 @@ def distinct_candidates(candidates: Column) -> Column:
 
 def is_ambiguous(candidates: Column) -> Column:
     """Among the five surest: two currencies, or different amounts within 5x."""
-    ranked = F.array_sort(F.transform(distinct_candidates(candidates), lambda c, i: F.struct(
-        (-c["confidence"]).alias("worst"), i.alias("i"), c.alias("c"))))
+    def ranked(found: Column) -> Column:
+        return F.array_sort(F.transform(distinct_candidates(found), lambda c, i: F.struct(
+            (-c["confidence"]).alias("worst"), i.alias("i"), c.alias("c"))))
 
     def unclear(top: Column) -> Column:
         codes = F.array_distinct(F.filter(F.transform(top, lambda x: x["c"]["currency"]),
@@ -261,7 +269,9 @@ def is_ambiguous(candidates: Column) -> Column:
         ratio = F.array_max(amounts) / F.greatest(F.array_min(amounts), F.lit(1e-9))
         return F.coalesce((F.size(codes) >= 2)
                           | ((F.size(amounts) >= 2) & (ratio < K.MONEY_AMBIGUITY_RATIO)), F.lit(False))
-    return bind(F.slice(ranked, 1, 5), unclear)
+    # a single candidate is not sorted
+    return bind(candidates, lambda found: F.when(F.size(found) < 2, F.lit(False)).otherwise(
+        bind(F.slice(ranked(found), 1, 5), unclear)))
 
 
 def needs_model(candidates: Column, confidence: float = K.MONEY_MODEL_CONFIDENCE) -> Column:

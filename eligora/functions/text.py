@@ -5,9 +5,8 @@ Everything here is a JVM-side ``Column``; nothing calls Python per row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -79,7 +78,8 @@ def number(c: Column) -> Column:
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:
-    return c.rlike("|".join(re.sub(r"([.$|()\[\]{}^?*+\\])", r"\\\1", n) for n in needles))
+    """Whether one of the needles occurs; a search for bytes each, which costs a fraction of a pattern of alternatives."""
+    return reduce(Column.__or__, [F.contains(c, F.lit(n)) for n in needles])
 
 
 def _literal(value) -> str:

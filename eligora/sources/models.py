@@ -421,10 +421,12 @@ def money_with_model(df: DataFrame, key: str | list[str], text: str, client: Cli
     windows = stripped.select(*keys, F.posexplode(F.transform(starts, lambda i: F.substr(F.col("_t"), i * step + 1, F.lit(2 * step)))).alias("_w", "_text"))
     prompts = windows.where((F.col("_w") == 0) | F.col("_text").rlike("[0-9]")).select(*keys, "_w", X.fill_template(MONEY_PROMPT, text=F.col("_text")).alias("_prompt"))
     replies = call(prompts, "_prompt", client, MONEY_SYSTEM, True, K.MONEY_TOKENS)
-    body = J.json_body("reply")
-    reply = F.struct(*[F.try_variant_get(body, f"$.{n}", "string").alias(n)
-                       for n in ("amount", "currency", "confidence")])
-    read = replies.select(*keys, "_w", model_money(reply).alias("_m")).where("_m is not null")
+
+    def fields(body: Column) -> Column:
+        return F.struct(*[F.try_variant_get(body, f"$.{n}", "string").alias(n) for n in ("amount", "currency", "confidence")])
+    # an explode, so that neither its filter nor the uses of its fields read a reply again
+    amount = X.bind(X.bind(J.json_body("reply"), fields), model_money)
+    read = replies.select(*keys, "_w", F.explode(F.array_compact(F.array(amount))).alias("_m"))
     extra = read.groupBy(*keys).agg(F.max_by("_m", F.struct(F.col("_m.confidence"), -F.col("_w"))).alias("_m"))
     joined = ruled.join(extra, keys, "left")
     candidates = F.when(F.col("_m").isNull(), F.col("_c")).otherwise(F.concat("_c", F.array("_m")))

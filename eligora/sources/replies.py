@@ -53,7 +53,8 @@ def ask_once(df: DataFrame, prompt: str, client: ClientFactory, system: str = ""
     shuffle.  Replies are checkpointed, so a lost executor does not repeat calls.
     """
     keyed = cut(df.withColumn("_digest", request_digest(prompt, model, system, json_mode, max_tokens)))
-    requests = keyed.groupBy("_digest").agg(F.min(prompt).alias("_request"))
+    # the prompt is a key, not a state: states that are texts make the aggregation sort
+    requests = keyed.select("_digest", F.coalesce(F.col(prompt), F.lit("")).alias("_request")).distinct()
     told = None
     if store is not None:
         held = store.rows().withColumnRenamed("digest", "_digest")

@@ -1,6 +1,10 @@
 """Model calls read batches of long texts in slices."""
 
+import contextlib
+import io
+
 from eligora.sources import models as M
+from eligora.sources import replies as R
 
 
 class Echo:
@@ -21,3 +25,18 @@ def test_rows_pass_unchanged_through_slices(spark):
     assert [(r.k, r.t) for r in asked] == rows
     assert [(r.reply, r.error) for r in asked] == [(None, "seven") if t == "7" else (t + "!", None) for _, t in rows]
     assert [(r.k, r.embedding) for r in M.embed(df, "t", Echo).collect()] == [(k, [float(len(t)), 1.0]) for k, t in rows]
+
+
+def test_distinct_requests_are_hashed_not_sorted(spark, monkeypatch):
+    seen = []
+
+    def spy(requests, *args):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            requests.explain()
+        seen.append(plan.getvalue())
+        return M.ask(requests, *args)
+    monkeypatch.setattr(R, "ask", spy)
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "")], "k long, t string")
+    got = R.ask_once(df, "t", Echo, at_once=2).select("k", "reply").collect()
+    assert sorted(map(tuple, got)) == [(1, "a!"), (2, "a!"), (3, "b!"), (4, "!"), (5, "!")]
+    assert "HashAggregate" in seen[0] and "SortAggregate" not in seen[0]
