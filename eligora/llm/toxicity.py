@@ -18,7 +18,9 @@ logistic curve over this evidence, fitted on labelled rows by models that have n
 seen them, gives the score.
 
 Counts, levels, discounts and backoff weights are tables made by grouped aggregation;
-they cover all expressions of all labelled rows and grow with them.  The curve's sums are
+they cover all expressions of all labelled rows and grow with them.  Texts without a
+label are left out by a bit table of the labelled ids, so that the join with the labels
+moves little but what is learnt from.  The curve's sums are
 added up over the partitions of the rows' evidence, which never comes to the driver.
 Scoring needs one number per expression.  If the table has at most
 ``broadcast_rows`` rows it is broadcast; a larger one stays partitioned: the texts are
@@ -52,6 +54,7 @@ WINDOWS = (12, 48)
 BROADCAST_ROWS = 4_000_000
 BLOCK_TEXT = 32 << 20
 FOLDS = 5
+FILTER_BLOCKS = 1024
 _PLAIN = LOWER.copy()
 _PLAIN[48:58] = 48
 _PLAIN[SPACE] = 32
@@ -351,6 +354,24 @@ def _partitioned_evidence(docs: DataFrame, table: DataFrame, which: str, kept: l
     return dealt.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(meet, _typed(kept)).select(*names)
 
 
+def likely_labelled(docs: DataFrame, known: DataFrame, n: int, most: int = FILTER_BLOCKS) -> DataFrame:
+    """Rows of (doc_id, text) whose id may be one of the ``n`` in ``known``: all that are, and few others.
+
+    A bit is set for the hash of each known id, in blocks of 2^15 bits: 8 to 16 bits an
+    id up to ``most`` blocks of 4 KB; with more ids more other rows pass.  The blocks are
+    broadcast, their size being bounded.
+    """
+    bits = 1 << 15
+    while bits < min(8 * n, most << 15):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    block, bit = F.shiftright(place, 15).alias("block"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")
+    masks = known.select(block, bit).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("mask"))
+    byte = F.conv(F.hex(F.substring("mask", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, F.col("bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.select("doc_id", "text", block, bit).join(F.broadcast(masks), "block").where(is_set).select("doc_id", "text")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
@@ -364,8 +385,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BR
     cell = 2 * (fold() > 2).cast("long") + 1 - F.col("toxic")
     weights = None
     if 0 < toxic < n:
-        # read three times; beyond Spark's threshold for a broadcast the join moves all texts
-        labelled = stored(docs.join(known, "doc_id").withColumn("cell", cell), "toxicity-labelled")
+        # read three times; beyond Spark's threshold for a broadcast the join moves the texts it gets
+        labelled = stored(likely_labelled(docs, known, n).join(known, "doc_id").withColumn("cell", cell), "toxicity-labelled")
         table = ratios(count_expressions(labelled))
         if table.count() <= broadcast_rows:
             rows = table.toArrow()

@@ -351,3 +351,15 @@ def test_url_regression_on_unseen_hosts(spark):
     assert [got[i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
     with pytest.raises(Exception):
         urls.filter_urls(pages.drop("url"), []).count()
+
+
+def test_texts_without_a_label_are_left_out_before_the_join(spark):
+    docs = spark.range(20_000).select((F.col("id") * 7 - 9_000).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    known = docs.where("pmod(doc_id, 4) = 1").select("doc_id")
+    n = known.count()
+    for most, passed in ((64, 0.15), (1, 1.0)):  # a table large enough, and one that is too small
+        got = toxicity.likely_labelled(docs.unionByName(docs.where("doc_id < 0")), known, n, most)
+        assert got.join(known, "doc_id", "left_semi").count() == n + known.where("doc_id < 0").count()
+        assert got.where("pmod(doc_id, 4) <> 1").count() <= passed * (30_000 - n)
+    none = docs.where("false")
+    assert toxicity.likely_labelled(none, known, n).count() == toxicity.likely_labelled(docs, none, 0).count() == 0
