@@ -211,7 +211,7 @@ def _mixed(full: DataFrame, family: DataFrame | None) -> DataFrame:
         return full.select("bucket", "node", F.col("node").alias("family"))
     placed = full.select("bucket", "node").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
     several = placed.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("bucket")
-    return placed.join(several, "bucket")
+    return cut(placed.join(several, "bucket"))
 
 
 def _leader_links(mixed: DataFrame, weight: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _tied(family: DataFrame | None, near: DataFrame) -> DataFrame:
         return components(near).select("node", F.col("root").alias("family"))
     of = lambda x: family.select(F.col("node").alias(x), F.col("family").alias(f"f{x}"))
     named = near.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("fa", "a").alias("fa"), F.coalesce("fb", "b").alias("fb"))
-    merged_ = components(named.select("fa", "fb").where("fa <> fb").distinct(), "fa", "fb").select(F.col("node").alias("family"), "root")
+    merged_ = components(named.select("fa", "fb").where("fa <> fb"), "fa", "fb").select(F.col("node").alias("family"), "root")
     every = family.unionByName(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(family, "node", "left_anti").withColumn("family", F.col("node")))
     return cut(every.join(merged_, "family", "left").select("node", F.coalesce("root", "family").alias("family")))
 
@@ -237,12 +237,13 @@ def _across_families(mixed: DataFrame, classes: DataFrame, threshold: int) -> Da
     """Promising pairs that join families which meet in a bucket; ``mixed``: (bucket, node, family)."""
     sizes = mixed.groupBy("bucket", "family").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "family")).alias("main")).select("bucket", "size", F.col("main.family").alias("main"))
-    rest = mixed.join(main, "bucket").join(classes.select("node", "n", "registers"), "node")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_MEMBERS)).cast("long"))
+    rest = cut(mixed.join(main, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_MEMBERS)).cast("long")))
+    sketch = classes.select("node", "n", "registers")
     every = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK_MEMBERS) - 1)
     member = lambda left: F.struct("node", "family", "n", "registers", F.lit(left).alias("left"))
-    outside = rest.where("family <> main").select("bucket", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
-    inside = rest.join(outside.select("bucket", "i").distinct(), "bucket").select("bucket", "i", F.col("part").alias("j"), member(False).alias("m"))
+    apart = rest.where("family <> main")
+    outside = apart.join(sketch, "node").select("bucket", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
+    inside = rest.join(apart.select("bucket", F.col("part").alias("i")).distinct(), "bucket").join(sketch, "node").select("bucket", "i", F.col("part").alias("j"), member(False).alias("m"))
     groups = outside.unionByName(inside).groupBy("bucket", "i", "j").agg(F.collect_list("m").alias("m"))
     return _joining_pairs(groups.select("m"), threshold).distinct()
 
@@ -311,12 +312,13 @@ def _within_families(family: DataFrame, roots: DataFrame, sets: DataFrame, thres
     sizes = placed.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_items").alias("n_items"))
     parts = F.greatest(F.ceil(F.sum("n") / BLOCK_MEMBERS), F.ceil(F.sum("n_items") / BLOCK_ITEMS))
     split = sizes.groupBy("family").agg(parts.alias("parts"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    rest = placed.drop("n_items").join(split.select("family", F.col("main.root").alias("main"), "parts"), "family").join(sets, "node")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long"))
+    rest = cut(placed.drop("n_items").join(split.select("family", F.col("main.root").alias("main"), "parts"), "family")
+               .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     member = lambda left: F.struct("node", "root", "items", F.lit(left).alias("left"))
-    outside = rest.where("root <> main").select("family", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
-    inside = rest.join(outside.select("family", "i").distinct(), "family").select("family", "i", F.col("part").alias("j"), member(False).alias("m"))
+    apart = rest.where("root <> main")
+    outside = apart.join(sets, "node").select("family", F.col("part").alias("i"), F.explode(every).alias("j"), member(True).alias("m"))
+    inside = rest.join(apart.select("family", F.col("part").alias("i")).distinct(), "family").join(sets, "node").select("family", "i", F.col("part").alias("j"), member(False).alias("m"))
     groups = outside.unionByName(inside).groupBy("family", "i", "j").agg(F.collect_list("m").alias("m"))
     return _missing_links(groups.select("m"), threshold)
 
@@ -348,7 +350,7 @@ def near_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     family = _tied(None, first)
     second = cut(_promising(sketched(_leader_links(_mixed(full, family), weight)), threshold))
     family = _tied(family, second)
-    across = cut(_across_families(cut(_mixed(full, family)), classes, threshold))
+    across = cut(_across_families(_mixed(full, family), classes, threshold))
     if not across.isEmpty():
         family = _tied(family, across)
     near = first.unionByName(second).unionByName(across)

@@ -250,6 +250,35 @@ def test_components_of_chains_and_rings(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(9)}, 200: 200, 201: 200}
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    """Each job's exchanges leave threads and plans with the driver; a chain took several rounds of joins."""
+    spark.sparkContext.setJobGroup("few-links", "few links")
+    try:
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 5
+    assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(401)}
+
+
+@pytest.mark.parametrize("most", [1, 7, 40])
+def test_components_beyond_one_task(spark, monkeypatch, most):
+    """Tasks that can't hold all links give them on in parts, and rounds of joins settle the rest."""
+    monkeypatch.setattr("eligora.llm.components.TASK_ROWS", most)
+    rng = random.Random(most)
+    names = [bytes([x % 256, x // 256]) for x in range(400)]  # first bytes beyond 127 as well
+    rng.shuffle(names)
+    links = [(names[i], names[i + 1]) for i in range(30)] + [(names[40], names[41 + i]) for i in range(30)] + [tuple(rng.sample(names[100:], 2)) for _ in range(120)]
+    links += [(names[99], names[99]), (None, names[98]), *links[:20]]
+    root = {x: x for p in links if None not in p and p[0] != p[1] for x in p}
+    while any(root[a] != root[b] for a, b in links if a in root and b in root):
+        for a, b in links:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(links, "a binary, b binary").repartition(3)).collect()
+    assert sorted((bytes(r.node), bytes(r.root)) for r in got) == sorted(root.items())
+
+
 def vectors(n=700, dim=12, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(8, dim))
